@@ -31,7 +31,7 @@ SAMPLE_PER_LANGUAGE = 400
 MOST_LANGUAGES = 250
 CENTROIDS = 3
 #: A text is rejected below this share of the lowest cosine of a training text to its own language.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")

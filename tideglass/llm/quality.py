@@ -156,6 +156,14 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([None], pa.int32()), pa.array([context.tobytes()], pa.binary())], names=["label", "data"])
 
 
+def _dense(packed: list[bytes]) -> np.ndarray:
+    c = np.zeros((len(packed), SLOTS), np.float32)
+    for i, data in enumerate(packed):
+        at, n = np.frombuffer(data, np.uint32).reshape(2, -1)
+        c[i, at] = n
+    return c
+
+
 #: Tasks of the training pass; each sends one matrix of context sums.
 TRAIN_TASKS = 6
 
@@ -186,12 +194,10 @@ def fit(labelled: DataFrame, docs: DataFrame, held_out=None, doc_id: str = "doc_
     norms = np.linalg.norm(context, axis=1, keepdims=True)
     # a slot that was never met keeps its own index vector, so that it still tells texts apart
     vectors = np.where(norms > 0, context / np.where(norms > 0, norms, 1), _index_vectors() / 2).astype(np.float32)
-    c = np.zeros((len(rows_), SLOTS), np.float32)
-    for i, (_, data) in enumerate(rows_):
-        at, n = np.frombuffer(data, np.uint32).reshape(2, -1)
-        c[i, at] = n
+    del found
     y = np.array([r[0] for r in rows_], np.float64)
-    x = pooled(c, vectors).astype(np.float64)
+    x = np.vstack([pooled(_dense([r[1] for r in rows_[k : k + 128]]), vectors) for k in range(0, len(rows_), 128)]).astype(np.float64)
+    del rows_
     mean, scale = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / scale
     # the sample is balanced by class; the loss is weighted back to the labels' own shares

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import fingerprints, langid, lm, mixing, neardup, pages, pieces, quality, topk
+from tideglass.llm import fingerprints, langid, licenses, lm, mixing, neardup, pages, pieces, quality, topk
 from tideglass.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,15 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
 
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates that every whole document contains."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_licenses"] = licenses.oracle_sql()
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every whole document's ids and of what they decode to."""

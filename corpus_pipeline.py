@@ -28,9 +28,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each component of near duplicates; of rows that share its id, one."""
+    kept = materialise(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")), "pipeline_kept")
+    n = kept.agg(F.count("_kept_id").alias("rows"), F.count_distinct("_kept_id").alias("ids")).first()
+    rows = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    return rows if n["rows"] == n["ids"] else rows.dropDuplicates(["doc_id"])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

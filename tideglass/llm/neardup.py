@@ -2,17 +2,21 @@
 
 A text's distinct word shingles give a signature of ``SYMBOLS`` MinHash values,
 of which 16 bits are kept. Documents with equal shingle sets form one class,
-and only its first document goes on. Two signatures with at most ``THRESHOLD``
-different symbols are found by pigeonhole: split into ``CHUNKS`` chunks, at
+and only its first document goes on. Signatures are split into ``CHUNKS`` chunks.
+By pigeonhole, of two signatures with at most ``THRESHOLD`` different symbols at
 least one chunk has at most ``ERRORS`` errors, so the classes meet under one of
-the keys that leave ``ERRORS`` symbols of a chunk out. A pair of similarity 0.75
-differs in more than ``THRESHOLD`` of 64 symbols about once in 100,000.
+the keys that leave ``ERRORS`` symbols of a chunk out. All such pairs are found
+for certain; of pairs further apart those with a chunk like that, which a pair of
+similarity 0.75 lacks about five times in a million.
 
 Pairs are confirmed on full shingle sets. A key shared by many classes is not
 expanded into all pairs: first everyone meets the key's first class; links make
 components; then only classes of different components meet, each against those
 outside the key's largest component. A pair inside one component could add
-nothing, so no component is lost.
+nothing, so no component is lost. A class that meets a large component is
+compared to all its members in blocks of sets, without a row for each pair.
+Where other keys would still give many pairs, which then are mostly unlike, a
+key's classes meet under a second key of another chunk as well.
 """
 
 from __future__ import annotations
@@ -32,9 +36,15 @@ from tideglass.shared import materialise
 SHINGLE = 5
 #: Least intersection over union, as a fraction of integers: 100 * i >= 75 * u.
 SIMILAR = (75, 100)
-SYMBOLS, CHUNKS, THRESHOLD = 64, 16, 31
+SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 #: Errors that the best chunk of a pair under the threshold has at most.
 ERRORS = THRESHOLD // CHUNKS
+#: Pairs with more different symbols are not confirmed: at similarity 0.75, less than one in 100,000.
+FARTHEST = 43
+#: Pairs that one key may give before its classes are dealt by a second key.
+PAIRS_OF_KEY = 2_000
+#: Components of more classes are compared in blocks, and the classes of a block.
+LARGE, BLOCK = 48, 128
 SEED = 20_240_603
 #: Ids that are sent to all tasks to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -110,12 +120,27 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
 
+_CHUNK_OF = np.array([chunk for chunk, _ in _LEFT_OUT])
+
+
+def _indexed_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second keys of classes under a first key, from all other chunks."""
+    for batch in batches:
+        if batch.num_rows:
+            first = batch.column(0).to_numpy()
+            keys = keys_of(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, SYMBOLS))
+            own = _CHUNK_OF[(keys == first[:, None]).argmax(1)]
+            row, at = np.nonzero(_CHUNK_OF[None, :] != own[:, None])
+            both = _mixed(first[row].view(np.uint64) * _K1 + keys[row, at].view(np.uint64)).view(np.int64)
+            yield pa.record_batch([pa.array(both), pa.array(batch.column(1).to_numpy()[row]), pa.array(batch.column(2).to_numpy()[row])], names=["key", "id", "component"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures are within the threshold."""
+    """The pairs whose signatures are near enough to confirm."""
     for batch in batches:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, SYMBOLS) for k in (2, 3))
-            near = (a != b).sum(1) <= THRESHOLD
+            near = (a != b).sum(1) <= FARTHEST
             yield pa.record_batch([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
 
 
@@ -199,6 +224,83 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return facts[0] == facts[1]
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows (key, id, component) of keys with more than one component."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(key, largest, members, minors): a key's largest component, its classes, and those outside that component."""
+    counts = rows.groupBy("key", "component").count()
+    return counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("members"), (F.sum("count") - F.max("count")).alias("minors"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's classes in different components: those outside the largest one with all others."""
+    sized = rows.join(_sizes(rows).select("key", "largest"), "key")
+    minor = sized.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    others = sized.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("in_largest"))
+    met = minor.join(others, "key").where("cx <> cy and (in_largest or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of sets: for each asking class the first similar member, if there is one."""
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        for r in batch.to_pylist():
+            sides = [[np.frombuffer(x["found"], np.uint64) for x in r[k]] for k in ("asking", "members")]
+            flat = [np.concatenate(x) for x in sides]
+            owner = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in sides]
+            sizes = [np.array([len(y) for y in x], np.float64) for x in sides]
+            shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+            both = np.zeros((len(sizes[0]), len(sizes[1])))
+            for k in range(0, len(shared), 1 << 14):
+                part = shared[k : k + (1 << 14)]
+                tables = []
+                for side in (0, 1):
+                    at = np.minimum(np.searchsorted(part, flat[side]), len(part) - 1)
+                    there = part[at] == flat[side]
+                    t = np.zeros((len(sizes[side]), len(part)), np.float32)
+                    t[owner[side][there], at[there]] = 1
+                    tables.append(t)
+                both += tables[0] @ tables[1].T
+            union = sizes[0][:, None] + sizes[1][None, :] - both
+            linked = (SIMILAR[1] * both >= SIMILAR[0] * union) & (both > 0)
+            for i in np.flatnonzero(linked.any(1)):
+                out[0].append(r["asking"][i]["id"])
+                out[1].append(r["members"][linked[i].argmax()]["id"])
+        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (large, id, found) packed into arrays of about ``BLOCK``."""
+    sizes = rows.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    place = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    return rows.join(sizes, "large").groupBy("large", place.alias("block")).agg(F.collect_list(F.struct("id", "found")).alias(name)).drop("block")
+
+
+def _block_links(docs: DataFrame, rest: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links between large components and the other classes that share a key with one of their members."""
+    members = found.union(found.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "large")
+    large = materialise(members.groupBy("large").count().where(F.col("count") > LARGE).select("large"), "neardup_large")
+    touched = rest.join(large, rest["component"] == F.col("large")).select("key", "large").distinct()
+    other = large.withColumnsRenamed({"large": "also_large"})
+    asking = rest.join(touched, "key").where("component <> large").select("large", "id", "component").distinct()
+    asking = asking.join(other, asking["component"] == F.col("also_large"), "left").where("also_large is null or also_large > large").select("large", "id")
+    asking = materialise(asking, "neardup_asking")
+    asked = materialise(members.join(asking.select("large").distinct(), "large", "left_semi"), "neardup_asked")
+    ids = materialise(asking.select("id").union(asked.select("id")).distinct(), "neardup_block_ids")
+    sets = materialise(_set_table(docs, ids, doc_id, text), "neardup_block_sets")
+    sides = [_blocks(rows.join(sets, "id").select("large", "id", "found"), name) for rows, name in ((asking, "asking"), (asked, "members"))]
+    met = sides[0].join(sides[1], "large").select("asking", "members")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    links = materialise(met.mapInArrow(_compared, "a long, b long"), "neardup_block_links")
+    small_batches(docs)
+    return links
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The component of every document under links of similar shingle sets.
 
@@ -224,17 +326,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = components(links, "neardup_star")
     # classes of one key that are still in different components
     placed = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = materialise(placed.join(open_keys, "key", "left_semi"), "neardup_open")
-    largest = rest.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    minor = rest.join(largest, "key").where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = rest.join(largest, "key").select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("in_largest"))
-    across = minor.join(others, "key").where("cx <> cy and (in_largest or x < y)")
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = materialise(_open(placed), "neardup_open")
+    in_blocks = _block_links(docs, rest, found, doc_id, text)
+    members = found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component")
+    rest = materialise(_open(rest.join(large, "component", "left_anti")), "neardup_open_small")
+    big = materialise(_sizes(rest).where(F.col("minors") * F.col("members") > PAIRS_OF_KEY).select("key"), "neardup_big")
+    again = rest.join(big, "key", "left_semi").join(classes.select("id", "signature"), "id").select("key", "id", "component", "signature")
+    again = materialise(_open(small_batches(again).mapInArrow(_indexed_again, "key long, id long, component long")), "neardup_again")
+    pairs = _across(rest.join(big, "key", "left_anti")).union(_across(again)).distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(docs, classes, pairs, doc_id, text, "neardup_across")
     # rows that share an id link their classes
     same_id = with_words.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    final = components(links.union(more).union(same_id), "neardup_all")
+    final = components(links.union(in_blocks).union(more).union(same_id), "neardup_all")
     classed = table.join(classes.select("digest", "id"), "digest", "left")
     reached = F.coalesce("component", "id", "doc_id")
     out = classed.join(final.withColumnRenamed("id", "node"), F.coalesce("id", "doc_id") == F.col("node"), "left")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tideglass.jobs import (  # noqa: F401
+    attention_queries,
+    extract_queries,
+    forest_queries,
+    match_queries,
+    pair_queries,
+    profile_queries,
+    scalar_queries,
+    stream_queries,
+)
+from tideglass.jobs.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -12,7 +12,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch: long texts must fit a Python worker's memory together.
 BATCH_ROWS = 1024
 #: Entries a word cache keeps in one Python worker; words beyond it are computed anew each time.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 #: Longer words are never kept in a cache.
 CACHE_WORD_BYTES = 64
 
@@ -39,11 +39,19 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 
 class BoundedCache(dict):
-    """A dict that computes missing entries and stops growing at a bound."""
+    """A dict that computes missing entries and stops growing at a bound.
 
-    def __init__(self, compute, entries: int = CACHE_ENTRIES, longest: int = CACHE_WORD_BYTES):
+    A Python worker serves one operation after another: ``claim`` empties the
+    caches of all other groups, so that they do not add up.
+    """
+
+    everyone: list[BoundedCache] = []
+    owner = ""
+
+    def __init__(self, compute, group: str, entries: int = CACHE_ENTRIES, longest: int = CACHE_WORD_BYTES):
         super().__init__()
-        self.compute, self.entries, self.longest = compute, entries, longest
+        self.compute, self.group, self.entries, self.longest = compute, group, entries, longest
+        BoundedCache.everyone.append(self)
 
     def __missing__(self, key):
         value = self.compute(key)
@@ -51,10 +59,19 @@ class BoundedCache(dict):
             self[key] = value
         return value
 
+    @classmethod
+    def claim(cls, group: str) -> None:
+        if cls.owner != group:
+            for cache in cls.everyone:
+                if cache.group != group:
+                    cache.clear()
+            cls.owner = group
+
 
-_HASHES = BoundedCache(xxhash.xxh3_64_intdigest)
+_HASHES = BoundedCache(xxhash.xxh3_64_intdigest, "hashes")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, kept between the batches of a worker."""
+    BoundedCache.claim("hashes")
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import BoundedCache, small_batches
 
 SPACE = "▁"
+#: Parts whose ids a Python worker keeps; they cost far more to encode than to look up.
+CACHED_PARTS = 700_000
 _NONE = float("-inf")
 
 
@@ -85,8 +87,8 @@ class BpePieces:
         self.stands_for = [byte_of[i] if i in byte_of else "" if i in self.special else self.piece[i] for i in range(n)]
         self.last_odd = max([*byte_of, *self.special])
         self.packed = [struct.pack("<I", i) for i in range(n)]
-        self.after_space = BoundedCache(lambda w: self._part(SPACE + w))
-        self.at_start = BoundedCache(self._part)
+        self.after_space = BoundedCache(lambda w: self._part(SPACE + w), "pieces", entries=CACHED_PARTS)
+        self.at_start = BoundedCache(self._part, "pieces")
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the neighbours whose join has the best score first, the left one of ties."""
@@ -211,6 +213,7 @@ class BpePieces:
         """A text's parts in order, each with its ids, without begin and end ids."""
         if not text:
             return []
+        BoundedCache.claim("pieces")
         out: list[tuple[bytes, str, int]] = []
         text = text.replace(SPACE, " ")
         for k, line in enumerate((" " + text).split("\n")):

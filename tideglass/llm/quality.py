@@ -60,11 +60,12 @@ def _slots(word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(core) % WORD_SLOTS) << 16 | (WORD_SLOTS + 1 + xxhash.xxh3_64_intdigest(shape(text)) % (SHAPE_SLOTS - 1))
 
 
-_CACHE = BoundedCache(_slots)
+_CACHE = BoundedCache(_slots, "quality")
 
 
 def slots(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """(word slots, shape slots) of a text in order; empty for a null text."""
+    BoundedCache.claim("quality")
     words = (text or b"").split()
     both = np.fromiter(map(_CACHE.__getitem__, words), np.int64, len(words))
     word, form = both >> 16, both & 0xFFFF

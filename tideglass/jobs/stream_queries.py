@@ -1 +1,68 @@
-"""To come."""
+"""Streaming jobs over ``events``, run to the end of what is there."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideglass.jobs.attention_queries import _D
+from tideglass.jobs.base import ORACLE, STREAM, query, r, rounded
+from tideglass.operators import drift
+from tideglass.shared import shared_root
+from tideglass.streaming import streams
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = streams.read_stream(spark, f"{sf_dir}/events.parquet")
+    return e.select((F.col("user_id") % 16).alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("label"), "value", ((F.col("event_id") % 97).cast("double") / 97).alias("sim"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def _ended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    folder = _folder(spark)
+    return streams.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query(f"WITH {STREAM} SELECT stream_id, event_id, label, {r('value')} AS value FROM e")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events through a streaming source and sink."""
+    return rounded(_ended(spark, _rows(spark, sf_dir).select("stream_id", "event_id", "label", "value")))
+
+
+@query(f"WITH {_D} SELECT stream_id, event_id, changed, {r('magnitude')} AS magnitude FROM d")
+def stream_label_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_ended(spark, streams.drift_stream(_rows(spark, sf_dir))))
+
+
+@query(ORACLE["streaming_attention"])
+def stream_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_ended(spark, streams.attention_stream(_rows(spark, sf_dir))))
+
+
+@query()
+def stream_early_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One early label for each user: high or low, once the mean value of the points so far is clearly either."""
+
+    def decide(values: np.ndarray) -> tuple[str, float] | None:
+        spread = values.std() / np.sqrt(len(values)) + 1e-9
+        far = (values.mean() - 50) / spread
+        return ("high" if far > 0 else "low", float(min(1.0, abs(far) / 4))) if abs(far) > 1 else None
+
+    e = streams.read_stream(spark, f"{sf_dir}/events.parquet")
+    points = e.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    return rounded(_ended(spark, streams.early_label_stream(points, decide, 40)))
+
+
+@query()
+def co_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a training loop: rows, changes and whether each micro-batch calls for retraining."""
+    folder = _folder(spark)
+    work = streams.co_train(spark, folder, lambda pool: drift.label_drift(pool))
+    streams.run_batches(_rows(spark, sf_dir), work, f"{folder}/checkpoint")
+    return rounded(spark.read.parquet(f"{folder}/log").select(F.col("batch").cast("long").alias("batch"), "rows", "changes", "mean_magnitude", "due"))

@@ -65,10 +65,10 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_VOTES}, c AS (SELECT series_id, label, count(*) AS n FROM v WHERE label IS NOT NULL GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, label) AS k FROM c) WHERE k = 1),
 w AS (SELECT series_id, count(label) AS m, sum(CASE WHEN label IS NOT NULL THEN confidence END) AS c FROM v GROUP BY 1)
-SELECT series_id, label, {r('CASE WHEN m > 0 THEN CAST(0.7 AS DOUBLE) * c / m + CAST(0.3 AS DOUBLE) * n / m ELSE 0 END', 10)} AS confidence, coalesce(n, 0) AS votes FROM w LEFT JOIN b USING (series_id)"""
+SELECT series_id, label, {r('CASE WHEN m > 0 THEN CAST(0.7 AS DOUBLE) * round(c, 9) / m + CAST(0.3 AS DOUBLE) * n / m ELSE 0 END')} AS confidence, coalesce(n, 0) AS votes FROM w LEFT JOIN b USING (series_id)"""
 )
 def vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forest.vote(_votes(spark, sf_dir)), 10)
+    return rounded(forest.vote(_votes(spark, sf_dir)))
 
 
 @query(f"WITH {_VOTES} SELECT tree_id AS leaf, label, {r('count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY tree_id)')} AS share FROM v WHERE label IS NOT NULL GROUP BY tree_id, label")

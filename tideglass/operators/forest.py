@@ -136,7 +136,7 @@ def vote(predictions: DataFrame) -> DataFrame:
     per = predictions.groupBy("series_id", "label").agg(F.count("label").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("confidence"))).alias("c"))
     best = F.max(F.when(F.col("label").isNotNull(), F.struct(F.col("n").alias("n"), _reversed(F.col("label")).alias("r"), F.col("label").alias("label"))))
     whole = per.groupBy("series_id").agg(best.alias("b"), F.sum("n").alias("all"), F.sum("c").alias("c"))
-    confidence = F.when(F.col("all") > 0, 0.7 * F.col("c") / F.nullif(F.col("all"), F.lit(0)) + 0.3 * F.col("b.n") / F.nullif(F.col("all"), F.lit(0))).otherwise(0.0)
+    confidence = F.when(F.col("all") > 0, 0.7 * F.round("c", 9) / F.nullif(F.col("all"), F.lit(0)) + 0.3 * F.col("b.n") / F.nullif(F.col("all"), F.lit(0))).otherwise(0.0)
     return whole.select("series_id", F.col("b.label").alias("label"), confidence.alias("confidence"), F.coalesce("b.n", F.lit(0)).cast("long").alias("votes"))
 
 

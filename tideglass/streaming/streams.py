@@ -24,11 +24,11 @@ _STATE = "kept string"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Files of a table as a stream, with the schema that they have."""
+    """Files of a table (a folder or one file) as a stream, with the schema that they have."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be a file
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -11,12 +11,11 @@ similarity 0.75 lacks about five times in a million.
 
 Pairs are confirmed on full shingle sets. A key shared by many classes is not
 expanded into all pairs: first everyone meets the key's first class; links make
-components; then only classes of different components meet, each against those
-outside the key's largest component. A pair inside one component could add
-nothing, so no component is lost. A class that meets a large component is
-compared to all its members in blocks of sets, without a row for each pair.
-Where other keys would still give many pairs, which then are mostly unlike, a
-key's classes meet under a second key of another chunk as well.
+components; then only classes of different components meet. A pair inside one
+component could add nothing, so no component is lost. A class that meets a large
+component is compared to all its members in blocks of sets; the other classes of
+a key are compared in blocks of signatures. Only near pairs get a row, each under
+the first of the keys that it shares.
 """
 
 from __future__ import annotations
@@ -41,8 +40,6 @@ SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 ERRORS = THRESHOLD // CHUNKS
 #: Pairs with more different symbols are not confirmed: at similarity 0.75, less than one in 100,000.
 FARTHEST = 43
-#: Pairs that one key may give before its classes are dealt by a second key.
-PAIRS_OF_KEY = 2_000
 #: Components of more classes are compared in blocks, and the classes of a block.
 LARGE, BLOCK = 48, 128
 SEED = 20_240_603
@@ -120,19 +117,32 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
 
-_CHUNK_OF = np.array([chunk for chunk, _ in _LEFT_OUT])
+def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs of different components between two blocks of classes under one key.
 
-
-def _indexed_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second keys of classes under a first key, from all other chunks."""
+    A pair is given only under the first key that its signatures share.
+    """
+    width = SYMBOLS // CHUNKS
     for batch in batches:
-        if batch.num_rows:
-            first = batch.column(0).to_numpy()
-            keys = keys_of(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, SYMBOLS))
-            own = _CHUNK_OF[(keys == first[:, None]).argmax(1)]
-            row, at = np.nonzero(_CHUNK_OF[None, :] != own[:, None])
-            both = _mixed(first[row].view(np.uint64) * _K1 + keys[row, at].view(np.uint64)).view(np.int64)
-            yield pa.record_batch([pa.array(both), pa.array(batch.column(1).to_numpy()[row]), pa.array(batch.column(2).to_numpy()[row])], names=["key", "id", "component"])
+        out: tuple[list, list] = ([], [])
+        for r in batch.to_pylist():
+            left, right = r["rows"], r["others"]
+            ids, parts = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in ("id", "component"))
+            a, b = (np.frombuffer(b"".join([x["signature"] for x in side]), "<u2").reshape(-1, SYMBOLS) for side in (left, right))
+            own = keys_of(a)
+            for i in range(len(left)):
+                at = np.flatnonzero((parts[1] != parts[0][i]) & ((ids[1] > ids[0][i]) | (not r["same"])))
+                differ = b[at] != a[i]
+                near = differ.sum(1) <= FARTHEST
+                at, differ = at[near], differ[near].reshape(-1, CHUNKS, width)
+                if len(at):
+                    chunk = (differ.sum(2) <= ERRORS).argmax(1)
+                    first = chunk * width + differ[np.arange(len(at)), chunk].argmax(1)
+                    at = at[own[i, first] == r["key"]]
+                    out[0].append(np.minimum(ids[1][at], ids[0][i]))
+                    out[1].append(np.maximum(ids[1][at], ids[0][i]))
+        cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
+        yield pa.record_batch(cols, names=["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,19 +240,20 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    """(key, largest, members, minors): a key's largest component, its classes, and those outside that component."""
-    counts = rows.groupBy("key", "component").count()
-    return counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("members"), (F.sum("count") - F.max("count")).alias("minors"))
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a key's classes in different components: those outside the largest one with all others."""
-    sized = rows.join(_sizes(rows).select("key", "largest"), "key")
-    minor = sized.where("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = sized.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("in_largest"))
-    met = minor.join(others, "key").where("cx <> cy and (in_largest or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _across(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of classes in different components, from open keys (key, id, component)."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = rest.join(classes.select("id", "signature"), "id").join(sizes, "key")
+    place = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "signature")).alias("rows"))
+    alone = packed.where("blocks = 1").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
+    several = packed.where("blocks > 1")
+    other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
+    met = several.join(other, "key").where("block <= other").select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
+    rest.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    found = materialise(alone.union(met).mapInArrow(_near_in_blocks, "a long, b long"), "neardup_across_pairs")
+    small_batches(rest)
+    return found.distinct()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,10 +342,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = found.union(found.select(F.col("component").alias("id"), "component").distinct())
     large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component")
     rest = materialise(_open(rest.join(large, "component", "left_anti")), "neardup_open_small")
-    big = materialise(_sizes(rest).where(F.col("minors") * F.col("members") > PAIRS_OF_KEY).select("key"), "neardup_big")
-    again = rest.join(big, "key", "left_semi").join(classes.select("id", "signature"), "id").select("key", "id", "component", "signature")
-    again = materialise(_open(small_batches(again).mapInArrow(_indexed_again, "key long, id long, component long")), "neardup_again")
-    pairs = _across(rest.join(big, "key", "left_anti")).union(_across(again)).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = _across(rest, classes).join(stars, ["a", "b"], "left_anti")
     more = _links(docs, classes, pairs, doc_id, text, "neardup_across")
     # rows that share an id link their classes
     same_id = with_words.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()

@@ -72,22 +72,20 @@ def _pair(expression: str) -> str:
     return f"WITH {PAIRS} SELECT series_id, {r(expression)} AS value FROM p"
 
 
-def _each(spark: SparkSession, sf_dir: str, column) -> DataFrame:
-    return rounded(_pairs(spark, sf_dir).select("series_id", column.alias("value")))
-
-
-_A, _B, _C = F.col("a"), F.col("b"), F.col("c")
+def _each(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+    """``f(a, b, c)`` of every pair."""
+    return rounded(_pairs(spark, sf_dir).select("series_id", f(F.col("a"), F.col("b"), F.col("c")).alias("value")))
 
 
 @query(f"WITH {PAIRS} SELECT series_id, {r(d1('a', 'b'))} AS first_order, {r(d2('a', 'b'))} AS second_order FROM p")
 def minkowski(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_pairs(spark, sf_dir).select("series_id", scalars.minkowski(_A, _B, 1).alias("first_order"), scalars.minkowski(_A, _B, 2).alias("second_order")))
+    return rounded(_pairs(spark, sf_dir).select("series_id", scalars.minkowski(F.col("a"), F.col("b"), 1).alias("first_order"), scalars.minkowski(F.col("a"), F.col("b"), 2).alias("second_order")))
 
 
 @query(f"WITH {PAIRS} SELECT series_id, CAST(CASE WHEN {d1('a', 'b')} > 8.5 THEN 1 ELSE 2 END AS INTEGER) AS p FROM p")
 def auto_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order under a threshold that both branches occur with."""
-    return _pairs(spark, sf_dir).select("series_id", scalars.auto_p(_A, _B, 8.5).alias("p"))
+    return _pairs(spark, sf_dir).select("series_id", scalars.auto_p(F.col("a"), F.col("b"), 8.5).alias("p"))
 
 
 def _kernel(spark: SparkSession, sf_dir: str, f, name: str) -> DataFrame:
@@ -113,27 +111,27 @@ def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_pair(sim("a", "b")))
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.similarity(_A, _B))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.similarity(a, b))
 
 
 @query(_pair(f"1 / (1 + (1 - {sim('a', 'b')}))"))
 def rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.rank_score(scalars.similarity(_A, _B)))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.rank_score(scalars.similarity(a, b)))
 
 
 @query(_pair(cosine("a[1:len(c)]", "c")))
 def cosine_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.cosine_prefix(_A, _C))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.cosine_prefix(a, c))
 
 
 @query(_pair(pearson01("a[1:len(c)]", "c")))
 def pearson01_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.pearson01_prefix(_A, _C))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.pearson01_prefix(a, c))
 
 
 @query(_pair("pow(CAST(len(c) AS DOUBLE) / len(a), 2)"))
 def length_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.length_similarity(_A, _C))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.length_similarity(a, c))
 
 
 _W = "SELECT CAST(n AS DOUBLE) / m AS q FROM"
@@ -159,7 +157,7 @@ def multi_sql(a: str, b: str) -> str:
 
 @query(_pair(multi_sql("a", "b")))
 def multi_metric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(spark, sf_dir, scalars.multi_metric_similarity(_A, _B))
+    return _each(spark, sf_dir, lambda a, b, c: scalars.multi_metric_similarity(a, b))
 
 
 @query(f"WITH {SERIES}, c AS (SELECT split, label, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY split) AS p FROM c) SELECT split, {r('-sum(p * log2(p))')} AS entropy FROM t GROUP BY split")

@@ -121,9 +121,9 @@ def grid_info_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(extract.grid_info_gain(_labelled(spark, sf_dir), ["i"]))
 
 
-@query(f"WITH {_GRID} SELECT i FROM z WHERE info_gain >= 0.05")
+@query(f"WITH {_GRID} SELECT i FROM z WHERE info_gain >= 0.01")
 def select_high_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.select_high_quality(_labelled(spark, sf_dir), 0.05)
+    return extract.select_high_quality(_labelled(spark, sf_dir), 0.01)
 
 
 @query()

@@ -97,11 +97,11 @@ def update_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.update_ranking(before, _cells(old), fresh.select("i", "j", "value")).drop("rank"))
 
 
-@query(f"WITH {_RANK} SELECT rank::INTEGER AS rank, i, j, {r('c.value')} AS value FROM k2 JOIN c USING (i, j) WHERE rank <= 50 AND c.value >= 0")
+@query(f"WITH {_RANK} SELECT i, j, {r('c.value')} AS value FROM k2 JOIN c USING (i, j) WHERE rank <= 5000 AND c.value >= 0")
 def top_k_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _shapelets(spark, sf_dir)
     cells = _cells(h)
-    return rounded(pairs.top_k_pairs(pairs.build_ranking(pairs.upper_pairs(h), cells), cells, 50))
+    return rounded(pairs.top_k_pairs(pairs.build_ranking(pairs.upper_pairs(h), cells), cells, 5_000).drop("rank"))
 
 
 @query(f"WITH {_ADDED} SELECT count(*) AS pairs, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std, {r('min(value)')} AS low, {r('max(value)')} AS high, {r('quantile_cont(value, 0.5)')} AS median FROM a WHERE i < j AND value >= 0")

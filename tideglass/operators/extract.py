@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from tideglass.functions import kernels
 from tideglass.functions.scalars import draw, pop_std, z_normalise
 from tideglass.operators.profile import every_nth_series, stratified_sample
+from tideglass.shared import materialise
 
 MAX_CANDIDATES, KEPT, SAMPLED = 50_000, 200, 50
+#: Candidates of one length that a task measures together.
+CANDIDATE_BLOCK = 256
 
 
 def length_range(series: DataFrame) -> DataFrame:
@@ -57,16 +60,19 @@ def min_distances(candidates: DataFrame, series: DataFrame, rule: str = "strided
     numbers = packed.select(F.max("block").alias("n")).first()["n"]
     if numbers is None:
         return candidates.sparkSession.createDataFrame([], "candidate_id string, series_id long, label string, distance double")
-    groups = candidates.groupBy("length", F.pmod(F.xxhash64("candidate_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("candidate_id", "values")).alias("candidates"))
+    parts = candidates.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / CANDIDATE_BLOCK).alias("parts"))
+    placed = candidates.join(F.broadcast(parts), "length")  # one row for each length
+    groups = placed.groupBy("length", F.pmod(F.xxhash64("candidate_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("candidate_id", "values")).alias("candidates"))
     met = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(numbers)))).join(packed, "block")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for some, others in zip(frame["candidates"], frame["series"], strict=True):
-                ids = [c["candidate_id"] for c in some]
+                ids = np.array([c["candidate_id"] for c in some], object)
                 shapelets = np.stack([np.asarray(c["values"], float) for c in some])
-                for s in others:
-                    yield pd.DataFrame({"candidate_id": ids, "series_id": s["series_id"], "label": s["label"], "distance": kernels.znorm_min_dist(shapelets, np.asarray(s["values"], float), rule)})
+                found = [kernels.znorm_min_dist(shapelets, np.asarray(s["values"], float), rule) for s in others]
+                repeated = {k: np.repeat(np.array([s[k] for s in others], object), len(ids)) for k in ("series_id", "label")}
+                yield pd.DataFrame({"candidate_id": np.tile(ids, len(others)), **repeated, "distance": np.concatenate(found)}).astype({"series_id": "int64"})
 
     met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return met.mapInPandas(measure, "candidate_id string, series_id long, label string, distance double")
@@ -82,7 +88,11 @@ def percentile_thresholds(distances: DataFrame) -> DataFrame:
 
 
 def candidate_info_gain(distances: DataFrame, least: int = 2) -> DataFrame:
-    """(candidate_id, info_gain): the best gain of any threshold with at least ``least`` rows on each side; 0 without one."""
+    """(candidate_id, info_gain): the best gain of any threshold with at least ``least`` rows on each side; 0 without one.
+
+    The distances are measured once and written, as thresholds and gains both read them.
+    """
+    distances = materialise(distances, "distances")
     sim = 1 / (1 + F.col("distance"))
     sides = distances.join(percentile_thresholds(distances).distinct(), "candidate_id").select("candidate_id", "threshold", "label", F.when(sim >= F.col("threshold"), 1).otherwise(0).alias("left"))
     return best_gain(sides, ["candidate_id"], least).select("candidate_id", F.greatest(F.lit(0.0), "info_gain").alias("info_gain"))

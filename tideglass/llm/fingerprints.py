@@ -250,7 +250,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     tail = F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("tail"))
     rows = docs.select(key.alias("key"), bucket.alias("bucket"), F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
     dealt = rows.select("doc_id", "key", "text", F.explode(F.when(is_first, F.array(own, tail)).otherwise(F.array(own))).alias("to")).select("to.bucket", "to.tail", "doc_id", "key", "text")
-    return dealt.repartition(len(splits) + 1, "bucket").sortWithinPartitions("bucket", "tail", "key", "text").select("bucket", "tail", "doc_id", "text")
+    return dealt.repartitionById(len(splits) + 1, F.col("bucket")).sortWithinPartitions("bucket", "tail", "key", "text").select("bucket", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

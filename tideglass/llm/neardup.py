@@ -108,6 +108,18 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _key_at(signatures: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The key number ``at`` of each signature, as in ``keys_of`` with one symbol left out."""
+    width = SYMBOLS // CHUNKS
+    chunk, left_out = at // width, at % width
+    key = (at + 1).astype(np.uint64)
+    rows = np.arange(len(at))
+    for s in range(width):
+        then = _mixed(key * np.uint64(65_599) + signatures[rows, chunk * width + s].astype(np.uint64))
+        key = np.where(left_out == s, key, then)
+    return key.view(np.int64)
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -128,19 +140,21 @@ def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for r in batch.to_pylist():
             left, right = r["rows"], r["others"]
             ids, parts = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in ("id", "component"))
+            i, j = np.nonzero((parts[0][:, None] != parts[1][None, :]) & ((ids[1][None, :] > ids[0][:, None]) | (not r["same"])))
+            if not len(i):
+                continue
             a, b = (np.frombuffer(b"".join([x["signature"] for x in side]), "<u2").reshape(-1, SYMBOLS) for side in (left, right))
-            own = keys_of(a)
-            for i in range(len(left)):
-                at = np.flatnonzero((parts[1] != parts[0][i]) & ((ids[1] > ids[0][i]) | (not r["same"])))
-                differ = b[at] != a[i]
-                near = differ.sum(1) <= FARTHEST
-                at, differ = at[near], differ[near].reshape(-1, CHUNKS, width)
-                if len(at):
-                    chunk = (differ.sum(2) <= ERRORS).argmax(1)
-                    first = chunk * width + differ[np.arange(len(at)), chunk].argmax(1)
-                    at = at[own[i, first] == r["key"]]
-                    out[0].append(np.minimum(ids[1][at], ids[0][i]))
-                    out[1].append(np.maximum(ids[1][at], ids[0][i]))
+            differ = a[i] != b[j]
+            near = np.count_nonzero(differ, axis=1) <= FARTHEST
+            if not near.any():
+                continue
+            i, j, differ = i[near], j[near], differ[near].reshape(-1, CHUNKS, width)
+            chunk = (differ.sum(2) <= ERRORS).argmax(1)
+            left_out = differ[np.arange(len(i)), chunk].argmax(1)
+            first = _key_at(a[i], chunk * width + left_out) == r["key"]
+            x, y = ids[0][i[first]], ids[1][j[first]]
+            out[0].append(np.minimum(x, y))
+            out[1].append(np.maximum(x, y))
         cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
         yield pa.record_batch(cols, names=["a", "b"])
 

@@ -400,6 +400,26 @@ def test_language_edges(spark, docs, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_rejects_junk_and_unlearned_languages_but_no_short_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(97, 123)]
+    junk = {
+        "base64": ["".join(rng.choice([*letters, *map(str.upper, letters), *"0123456789+/"], n)) for n in (40, 400, 4000) for _ in range(40)],
+        "letters": [" ".join("".join(rng.choice(letters, 6)) for _ in range(n)) for n in (8, 60, 600) for _ in range(40)],
+        "cjk": ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, n))) for n in (20, 200, 2000) for _ in range(40)],
+    }
+    model = langid.fit(docs, learn=F.col("doc_id") % 4 != 2)
+    for texts in junk.values():
+        assert model.predict(np.stack([langid.ngram_counts(t) for t in texts]))[2].mean() <= 0.02
+    fresh = [r["text"].split() for r in docs.where("doc_id % 4 = 2 AND lang = 'en' AND size(split(text, ' ')) > 30").collect()]
+    for n in (2, 4, 10, 30):
+        assert model.predict(np.stack([langid.ngram_counts(" ".join(w[:n])) for w in fresh]))[2].mean() >= 0.93
+    without = langid.fit(docs, learn=F.col("lang") != "de")
+    german = langid.identify(docs.where("lang = 'de' AND length(text) > 100"), without)
+    assert german.select(F.avg(F.col("lang_accepted").cast("double"))).first()[0] <= 0.05
+
+
 @pytest.mark.parametrize("name", ["op4_topk", "op5_licenses", "op7_neardup"])
 def test_query_equals_its_twin(spark, name):
     from tests.test_queries import rows, twin

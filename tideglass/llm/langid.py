@@ -4,10 +4,12 @@ A text becomes hashed counts of its byte trigrams (lower case, anything but
 letters read as one space), weighted by log term frequency times inverse
 document frequency, and scaled to length 1. Each language has several centroids
 from spherical k-means over labelled texts; a text gets the language of the
-centroid with the highest cosine, and is rejected where that cosine is too low.
+centroid with the highest cosine, and is rejected where that cosine is lower than
+that of nearly all labelled texts of the language and of about the same size that
+were kept out of the centroids. Cuts of the kept-out texts stand for short texts.
 
-The classifier is fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled texts of a
-language. It is a few hundred KB whatever the input, and is sent with the tasks;
+The centroids are fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled texts of a
+language, the thresholds on half as many others. The classifier is a few hundred KB whatever the input, and is sent with the tasks;
 every text is scored in one pass without a shuffle.
 """
 
@@ -25,13 +27,19 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import small_batches
 
 BITS = 12
-#: Labelled texts of a language that the classifier is fitted on, by smallest hash of the id.
+#: Labelled texts of a language that the centroids are fitted on, by smallest hash of the id.
 SAMPLE_PER_LANGUAGE = 400
 #: Languages the classifier tells apart at most, those with the most labelled texts first.
 MOST_LANGUAGES = 250
 CENTROIDS = 3
-#: A text is rejected below this share of the lowest cosine of a training text to its own language.
-REJECT_SHARE = 0.25
+#: A text is rejected below this quantile of the cosines of kept-out texts of its language and size.
+REJECT_QUANTILE = 0.01
+#: Every n-th text of a language is kept out of the centroids, and gives the thresholds.
+KEPT_OUT = 3
+#: Characters of the cuts of a kept-out text.
+CUTS = (6, 12, 24, 48, 96, 192)
+#: Kept-out texts of a language, and of all, that a size (a power of two of different n-grams) needs for a threshold.
+LEAST_OF_ONE, LEAST_OF_ALL = 100, 20
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,9 +60,14 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+def _sizes(counts: np.ndarray) -> np.ndarray:
+    """The number of different n-grams of each row, as a power of two."""
+    return np.log2(np.maximum(1, (counts > 0).sum(1))).astype(int)
+
+
 @dataclass
 class Centroids:
-    """The fitted classifier: ``of[i]`` is the language of ``rows[i]``."""
+    """The fitted classifier: ``of[i]`` is the language of ``rows[i]``, ``least[l, s]`` the threshold of size s of language l."""
 
     languages: list[str]
     idf: np.ndarray
@@ -72,7 +85,7 @@ class Centroids:
         cosine = self.vectors(counts) @ self.rows.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1).astype(np.float64)
-        return self.of[best], score, score >= self.least[self.of[best]]
+        return self.of[best], score, score >= self.least[self.of[best], _sizes(counts)]
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -87,24 +100,101 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _low(cosine: np.ndarray) -> float:
+    """The quantile below which is rejected; of few texts a higher one, so that no two odd ones decide."""
+    return float(np.quantile(cosine, min(0.5, max(REJECT_QUANTILE, 2 / len(cosine)))))
+
+
+def _by_size(cosine: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """The quantile of each size, NaN for too few."""
+    return np.array([_low(cosine[size == s]) if (size == s).sum() >= least else np.nan for s in range(BITS + 1)])
+
+
+def _thresholds(of: np.ndarray, languages: int, cosine: np.ndarray, size: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The threshold of each language and size from kept-out texts and their cuts, of languages ``of``.
+
+    A size of too few takes that of all languages' texts, else of the next
+    smaller size, else of the next larger; none is above that of a larger size.
+    All of a language are lowered alike where more than the quantile of its whole
+    texts would be rejected.
+    """
+    if not whole.any():
+        return np.zeros((languages, BITS + 1))
+    every, out = _by_size(cosine, size, LEAST_OF_ALL), np.empty((languages, BITS + 1))
+    for i in range(languages):
+        own = of == i
+        least = _by_size(cosine[own], size[own], LEAST_OF_ONE)
+        least = np.where(np.isnan(least), every, least)
+        known = np.flatnonzero(~np.isnan(least))
+        if len(known):
+            least = least[known[np.maximum(0, np.searchsorted(known, np.arange(BITS + 1), "right") - 1)]]
+        else:
+            least = np.full(BITS + 1, _low(cosine))
+        least, texts = np.minimum.accumulate(least[::-1])[::-1], own & whole
+        out[i] = least * (min(1.0, _low(cosine[texts] / np.maximum(least[size[texts]], 1e-9))) if texts.any() else 1.0)
+    return out
+
+
+def _packed(text: str) -> bytes:
+    counts = ngram_counts(text)
+    at = np.flatnonzero(counts)
+    return np.stack([at, counts[at]]).astype(np.uint32).tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    counts = np.zeros((len(packed), 1 << BITS), np.float32)
+    for row, p in zip(counts, packed, strict=True):
+        at, n = np.frombuffer(p, np.uint32).reshape(2, -1)
+        row[at] = n
+    return counts
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, out = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        langs, out, flags, cuts = [], [], [], []
+        for lang, text, kept_out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if has_letter(text):
-                counts = ngram_counts(text)
-                at = np.flatnonzero(counts)
                 langs.append(lang)
-                out.append(np.stack([at, counts[at]]).astype(np.uint32).tobytes())
-        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "counts"])
+                out.append(_packed(text))
+                flags.append(kept_out)
+                cuts.append([_packed(text[:n]) for n in CUTS if n < len(text) and has_letter(text[:n])] if kept_out else [])
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary()), pa.array(flags, pa.bool_()), pa.array(cuts, pa.list_(pa.binary()))], names=["lang", "counts", "kept_out", "cuts"])
+
+
+def fit_counts(rows: list[tuple[str, bytes, bool, list[bytes]]]) -> Centroids:
+    """The classifier of rows (language, counts, kept out, counts of cuts).
+
+    A kept-out text with the counts of a fitted one says nothing of new texts and
+    is left out; where all texts of a language are kept out, they are fitted on.
+    """
+    fitted = {lang for lang, _, kept_out, _ in rows if not kept_out}
+    taught = sorted((lang, counts) for lang, counts, kept_out, _ in rows if not kept_out or lang not in fitted)
+    known = set(taught)
+    others = [r for r in sorted(rows) if (r[0], r[1]) not in known]
+    counts = _unpacked([c for _, c in taught])
+    names = sorted({lang for lang, _ in taught})
+    y = np.array([names.index(lang) for lang, _ in taught])
+    idf = (np.log((1 + len(taught)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+    model = Centroids(names, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros((len(names), BITS + 1)))
+    x = model.vectors(counts)
+    centres = [_k_means(x[y == i], CENTROIDS) for i in range(len(names))]
+    model.rows = np.vstack(centres).astype(np.float32)
+    model.of = np.repeat(np.arange(len(names)), [len(c) for c in centres])
+    found = [(np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, bool))]
+    for lang, whole, _, cuts in others:
+        part, i = _unpacked([whole, *cuts]), names.index(lang)
+        found.append((np.full(len(part), i), (model.vectors(part) @ centres[i].T).max(1), _sizes(part), np.arange(len(part)) == 0))
+    of, cosine, size, whole = (np.concatenate(c) for c in zip(*found, strict=True))
+    model.least = _thresholds(of, len(names), cosine, size, whole)
+    return model
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> Centroids | None:
     """Fit on the rows of ``docs`` where ``learn`` holds and the language is known; None if there are none.
 
     The sample is picked by id, before any text is read: each task keeps its
-    best ``SAMPLE_PER_LANGUAGE`` of a language, so a hot language costs no more
-    than others. Texts leave the executors as trigram counts.
+    best of a language, as many as the sample takes, so a hot language costs no
+    more than others. Texts leave the executors as trigram counts.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     by_hash = Window.partitionBy("lang").orderBy("order", "doc_id")
@@ -115,29 +205,15 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
         known.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("order"))
         .where(F.col("lang").isin(languages))
         .withColumn("nth", F.row_number().over(by_hash))
-        .where(F.col("nth") <= SAMPLE_PER_LANGUAGE)
-        .select(F.col("doc_id").alias("picked_id"))
-        .distinct()
+        .where(F.col("nth") <= SAMPLE_PER_LANGUAGE * KEPT_OUT // (KEPT_OUT - 1))
+        .groupBy(F.col("doc_id").alias("picked_id"))
+        .agg((F.max(F.col("nth") % KEPT_OUT) == 0).alias("kept_out"))
     )
-    sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = small_batches(sample).mapInArrow(_counted, "lang string, counts binary").collect()
+    sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "kept_out")
+    rows = small_batches(sample).mapInArrow(_counted, "lang string, counts binary, kept_out boolean, cuts array<binary>").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    counts = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, r in enumerate(rows):
-        at, n = np.frombuffer(r["counts"], np.uint32).reshape(2, -1)
-        counts[i, at] = n
-    names = sorted({r["lang"] for r in rows})
-    y = np.array([names.index(r["lang"]) for r in rows])
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    model = Centroids(names, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(len(names)))
-    x = model.vectors(counts)
-    centres = [_k_means(x[y == i], CENTROIDS) for i in range(len(names))]
-    model.rows = np.vstack(centres).astype(np.float32)
-    model.of = np.repeat(np.arange(len(names)), [len(c) for c in centres])
-    model.least = np.array([REJECT_SHARE * (x[y == i] @ c.T).max(1).min() for i, c in enumerate(centres)])
-    return model
+    return fit_counts([(r["lang"], bytes(r["counts"]), r["kept_out"], [bytes(c) for c in r["cuts"]]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Centroids | None, text: str = "text") -> DataFrame:

@@ -91,6 +91,21 @@ def test_lm_scores_equal_direct_sums(spark, docs):
         assert got[i]["score"] == pytest.approx(a(i) - b(i), abs=1e-9)
 
 
+def test_lm_counts_pairs_of_rare_words_and_deals_them_alike(spark, docs, monkeypatch):
+    words = [f"w{k}" for k in range(2_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(reversed(words)))]
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert got[1]["target_loss"] == got[2]["target_loss"] < got[3]["target_loss"] - 0.01
+    target = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
+    want = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, target).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 30)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 5_000)
+    for r in lm.cross_entropy_difference(docs, target).collect():
+        assert r["n_tokens"] == want[r["doc_id"]]["n_tokens"]
+        assert r["target_loss"] == pytest.approx(want[r["doc_id"]]["target_loss"], abs=1e-9)
+        assert r["background_loss"] == pytest.approx(want[r["doc_id"]]["background_loss"], abs=1e-9)
+
+
 def test_lm_edges(spark, odd, none):
     got = lm.cross_entropy_difference(odd, spark.createDataFrame([(5,), (None,), (999,)], "doc_id long")).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r["score"]) for r in got)

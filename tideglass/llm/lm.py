@@ -1,43 +1,54 @@
-"""Cross-entropy difference of a target and a background bigram model.
-
-Both models share one vocabulary (the ``VOCABULARY`` most frequent words of all
-documents, every other word is one unknown token) and one division into classes:
-the ``CLASSES`` - 3 most frequent words are classes of their own, the rest of the
-vocabulary is one class, the unknown token another, the start of a text a third.
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)), both smoothed by a Dirichlet
-prior. A model is two tables of fixed size, so that it can go with the tasks
-however large the corpus is; its counts cover every whole document.
-
-Three passes read the texts: word counts, class counts, scores. The first two
-are summed in each task before they are shuffled.
+"""Cross-entropy difference of a target and a background bigram model over all words.
+
+P(w | v) = (c(v, w) + ``CLASS_PRIOR`` * U(w)) / (c(v) + ``CLASS_PRIOR``), where
+c(v, w) counts every pair of neighbours in the model's texts (the start of a text
+is a v of its own) and U is the unigram model of the same texts, smoothed by
+``WORD_PRIOR`` over all words of the corpus and one unseen word. No word and no
+pair is left out, so what is kept from the corpus grows with it.
+
+Two passes read the texts. The first counts words. The second packs the distinct
+pairs of each text, by blocks of texts, into arrays for numbered buckets; a bucket
+counts its pairs over all blocks and gives every block the sums of its texts.
+Pairs go by their second word, so that a bucket has the whole count of the word;
+pairs that end in a frequent word, whose counts are sent to all tasks, are dealt
+by the pair instead. Words and pairs are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches, utf8
+from tideglass.llm.common import small_batches, utf8, word_hashes
 from tideglass.shared import materialise
 
-VOCABULARY = 50_000
-CLASSES = 512
-#: Classes that are no single word.
-START, UNKNOWN, REST = 0, 1, 2
-#: Prior counts: of a class after a class, and of each word of a class.
+#: Neither words nor their classes are bounded: every word of the documents is a class of its own.
+VOCABULARY = CLASSES = sys.maxsize
+#: Prior counts: of a word after a word, and of each word.
 CLASS_PRIOR, WORD_PRIOR = 50.0, 0.5
 #: Distinct words that a task counts before it hands them on.
 WORDS_AT_ONCE = 600_000
+#: Most frequent words, whose counts go with the tasks; the result does not depend on it.
+FREQUENT = 50_000
 #: Groups that cut a crowded bin of the word histogram down before it is sent.
 GROUPS = 16
 #: Ids of target documents that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Tokens and texts that are packed together at most (a longer text is a block of its own), and tokens of a bucket.
+BLOCK_TOKENS, BLOCK_TEXTS, BUCKET_TOKENS = 400_000, 30_000, 3_000_000
+
+START = np.uint64(0x5BD1E9955BD1E995)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
+_COUNTS = ("all_n", "target_n", "all_before", "target_before")
+#: Arrays of a block for a bucket: pairs that end in a frequent word (its number), others (the word's hash), rare words before another.
+_SENT = {"pair": "<u8", "word": "<u4", "text": "<u2", "n": "<u4", "rare_pair": "<u8", "rare_word": "<u8", "rare_text": "<u2", "rare_n": "<u4", "before": "<u8", "before_text": "<u2", "before_n": "<u4"}
+_TARGET = 1 << 15
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -46,14 +57,27 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[bytes, list[int]] = {}
 
     def rows() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        columns = zip(*counts.values(), strict=True)
+        return pa.record_batch([pa.array(list(counts), pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], names=["word", *_COUNTS])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
+        for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = tokens(text)
+            for w in words:
+                c = counts.get(w)
+                if c is None:
+                    c = counts[w] = [0, 0, 0, 0]
+                c[0] += 1
+                c[1] += is_target
+            if words:
+                counts[words[-1]][2] -= 1
+                counts[words[-1]][3] -= is_target
+                start = counts.setdefault(b"", [0, 0, 0, 0])
+                start[2] += 1
+                start[3] += is_target
             if len(counts) > WORDS_AT_ONCE:
                 yield rows()
                 counts.clear()
@@ -61,137 +85,195 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all whole texts."""
-    return small_batches(docs.select(utf8(text))).mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(marked: DataFrame) -> DataFrame:
+    """(word, all_n, target_n, all_before, target_before) over all texts of (text, is_target): how often a word stands, and stands before another.
+
+    The start of a text is the empty word.
+    """
+    sums = small_batches(marked.select("text", "is_target")).mapInArrow(_counted, "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
+    found = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    # a task counts the last words of texts as -1, so that n + before is how often a word stands before another
+    word = F.col("word") != F.lit(b"")
+    return found.select("word", "all_n", "target_n", *[F.when(word, F.col(f"{k}_n") + F.col(f"{k}_before")).otherwise(F.col(f"{k}_before")).alias(f"{k}_before") for k in ("all", "target")])
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words, ties in byte order. The list is bounded by ``size``.
+def frequent_words(counts: DataFrame, size: int) -> list:
+    """The rows of the most frequent words, ties in byte order. The list is bounded by ``size``.
 
     A histogram of the counts (eight bins for each power of two) shows which
     bin holds the last word, so that little more than the list itself is sent
     to the driver. Of a bin with many words, each of ``GROUPS`` groups first
     keeps its own best.
     """
-    counts = materialise(word_counts(docs, text).withColumn("bin", F.floor(F.log2("n") * 8).cast("int")), "lm_words")
+    counts = counts.where("all_n > 0").withColumn("bin", F.floor(F.log2("all_n") * 8).cast("int"))
     above, last = 0, None
     for row in sorted(counts.groupBy("bin").count().collect(), reverse=True):
         if above + row["count"] >= size:
             last = row
             break
         above += row["count"]
-    sure = counts if last is None else counts.where(F.col("bin") > last["bin"])
-    rows = [(-r["n"], bytes(r["word"])) for r in sure.select("word", "n").collect()]
+    rows = (counts if last is None else counts.where(F.col("bin") > last["bin"])).collect()
     if last is not None:
         edge = counts.where(F.col("bin") == last["bin"])
         if last["count"] > 2 * size:
-            own = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(GROUPS))).orderBy(F.desc("n"), "word")
+            own = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(GROUPS))).orderBy(F.desc("all_n"), "word")
             edge = edge.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= size - above)
-        rows += [(-r["n"], bytes(r["word"])) for r in edge.select("word", "n").collect()]
-    return [w for _, w in sorted(rows)[:size]]
-
-
-class Numbering:
-    """Words to token numbers (0: unknown) and tokens to classes."""
+        rows += edge.collect()
+    return sorted(rows, key=lambda r: (-r["all_n"], bytes(r["word"])))[:size]
 
-    def __init__(self, words: list[bytes], classes: int = CLASSES):
-        self.number = {w: i + 1 for i, w in enumerate(words)}
-        self.size = len(words) + 1
-        own = classes - 3
-        self.classes = classes
-        self.class_of = np.concatenate([[UNKNOWN], np.arange(3, 3 + min(own, len(words))), np.full(max(0, len(words) - own), REST)]).astype(np.int64)
 
-    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """(token numbers, places of the class pairs in the table) of a text."""
-        words = tokens(text)
-        get = self.number.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        of = self.class_of[ids]
-        return ids, np.concatenate([[START], of[:-1]]) * self.classes + of if len(of) else of
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = before * _MIX[0] + (word ^ (word >> np.uint64(31))) * _MIX[1]
+    return (key ^ (key >> np.uint64(29))) * _MIX[2]
 
 
-@dataclass
-class Model:
-    """Losses (negative natural logs) of a class after a class, and of each word in its class."""
+def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of each text and key, how many there are)."""
+    order = np.lexsort((key, text))
+    t, k = text[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])) if len(t) else np.zeros(0, int)
+    return order[first], np.diff(np.append(first, len(t))).astype(np.uint32)
 
-    pair: np.ndarray
-    word: np.ndarray
 
-    def loss(self, ids: np.ndarray, pairs: np.ndarray) -> float:
-        """Mean loss of a text's tokens; 0 for a text without tokens."""
-        return float((self.pair[pairs].sum() + self.word[ids].sum()) / len(ids)) if len(ids) else 0.0
+def _array(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(what the packed arrays of a column hold in a row, how many each has), without a copy of each."""
+    parts, sizes = [], []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32 if pa.types.is_binary(chunk.type) else np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and at[-1] > at[0]:
+            parts.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]])
+        sizes.append(np.diff(at))
+    held = parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint8)])
+    return held.view(kind), np.concatenate([*sizes, np.zeros(0, int)]) // np.dtype(kind).itemsize
 
 
-def model(word_n: np.ndarray, pair_n: np.ndarray, class_of: np.ndarray, classes: int) -> Model:
-    """A model from counts of the words and of the class pairs."""
-    members = np.bincount(class_of, minlength=classes)
-    in_class = np.bincount(class_of, weights=word_n, minlength=classes)
-    word = (word_n + WORD_PRIOR) / (in_class + WORD_PRIOR * members)[class_of]
-    table = pair_n.reshape(classes, classes).astype(np.float64)
-    prior = (in_class + members * WORD_PRIOR) / (in_class + members * WORD_PRIOR).sum()
-    pair = (table + CLASS_PRIOR * prior) / (table.sum(1, keepdims=True) + CLASS_PRIOR)
-    with np.errstate(divide="ignore"):  # nothing comes before the start, so its column is never read
-        return Model(-np.log(pair).ravel(), -np.log(word))
-
-
-def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Numbering, Model, Model]:
-    """Numbering, target model and background model. The background is every document.
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score, their difference, of every whole text.
 
-    ``target`` lists ids (doc_id) of target documents; null ids and ids of no
-    document teach nothing.
+    The background is every document; ``target`` lists ids (doc_id) of target
+    documents, null ids and ids of no document teach nothing, and without a
+    target document its model is its prior. Losses are means over a text's
+    words, in nats. A low score means more like the target. Texts without
+    words, and null texts, have 0 in all columns; repeated rows get equal scores.
     """
-    numbering = Numbering(vocabulary(docs, text))
     ids = target.select(F.col(doc_id).alias("target_id")).where("target_id IS NOT NULL").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = docs.join(ids, docs[doc_id] == F.col("target_id"), "left").select(utf8(text), F.col("target_id").isNotNull().alias("is_target"))
-    size, pairs = numbering.size, numbering.classes**2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, size + pairs), np.int64)
-        for batch in batches:
-            flags = batch.column(1).to_pylist()
-            parts: tuple[list, list] = ([], [])
-            for content, is_target in zip(batch.column(0).to_pylist(), flags, strict=True):
-                words, places = numbering(content)
-                for kind in (1, 0) if is_target else (1,):
-                    parts[kind].extend((words, places + size))
-            for kind in (0, 1):
-                if parts[kind]:
-                    sums[kind] += np.bincount(np.concatenate(parts[kind]), minlength=size + pairs)
-        at = np.flatnonzero(sums[1])
-        yield pa.record_batch([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["place", "target_n", "all_n"])
-
-    summed = small_batches(marked).mapInArrow(count, "place long, target_n long, all_n long").groupBy("place").agg(F.sum("target_n").alias("target_n"), F.sum("all_n").alias("all_n"))
-    found = summed.toArrow()  # at most one row for each place of the tables
-    counts = np.zeros((2, size + pairs))
-    for kind, name in enumerate(("target_n", "all_n")):
-        counts[kind, found["place"].to_numpy()] = found[name].to_numpy()
-    made = [model(c[:size], c[size:], numbering.class_of, numbering.classes) for c in counts]
-    return numbering, made[0], made[1]
-
-
-def scored(docs: DataFrame, numbering: Numbering, target: Model, background: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score, their difference, of every whole text.
-
-    A low score means more like the target. Texts without words, and null
-    texts, have 0 in all columns; repeated rows get equal scores.
-    """
+    marked = docs.join(ids, docs[doc_id] == F.col("target_id"), "left").select(F.col(doc_id), utf8(text).alias("text"), F.col("target_id").isNotNull().alias("is_target"))
+    counts = materialise(word_counts(marked), "lm_words")
+    whole = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all_n", "target_n")], F.count(F.when(F.col("all_n") > 0, 1)).alias("words")).first()
+    size = {k: whole[f"{k}_n"] + WORD_PRIOR * (whole["words"] + 1) for k in ("all", "target")}
+    start = counts.where(F.col("word") == F.lit(b"")).first()
+    often = frequent_words(counts, FREQUENT)
+    hashes = np.concatenate([word_hashes([bytes(r["word"]) for r in often]), [START]])
+    order = np.argsort(hashes)
+    sent = {c: np.array([*[r[c] for r in often], start[c] if start else 0], float)[order] for c in _COUNTS}
+    hashes = hashes[order]
+    buckets = max(1, -(-whole["all_n"] // BUCKET_TOKENS))
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for content in batch.column(1).to_pylist():
-                ids, places = numbering(content)
-                out.append((len(ids), target.loss(ids, places), background.loss(ids, places)))
-            n, a, b = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 3
-            yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int64)), pa.array(a.astype(float)), pa.array(b.astype(float)), pa.array((a - b).astype(float))], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = [TaskContext.get().partitionId() << 32]
+        names, flags, lengths, parts = [], [], [], []
+
+        def block() -> pa.RecordBatch:
+            words = np.concatenate([*parts, np.zeros(0, np.uint64)])
+            n, target_bit = np.array(lengths), np.where(flags, _TARGET, 0)
+            of = np.repeat(np.arange(len(n)), n)
+            before = np.concatenate([[START], words[:-1]])[: len(words)]
+            before[(np.cumsum(n) - n)[n > 0]] = START
+            at = np.minimum(np.searchsorted(hashes, before), len(hashes) - 1)
+            known = hashes[at] == before
+            base = [np.bincount(of[known], np.log(sent[f"{k}_before"][at[known]] + CLASS_PRIOR), len(n)) for k in ("target", "all")]
+            sections = []
+            rare = np.flatnonzero(~known)
+            places, times = _distinct(of[rare], before[rare])
+            rare = rare[places]
+            sections.append((before[rare] % np.uint64(buckets), {"before": before[rare], "before_text": of[rare] + target_bit[of[rare]], "before_n": times}))
+            key = _pair_keys(before, words)
+            first, times = _distinct(of, key)
+            w, key, texts = words[first], key[first], of[first] + target_bit[of[first]]
+            at = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
+            known = hashes[at] == w
+            sections.append((key[known] % np.uint64(buckets), {"pair": key[known], "word": at[known], "text": texts[known], "n": times[known]}))
+            sections.append((w[~known] % np.uint64(buckets), {"rare_pair": key[~known], "rare_word": w[~known], "rare_text": texts[~known], "rare_n": times[~known]}))
+            columns: dict[str, list] = {}
+            for to, arrays in sections:
+                # by bucket; the arrays stay in the order of texts
+                by = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[by], np.arange(1, buckets).astype(np.uint64))
+                for name, a in arrays.items():
+                    columns[name] = [p.tobytes() for p in np.split(a[by].astype(_SENT[name]), cut)]
+            sink = pa.BufferOutputStream()
+            own = pa.record_batch([pa.concat_arrays(names), pa.array(n.astype(np.int64)), pa.array(base[0]), pa.array(base[1])], names=["id", "n", "target", "all"])
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_batch(own)
+            mine = [None] * buckets
+            mine[number[0] % buckets] = sink.getvalue().to_pybytes()
+            done = pa.record_batch([pa.array(np.arange(buckets)), pa.array([number[0]] * buckets), pa.array(mine, pa.binary()), *[pa.array(columns[c], pa.binary()) for c in _SENT]], names=["bucket", "block", "texts", *_SENT])
+            number[0] += 1
+            for x in (names, flags, lengths, parts):
+                x.clear()
+            return done
 
-    slim = docs.select(F.col(doc_id), utf8(text))
-    return small_batches(slim).mapInArrow(score, f"`{doc_id}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fit both models over ``docs`` and score every document; without a target document the target model is its prior."""
-    return scored(docs, *fit(docs, target, doc_id, text), doc_id, text)
+        for batch in batches:
+            held = 0
+            for k, (content, is_target) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = word_hashes(tokens(content))
+                if lengths and (sum(lengths) + len(words) > BLOCK_TOKENS or len(lengths) >= BLOCK_TEXTS):
+                    if k > held:
+                        names.append(batch.column(0).slice(held, k - held))
+                    held = k
+                    yield block()
+                flags.append(is_target)
+                lengths.append(len(words))
+                parts.append(words)
+            if batch.num_rows > held:
+                names.append(batch.column(0).slice(held))
+        if lengths:
+            yield block()
+
+    def count(table: pa.Table) -> pa.Table:
+        whole_of = lambda c: _array(table.column(c), _SENT[c])[0]
+        rows = lambda c: np.repeat(np.arange(table.num_rows), _array(table.column(c), _SENT[c])[1])
+        out: dict[str, list] = {"target": [], "all": []}
+        places = []
+
+        def summed(key: np.ndarray, n: np.ndarray, is_target: np.ndarray) -> dict[str, np.ndarray]:
+            _, at = np.unique(key, return_inverse=True)
+            return {"all": np.bincount(at, n)[at], "target": np.bincount(at, n * is_target)[at]} if len(key) else {"all": n, "target": n}
+
+        for section in ("", "rare_", "before_"):
+            texts, n = whole_of(f"{section}text"), whole_of(f"{section}n").astype(float)
+            is_target = texts >= _TARGET
+            places.append(rows(f"{section}text") * _TARGET + texts % _TARGET)
+            both = summed(whole_of("before" if section == "before_" else f"{section}pair"), n, is_target)
+            if section == "rare_":
+                of_word = summed(whole_of("rare_word"), n, is_target)
+            elif section == "":
+                number = whole_of("word")
+                of_word = {k: sent[f"{k}_n"][number] for k in out}
+            for k in out:
+                if section == "before_":
+                    out[k].append(n * np.log(both[k] + CLASS_PRIOR))
+                else:
+                    out[k].append(-n * np.log(both[k] + CLASS_PRIOR * (of_word[k] + WORD_PRIOR) / size[k]))
+            of_word = both = n = is_target = texts = None
+        found, at = np.unique(np.concatenate(places), return_inverse=True)
+        sums = {k: np.bincount(at, np.concatenate(out.pop(k)), len(found)) for k in ("target", "all")}
+        cut = np.searchsorted(found, np.arange(1, table.num_rows) * _TARGET)
+        split = lambda a: pa.array([p.tobytes() for p in np.split(a, cut)], pa.binary())
+        return pa.table([table.column("block"), table.column("texts"), split((found % _TARGET).astype("<u2")), split(sums["target"]), split(sums["all"])], names=["block", "texts", "text", "target", "all"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        own = pa.ipc.open_stream(next(b for b in table.column("texts").to_pylist() if b is not None)).read_all()
+        n, loss = own["n"].to_numpy(), {}
+        texts = np.frombuffer(b"".join(table.column("text").to_pylist()), "<u2")
+        for k in ("target", "all"):
+            sums = own[k].to_numpy() + np.bincount(texts, np.frombuffer(b"".join(table.column(k).to_pylist()), "<f8"), len(n))
+            loss[k] = np.where(n > 0, sums / np.maximum(1, n), 0.0)
+        return pa.table([own["id"], pa.array(n), pa.array(loss["target"]), pa.array(loss["all"]), pa.array(loss["target"] - loss["all"])], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
+
+    packed = small_batches(marked).mapInArrow(pack, "bucket long, block long, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT))
+    scored = packed.groupBy("bucket").applyInArrow(count, "block long, texts binary, text binary, target binary, `all` binary")
+    return scored.groupBy("block").applyInArrow(finish, f"`{doc_id}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

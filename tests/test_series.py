@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideglass.jobs import registry
 from tideglass.operators import drift, extract, forest, match, pairs, profile
 from tideglass.sources import series as src
 from tideglass.streaming import streams
@@ -75,6 +76,20 @@ def test_diverse_top_is_diverse(spark):
     assert sorted(r[0] for r in extract.diverse_top(df, ["all"]).select("candidate_id").collect()) == sorted(f"c{k}" for k in range(0, 20, 2))
 
 
+def test_diverse_top_goes_down_the_whole_ranking(spark):
+    rows = [(key, f"{key}{k:02}", 1.0 - k / 100, [float(k // 8 if key == "a" else k), 0.0]) for key in "ab" for k in range(24)]
+    df = spark.createDataFrame(rows, "label string, candidate_id string, info_gain double, values array<double>")
+    got = sorted(r[0] for r in extract.diverse_top(df, ["label"], k=3, pool=4).select("candidate_id").collect())
+    assert got == ["a00", "a08", "a16", "b00", "b01", "b02"]
+    assert extract.diverse_top(df.limit(0), ["label"]).count() == 0
+
+
+def test_extraction_queries_take_all_lengths(spark):
+    found = registry.QUERIES["extract_shapelets"](spark, "/root/testdata/sf0.001")
+    assert 0 < found.count() <= 200
+    assert found.where("length NOT IN (16, 17)").count() > 0
+
+
 def test_vote_edges(spark):
     rows = [(1, "b", 0.5), (1, "a", 1.0), (2, None, None)]
     got = {r["series_id"]: r for r in forest.vote(spark.createDataFrame(rows, "series_id long, label string, confidence double")).collect()}

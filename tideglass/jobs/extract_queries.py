@@ -1,4 +1,4 @@
-"""Extraction over the series of ``embeddings``: two lengths, all starts, every n-th series as the operator samples."""
+"""Extraction over the series of ``embeddings``: every n-th series as the operator samples; two lengths where SQL follows, else all."""
 
 from __future__ import annotations
 
@@ -94,7 +94,10 @@ def informative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most informative candidates of each label that are unlike each other."""
-    best = extract.candidate_info_gain(_distances(spark, sf_dir)).where("info_gain > 0.01").join(_candidates(spark, sf_dir), "candidate_id")
+    train = _train(spark, sf_dir)
+    bounds = extract.length_range(train).first()
+    found = extract.subsequence_candidates(profile.every_nth_series(train), bounds["min_length"], bounds["max_length"])
+    best = extract.candidate_info_gain(extract.min_distances(found, profile.stratified_sample(train))).where("info_gain > 0.01").join(found, "candidate_id")
     return rounded(extract.diverse_top(best, ["label"]).select("label", "candidate_id", "info_gain"))
 
 
@@ -128,5 +131,5 @@ def select_high_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_shapelets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction over the train split, lengths 16 and 17."""
-    return rounded(extract.extract_shapelets(_train(spark, sf_dir), *LENGTHS).select("candidate_id", "label", "length", "info_gain"))
+    """The whole extraction over the train split and all lengths."""
+    return rounded(extract.extract_shapelets(_train(spark, sf_dir)).select("candidate_id", "label", "length", "info_gain"))

@@ -131,22 +131,33 @@ def informative_candidates(scored: DataFrame, least: float = 0.01) -> DataFrame:
 
 def diverse_top(scored: DataFrame, keys: list[str], k: int = KEPT, against: int = 50, most_similar: float = 0.95, pool: int = 2_000) -> DataFrame:
     """Greedy choice down each key's ranking (candidate_id, info_gain, values): no more than ``most_similar`` to any of
-    the first ``against`` chosen, at most k. The ``pool`` best of each key take part, so a group is bounded."""
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("info_gain", 9)), "candidate_id"))).where(F.col("place") <= pool)
+    the first ``against`` chosen, at most k. A round takes the ``pool`` next of each key, so a group is bounded; rounds
+    go on until each key has k chosen or no more candidates."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("info_gain", 9)), "candidate_id")
+    ranked = materialise(scored.withColumn("place", F.row_number().over(order)), "ranked")
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
         chosen, rows = [], []
-        for at, values in enumerate(frame["values"]):
+        for at, (values, earlier) in enumerate(zip(frame["values"], frame["earlier"], strict=True)):
             x = np.asarray(values, float)
-            if all(1 / (1 + kernels.distance(x, y)) <= most_similar for y in chosen[:against]):
+            if earlier or len(rows) < k and all(1 / (1 + kernels.distance(x, y)) <= most_similar for y in chosen[:against]):
                 chosen.append(x)
                 rows.append(at)
-                if len(chosen) >= k:
-                    break
-        return frame.iloc[rows]
-
-    return best.groupBy(*keys).applyInPandas(choose, best.schema)
+        return frame.iloc[rows].drop(columns="earlier")
+
+    chosen, seen = ranked.limit(0), 0
+    open_keys = ranked.select(*keys).distinct()
+    while True:
+        part = ranked.where((F.col("place") > seen) & (F.col("place") <= seen + pool)).join(open_keys, keys, "left_semi").select(ranked.columns)
+        held = chosen.join(open_keys, keys, "left_semi").select(ranked.columns).withColumn("earlier", F.lit(True))
+        more = held.unionByName(part.withColumn("earlier", F.lit(False))).groupBy(*keys).applyInPandas(choose, ranked.schema)
+        chosen = materialise(chosen.join(open_keys, keys, "left_anti").select(ranked.columns).unionByName(more), "chosen")
+        seen += pool
+        full = chosen.groupBy(*keys).count().where(F.col("count") >= k)
+        open_keys = materialise(ranked.where(F.col("place") > seen).select(*keys).distinct().join(full, keys, "left_anti"), "open_keys")
+        if not open_keys.limit(1).count():
+            return chosen
 
 
 def fallback_shapelets(series: DataFrame, seed: int = 42, number: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.jobs import registry
+from tideglass.jobs import forest_queries, registry
 from tideglass.operators import drift, extract, forest, match, pairs, profile
 from tideglass.sources import series as src
 from tideglass.streaming import streams
@@ -90,6 +90,24 @@ def test_extraction_queries_take_all_lengths(spark):
     assert found.where("length NOT IN (16, 17)").count() > 0
 
 
+def test_forest_refuses_too_many_shapelets_and_learns_from_extracted_ones(spark):
+    rows = [(k, "ab"[k % 2], [float(k), 0.0]) for k in range(forest.MOST_SHAPELETS + 1)]
+    with pytest.raises(ValueError):
+        forest.train_forest(spark.createDataFrame(rows, "i long, label string, values array<double>"), 2)
+    _, shapelets = forest_queries._forest(spark, "/root/testdata/sf0.001")
+    assert 0 < shapelets.where("size(values) BETWEEN 6 AND 32").count() == shapelets.count() <= forest.MOST_SHAPELETS
+
+
+def test_ranking_is_numbered_in_ranges_of_scores(spark):
+    scores = [0.5, None, float("nan"), -1.0, 0.5, 0.75, 3.0, 0.0, 0.1234, 0.1233]
+    df = spark.createDataFrame([(k, k + 1, s) for k, s in enumerate(scores)], "i long, j long, score double")
+    got = pairs.ranked(df)
+    assert [r["i"] for r in got.orderBy("rank").collect()] == [2, 6, 5, 0, 4, 8, 9, 7, 3, 1]
+    assert got.schema["rank"].dataType.simpleString() == "int"
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(_bucket" in plan and "row_number() windowspecdefinition(round" not in plan
+
+
 def test_vote_edges(spark):
     rows = [(1, "b", 0.5), (1, "a", 1.0), (2, None, None)]
     got = {r["series_id"]: r for r in forest.vote(spark.createDataFrame(rows, "series_id long, label string, confidence double")).collect()}

@@ -9,7 +9,8 @@ from tideglass.jobs.base import SERIES, query, r, rounded, series, table
 from tideglass.jobs.extract_queries import gain_sql
 from tideglass.jobs.pair_queries import _BOTH, _U, _shapelets
 from tideglass.jobs.profile_queries import draw_sql
-from tideglass.operators import forest, match, pairs
+from tideglass.operators import extract, forest, match, pairs
+from tideglass.shared import materialise
 
 TREES = 10
 
@@ -32,10 +33,16 @@ def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forest.best_split(forest.bootstrap(h, TREES), pairs.pairwise_similarity(h), spread=5.0))
 
 
+def _extracted(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """The diverse best shapelets of all series of a split, by place."""
+    found = extract.extract_shapelets(series(spark, sf_dir).where(F.col("split") == split))
+    return materialise(pairs.indexed(found.select(F.col("candidate_id").alias("id"), "label", "values")), "forest_shapelets")
+
+
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A forest of at most 200 shapelets: the train series by place."""
-    h = pairs.indexed(series(spark, sf_dir).where("split = 'train'").withColumnRenamed("series_id", "id"), forest.MOST_SHAPELETS)
-    return forest.train_forest(h, TREES), h
+    """A forest of the shapelets extracted from the whole train split."""
+    h = _extracted(spark, sf_dir, "train")
+    return materialise(forest.train_forest(h, TREES), "forest"), h
 
 
 @query()
@@ -109,9 +116,9 @@ def forest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrain_weak_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest after trees of a score below 0.4 were grown anew from the test series."""
+    """The forest after trees of a score below 0.4 were grown anew from the test series' shapelets."""
     nodes, _ = _forest(spark, sf_dir)
-    new = pairs.indexed(series(spark, sf_dir).where("split = 'test'").withColumnRenamed("series_id", "id"), forest.MOST_SHAPELETS)
+    new = _extracted(spark, sf_dir, "test")
     return forest.retrain_weak_trees(nodes, _scores(spark, sf_dir).withColumn("tree_id", F.col("tree_id").cast("int")), new, 0.4)
 
 

@@ -60,8 +60,11 @@ def train_forest(shapelets: DataFrame, n_trees: int = 10, seed: int = 42, max_de
     A node's reference is the first of its own rows; a node that is pure, small
     or without a gain is a leaf of its majority label (the first in order of
     ties) with confidence 1. ``tree_ids`` names other trees than 0, 1, ...
+    More than ``MOST_SHAPELETS`` shapelets are an error.
     """
-    values = shapelets.select("i", "values").limit(MOST_SHAPELETS + 1)
+    if shapelets.limit(MOST_SHAPELETS + 1).count() > MOST_SHAPELETS:
+        raise ValueError(f"a forest takes at most {MOST_SHAPELETS} shapelets")
+    values = shapelets.select("i", "values")
     rows = bootstrap(shapelets, n_trees, seed)
     if tree_ids is not None:
         rows = rows.withColumn("tree_id", F.element_at(F.array(*[F.lit(t) for t in tree_ids]), F.col("tree_id") + 1))

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import kernels
 from tideglass.functions.scalars import rank_score, similarity
+from tideglass.operators.profile import ordinal
 
 MAX_SHAPELETS = 2_000
 BLOCK = 256
 PLACEHOLDER = -1.0
+#: Ranges of scores, for each unit, that a ranking is numbered by.
+RANGES = 1_024
 
 
 def cap_shapelets(shapelets: DataFrame, cap: int = MAX_SHAPELETS) -> DataFrame:
@@ -87,8 +90,10 @@ def build_ranking(upper: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """Rank by falling score, ties by (i, j). The rows are bounded by the capped matrix."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "i", "j")))
+    """Rank by falling score, ties by (i, j), numbered by ranges of scores: NaN first, null last, as they sort."""
+    score = F.round("score", 9)
+    place = F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(F.coalesce(-F.floor(score * RANGES).cast("double"), F.lit(float("inf"))))
+    return ordinal(scored, [F.desc(score), "i", "j"], place).withColumn("rank", (F.col("ordinal") + 1).cast("int")).drop("ordinal")
 
 
 def add_shapelets(cells: DataFrame, old: DataFrame, new: DataFrame, first: Column) -> DataFrame:

@@ -150,3 +150,9 @@ def test_streams_over_several_files_equal_the_batch(spark, tmp_path):
     a = sorted((r["event_id"], r["changed"], round(r["magnitude"], 6)) for r in got.collect())
     b = sorted((r["event_id"], r["changed"], round(r["magnitude"], 6)) for r in want.collect())
     assert a == b
+
+
+def test_stream_early_classify_equals_classify(spark):
+    want = sorted(map(tuple, registry.QUERIES["classify"](spark, "/root/testdata/sf0.001").select("series_id", "predicted_label", "confidence", "method", "earliness", "observation_ratio").collect()))
+    got = sorted(map(tuple, registry.QUERIES["stream_early_classify"](spark, "/root/testdata/sf0.001").select("series_id", "predicted_label", "confidence", "method", "earliness", "observation_ratio").collect()))
+    assert got == want and {r[3] for r in got} == {"early", "forest"}

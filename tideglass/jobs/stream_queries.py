@@ -1,17 +1,18 @@
-"""Streaming jobs over ``events``, run to the end of what is there."""
+"""Streaming jobs over ``events`` and ``embeddings``, run to the end of what is there."""
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.jobs.attention_queries import _D
-from tideglass.jobs.base import ORACLE, STREAM, query, r, rounded
+from tideglass.jobs.base import ORACLE, STREAM, query, r, rounded, series
+from tideglass.jobs.forest_queries import _forest
+from tideglass.jobs.match_queries import AS_OF, _cache
 from tideglass.operators import drift
-from tideglass.shared import shared_root
+from tideglass.shared import materialise, shared_root
 from tideglass.streaming import streams
 
 
@@ -47,16 +48,17 @@ def stream_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_early_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One early label for each user: high or low, once the mean value of the points so far is clearly either."""
-
-    def decide(values: np.ndarray) -> tuple[str, float] | None:
-        spread = values.std() / np.sqrt(len(values)) + 1e-9
-        far = (values.mean() - 50) / spread
-        return ("high" if far > 0 else "low", float(min(1.0, abs(far) / 4))) if abs(far) > 1 else None
-
-    e = streams.read_stream(spark, f"{sf_dir}/events.parquet")
-    points = e.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    return rounded(_ended(spark, streams.early_label_stream(points, decide, 40)))
+    """``classify`` as a stream: the test series arrive point by point, a quarter of their length at a time."""
+    folder = _folder(spark)
+    test = series(spark, sf_dir).where("split = 'test'")
+    points = test.select("series_id", F.col("label").alias("asked_label"), F.size("values").alias("expected"), F.posexplode("values").alias("at", "value"))
+    for quarter in range(4):
+        points.where(F.floor(4 * F.col("at") / F.col("expected")) == quarter).write.mode("append").parquet(f"{folder}/arrived")
+    files = len(spark.read.parquet(f"{folder}/arrived").inputFiles())
+    nodes, h = _forest(spark, sf_dir)
+    work = streams.early_classify(spark, folder, materialise(_cache(spark, sf_dir), "cache"), nodes, h, AS_OF, 0.45, 0.4)
+    streams.run_batches(streams.read_stream(spark, f"{folder}/arrived", -(-files // 4)), work, f"{folder}/checkpoint")
+    return rounded(spark.read.parquet(f"{folder}/decisions").drop("batch"))
 
 
 @query()

@@ -131,11 +131,14 @@ def matcher_metrics(cache: DataFrame, outcomes: DataFrame, as_of: str) -> DataFr
     return o.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def prefixes(series: DataFrame, least: float = 0.3, step: int = 1, stop: float = 0.8, most: int = 100) -> DataFrame:
-    """(series_id, length, n, values): normalised prefixes from 30 % of a series, up to the first of 80 %, at most min(100, n)."""
-    n = F.size("values")
+def prefixes(series: DataFrame, least: float = 0.3, step: int = 1, stop: float = 0.8, most: int = 100, expected: Column | None = None) -> DataFrame:
+    """(series_id, length, n, values): normalised prefixes from 30 % of a series, up to the first of 80 %, at most min(100, n).
+
+    Of a series that is still growing to ``expected`` values, those that are there already.
+    """
+    n = F.size("values") if expected is None else expected
     start = F.floor(n * F.lit(least)).cast("int")
-    end = F.least(F.ceil(n * F.lit(stop)).cast("int"), start + (F.least(F.lit(most), n) - 1) * step, n)
+    end = F.least(F.ceil(n * F.lit(stop)).cast("int"), start + (F.least(F.lit(most), n) - 1) * step, n, F.size("values"))
     rows = series.withColumn("n", n).withColumn("length", F.explode(F.when(end >= start, F.sequence(start, end, F.lit(step))).otherwise(F.array().cast("array<int>"))))
     rows = rows.where(F.col("length") >= F.col("n") * F.lit(least))
     return rows.withColumn("values", prefix_normalise(F.slice("values", 1, F.col("length"))))

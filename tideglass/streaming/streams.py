@@ -1,9 +1,9 @@
 """Structured Streaming jobs over label streams and growing series.
 
 State is kept by stream and bounded: the last labels of the two drift windows,
-the last rows of the attention frame, the values of an undecided prefix. Rows
-later than the watermark are dropped; inside a micro-batch rows are ordered by
-(ts, event_id). These two rules are ours: the windows themselves count rows.
+the last rows of the attention frame. Rows later than the watermark are dropped;
+inside a micro-batch rows are ordered by (ts, event_id). These two rules are
+ours: the windows themselves count rows. Growing series are kept as tables.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideglass.operators import forest, match
+from tideglass.shared import materialise
+
 LATENESS = "10 minutes"
 _STATE = "kept string"
 
@@ -102,28 +105,37 @@ def attention_stream(stream: DataFrame, threshold: float = 0.8, frame: int = 100
     return _stateful(stream, "stream_id", ["event_id", "label", "sim"], "stream_id long, event_id long, label string, weight double", step)
 
 
-def early_label_stream(stream: DataFrame, decide: Callable[[np.ndarray], tuple[str, float] | None], expected_length: int, least: float = 0.3) -> DataFrame:
-    """(series_id, event_id, label, confidence, length): one decision a series, from points (series_id, ts, event_id, value).
+def early_classify(spark: SparkSession, folder: str, cache: DataFrame, nodes: DataFrame, shapelets: DataFrame, as_of: str, threshold: float = 0.6, least_confidence: float = 0.7) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch job: one decision a series, from points (series_id, at, value, asked_label, expected), as ``decisions`` in the folder.
 
-    The prefix grows as points arrive. From ``least`` of the expected length on,
-    ``decide`` may label it; at the full length the decision must fall (None
-    gives a null label), and later points change nothing.
+    A prefix grows as points arrive and ends before the first that is missing;
+    only prefixes that a batch made are matched to the cache. A series that is
+    there to its expected length without a match gets the forest's vote; points
+    after a decision change nothing. A batch that comes again overwrites its own.
     """
+    made = "series_id long, predicted_label string, confidence double, method string, earliness double, observation_ratio double"
+    spark.createDataFrame([], made).write.mode("overwrite").parquet(f"{folder}/decisions/batch=-1")
 
-    def step(kept: list, rows: list[tuple]) -> tuple[list, list[tuple]]:
-        values, decided = (kept[0], kept[1]) if kept else ([], False)
-        out = []
-        for event_id, value in rows:
-            if decided:
-                break
-            values = [*values, value]
-            found = decide(np.array(values)) if len(values) >= least * expected_length else None
-            if found or len(values) >= expected_length:
-                out.append((event_id, found[0] if found else None, found[1] if found else 0.0, len(values)))
-                decided = True
-        return [[] if decided else values, decided], out
-
-    return _stateful(stream, "series_id", ["event_id", "value"], "series_id long, event_id long, label string, confidence double, length long", step)
+    def work(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/points/batch={batch}")
+        points = spark.read.schema("series_id long, at int, value double, asked_label string, expected int, batch int").parquet(f"{folder}/points").where(F.col("batch") <= batch)
+        decided = spark.read.schema(f"{made}, batch int").parquet(f"{folder}/decisions").where(F.col("batch") < batch)
+        asked = points.where(F.col("batch") == batch).select("series_id").distinct().join(decided, "series_id", "left_anti")
+        first = points.join(asked, "series_id", "left_semi").groupBy("series_id", "at").agg(F.min(F.struct("batch", "value", "asked_label", "expected")).alias("p"))
+        seen = first.groupBy("series_id").agg(F.max("p.asked_label").alias("asked_label"), F.max("p.expected").alias("expected"), F.sort_array(F.collect_list(F.struct("at", F.col("p.batch").alias("batch"), F.col("p.value").alias("value")))).alias("seen"))
+        run = seen.withColumn("run", F.filter("seen", lambda x, k: x["at"] == k))
+        tried = F.array_position(F.transform("run", lambda x: x["batch"] == batch), True) - 1
+        grown = run.select("series_id", "asked_label", "expected", tried.alias("tried"), F.transform("run", lambda x: x["value"]).alias("values")).where("tried >= 0")
+        grown = materialise(grown, "grown_series")
+        queries = match.prefixes(grown, expected=F.col("expected")).where("length > tried").select("series_id", "asked_label", "length", "values")
+        early = materialise(match.early_decision(queries, cache, as_of, threshold, least_confidence), "early_decisions")
+        ratio = F.col("length") / F.col("expected")
+        matched = early.join(grown.select("series_id", "expected"), "series_id").select("series_id", "predicted_label", "confidence", F.lit("early").alias("method"), match.earliness(ratio).alias("earliness"), ratio.alias("observation_ratio"))
+        late = grown.where(F.size("values") >= F.col("expected")).join(early, "series_id", "left_anti")
+        voted = forest.vote(forest.predict_trees(late, nodes, shapelets)).select("series_id", F.col("label").alias("predicted_label"), "confidence", F.lit("forest").alias("method"), F.lit(0.0).alias("earliness"), F.lit(1.0).alias("observation_ratio"))
+        matched.unionByName(voted).write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch}")
+
+    return work
 
 
 def co_train(spark: SparkSession, log: str, drifts: Callable[[DataFrame], DataFrame], due_threshold: float = 0.6) -> Callable[[DataFrame, int], None]:

@@ -11,11 +11,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and all tasks run in this process' machine.
+
+    On a cluster an unset folder is an error: executors would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
-        root = _OWN.setdefault("root", "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _OWN["root"] = root
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _OWN.get("root") or _OWN.setdefault("root", tempfile.mkdtemp(prefix="spark-shared-"))
     return root.rstrip("/")
 
 
@@ -28,4 +32,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing reads any more; what was not written by it is left alone."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -313,6 +313,21 @@ def test_neardup_edges(spark, none):
     assert [tuple(r) for r in got] == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (None, 1, None, False), (None, 2, 5, False)]
 
 
+def test_neardup_links_what_every_row_of_an_id_says(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    near = lambda t, k: " ".join([*t.split()[:k], "changed", *t.split()[k + 1 :]])
+    rows = [(5, a), (5, b), (6, near(a, 0)), (7, near(b, 0)), (8, near(a, 39)), (9, near(b, 39)), (10, "other words " * 9), (5, a), (11, b)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))).select("doc_id", "component_id", "kept").collect())
+    assert got == [(5, 5, True)] * 3 + [(k, 5, False) for k in (6, 7, 8, 9)] + [(10, 10, True), (11, 5, False)]
+
+
+def test_components_with_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 8)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(59, 200), (200, 140), (300, 301)]
+    got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in [*range(1, 60), *range(100, 141), 200]} | {301: 300}
+
+
 def test_pigeonhole_finds_every_pair_under_the_threshold():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (200, neardup.SYMBOLS)).astype("<u2")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words by the contract: runs of anything but ASCII space and tab..carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch: long texts must fit a Python worker's memory together.
+#: Rows that Python looks at together: long texts must fit a Python worker's memory together.
 BATCH_ROWS = 1024
 #: Entries a word cache keeps in one Python worker; words beyond it are computed anew each time.
 CACHE_ENTRIES = 300_000
@@ -22,10 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the rows of one Arrow batch for the Python stages planned from here on."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` by slices of at most ``rows`` rows.
+
+    Spark bounds a batch by bytes; what Python makes of it is bounded by the
+    slices. No setting of the session is changed.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(each, schema)
 
 
 def utf8(name: str) -> Column:

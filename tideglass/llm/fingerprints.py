@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches, utf8
+from tideglass.llm.common import map_slices, utf8
 
 #: Longest piece of a line, in code points.
 PIECE = 64
@@ -188,7 +188,7 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
             texts = batch.column(batch.num_columns - 1).to_pylist()
             yield pa.record_batch([*batch.columns[:-1], pa.array(sketched([paragraph_digests(t or "") for t in texts]).texts(), pa.string())], names=[*keep, name])
 
-    return small_batches(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))).mapInArrow(each, schema)
+    return map_slices(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")), each, schema)
 
 
 def compared(versions: DataFrame, old: str, new: str, keep: list[str]) -> DataFrame:
@@ -206,7 +206,7 @@ def compared(versions: DataFrame, old: str, new: str, keep: list[str]) -> DataFr
             lists = [pa.array([sorted(x) for x in side], pa.list_(pa.string())) for side in only]
             yield pa.record_batch([*batch.columns[:-2], pa.array(sa.texts()), pa.array(sb.texts()), *lists, pa.array(likeness(a, b, sa.minus(sb)))], names=[*keep, "old_fingerprint", "new_fingerprint", "only_old", "only_new", "likeness"])
 
-    return small_batches(versions.select(*keep, F.col(old).alias("_old"), F.col(new).alias("_new"))).mapInArrow(each, schema)
+    return map_slices(versions.select(*[F.col(f"`{c}`") for c in keep], F.col(old).alias("_old"), F.col(new).alias("_new")), each, schema)
 
 
 def _bucket(key: Column, splits: list[int]) -> Column:
@@ -302,5 +302,4 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     null text counts as empty; the only document of a table follows itself; an
     empty table gives an empty result.
     """
-    ordered = small_batches(in_order(docs, doc_id, text))
-    return ordered.mapInArrow(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_slices(in_order(docs, doc_id, text), _edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches
+from tideglass.llm.common import map_slices
 
 BITS = 12
 #: Labelled texts of a language that the centroids are fitted on, by smallest hash of the id.
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
         .agg((F.max(F.col("nth") % KEPT_OUT) == 0).alias("kept_out"))
     )
     sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "kept_out")
-    rows = small_batches(sample).mapInArrow(_counted, "lang string, counts binary, kept_out boolean, cuts array<binary>").collect()
+    rows = map_slices(sample, _counted, "lang string, counts binary, kept_out boolean, cuts array<binary>").collect()
     if not rows:
         return None
     return fit_counts([(r["lang"], bytes(r["counts"]), r["kept_out"], [bytes(c) for c in r["cuts"]]) for r in rows])
@@ -246,4 +246,4 @@ def scored(docs: DataFrame, model: Centroids | None, text: str = "text", keep: l
                     langs[i] = model.languages[k]
             yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(ok)], names=[*keep, "lang_pred", "lang_score", "lang_accepted"])
 
-    return small_batches(slim).mapInArrow(score, schema)
+    return map_slices(slim, score, schema)

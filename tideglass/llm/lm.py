@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches, utf8, word_hashes
+from tideglass.llm.common import map_slices, utf8, word_hashes
 from tideglass.shared import materialise
 
 #: Neither words nor their classes are bounded: every word of the documents is a class of its own.
@@ -90,7 +90,7 @@ def word_counts(marked: DataFrame) -> DataFrame:
 
     The start of a text is the empty word.
     """
-    sums = small_batches(marked.select("text", "is_target")).mapInArrow(_counted, "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
+    sums = map_slices(marked.select("text", "is_target"), _counted, "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
     found = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     # a task counts the last words of texts as -1, so that n + before is how often a word stands before another
     word = F.col("word") != F.lit(b"")
@@ -274,6 +274,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             loss[k] = np.where(n > 0, sums / np.maximum(1, n), 0.0)
         return pa.table([own["id"], pa.array(n), pa.array(loss["target"]), pa.array(loss["all"]), pa.array(loss["target"] - loss["all"])], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
 
-    packed = small_batches(marked).mapInArrow(pack, "bucket long, block long, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT))
+    packed = map_slices(marked, pack, "bucket long, block long, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT))
     scored = packed.groupBy("bucket").applyInArrow(count, "block long, texts binary, text binary, target binary, `all` binary")
     return scored.groupBy("block").applyInArrow(finish, f"`{doc_id}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

@@ -14,8 +14,12 @@ expanded into all pairs: first everyone meets the key's first class; links make
 components; then only classes of different components meet. A pair inside one
 component could add nothing, so no component is lost. A class that meets a large
 component is compared to all its members in blocks of sets; the other classes of
-a key are compared in blocks of signatures. Only near pairs get a row, each under
-the first of the keys that it shares.
+a key are compared in blocks of signatures. Pairs of blocks are dealt by both
+blocks, so that one key's or one component's work is spread over the cluster. Only
+near pairs get a row, each under the first of the keys that it shares.
+
+Classes have numbers of their own in the order of their smallest document ids, as
+rows of one id may have different texts.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches, utf8, word_hashes
-from tideglass.shared import materialise
+from tideglass.llm.common import map_slices, utf8, word_hashes
+from tideglass.shared import discard, materialise
 
 SHINGLE = 5
 #: Least intersection over union, as a fraction of integers: 100 * i >= 75 * u.
@@ -38,13 +42,15 @@ SIMILAR = (75, 100)
 SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 #: Errors that the best chunk of a pair under the threshold has at most.
 ERRORS = THRESHOLD // CHUNKS
-#: Pairs with more different symbols are not confirmed: at similarity 0.75, less than one in 100,000.
-FARTHEST = 43
+#: Signatures with more different symbols are not confirmed: the odds of that at similarity 0.75 are below 1e-14.
+FARTHEST = 60
 #: Components of more classes are compared in blocks, and the classes of a block.
 LARGE, BLOCK = 48, 128
 SEED = 20_240_603
 #: Ids that are sent to all tasks to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A key of more rows is a hub, and its value is sent to all tasks; there are at most ``MOST_HUBS`` of them.
+HUB, MOST_HUBS = 256, 100_000
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.random.default_rng(SEED).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _ADDENDS = np.random.default_rng(SEED + 1).integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -84,12 +90,13 @@ def signature(found: np.ndarray) -> bytes:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, signatures = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             signatures.append(signature(found) if len(found) else None)
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+        columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
 
 _LEFT_OUT = [(c, leave) for c in range(CHUNKS) for leave in combinations(range(SYMBOLS // CHUNKS), ERRORS)]
@@ -188,36 +195,63 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
-def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature) of every row, written once."""
-    slim = small_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text")))
-    return materialise(slim.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature binary"), "neardup_signatures")
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_key, text): a row's text is found again by its id and the hash of the text."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), utf8(text).alias("text"))
 
 
-def _set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, found): the shingle sets of the documents that stand in candidate pairs, made anew from their texts."""
-    ids = ids.withColumnRenamed("id", "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), utf8(text).alias("text"))
-    wanted = rows.join(ids, F.col("id") == F.col("wanted"), "left_semi")
-    return small_batches(wanted).mapInArrow(_sets, "id long, found binary").dropDuplicates(["id"])
+def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, n_shingles, digest of the set, signature) of every row, written once."""
+    return materialise(map_slices(_rows(docs, doc_id, text), _signed, "doc_id long, text_key long, n_shingles long, digest binary, signature binary"), "neardup_signatures")
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """(id, digest, n, doc, text_key, signature) of every set that a row with an id has, numbered in the order of their first documents; n rows have it."""
+    rows = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key", "signature"))
+    first = table.where("digest is not null").groupBy("digest").agg(F.min(rows).alias("first"), F.count(F.lit(1)).alias("n")).where("first is not null")
+    ordered = first.select("digest", "n", F.col("first.doc_id").alias("doc"), "first.text_key", "first.signature").orderBy("doc", "digest")
+    return materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "neardup_classes")
+
+
+def _set_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
+    """(id, found): the shingle sets of the classes that stand in candidate pairs, made anew from their first texts."""
+    wanted = classes.join(ids, "id").select("id", F.col("doc").alias("_doc"), F.col("text_key").alias("_key"))
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = _rows(docs, doc_id, text).join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("id", "text")
+    found = materialise(map_slices(rows, _sets, "id long, found binary"), name)
+    if found.count() == n:
+        return found
+    # rows that are repeated with their id
+    once = materialise(found.dropDuplicates(["id"]), f"{name}_once")
+    discard(found)
+    return once
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
-    """The pairs (a, b) of class ids that are near by signature and similar by full sets, written once."""
+    """The pairs (a, b) of classes that are near by signature and similar by full sets, written once."""
     signatures = classes.select("id", "signature")
-    near = (
-        pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "sa"}), "a")
-        .join(signatures.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_near, "a long, b long")
-    )
-    near = materialise(near, f"{name}_near")
+    near = pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signatures.withColumnsRenamed({"id": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
+    near = materialise(map_slices(near, _near, "a long, b long"), f"{name}_near")
     ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}_ids")
-    found = materialise(_set_table(docs, ids, doc_id, text), f"{name}_sets")
+    found = _set_table(docs, classes, ids, doc_id, text, f"{name}_sets")
     both = near.join(found.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(found.withColumnsRenamed({"id": "b", "found": "fb"}), "b").select("a", "b", "fa", "fb")
-    return materialise(small_batches(both).mapInArrow(_confirmed, "a long, b long"), f"{name}_links")
+    links = materialise(map_slices(both, _confirmed, "a long, b long"), f"{name}_links")
+    discard(near, ids, found)
+    return links
+
+
+def _with_value(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left joined to the one row of ``values`` (key, n, ...) of a key, where n counts a key's rows.
+
+    The rows of a hub stay where they are: hubs have more than a fixed share of
+    all ``total`` rows, so there are few of them and their values are sent.
+    """
+    most = max(HUB, total // MOST_HUBS)
+    hubs = F.broadcast(values.where(F.col("n") > most))
+    others = rows.join(hubs.select(key), key, "left_anti").join(values.where(F.col("n") <= most), key, "left")
+    return rows.join(hubs, key).unionByName(others).drop("n")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -228,24 +262,26 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     logarithm of the longest chain, and each is two aggregations and joins.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}_edges_0")
-    rounds = 0
+    facts, rounds = _facts(edges), 0
     while True:
         rounds += 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_value(both.where("v > u"), least, "u", 2 * facts[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, f"{name}_large_{rounds}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_value(large, least, "u", facts[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         small = materialise(small, f"{name}_small_{rounds}")
-        if _same(edges, small):
+        before, facts = facts, _facts(small)
+        discard(edges, large)
+        if before == facts:
             return small.select(F.col("u").alias("id"), F.col("v").alias("component"))
         edges = small
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    facts = [df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for df in (a, b)]
-    return facts[0] == facts[1]
+def _facts(edges: DataFrame) -> tuple:
+    """(number, sum of hashes) of the edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -256,18 +292,17 @@ def _open(placed: DataFrame) -> DataFrame:
 
 def _across(rest: DataFrame, classes: DataFrame) -> DataFrame:
     """Near pairs (a, b) of classes in different components, from open keys (key, id, component)."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = rest.join(classes.select("id", "signature"), "id").join(sizes, "key")
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
+    rows = _with_value(rest.join(classes.select("id", "signature"), "id"), sizes, "key", rest.count())
     place = F.pmod(F.xxhash64("id"), F.col("blocks"))
     packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "signature")).alias("rows"))
     alone = packed.where("blocks = 1").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
     several = packed.where("blocks > 1")
     other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
-    met = several.join(other, "key").where("block <= other").select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
-    rest.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    found = materialise(alone.union(met).mapInArrow(_near_in_blocks, "a long, b long"), "neardup_across_pairs")
-    small_batches(rest)
-    return found.distinct()
+    met = several.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
+    met = met.select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
+    found = materialise(map_slices(alone.union(met), _near_in_blocks, "a long, b long", rows=16), "neardup_across_pairs")
+    return found
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +334,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (large, id, found) packed into arrays of about ``BLOCK``."""
-    sizes = rows.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    place = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    return rows.join(sizes, "large").groupBy("large", place.alias("block")).agg(F.collect_list(F.struct("id", "found")).alias(name)).drop("block")
+def _blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """``sizes`` (large, n, blocks, ...) for each block of rows (large, id, found), packed into arrays of about ``BLOCK``."""
+    placed = _with_value(rows, sizes, "large", rows.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return placed.groupBy(*[c for c in sizes.columns if c != "n"], "block").agg(F.collect_list(F.struct("id", "found")).alias(name))
 
 
-def _block_links(docs: DataFrame, rest: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _block_links(docs: DataFrame, classes: DataFrame, rest: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links between large components and the other classes that share a key with one of their members."""
-    members = found.union(found.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "large")
+    members = members.withColumnRenamed("component", "large")
     large = materialise(members.groupBy("large").count().where(F.col("count") > LARGE).select("large"), "neardup_large")
     touched = rest.join(large, rest["component"] == F.col("large")).select("key", "large").distinct()
     other = large.withColumnsRenamed({"large": "also_large"})
@@ -317,12 +351,15 @@ def _block_links(docs: DataFrame, rest: DataFrame, found: DataFrame, doc_id: str
     asking = materialise(asking, "neardup_asking")
     asked = materialise(members.join(asking.select("large").distinct(), "large", "left_semi"), "neardup_asked")
     ids = materialise(asking.select("id").union(asked.select("id")).distinct(), "neardup_block_ids")
-    sets = materialise(_set_table(docs, ids, doc_id, text), "neardup_block_sets")
-    sides = [_blocks(rows.join(sets, "id").select("large", "id", "found"), name) for rows, name in ((asking, "asking"), (asked, "members"))]
-    met = sides[0].join(sides[1], "large").select("asking", "members")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    links = materialise(met.mapInArrow(_compared, "a long, b long"), "neardup_block_links")
-    small_batches(docs)
+    sets = _set_table(docs, classes, ids, doc_id, text, "neardup_block_sets")
+    held = [materialise(rows.join(sets, "id").select("large", "id", "found"), f"neardup_{name}_sets") for rows, name in ((asking, "asking"), (asked, "members"))]
+    asking_sizes, sizes = (rows.groupBy("large").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")) for rows in held)
+    answers = _blocks(held[1], sizes, "members").select("large", "block", "members")
+    asks = _blocks(held[0], asking_sizes.join(sizes.select("large", F.col("blocks").alias("others")), "large"), "asking")
+    # every block of askers meets every number of the component's blocks
+    met = asks.select("large", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("block")).join(answers, ["large", "block"]).select("asking", "members")
+    links = materialise(map_slices(met, _compared, "a long, b long", rows=4), "neardup_block_links")
+    discard(large, asking, asked, ids, sets, *held)
     return links
 
 
@@ -335,33 +372,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     that share an id are one document, linked by what each of them says. Rows
     with a null id link nothing: they have the component of the documents of
     the same set, or null, and are never kept. An empty table gives an empty
-    result.
+    result. Other columns play no part, whatever their names.
     """
     table = signed(docs, doc_id, text)
-    with_words = table.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = with_words.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("digest", F.col("first.doc_id").alias("id"), F.col("first.signature").alias("signature"))
-    classes = materialise(classes, "neardup_classes")
-    keys = small_batches(classes.select("id", "signature")).mapInArrow(_indexed, "key long, id long")
+    classes = _classes(table)
     # keys that more than one class has, with the first class of each
-    keys = materialise(keys, "neardup_keys")
+    keys = materialise(map_slices(classes.select("id", "signature"), _indexed, "key long, id long"), "neardup_keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     met = materialise(keys.join(shared, "key").select("key", "id", "first"), "neardup_met")
+    discard(keys)
     stars = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(docs, classes, stars, doc_id, text, "neardup_star")
     found = components(links, "neardup_star")
     # classes of one key that are still in different components
     placed = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rest = materialise(_open(placed), "neardup_open")
-    in_blocks = _block_links(docs, rest, found, doc_id, text)
     members = found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    in_blocks = _block_links(docs, classes, rest, members, doc_id, text)
     large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component")
-    rest = materialise(_open(rest.join(large, "component", "left_anti")), "neardup_open_small")
-    pairs = _across(rest, classes).join(stars, ["a", "b"], "left_anti")
+    small = materialise(_open(rest.join(large, "component", "left_anti")), "neardup_open_small")
+    across = _across(small, classes)
+    pairs = across.distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(docs, classes, pairs, doc_id, text, "neardup_across")
     # rows that share an id link their classes
-    same_id = with_words.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    total = table.count()
+    of_row = _with_value(table.where("doc_id is not null and digest is not null").select("doc_id", "digest"), classes.select("digest", "n", "id"), "digest", total).select("doc_id", "id").distinct()
+    several = of_row.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("a <> last").drop("last")
+    same_id = _with_value(of_row, several, "doc_id", total).where("id <> a").select("a", F.col("id").alias("b"))
     final = components(links.union(in_blocks).union(more).union(same_id), "neardup_all")
-    classed = table.join(classes.select("digest", "id"), "digest", "left")
-    reached = F.coalesce("component", "id", "doc_id")
-    out = classed.join(final.withColumnRenamed("id", "node"), F.coalesce("id", "doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(False)).alias("kept"))
+    discard(met, links, in_blocks, more, rest, small, across)
+    # the smallest class of a component has its smallest document
+    sizes = final.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(classes.select("id", "doc"), "id").withColumnsRenamed({"id": "component", "doc": "lowest"})
+    named = _with_value(final, sizes, "component", final.count()).select("id", "lowest")
+    of_class = classes.select("digest", "n", "id", "doc").join(named, "id", "left").select("digest", "n", F.coalesce("lowest", "doc").alias("component_id"))
+    of_class = materialise(of_class, "neardup_components")
+    rows = _with_value(table.where("digest is not null").select("digest", "doc_id", "n_shingles"), of_class, "digest", total).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = table.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import small_batches
+from tideglass.llm.common import map_slices
 
 # Tag names of the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -425,4 +425,4 @@ def extracted(pages: DataFrame, model: ChainModel | None = None, html: str = "ht
             yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     slim = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html).alias("_html"))
-    return small_batches(slim).mapInArrow(each, schema)
+    return map_slices(slim, each, schema)

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import BoundedCache, small_batches
+from tideglass.llm.common import BoundedCache, map_slices
 
 SPACE = "▁"
 #: Parts whose ids a Python worker keeps; they cost far more to encode than to look up.
@@ -292,4 +292,4 @@ def _each(docs: DataFrame, model_file: str, doc_id: str, text: str, digests: boo
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(right, pa.string())], names=[doc_id, *names])
 
     slim = docs.select(F.col(doc_id), F.col(text))
-    return small_batches(slim).mapInArrow(encode, f"`{doc_id}` {kind}, n_tokens bigint, {results}")
+    return map_slices(slim, encode, f"`{doc_id}` {kind}, n_tokens bigint, {results}")

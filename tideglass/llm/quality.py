@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import BoundedCache, small_batches, utf8
+from tideglass.llm.common import BoundedCache, map_slices, utf8
 
 #: Labelled texts of a class that the classifier is fitted on, by smallest hash of the id.
 SAMPLE_PER_CLASS = 1500
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, docs: DataFrame, held_out=None, doc_id: str = "doc_
     sample = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("label", "text", "doc_id")
     # sums of whole numbers: the order of rows and tasks changes nothing
     sample = sample.dropDuplicates(["doc_id"]).select("label", "text").coalesce(TRAIN_TASKS)
-    found = small_batches(sample).mapInArrow(_learned, "label int, data binary").collect()
+    found = map_slices(sample, _learned, "label int, data binary").collect()
     rows_ = sorted(((r["label"], bytes(r["data"])) for r in found if r["label"] is not None))
     if {r[0] for r in rows_} != {0, 1}:
         return None
@@ -230,4 +230,4 @@ def scored(docs: DataFrame, net: Network | None, text: str = "text", keep: list[
                 out[start : start + 256] = net.score(np.stack([counts(t) for t in texts[start : start + 256]]))
             yield pa.record_batch([*batch.columns[:-1], pa.array(out)], names=[*keep, name])
 
-    return small_batches(slim).mapInArrow(score, schema)
+    return map_slices(slim, score, schema)

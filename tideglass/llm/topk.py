@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideglass.llm.common import map_slices
 from tideglass.shared import materialise
 
 K = 5
@@ -72,7 +73,6 @@ _BLOCK_SCHEMA = "dim int, ids binary, data binary, norm long"
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows of (vec_id, v) packed by task: dim, ids, data (doubles), norm (the longest vector's, rounded up)."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(BLOCK, QUERY_BLOCK)))
     return rows.mapInArrow(_pack(size), _BLOCK_SCHEMA)
 
 
@@ -150,7 +150,6 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
                     out.append({"dim": dim, "q_ids": packed["query_id"], "q_data": np.array([r["v"] for r in some], np.float64).tobytes(), "low": packed["low"], "span": packed["span"]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("dim", pa.int32()), ("q_ids", pa.binary()), ("q_data", pa.binary()), ("low", pa.binary()), ("span", pa.binary())]))
 
-    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(BLOCK, QUERY_BLOCK)))
     packed = queries.select("query_id", "v", "low", "span").mapInArrow(pack, "dim int, q_ids binary, q_data binary, low binary, span binary")
     return materialise(packed, "topk_query_blocks")
 
@@ -199,8 +198,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     while state.where("span > 1").limit(1).count():
         rounds += 1
         met = _met(packed, _query_blocks(state.where("span > 1")), facts["n"], bytes_each)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-        sums = met.mapInArrow(_histograms, "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        sums = map_slices(met, _histograms, "query_id long, bin int, n long", rows=4).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # from the highest bin down to the one in which the counts reach what is still needed
         hist = sums.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("h"))
         none = F.lit(None).cast("int")
@@ -222,7 +220,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
         )
         state = materialise(step, f"topk_intervals_{rounds}")
     met = _met(packed, _query_blocks(state), facts["n"], bytes_each)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    kept = met.mapInArrow(_kept(k), "query_id long, vec_id long, score long")
+    kept = map_slices(met, _kept(k), "query_id long, vec_id long, score long", rows=4)
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -38,6 +38,13 @@ def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(each, schema)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column has it (Spark compares names without case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def utf8(name: str) -> Column:
     """A text column as its UTF-8 bytes."""
     return F.col(name).cast("binary").alias(name)

@@ -162,6 +162,45 @@ def test_pages_markup(crf):
     assert pages.main_text(None, crf) == ""
 
 
+_ARTICLE = ["How rivers change their beds", "Rivers move slowly over many years, and the land moves with them.", "When a flood comes, the bed can shift in a single night. People who live near the banks know this well.", "First point of the list", "Second point", "In the end, the river decides."]
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [("", ""), ('<div role="main">', "</div>"), ('<div class="mw-parser-output">', "</div>"), ("<main>", "</main>"), ('<div class="xyz"><div id=abc>', "</div></div>"), ("<section>", "</section>"), ('<div class="post-body">', "</div>")],
+)
+def test_pages_of_many_layouts(crf, before, after):
+    h, a, b, c, d, e = _ARTICLE
+    comments = '<div id="comments"><h3>Comments</h3><div class="comment"><p>As a reader I want to say that I really liked this text a lot.</p></div></div>'
+    page = f"""<html><head><title>x</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">About us</a></li></ul></nav><div class="cookie-banner"><p>We use cookies to make this site better. Accept?</p></div>
+    {before}<h1>{h}</h1><p>{a}</p>{comments}<p>{b}</p><ul><li>{c}</li><li>{d}</li></ul><p hidden>Not shown at all.</p><div style="color:red; display : none"><p>Nor this.</p></div><p>{e}</p>{after}
+    <div class="sidebar"><h3>Related</h3><ul><li><a href="/a">Other story</a></li></ul></div><form action="/s"><label>Search</label><input><button>Go</button></form><footer><p>&copy; 2024 Example. All rights reserved.</p></footer></body></html>"""
+    assert pages.main_text(page, crf).split("\n") == _ARTICLE
+
+
+def test_pages_comments_before_lists_are_left_out(crf):
+    last = "A long paragraph comes last, and it has many words in it, so that nobody could think that it is not a part of the article."
+    page = f'<article><h1>Title</h1><p>First paragraph here stands, with words enough.</p><div class="comments"><p>I really liked this text a lot, thanks for it.</p></div><dl><dt>Term</dt><dd>The definition of the term in some words.</dd></dl><p>{last}</p></article>'
+    assert pages.main_text(page, crf).split("\n") == ["Title", "First paragraph here stands, with words enough.", "Term", "The definition of the term in some words.", last]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<div>x", '<a href="', "<a href='>", "<!--", "<script>", "<p>x. ", "<b>x", "< ", "<b>x</i>", "</p><div>"])
+def test_pages_of_broken_markup_are_read_in_linear_time(crf, piece):
+    from time import process_time
+
+    began = process_time()
+    pages.main_text(piece * (1_000_000 // len(piece)), crf)
+    assert process_time() - began < 15  # a quadratic reader takes minutes
+
+
+def test_page_tags_and_quotes():
+    blocks = lambda page: [b.text for b in pages.leaf_blocks(page)]
+    assert blocks("<p title='a > b'>one</p><p title=it's>two</p><p>3 < 4 &lt; 5</p>") == ["one", "two", "3 < 4 < 5"]
+    assert blocks("<p>a<!-- > --><!---->b<![CDATA[ x > ]]>c</p></>d<?php x ?>e") == ["abc", "de"]
+    assert blocks("<div>" * 600 + "deep" + "</div>" * 600 + "<p>last") == ["deep", "last"]
+    assert blocks("<p>cut <a href='x") == ["cut"]
+
+
 def test_pages_rows(spark, crf):
     rows = [(1, "u", None), (2, None, "<article><p>A whole sentence stands here for all to read.</p></article>"), (2, None, ""), (None, "v", "<nav>x</nav>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
@@ -386,6 +425,94 @@ def test_mixing_is_fair(spark):
     assert abs(taken - whole / 2) < 150
 
 
+def test_mixing_equals_a_plain_loop(spark):
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    rows = [(int(k), "w " * int(rng.integers(1, 40)), None, "abcd"[min(3, k % 6)], 0) for k in rng.permutation(700)] + [(3, "w", None, "a", 0)] * 5 + [(None, "w w", None, "b", 0)] * 7
+    fan_in, two = 8, 1 << 64
+
+    def spark_hash(*parts):
+        h = 42
+        for kind, x in parts:
+            h = h if x is None else xxhash.xxh64_intdigest(struct.pack("<" + kind, x), h)
+        return h
+
+    def uniform(*parts):
+        return (spark_hash(*parts) >> 11) / (1 << 53)
+
+    signed = lambda h: h - two if h >= two // 2 else h
+    alike = {}
+    for i, text, _, source, _ in rows:
+        key = (i, source, len(text.split()))
+        alike[key] = alike.get(key, 0) + 1
+    sizes, number = {}, {}
+    for (_, s, size), k in alike.items():
+        sizes[s] = sizes.get(s, 0) + size * k
+        number[s] = number.get(s, 0) + k
+    target = water_fill(sizes)
+    want = []
+    for source in sizes:
+        r = target[source] / sizes[source]
+        base, groups, units = math.floor(r), -(-number[source] // fan_in), {}
+        for (i, s, size), k in alike.items():
+            if s == source:
+                more = (r - base) * k
+                sure = math.floor(more)
+                grp = signed(spark_hash(("i", mixing.SEED), ("q", i), ("q", size))) % groups
+                units.setdefault(grp, []).append([i, size, k, sure, (more - sure) * size])
+        level = 0
+        while True:
+            rests = {}
+            for grp, some in units.items():
+                order = lambda u: (-u[1], signed(spark_hash(("i", mixing.SEED + 1), ("q", u[0]))))
+                rest = None
+                for x in sorted(some, key=order):
+                    if rest is None:
+                        rest = x
+                        continue
+                    a, up, down = rest, min(rest[1] - rest[4], x[4]), min(rest[4], x[1] - x[4])
+                    if up + down == 0 or uniform(("i", mixing.SEED), ("i", level), ("q", a[0]), ("q", x[0]), ("q", a[1]), ("q", x[1])) * (up + down) < down:
+                        done, rest, take = (a, [*x[:4], x[4] - up], 1) if a[1] - a[4] <= x[4] else (x, [*a[:4], a[4] + up], 0)
+                    else:
+                        done, rest, take = (a, [*x[:4], x[4] + down], 0) if a[4] <= x[1] - x[4] else (x, [*a[:4], a[4] - down], 1)
+                    want += [(done[0], source, done[1], (base + (n < done[3] + take)) * done[1]) for n in range(done[2])]
+                rests.setdefault(grp // fan_in, []).append(rest)
+            if groups <= 1:
+                break
+            groups, level, units = -(-groups // fan_in), level + 1, rests
+        for (x,) in rests.values():
+            take = uniform(("i", mixing.SEED + 2), ("q", x[0]), ("q", x[1])) * x[1] < x[4]
+            want += [(x[0], source, x[1], (base + (n < x[3] + take)) * x[1]) for n in range(x[2])]
+    got = [(r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix(spark.createDataFrame(rows, DOCS), fan_in=fan_in).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mixed_documents_have_the_copies_of_their_rows(spark):
+    rows = [(1, "a b", "x"), (1, "c d", "x"), (2, "e f g", "x"), (None, "h i", "x"), (None, "j k", None), (3, None, "x"), (4, "l m", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash")).withColumn("_mix_key", F.lit(0))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    count = lambda got: {t: sum(r["text"] == t for r in got) for _, t, _ in rows}
+    seen = count(out.collect())
+    assert all(0 <= n <= 3 for n in seen.values()) and sum(seen[t] * len(t.split()) for t in seen if t) > 0
+    once = docs.where("doc_id is not null and doc_id > 1")
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(once).collect()}
+    got = mixing.mixed_documents(once).collect()
+    assert {i: sum(r["doc_id"] == i for r in got) for i in want} == want
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+    # one source with a target of once its size: every row is taken once
+    assert sorted(map(str, mixing.mixed_documents(docs.withColumn("source", F.lit("x"))).collect())) == sorted(map(str, docs.withColumn("source", F.lit("x")).collect()))
+
+
+def test_mixing_many_rows_that_are_alike(spark):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"), F.lit("w").alias("text"))
+    got = mixing.mix(docs)
+    target = water_fill({"a": 15_000, "b": 5_000})
+    taken = {r["source"]: (r["n"], r["t"]) for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("t")).collect()}
+    assert all(taken[s][0] == n and abs(taken[s][1] - target[s]) <= 1 for s, n in (("a", 15_000), ("b", 5_000)))
+
+
 def test_fingerprints(spark, odd, none):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(odd).collect()}
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

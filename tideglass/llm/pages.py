@@ -1,7 +1,9 @@
 """Main text of web pages by a linear-chain conditional random field.
 
 A page is cut into leaf blocks: stretches of text between block-level tags,
-each with its chain of open tags. A block's features are its ancestors' tags and
+each with its chain of open tags. Elements that are not shown have no blocks. The
+page is read once from front to back, in time that grows with its length alone,
+however broken it is. A block's features are its ancestors' tags and
 the words of their class, id and role, and facts of its text (length, share of
 linked text, sentence marks, place on the page). The model scores each block's
 label (article or other) by these features and each pair of neighbouring labels
@@ -20,7 +22,6 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,16 @@ ENDS_P = BLOCK_TAGS - frozenset("body button caption head html legend option sel
 SECTIONS = frozenset("article aside footer form header main nav section dialog address".split())
 # End of fixed values.
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+#: Open tags that a page's chain has at most; deeper elements are read as parts of the last one.
+DEEPEST = 512
+#: Features of a chain of open tags, and words of one tag's names, that are looked at.
+MOST_FEATURES, MOST_WORDS = 256, 32
+
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|style)(?![^\s=/>])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TAGS}
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -57,44 +66,144 @@ class Block:
     linked: float
 
 
-@lru_cache(maxsize=20_000)
-def _hints(name: str, attributes: str) -> tuple[str, ...]:
-    """Features of one open tag."""
-    out = ["t:" + name]
-    for key, *values in _NAME.findall(attributes) if attributes else ():
+@dataclass(slots=True)
+class Open:
+    """An open tag with the features of the chain down to it; tags opened alike below it are made once."""
+
+    name: str
+    hidden: bool
+    features: tuple[str, ...]
+    box: str
+    near: tuple[str, ...]
+    kind: str
+    path: tuple[str, ...] = ()
+    below: dict = field(default_factory=dict)
+
+
+def _hints(attributes: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether an element is not shown, and the words of its names."""
+    hidden, words = False, []
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = next((v for v in values if v), "").lower()
         key = key.lower()
-        if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            out.append("hidden")
-        elif key != "style":
-            out.extend("w:" + w for w in _WORD.findall(value))
-    return tuple(out)
-
-
-@lru_cache(maxsize=20_000)
-def _path(chain: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
-    """Features of a chain of open tags: all hints, the innermost sectioning tag and the innermost names."""
-    out = [h for hints in chain for h in hints]
-    box = next((hints[0][2:] for hints in reversed(chain) if hints[0][2:] in SECTIONS), "none")
-    names = next(([h[2:] for h in hints if h[0] == "w"] for hints in reversed(chain) if any(h[0] == "w" for h in hints)), ["none"])
-    kind = next((hints[0][2:] for hints in reversed(chain) if hints[0][2:] in BLOCK_TAGS), "none")
-    return tuple(dict.fromkeys([*out, "box:" + box, *("near:" + n for n in names), f"kind:{kind}"]))
+        if key == "hidden":
+            hidden = hidden or value != "until-found"
+        elif key == "style":
+            hidden = hidden or _NOT_SHOWN.search(value) is not None
+        else:
+            words.extend(_WORD.findall(value, 0, 4096)[: MOST_WORDS - len(words)])
+    return hidden, tuple(words)
+
+
+def _opened(parent: Open, name: str, attributes: str) -> Open:
+    """The tag below ``parent``: its chain has all hints, the innermost sectioning tag and the innermost telling names."""
+    key = (name, attributes) if len(attributes) < 256 else None
+    found = parent.below.get(key) if key else None
+    if found is None:
+        hidden, words = _hints(attributes)
+        held = parent.features
+        new = tuple(dict.fromkeys(h for h in ("t:" + name, *("w:" + w for w in words)) if h not in held))
+        features = held + new[: MOST_FEATURES - len(held)] if new and len(held) < MOST_FEATURES else held
+        found = Open(
+            name,
+            hidden or name in HIDDEN_TAGS,
+            features,
+            name if name in SECTIONS else parent.box,
+            tuple(dict.fromkeys(w for w in words if w in _TELLING)) or parent.near,
+            name if name in BLOCK_TAGS else parent.kind,
+        )
+        if key and len(parent.below) < 64:
+            parent.below[key] = found
+    return found
+
+
+def _path(tag: Open) -> tuple[str, ...]:
+    """The features of a chain of open tags."""
+    if not tag.path:
+        tag.path = (*tag.features, "box:" + tag.box, *("near:" + n for n in tag.near), "kind:" + tag.kind)
+    return tag.path
+
+
+class _Tags:
+    """The tags of a page in order; broken markup is read as far as it goes, each character a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Quotes that do not come again.
+        self.last: set[str] = set()
+
+    def end_of_tag(self, at: int) -> int:
+        """The place after the tag whose name ends at ``at``; -1 where the page ends inside it."""
+        page = self.page
+        while True:
+            m = _STOP.search(page, at)
+            if m is None:
+                return -1
+            if m[0] == ">":
+                return m.end()
+            at, before = m.end(), m.start() - 1
+            while page[before].isspace():
+                before -= 1
+            # a quote that does not begin a value is a character like others
+            if page[before] == "=" and m[0] not in self.last:
+                end = page.find(m[0], at)
+                if end < 0:
+                    self.last.add(m[0])
+                else:
+                    at = end + 1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int, int]]:
+        """(kind, name, attributes, start, end) of each tag: kind is open, close or gone (comments, declarations)."""
+        page, at = self.page, 0
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= len(page):
+                return
+            mark = page[start + 1]
+            name = _NAME.match(page, start + (2 if mark == "/" else 1))
+            if name is not None:
+                end = self.end_of_tag(name.end())
+                if end < 0:
+                    yield "gone", "", "", start, len(page)
+                    return
+                kind = "close" if mark == "/" else "open"
+                yield kind, name[0].lower(), page[name.end() : end - 1], start, end
+                if kind == "open" and (name := name[0].lower()) in RAW_TAGS:
+                    close = _RAW_END[name].search(page, end)
+                    if close is None:
+                        yield "gone", "", "", end, len(page)
+                        return
+                    stop = page.find(">", close.end())
+                    stop = len(page) if stop < 0 else stop + 1
+                    yield "gone", "", "", end, stop
+                    end = stop
+                at = end
+            elif mark in "!?/":
+                closing = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+                end = page.find(closing, start + 2)
+                end = len(page) if end < 0 else end + len(closing)
+                yield "gone", "", "", start, end
+                at = end
+            else:
+                at = start + 1
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """A page's blocks in order. Broken markup is read as far as it goes."""
-    open_tags: list[tuple[str, tuple[str, ...]]] = []
+    root = Open("", False, (), "none", ("none",), "none")
+    chain: list[Open] = [root]
+    deeper: dict[str, int] = {}
+    opened: dict[str, int] = {}
     out: list[Block] = []
     pieces: list[str] = []
-    linked, links, hidden, raw_end = 0, 0, 0, -1
+    linked, links, hidden = 0, 0, 0
 
     def close_block() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = _path(tuple(hints for _, hints in open_tags))
-                out.append(Block(text, path, min(1.0, linked / len(text))))
+                out.append(Block(text, _path(chain[-1]), min(1.0, linked / len(text))))
             pieces.clear()
         linked = 0
 
@@ -108,36 +217,35 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def close(index: int) -> None:
         nonlocal links, hidden
-        for name, _ in open_tags[index:]:
-            links -= name == "a"
-            hidden -= name in HIDDEN_TAGS
-        del open_tags[index:]
+        for tag in chain[index:]:
+            opened[tag.name] -= 1
+            links -= tag.name == "a"
+            hidden -= tag.hidden
+        del chain[index:]
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < raw_end:
-            continue
-        put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    for kind, name, attributes, start, end in _Tags(page):
+        put(page[at:start])
+        at = end
+        if kind == "gone":
             continue
-        name = name.lower()
-        if m[1]:
+        if kind == "close":
+            if deeper.get(name):
+                close_block() if name in BLOCK_TAGS else None
+                deeper[name] -= 1
+                continue
             if name in BLOCK_TAGS:
                 close_block()
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == name:
+            for i in range(len(chain) - 1, 0, -1) if opened.get(name) else ():
+                if chain[i].name == name:
                     close(i)
                     break
                 # the end of a link or of bold text does not end the block around it
-                if name not in BLOCK_TAGS and open_tags[i][0] in BLOCK_TAGS:
+                if name not in BLOCK_TAGS and chain[i].name in BLOCK_TAGS:
                     break
             continue
         if name in RAW_TAGS:
             close_block() if name in BLOCK_TAGS else None
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            raw_end = at = end.end() if end else len(page)
             continue
         if name == "br":
             pieces.append(" ") if not hidden else None
@@ -145,18 +253,22 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             close_block()
             if name in ENDS_P or name == "li":
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] == "p" or (open_tags[i][0] == name and name in ("li", "dt", "dd", "option", "tr", "td", "th")):
+                for i in range(len(chain) - 1, 0, -1):
+                    if chain[i].name == "p" or (chain[i].name == name and name in ("li", "dt", "dd", "option", "tr", "td", "th")) or (name in ("dt", "dd") and chain[i].name in ("dt", "dd")):
                         close(i)
                         break
-                    if open_tags[i][0] in BLOCK_TAGS:
+                    if chain[i].name in BLOCK_TAGS:
                         break
-        if name not in VOID_TAGS and not m[3].endswith("/"):
-            open_tags.append((name, _hints(name, m[3])))
+        if name not in VOID_TAGS and not attributes.endswith("/"):
+            if len(chain) > DEEPEST:
+                deeper[name] = deeper.get(name, 0) + 1
+                continue
+            tag = _opened(chain[-1], name, attributes)
+            chain.append(tag)
+            opened[name] = opened.get(name, 0) + 1
             links += name == "a"
-            hidden += name in HIDDEN_TAGS
-    if raw_end < len(page):
-        put(page[at:])
+            hidden += tag.hidden
+    put(page[at:])
     close_block()
     return out
 
@@ -164,8 +276,8 @@ def leaf_blocks(page: str) -> list[Block]:
 _END = re.compile(r"[.!?…][\"'»”)]*$")
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Feature names of each block."""
+def features(blocks: list[Block]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Feature names of each block: those of its chain, which blocks of one chain share, and those of its text."""
     total = len(blocks)
     out = []
     for i, b in enumerate(blocks):
@@ -173,12 +285,12 @@ def features(blocks: list[Block]) -> list[list[str]]:
         size = "1" if n < 2 else "4" if n < 5 else "10" if n < 11 else "25" if n < 26 else "60" if n < 61 else "many"
         link = "none" if b.linked == 0 else "some" if b.linked < 0.5 else "most"
         marks = b.text.count(".") + b.text.count("!") + b.text.count("?")
-        names = ["bias", *b.path, "size:" + size, "link:" + link, f"size:{size}&link:{link}", "place:" + str(10 * i // total)]
-        names.append("ends:" + ("yes" if _END.search(b.text) else "no"))
+        names = ["bias", "size:" + size, "link:" + link, f"size:{size}&link:{link}", "place:" + str(10 * i // total)]
+        names.append("ends:" + ("yes" if _END.search(b.text, max(0, len(b.text) - 32)) else "no"))
         names.append("sentences:" + ("0" if not marks else "1" if marks == 1 else "more"))
         if b.text[0] == "©" or "©" in b.text[:40]:
             names.append("copyright")
-        out.append(names)
+        out.append((b.path, names))
     return out
 
 
@@ -192,13 +304,15 @@ class ChainModel:
     start: np.ndarray
     cache: dict = field(default_factory=dict, repr=False)
 
-    def emissions(self, names: list[list[str]]) -> list[float]:
+    def emissions(self, names: list[tuple[tuple[str, ...], list[str]]]) -> list[float]:
         weight = self.cache.get("by_name")
         if weight is None:
             weight = self.cache["by_name"] = {k: float(self.weights[i]) for k, i in self.number.items()}
-        return [sum([weight.get(n, 0.0) for n in row]) for row in names]
+        of_path = {id(path): path for path, _ in names}
+        of_path = {k: sum([weight.get(n, 0.0) for n in path]) for k, path in of_path.items()}
+        return [of_path[id(path)] + sum([weight.get(n, 0.0) for n in own]) for path, own in names]
 
-    def viterbi(self, names: list[list[str]]) -> list[int]:
+    def viterbi(self, names: list[tuple[tuple[str, ...], list[str]]]) -> list[int]:
         """The best labels of a page's blocks; label 0 wins ties."""
         if not names:
             return []
@@ -223,9 +337,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 130, rate: float = 0.4, decay: float = 1e-4) -> ChainModel:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, rate: float = 0.4, decay: float = 1e-4) -> ChainModel:
     """Maximum likelihood by gradient ascent with forward-backward marginals."""
-    named = [(features(b), y) for b, y in pages if b]
+    named = [([[*path, *own] for path, own in features(b)], y) for b, y in pages if b]
     number = {n: i for i, n in enumerate(sorted({n for f, _ in named for row in f for n in row}))}
     rows = np.array([k for k, row in enumerate(r for f, _ in named for r in f) for _ in row])
     cols = np.array([number[n] for f, _ in named for row in f for n in row])
@@ -283,9 +397,15 @@ _OTHER_PARTS = {
     "comments": "comments comment reply discussion respond disqus thread user feedback replies",
     "share": "share social follow buttons toolbar author meta byline date tools",
 }
+#: Names that say nothing of what they hold.
+_PLAIN_NAMES = "wrapper container page layout row col inner box grid section block mw-parser-output css-1a2b3c c12 jsx-77 module panel item wide".split()
 _COMMENT_BLOCKS = ("comment", "reply", "comment-body", "comment-text", "user-comment", "discussion-post")
 
 
+#: Names that tell what a part is; others say as much as none.
+_TELLING = frozenset([*_MAIN_NAMES, *" ".join(_OTHER_PARTS.values()).split(), *_WORD.findall(" ".join(_COMMENT_BLOCKS))])
+
+
 def _prose(rng: random.Random, least: int, most: int, ends: bool = True) -> str:
     """Words of random syllables: the text itself must teach nothing but its form."""
     syllables = ("ta", "re", "mi", "son", "lek", "vor", "und", "est", "que", "ha", "ing", "ón", "é", "sch")
@@ -304,7 +424,7 @@ def _prose(rng: random.Random, least: int, most: int, ends: bool = True) -> str:
     return " ".join(words) + ("." if ends and rng.random() < 0.85 else "")
 
 
-def labelled_pages(count: int = 900, seed: int = 20_240_602) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(count: int = 1100, seed: int = 20_240_602) -> list[tuple[list[Block], list[int]]]:
     """Pages composed from parts with known labels, cut into blocks.
 
     Parts come in the ways pages are written: by semantic tags, by class or id
@@ -375,32 +495,43 @@ def _page(rng: random.Random) -> str:
                 parts.append(f"<blockquote><p>{own(5, 40)}</p></blockquote>")
             elif x < 0.79:
                 parts.append("<table>" + "".join(f"<tr><td>{own(1, 4, False)}</td><td>{own(1, 4, False)}</td></tr>" for _ in range(2)) + "</table>")
-            elif x < 0.82:
+            elif x < 0.81:
+                parts.append("<dl>" + "".join(f"<dt>{own(1, 4, False)}</dt><dd>{own(2, 30)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>")
+            elif x < 0.83:
                 parts.append(f"<figure><img src=x><figcaption>{own(3, 14)}</figcaption></figure>")
-            elif x < 0.84:
+            elif x < 0.85:
                 parts.append(f"<pre>{own(4, 20)}</pre>")
             else:
                 parts.append(other(rng.choice(("ad", "ad", "share", "aside", "notice"))))
-        if rng.random() < 0.1:
-            parts.append(other("comments"))
+        if parts and rng.random() < 0.1:
+            parts[0] = f"<header>{parts[0]}{other('share') if rng.random() < 0.5 else ''}</header>"
+        for _ in range(rng.choice((0, 0, 0, 0, 1, 1, 2))):
+            parts.insert(rng.randint(0, len(parts)), other("comments"))
+        if rng.random() < 0.08:
+            parts.append(f"<footer>{_prose(rng, 2, 12)}</footer>")
         body = "".join(parts)
         style = rng.random()
         name = rng.choice(_MAIN_NAMES)
-        if style < 0.3:
+        if style < 0.24:
             return f"<article>{body}</article>"
-        if style < 0.42:
-            return f"<main>{body}</main>" if rng.random() < 0.5 else f"<main><article>{body}</article></main>"
-        if style < 0.5:
+        if style < 0.36:
+            beside = other(rng.choice(("aside", "comments", "share", "nav"))) if rng.random() < 0.3 else ""
+            return f"<main>{body}{beside}</main>" if rng.random() < 0.5 else f"<main><article>{body}</article>{beside}</main>"
+        if style < 0.43:
             return f'<article class="{name}">{body}</article>'
-        if style < 0.98:
+        if style < 0.7:
             return f'<div {rng.choice(("class", "id"))}="{rng.choice(("", "", "main-", "page-", "site-"))}{name}{rng.choice(("", "", "-content", "-body", "-text", "-wrap", "-area"))}">{body}</div>'
+        if style < 0.75:
+            return rng.choice((f'<div role="main">{body}</div>', f'<div itemprop="articleBody">{body}</div>', f"<section>{body}</section>"))
+        if style < 0.86:
+            return f'<div {rng.choice(("class", "id"))}="{rng.choice(_PLAIN_NAMES)}">{body}</div>'
         return body
 
     before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "aside", "share"], rng.randint(0, 4))]
     after = [other(k) for k in rng.sample(["footer", "aside", "comments", "ad", "notice", "form", "nav", "share"], rng.randint(0, 5))]
     middle = article()
     if rng.random() < 0.2:
-        middle = f'<div class="{rng.choice(("wrapper", "container", "page", "layout", "row"))}">{middle}{after.pop(0) if after else ""}</div>'
+        middle = f'<div class="{rng.choice(_PLAIN_NAMES)}">{before.pop() if before and rng.random() < 0.5 else ""}{middle}{after.pop(0) if after else ""}</div>'
     return f"<html><head><title>x</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
 

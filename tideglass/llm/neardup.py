@@ -42,8 +42,8 @@ SIMILAR = (75, 100)
 SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 #: Errors that the best chunk of a pair under the threshold has at most.
 ERRORS = THRESHOLD // CHUNKS
-#: Signatures with more different symbols are not confirmed: the odds of that at similarity 0.75 are below 1e-14.
-FARTHEST = 60
+#: Signatures with more different symbols are not confirmed: the odds of that at similarity 0.75 are 4 in 100 million.
+FARTHEST = 48
 #: Components of more classes are compared in blocks, and the classes of a block.
 LARGE, BLOCK = 48, 128
 SEED = 20_240_603
@@ -340,16 +340,21 @@ def _blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     return placed.groupBy(*[c for c in sizes.columns if c != "n"], "block").agg(F.collect_list(F.struct("id", "found")).alias(name))
 
 
-def _block_links(docs: DataFrame, classes: DataFrame, rest: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _marked(rest: DataFrame, members: DataFrame) -> DataFrame:
+    """``rest`` (key, id, component) with ``large``, whether the component has more than ``LARGE`` classes, written once."""
+    large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component", F.lit(True).alias("large"))
+    values = rest.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(large, "component", "left")
+    return materialise(_with_value(rest, values, "component", rest.count()).select("key", "id", "component", F.coalesce("large", F.lit(False)).alias("large")), "neardup_marked")
+
+
+def _block_links(docs: DataFrame, classes: DataFrame, marked: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links between large components and the other classes that share a key with one of their members."""
-    members = members.withColumnRenamed("component", "large")
-    large = materialise(members.groupBy("large").count().where(F.col("count") > LARGE).select("large"), "neardup_large")
-    touched = rest.join(large, rest["component"] == F.col("large")).select("key", "large").distinct()
-    other = large.withColumnsRenamed({"large": "also_large"})
-    asking = rest.join(touched, "key").where("component <> large").select("large", "id", "component").distinct()
-    asking = asking.join(other, asking["component"] == F.col("also_large"), "left").where("also_large is null or also_large > large").select("large", "id")
+    touched = marked.where("large").select("key", F.col("component").alias("of")).distinct()
+    asking = marked.join(touched, "key").where("component <> of and (not large or component > of)").select(F.col("of").alias("large"), "id").distinct()
     asking = materialise(asking, "neardup_asking")
-    asked = materialise(members.join(asking.select("large").distinct(), "large", "left_semi"), "neardup_asked")
+    members = members.withColumnRenamed("component", "large")
+    sizes = members.groupBy("large").agg(F.count(F.lit(1)).alias("n")).join(asking.select("large").distinct().withColumn("asked", F.lit(True)), "large", "left")
+    asked = materialise(_with_value(members, sizes, "large", members.count()).where("asked").select("large", "id"), "neardup_asked")
     ids = materialise(asking.select("id").union(asked.select("id")).distinct(), "neardup_block_ids")
     sets = _set_table(docs, classes, ids, doc_id, text, "neardup_block_sets")
     held = [materialise(rows.join(sets, "id").select("large", "id", "found"), f"neardup_{name}_sets") for rows, name in ((asking, "asking"), (asked, "members"))]
@@ -359,7 +364,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, rest: DataFrame, members:
     # every block of askers meets every number of the component's blocks
     met = asks.select("large", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("block")).join(answers, ["large", "block"]).select("asking", "members")
     links = materialise(map_slices(met, _compared, "a long, b long", rows=4), "neardup_block_links")
-    discard(large, asking, asked, ids, sets, *held)
+    discard(asking, asked, ids, sets, *held)
     return links
 
 
@@ -388,9 +393,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rest = materialise(_open(placed), "neardup_open")
     members = found.union(found.select(F.col("component").alias("id"), "component").distinct())
-    in_blocks = _block_links(docs, classes, rest, members, doc_id, text)
-    large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component")
-    small = materialise(_open(rest.join(large, "component", "left_anti")), "neardup_open_small")
+    marked = _marked(rest, members)
+    in_blocks = _block_links(docs, classes, marked, members, doc_id, text)
+    small = materialise(_open(marked.where("not large").drop("large")), "neardup_open_small")
     across = _across(small, classes)
     pairs = across.distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(docs, classes, pairs, doc_id, text, "neardup_across")
@@ -400,7 +405,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     several = of_row.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("a <> last").drop("last")
     same_id = _with_value(of_row, several, "doc_id", total).where("id <> a").select("a", F.col("id").alias("b"))
     final = components(links.union(in_blocks).union(more).union(same_id), "neardup_all")
-    discard(met, links, in_blocks, more, rest, small, across)
+    discard(met, links, in_blocks, more, rest, marked, small, across)
     # the smallest class of a component has its smallest document
     sizes = final.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(classes.select("id", "doc"), "id").withColumnsRenamed({"id": "component", "doc": "lowest"})
     named = _with_value(final, sizes, "component", final.count()).select("id", "lowest")

@@ -531,6 +531,24 @@ def test_fingerprints(spark, odd, none):
     assert one["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one["near_next"] == 1
 
 
+def test_fingerprints_over_many_ranges(spark):
+    rows = [(int(k) * 7 - 900, f"text {k}\nline " + "z" * int(k % 50)) for k in np.random.default_rng(2).permutation(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(df).collect()}
+    order = sorted(rows)
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        assert got[i]["edited_sha256"] == hashlib.sha256(fingerprints.edited(t, nxt).encode()).hexdigest()
+    assert len(got) == 400
+
+
+def test_fingerprints_keep_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a\nb", "a\nc", 5), (2, None, "", 6)], "doc_id long, text string, other string, likeness int").withColumn("fingerprint", F.lit("old"))
+    one = fingerprints.fingerprint(df).orderBy("doc_id").collect()
+    assert [r["likeness"] for r in one] == [5, 6] and one[0]["fingerprint"] != "old" and len(one[0]) == 5
+    got = fingerprints.compared(df, "text", "other", ["doc_id"]).orderBy("doc_id").collect()
+    assert got[0]["likeness"] == pytest.approx(1 / 3) and got[1]["likeness"] == 1 and len(got[0]["only_old"]) == len(got[0]["only_new"]) == 1
+
+
 def test_peeling_recovers_the_differences():
     rng = np.random.default_rng(5)
     old = [[int(x) for x in rng.integers(0, 2**63, k)] for k in (0, 1, 5, 40, 700, 3000)]

@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -209,24 +210,26 @@ def compared(versions: DataFrame, old: str, new: str, keep: list[str]) -> DataFr
     return map_slices(versions.select(*[F.col(f"`{c}`") for c in keep], F.col(old).alias("_old"), F.col(new).alias("_new")), each, schema)
 
 
-def _bucket(key: Column, splits: list[int]) -> Column:
-    """How many of the ascending ``splits`` are not above ``key``, by two short scans."""
-    if not splits:
-        return F.lit(0)
-    width = max(1, round(len(splits) ** 0.5))
-    parts = [splits[k : k + width] for k in range(0, len(splits), width)]
+def _limits(docs: DataFrame, key: Column, parts: int) -> tuple[np.ndarray, int | None]:
+    """(ascending ids that cut the table into about ``parts`` even ranges, the smallest id); the list of shares is one literal."""
+    if parts < 2:
+        shares = F.lit(None)
+    else:
+        shares = F.percentile_approx("key", F.split(F.lit(",".join(str(k / parts) for k in range(1, parts))), ",").cast("array<double>"), 8 * parts)
+    facts = docs.select(key.alias("key")).agg(shares.alias("limits"), F.min("key").alias("first")).first()
+    return np.array(sorted({s for s in facts["limits"] or [] if s > facts["first"]}), np.int64), facts["first"]
 
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda s: s <= key))
 
-    part = below(F.array(*[F.lit(p[0]).cast("long") for p in parts]))
-    inner = F.array(*[F.array(*[F.lit(s).cast("long") for s in p]) for p in parts])
-    return F.when(part == 0, 0).otherwise((part - 1) * width + below(F.get(inner, part - 1))).cast("int")
+def _range_of(limits: np.ndarray, first: int | None):
+    """A column function: twice the number of an id's range, one more where the id is the smallest of its range."""
 
+    def number(key: pd.Series) -> pd.Series:
+        ids = key.to_numpy()
+        at = np.searchsorted(limits, ids, "right")
+        starts = (ids == first) if not len(limits) else (ids == np.where(at > 0, limits[np.maximum(at - 1, 0)], first))
+        return pd.Series(2 * at.astype(np.int32) + starts)
 
-def _at(bucket: Column, splits: list[int]) -> Column:
-    """The smallest id of a bucket but the first."""
-    return F.get(F.array(*[F.lit(s).cast("long") for s in splits]), bucket - 1) if splits else F.lit(None).cast("long")
+    return F.pandas_udf(number, "int")
 
 
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,22 +238,20 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A text is shuffled once. The range limits are ids of the table, so the row
     at a limit is known as the first of its range and is also sent, as the
     ``tail``, to the range before; the table's first row is the tail of the last
-    range. Null ids come first; rows with the same id follow by text.
+    range. Where an id at a limit is repeated, all its rows are sent, and the
+    first of them counts. Null ids come first; rows with the same id follow by
+    text. The limits go with the tasks, so that the plan does not grow with them.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long"))
     n = max(2 * docs.select(doc_id).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [k / n for k in range(1, n)]
-    facts = docs.select(key.alias("key")).agg(F.percentile_approx("key", shares, 20 * n).alias("splits"), F.min("key").alias("first")).first()
-    splits = sorted({s for s in facts["splits"] or [] if s > facts["first"]})
-    first = F.lit(facts["first"]).cast("long")
-    bucket = _bucket(key, splits)
-    is_first = (F.col("key") == first) | (_at(F.col("bucket"), splits) == F.col("key"))
-    before = F.when(F.col("key") == first, F.lit(len(splits))).otherwise(F.col("bucket") - 1)
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
+    limits, first = _limits(docs, key, n)
+    rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).withColumn("place", _range_of(limits, first)("key"))
+    bucket, last = F.shiftright("place", 1), len(limits)
+    before = F.when(bucket == 0, F.lit(last)).otherwise(bucket - 1)
+    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("tail"))
     tail = F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("tail"))
-    rows = docs.select(key.alias("key"), bucket.alias("bucket"), F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
-    dealt = rows.select("doc_id", "key", "text", F.explode(F.when(is_first, F.array(own, tail)).otherwise(F.array(own))).alias("to")).select("to.bucket", "to.tail", "doc_id", "key", "text")
-    return dealt.repartitionById(len(splits) + 1, F.col("bucket")).sortWithinPartitions("bucket", "tail", "key", "text").select("bucket", "tail", "doc_id", "text")
+    dealt = rows.select("doc_id", "key", "text", F.explode(F.when(F.col("place") % 2 == 1, F.array(own, tail)).otherwise(F.array(own))).alias("to")).select("to.bucket", "to.tail", "doc_id", "key", "text")
+    return dealt.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "tail", "key", "text").select("bucket", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -173,8 +173,9 @@ def fit(labelled: DataFrame, docs: DataFrame, held_out=None, doc_id: str = "doc_
     """Fit on ``labelled`` (doc_id, label) rows whose id is in ``docs``, without those where ``held_out`` holds.
 
     Picks the rows by id before any text is read: labels of another value than
-    0 and 1, null ids and ids with two different labels teach nothing. Returns
-    None unless both classes have a text.
+    0 and 1, null ids and ids with two different labels teach nothing; of the
+    texts of a repeated id the first in byte order teaches. Returns None unless
+    both classes have a text.
     """
     rows = labelled.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1))
     if held_out is not None:
@@ -184,10 +185,15 @@ def fit(labelled: DataFrame, docs: DataFrame, held_out=None, doc_id: str = "doc_
     if set(shares) != {0, 1}:
         return None
     by_hash = Window.partitionBy("label").orderBy("order", "picked_id")
-    picked = rows.withColumn("order", F.xxhash64("picked_id")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= SAMPLE_PER_CLASS).select("picked_id", "label")
+    drawn = rows.withColumn("order", F.xxhash64("picked_id"))
+    for kind, n in shares.items():
+        # only about twice the sample is sorted; that fewer than the sample are left has no odds to speak of
+        if n > 4 * SAMPLE_PER_CLASS:
+            drawn = drawn.where((F.col("label") != kind) | (F.col("order") < -(2**63) + 2**64 * 2 * SAMPLE_PER_CLASS // n))
+    picked = drawn.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= SAMPLE_PER_CLASS).select("picked_id", "label")
     sample = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("label", "text", "doc_id")
     # sums of whole numbers: the order of rows and tasks changes nothing
-    sample = sample.dropDuplicates(["doc_id"]).select("label", "text").coalesce(TRAIN_TASKS)
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("row")).select("row.*").coalesce(TRAIN_TASKS)
     found = map_slices(sample, _learned, "label int, data binary").collect()
     rows_ = sorted(((r["label"], bytes(r["data"])) for r in found if r["label"] is not None))
     if {r[0] for r in rows_} != {0, 1}:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import map_slices, utf8, word_hashes
@@ -34,16 +34,15 @@ VOCABULARY = CLASSES = sys.maxsize
 CLASS_PRIOR, WORD_PRIOR = 50.0, 0.5
 #: Distinct words that a task counts before it hands them on.
 WORDS_AT_ONCE = 600_000
-#: Most frequent words, whose counts go with the tasks; the result does not depend on it.
+#: The most frequent words, up to this number, have counts that go with the tasks; the result does not depend on it.
 FREQUENT = 50_000
-#: Groups that cut a crowded bin of the word histogram down before it is sent.
-GROUPS = 16
 #: Ids of target documents that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Tokens and texts that are packed together at most (a longer text is a block of its own), and tokens of a bucket.
 BLOCK_TOKENS, BLOCK_TEXTS, BUCKET_TOKENS = 400_000, 30_000, 3_000_000
 
 START = np.uint64(0x5BD1E9955BD1E995)
+_START = int(START.view(np.int64))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _COUNTS = ("all_n", "target_n", "all_before", "target_before")
 #: Arrays of a block for a bucket: pairs that end in a frequent word (its number), others (the word's hash), rare words before another.
@@ -60,8 +59,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bytes, list[int]] = {}
 
     def rows() -> pa.RecordBatch:
+        words = np.where([w == b"" for w in counts], START, word_hashes(list(counts))).view(np.int64)
         columns = zip(*counts.values(), strict=True)
-        return pa.record_batch([pa.array(list(counts), pa.binary()), *[pa.array(c, pa.int64()) for c in columns]], names=["word", *_COUNTS])
+        return pa.record_batch([pa.array(words), *[pa.array(c, pa.int64()) for c in columns]], names=["word", *_COUNTS])
 
     for batch in batches:
         for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -88,38 +88,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(marked: DataFrame) -> DataFrame:
     """(word, all_n, target_n, all_before, target_before) over all texts of (text, is_target): how often a word stands, and stands before another.
 
-    The start of a text is the empty word.
+    Words are their hashes, and the start of a text is one of its own.
     """
-    sums = map_slices(marked.select("text", "is_target"), _counted, "word binary, " + ", ".join(f"{c} long" for c in _COUNTS))
+    sums = map_slices(marked.select("text", "is_target"), _counted, "word long, " + ", ".join(f"{c} long" for c in _COUNTS))
     found = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     # a task counts the last words of texts as -1, so that n + before is how often a word stands before another
-    word = F.col("word") != F.lit(b"")
+    word = F.col("word") != _START
     return found.select("word", "all_n", "target_n", *[F.when(word, F.col(f"{k}_n") + F.col(f"{k}_before")).otherwise(F.col(f"{k}_before")).alias(f"{k}_before") for k in ("all", "target")])
 
 
 def frequent_words(counts: DataFrame, size: int) -> list:
-    """The rows of the most frequent words, ties in byte order. The list is bounded by ``size``.
+    """The rows of the most frequent words, at most ``size`` of them.
 
-    A histogram of the counts (eight bins for each power of two) shows which
-    bin holds the last word, so that little more than the list itself is sent
-    to the driver. Of a bin with many words, each of ``GROUPS`` groups first
-    keeps its own best.
+    A histogram of the counts (eight bins for each power of two) shows how far
+    down whole bins can be taken.
     """
     counts = counts.where("all_n > 0").withColumn("bin", F.floor(F.log2("all_n") * 8).cast("int"))
     above, last = 0, None
     for row in sorted(counts.groupBy("bin").count().collect(), reverse=True):
-        if above + row["count"] >= size:
-            last = row
+        if above + row["count"] > size:
             break
-        above += row["count"]
-    rows = (counts if last is None else counts.where(F.col("bin") > last["bin"])).collect()
-    if last is not None:
-        edge = counts.where(F.col("bin") == last["bin"])
-        if last["count"] > 2 * size:
-            own = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(GROUPS))).orderBy(F.desc("all_n"), "word")
-            edge = edge.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= size - above)
-        rows += edge.collect()
-    return sorted(rows, key=lambda r: (-r["all_n"], bytes(r["word"])))[:size]
+        above, last = above + row["count"], row["bin"]
+    return counts.where(F.col("bin") >= last).collect() if last is not None else []
 
 
 def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -163,9 +153,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     counts = materialise(word_counts(marked), "lm_words")
     whole = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all_n", "target_n")], F.count(F.when(F.col("all_n") > 0, 1)).alias("words")).first()
     size = {k: whole[f"{k}_n"] + WORD_PRIOR * (whole["words"] + 1) for k in ("all", "target")}
-    start = counts.where(F.col("word") == F.lit(b"")).first()
+    start = counts.where(F.col("word") == _START).first()
     often = frequent_words(counts, FREQUENT)
-    hashes = np.concatenate([word_hashes([bytes(r["word"]) for r in often]), [START]])
+    hashes = np.array([*[r["word"] for r in often], _START], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     sent = {c: np.array([*[r[c] for r in often], start[c] if start else 0], float)[order] for c in _COUNTS}
     hashes = hashes[order]

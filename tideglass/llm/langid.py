@@ -9,8 +9,9 @@ that of nearly all labelled texts of the language and of about the same size tha
 were kept out of the centroids. Cuts of the kept-out texts stand for short texts.
 
 The centroids are fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled texts of a
-language, the thresholds on half as many others. The classifier is a few hundred KB whatever the input, and is sent with the tasks;
-every text is scored in one pass without a shuffle.
+language, the thresholds on half as many others, each language in a task of its
+own. The classifier is some 50 KB for each language, whatever the input, and is sent
+with the tasks; every text is scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import map_slices
+from tideglass.shared import discard, materialise
 
 BITS = 12
 #: Labelled texts of a language that the centroids are fitted on, by smallest hash of the id.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages the classifier tells apart at most, those with the most labelled texts first.
-MOST_LANGUAGES = 250
+#: Languages the classifier tells apart at most; more are an error, as none is left out.
+MOST_LANGUAGES = 2_000
+#: Tasks that count the sample.
+TRAIN_TASKS = 16
 CENTROIDS = 3
 #: A text is rejected below this quantile of the cosines of kept-out texts of its language and size.
 REJECT_QUANTILE = 0.01
@@ -42,7 +46,7 @@ CUTS = (6, 12, 24, 48, 96, 192)
 LEAST_OF_ONE, LEAST_OF_ALL = 100, 20
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
@@ -57,7 +61,8 @@ def ngram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a text has a letter; numbers in circles, fractions and raised digits are none."""
+    return text is not None and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def _sizes(counts: np.ndarray) -> np.ndarray:
@@ -161,32 +166,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary()), pa.array(flags, pa.bool_()), pa.array(cuts, pa.list_(pa.binary()))], names=["lang", "counts", "kept_out", "cuts"])
 
 
-def fit_counts(rows: list[tuple[str, bytes, bool, list[bytes]]]) -> Centroids:
-    """The classifier of rows (language, counts, kept out, counts of cuts).
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a task: how many of its texts there are, and how many have each n-gram."""
+    n, found = 0, np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            n += 1
+            found[np.frombuffer(packed, np.uint32).reshape(2, -1)[0]] += 1
+    yield pa.record_batch([pa.array([n]), pa.array([found.tobytes()], pa.binary())], names=["n", "found"])
+
+
+def _language(model: Centroids, counts: list[bytes], kept_out: list[bool], cuts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, cosines of kept-out texts and their cuts, their sizes, which are whole texts) of one language.
 
     A kept-out text with the counts of a fitted one says nothing of new texts and
     is left out; where all texts of a language are kept out, they are fitted on.
     """
-    fitted = {lang for lang, _, kept_out, _ in rows if not kept_out}
-    taught = sorted((lang, counts) for lang, counts, kept_out, _ in rows if not kept_out or lang not in fitted)
+    taught = sorted(c for c, k in zip(counts, kept_out, strict=True) if not k or all(kept_out))
     known = set(taught)
-    others = [r for r in sorted(rows) if (r[0], r[1]) not in known]
-    counts = _unpacked([c for _, c in taught])
-    names = sorted({lang for lang, _ in taught})
-    y = np.array([names.index(lang) for lang, _ in taught])
-    idf = (np.log((1 + len(taught)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    model = Centroids(names, idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros((len(names), BITS + 1)))
-    x = model.vectors(counts)
-    centres = [_k_means(x[y == i], CENTROIDS) for i in range(len(names))]
-    model.rows = np.vstack(centres).astype(np.float32)
-    model.of = np.repeat(np.arange(len(names)), [len(c) for c in centres])
-    found = [(np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0, bool))]
-    for lang, whole, _, cuts in others:
-        part, i = _unpacked([whole, *cuts]), names.index(lang)
-        found.append((np.full(len(part), i), (model.vectors(part) @ centres[i].T).max(1), _sizes(part), np.arange(len(part)) == 0))
-    of, cosine, size, whole = (np.concatenate(c) for c in zip(*found, strict=True))
-    model.least = _thresholds(of, len(names), cosine, size, whole)
-    return model
+    centres = _k_means(model.vectors(_unpacked(taught)), CENTROIDS).astype(np.float32)
+    found = [(np.zeros(0), np.zeros(0, int), np.zeros(0, bool))]
+    for whole, some in sorted((c, x) for c, x in zip(counts, cuts, strict=True) if c not in known):
+        part = _unpacked([whole, *some])
+        found.append(((model.vectors(part) @ centres.T).max(1).astype(float), _sizes(part), np.arange(len(part)) == 0))
+    return centres, *(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> Centroids | None:
@@ -194,26 +197,49 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
 
     The sample is picked by id, before any text is read: each task keeps its
     best of a language, as many as the sample takes, so a hot language costs no
-    more than others. Texts leave the executors as trigram counts.
+    more than others. Texts of a repeated id all teach, up to the sample's
+    number. Centroids come from one task for each language. More than
+    ``MOST_LANGUAGES`` languages are an error.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     by_hash = Window.partitionBy("lang").orderBy("order", "doc_id")
-    languages = [r[0] for r in known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    languages = [r[0] for r in known.select(F.col(lang).alias("lang")).distinct().limit(MOST_LANGUAGES + 1).collect()]
     if not languages:
         return None
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     picked = (
         known.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("order"))
-        .where(F.col("lang").isin(languages))
         .withColumn("nth", F.row_number().over(by_hash))
         .where(F.col("nth") <= SAMPLE_PER_LANGUAGE * KEPT_OUT // (KEPT_OUT - 1))
         .groupBy(F.col("doc_id").alias("picked_id"))
         .agg((F.max(F.col("nth") % KEPT_OUT) == 0).alias("kept_out"))
     )
-    sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "kept_out")
-    rows = map_slices(sample, _counted, "lang string, counts binary, kept_out boolean, cuts array<binary>").collect()
-    if not rows:
+    sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "kept_out").repartition(TRAIN_TASKS)
+    rows = materialise(map_slices(sample, _counted, "lang string, counts binary, kept_out boolean, cuts array<binary>"), "lang_sample")
+    # a language of kept-out texts alone is taught by them
+    whole = rows.groupBy("lang").agg(F.min("kept_out").alias("only")).where("only").select("lang")
+    taught = rows.where("not kept_out").select("counts").union(rows.join(F.broadcast(whole), "lang", "left_semi").select("counts"))
+    sums = map_slices(taught, _frequencies, "n long, found binary").collect()
+    n = sum(r["n"] for r in sums)
+    if not n:
         return None
-    return fit_counts([(r["lang"], bytes(r["counts"]), r["kept_out"], [bytes(c) for c in r["cuts"]]) for r in rows])
+    have = np.sum([np.frombuffer(r["found"], np.int64) for r in sums], axis=0)
+    model = Centroids([], (np.log((1 + n) / (1 + have)) + 1).astype(np.float32), np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros((0, BITS + 1)))
+
+    def learned(table: pa.Table) -> pa.Table:
+        found = _language(model, *(table.column(c).to_pylist() for c in ("counts", "kept_out", "cuts")))
+        return pa.table([table.column("lang").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["lang", "centres", "cosine", "size", "whole"])
+
+    got = sorted(rows.groupBy("lang").applyInArrow(learned, "lang string, centres binary, cosine binary, size binary, whole binary").collect(), key=lambda r: r["lang"])
+    discard(rows)
+    centres, cosine, size, whole = ([np.frombuffer(r[k], kind) for r in got] for k, kind in (("centres", np.float32), ("cosine", float), ("size", np.int64), ("whole", bool)))
+    model.languages = [r["lang"] for r in got]
+    model.rows = np.concatenate(centres).reshape(-1, 1 << BITS)
+    model.of = np.repeat(np.arange(len(got)), [len(c) >> BITS for c in centres])
+    of = np.repeat(np.arange(len(got)), [len(c) for c in cosine])
+    model.least = _thresholds(of, len(got), *(np.concatenate(x) for x in (cosine, size, whole)))
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids | None, text: str = "text") -> DataFrame:

@@ -214,6 +214,42 @@ def test_quality_on_held_out_rows(spark):
     assert got.select(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
 
 
+def test_quality_equals_plain_loops(spark):
+    import re
+
+    import xxhash
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    net = quality.fit(spark.read.parquet(f"{DATA}/labels.parquet"), docs)
+    vectors = net.vectors.astype(float)
+    for r in quality.scored(docs, net).where("doc_id % 9 = 0").collect():
+        words = r["text"].encode().split()
+        pool, last = np.zeros((2, quality.DIM)), None
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            slot = xxhash.xxh3_64_intdigest(re.sub(r"[\W_]+", "", text).lower()) % quality.WORD_SLOTS
+            kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text)
+            form = quality.WORD_SLOTS + 1 + xxhash.xxh3_64_intdigest(re.sub(r"(.)\1+", r"\1", kinds, flags=re.S)) % (quality.SHAPE_SLOTS - 1)
+            form = quality.WORD_SLOTS if slot == last else form
+            pool[0] += vectors[slot] / len(words)
+            pool[1] += vectors[form] / len(words)
+            last = slot
+        x = (pool.ravel() - net.mean) / net.scale
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, net.w1[:, k], strict=True)) + net.b1[k]) for k in range(quality.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_quality_sample_takes_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PER_CLASS", 30)
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 != 0).cast("int").alias("quality"))
+    docs = labels.select("doc_id", F.when(F.col("quality") == 1, F.concat_ws(" ", F.lit("plain good words"), F.col("doc_id") % 7)).otherwise("$$ ## !!").alias("text"))
+    twice = docs.union(docs.select("doc_id", F.lit("zz").alias("text")))
+    nets = [quality.fit(labels, d) for d in (twice, twice.repartition(5))]
+    assert nets[0].w2.tolist() == nets[1].w2.tolist()
+    assert quality.scored(docs, nets[0]).join(labels, "doc_id").where("(score >= 0.5) <> (quality = 1)").count() == 0
+
+
 def test_quality_edges(spark, odd, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     net = quality.fit(spark.read.parquet(f"{DATA}/labels.parquet"), docs)
@@ -261,6 +297,17 @@ def test_licenses_find_templates_in_noise(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_short_templates_and_families(spark):
+    two, three = (licenses.TEMPLATES[f"gpl-{v}-notice"][1] for v in ("2.0", "3.0"))
+    far = " word" * 700
+    rows = [(1, "(c) 2020 Someone. All rights\nreserved. More."), (2, "all rights reserved"), (3, "rights reserved all"), (4, f"{two}{far}"), (5, three), (6, two + far + three), (7, licenses.TEMPLATES["lgpl-2.1-notice"][1])]
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "All rights reserved"), (2, "All rights reserved"), (4, "GPL-2.0"), (5, "GPL-3.0"), (6, "GPL-2.0"), (6, "GPL-3.0"), (7, "LGPL-2.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licenses.scan(df, {"none": ("x", "... !")}).count() == 0
+    assert licenses.scan(df, {"none": ("x", "..."), "one": ("y", "Someone")}).select("doc_id").collect() == [(1,)]
+
+
 @pytest.fixture(scope="module")
 def model():
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -565,6 +612,29 @@ def test_language_on_held_out_rows(spark):
     assert got.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.95
 
 
+def test_language_equals_plain_loops(spark, docs):
+    model = langid.fit(docs, learn=F.lit(True))
+    idf, rows = model.idf.tolist(), model.rows.tolist()
+    for r in langid.identify(docs, model).where("doc_id % 9 = 0").collect():
+        raw, counts = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in f" {r['text'].lower()} ").encode().replace(b"  ", b" "), {}
+        for k in range(len(raw) - 2):
+            at = (int.from_bytes(raw[k : k + 3], "little") * 2654435761 % 2**32) >> (32 - langid.BITS)
+            counts[at] = counts.get(at, 0) + 1
+        x = {k: math.log1p(n) * idf[k] for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        cosine = [sum(v * row[k] for k, v in x.items()) / norm for row in rows]
+        assert r["lang_score"] == pytest.approx(max(cosine), abs=1e-5) and r["lang_pred"] == model.languages[model.of[cosine.index(max(cosine))]]
+
+
+def test_language_needs_letters_and_bounds_languages(spark, monkeypatch):
+    assert not any(map(langid.has_letter, ("½", "²", "①", "12 _ ³", "", None))) and langid.has_letter("① a") and langid.has_letter("語")
+    docs = spark.createDataFrame([(k, f"word number {k}", "abc"[k % 3]) for k in range(9)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, learn=F.lit(True)).languages == ["a", "b", "c"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(docs, learn=F.lit(True))
+
+
 def test_language_edges(spark, docs, odd, none):
     model = langid.fit(docs, learn=F.lit(True))
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}

@@ -147,7 +147,9 @@ def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for r in batch.to_pylist():
             left, right = r["rows"], r["others"]
             ids, parts = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in ("id", "component"))
-            i, j = np.nonzero((parts[0][:, None] != parts[1][None, :]) & ((ids[1][None, :] > ids[0][:, None]) | (not r["same"])))
+            sizes = [np.array([x["size"] for x in side], np.int64) for side in (left, right)]
+            alike = SIMILAR[1] * np.minimum.outer(*sizes) >= SIMILAR[0] * np.maximum.outer(*sizes)
+            i, j = np.nonzero(alike & (parts[0][:, None] != parts[1][None, :]) & ((ids[1][None, :] > ids[0][:, None]) | (not r["same"])))
             if not len(i):
                 continue
             a, b = (np.frombuffer(b"".join([x["signature"] for x in side]), "<u2").reshape(-1, SYMBOLS) for side in (left, right))
@@ -206,10 +208,10 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _classes(table: DataFrame) -> DataFrame:
-    """(id, digest, n, doc, text_key, signature) of every set that a row with an id has, numbered in the order of their first documents; n rows have it."""
-    rows = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key", "signature"))
+    """(id, digest, n, doc, text_key, size, signature) of every set that a row with an id has, numbered in the order of their first documents; n rows have it."""
+    rows = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key", F.col("n_shingles").alias("size"), "signature"))
     first = table.where("digest is not null").groupBy("digest").agg(F.min(rows).alias("first"), F.count(F.lit(1)).alias("n")).where("first is not null")
-    ordered = first.select("digest", "n", F.col("first.doc_id").alias("doc"), "first.text_key", "first.signature").orderBy("doc", "digest")
+    ordered = first.select("digest", "n", F.col("first.doc_id").alias("doc"), "first.text_key", "first.size", "first.signature").orderBy("doc", "digest")
     return materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "neardup_classes")
 
 
@@ -231,8 +233,10 @@ def _set_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str,
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
     """The pairs (a, b) of classes that are near by signature and similar by full sets, written once."""
-    signatures = classes.select("id", "signature")
-    near = pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signatures.withColumnsRenamed({"id": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
+    signatures = classes.select("id", "size", "signature")
+    of_a, of_b = (signatures.withColumnsRenamed({"id": x, "size": f"n{x}", "signature": f"s{x}"}) for x in "ab")
+    # sets whose sizes differ more cannot be similar
+    near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0]).select("a", "b", "sa", "sb")
     near = materialise(map_slices(near, _near, "a long, b long"), f"{name}_near")
     ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}_ids")
     found = _set_table(docs, classes, ids, doc_id, text, f"{name}_sets")
@@ -293,9 +297,9 @@ def _open(placed: DataFrame) -> DataFrame:
 def _across(rest: DataFrame, classes: DataFrame) -> DataFrame:
     """Near pairs (a, b) of classes in different components, from open keys (key, id, component)."""
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
-    rows = _with_value(rest.join(classes.select("id", "signature"), "id"), sizes, "key", rest.count())
+    rows = _with_value(rest.join(classes.select("id", "size", "signature"), "id"), sizes, "key", rest.count())
     place = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "signature")).alias("rows"))
+    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "size", "signature")).alias("rows"))
     alone = packed.where("blocks = 1").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
     several = packed.where("blocks > 1")
     other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))

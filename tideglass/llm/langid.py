@@ -38,6 +38,8 @@ TRAIN_TASKS = 16
 CENTROIDS = 3
 #: A text is rejected below this quantile of the cosines of kept-out texts of its language and size.
 REJECT_QUANTILE = 0.01
+#: That quantile lies so many times as far below the middle as the lower quarter, as of normal values.
+QUARTERS = 3.5
 #: Every n-th text of a language is kept out of the centroids, and gives the thresholds.
 KEPT_OUT = 3
 #: Characters of the cuts of a kept-out text.
@@ -106,8 +108,11 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _low(cosine: np.ndarray) -> float:
-    """The quantile below which is rejected; of few texts a higher one, so that no two odd ones decide."""
-    return float(np.quantile(cosine, min(0.5, max(REJECT_QUANTILE, 2 / len(cosine)))))
+    """The quantile below which is rejected; of few texts it follows from their middle and lower quarter, so that no odd ones decide."""
+    if len(cosine) * REJECT_QUANTILE >= 2:
+        return float(np.quantile(cosine, REJECT_QUANTILE))
+    middle, quarter = np.quantile(cosine, (0.5, 0.25))
+    return float(max(0.0, middle - QUARTERS * max(middle - quarter, 0.1 * middle)))
 
 
 def _by_size(cosine: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
@@ -252,11 +257,12 @@ def identify(docs: DataFrame, model: Centroids | None, text: str = "text") -> Da
     return scored(docs.drop("lang_pred", "lang_score", "lang_accepted"), model, text)
 
 
-def scored(docs: DataFrame, model: Centroids | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Centroids | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_accepted")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language, its cosine and whether it is accepted, under ``names``."""
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[c] for c in keep]
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text_to_score"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "lang_score double", "lang_accepted boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"), strict=True)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,6 +276,6 @@ def scored(docs: DataFrame, model: Centroids | None, text: str = "text", keep: l
                 scores[part], ok[part] = cosine, accepted
                 for i, k in zip(part, best, strict=True):
                     langs[i] = model.languages[k]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(ok)], names=[*keep, "lang_pred", "lang_score", "lang_accepted"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(ok)], names=[*keep, *names])
 
     return map_slices(slim, score, schema)

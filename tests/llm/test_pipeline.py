@@ -31,3 +31,25 @@ def test_stages(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     sizes = {r["doc_id"]: len(library.encode(r["text"], add_bos=True, add_eos=True)) for r in kept[4].collect()}
     assert len(out) == n[4] and all(sizes[i] == k for i, k in zip(out["doc_id"], out["n_tokens"], strict=True))
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en'").limit(60).drop("n_chars")
+    rows = [(None, None, "en", "s"), (None, "", None, None), (5, " \n ", "en", "s"), (5, "12 345 67 .", "en", "s")]
+    some = docs.where("length(text) > 300").limit(4)
+    again = some.unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(some.limit(2).withColumn("text", F.concat(F.lit("Nobody ever said so before. "), F.reverse("text"))))
+    odd = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).unionByName(again)
+    odd = odd.withColumns({"lang_pred": F.lit("mine"), "copies": F.lit(1), "_quality": F.lit("q"), "_row": F.lit(0), "n_chars": F.length("text")})
+    odd = spark.createDataFrame(odd.collect(), odd.schema)
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        before, kept = kept, stage(spark, kept, DATA)
+        assert kept.columns == odd.columns
+        kept = spark.createDataFrame(kept.collect(), odd.schema)
+        assert kept.select("text").subtract(before.select("text")).count() == 0 and kept.where("lang_pred <> 'mine'").count() == 0
+    once = corpus_pipeline.one_of_near_duplicates(spark, odd, DATA)
+    texts = [(k, r["text"]) for k, r in enumerate(odd.collect())]
+    assert once.count() == sum(r[3] for r in brute_components(texts))
+    assert corpus_pipeline.tokenised(spark, kept, DATA).count() == kept.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), DATA).count() == 0

@@ -1,7 +1,10 @@
 """A corpus from documents to tokens: five stages, each over all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever others there are. Null texts, texts
+without words and texts without letters have no known language and go there; null
+and repeated ids, null sources and rows that are alike are documents like others. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,28 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import langid, mixing, neardup, pieces, quality
-from tideglass.llm.common import table
+from tideglass.llm.common import fresh, table
 from tideglass.shared import materialise
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more, learned from the labels of the documents at hand."""
     net = quality.fit(table(spark, sf_dir, "labels"), docs)
-    return quality.scored(docs, net, name="_quality").where("_quality >= 0.5").select(*docs.columns)
+    score = fresh(docs.columns, "_quality")
+    return quality.scored(docs, net, name=score).where(F.col(score) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that are near a centroid of some language; ``lang`` stays as it came."""
     model = langid.fit(docs, learn=F.lit(True))
-    return langid.identify(docs, model).where("lang_accepted").select(*docs.columns)
+    names = tuple(fresh(docs.columns, n) for n in ("_lang", "_cosine", "_accepted"))
+    return langid.scored(docs, model, names=names).where(F.col(names[2])).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates; of rows that share its id, one."""
-    kept = materialise(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")), "pipeline_kept")
-    n = kept.agg(F.count("_kept_id").alias("rows"), F.count_distinct("_kept_id").alias("ids")).first()
-    rows = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    return rows if n["rows"] == n["ids"] else rows.dropDuplicates(["doc_id"])
+    """The first document of each component of near duplicates.
+
+    Where ids are null or repeated, rows are numbered and written first, and the
+    number stands for the id: every row is then a document of its own.
+    """
+    facts = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    key = "doc_id"
+    if facts["rows"] != facts["ids"]:
+        key = fresh(docs.columns, "_row")
+        docs = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline_rows")
+    kept = neardup.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(fresh(docs.columns, "_kept_id")))
+    rows = docs.join(kept, docs[key] == kept[kept.columns[0]], "left_semi")
+    return rows if key == "doc_id" else rows.drop(key)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

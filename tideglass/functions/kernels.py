@@ -36,30 +36,135 @@ def znorm_min_dist(shapelets: np.ndarray, series: np.ndarray, rule: str = "full"
     return np.sqrt(((shapelets - z[best]) ** 2).sum(1))
 
 
-def dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> float:
-    """Dynamic time warping by absolute difference; ``radius`` bounds the distance from the scaled diagonal (None: exact).
+#: Cells of cost tables that are held together.
+CELLS = 4_000_000
+
 
-    Infinite for an empty side.
+def _costs(a: np.ndarray, b: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
+    """Least sums of absolute differences up to each cell, for pairs of rows; rows and columns count from 1.
+
+    Cells of one falling diagonal do not depend on each other and are filled at once.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return float("inf")
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0.0
-    for i in range(1, n + 1):
-        centre = i * m / n
-        low, high = (1, m) if radius is None else (max(1, int(centre - radius - m / n)), min(m, int(centre + radius + m / n) + 1))
-        for j in range(low, high + 1):
-            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
-    return float(cost[n, m])
+    n, m = a.shape[1], b.shape[1]
+    cost = np.full((len(a), n + 1, m + 1), np.inf)
+    cost[:, 0, 0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        best = np.minimum(np.minimum(cost[:, i - 1, j], cost[:, i, j - 1]), cost[:, i - 1, j - 1])
+        cell = np.abs(a[:, i - 1] - b[:, j - 1]) + best
+        cost[:, i, j] = cell if allowed is None else np.where(allowed[:, i - 1, j - 1], cell, np.inf)
+    return cost
 
 
-def distance(a: np.ndarray, b: np.ndarray, threshold: float = 0.1, radius: int = 1) -> float:
-    """Minkowski distance of the first order of 1 and 2 above the threshold (else 2); warping for unequal lengths."""
-    if len(a) != len(b):
-        return dtw(a, b, radius)
+def _path(cost: np.ndarray) -> np.ndarray:
+    """The cells of the cheapest path of each pair; of equal steps the first of down, right, both."""
+    count, n, m = cost.shape[0], cost.shape[1] - 1, cost.shape[2] - 1
+    on, k = np.zeros((count, n, m), bool), np.arange(count)
+    i, j = np.full(count, n), np.full(count, m)
+    while len(k):
+        on[k, i - 1, j - 1] = True
+        steps = np.stack([cost[k, i - 1, j], cost[k, i, j - 1], cost[k, i - 1, j - 1]])
+        step = steps.argmin(0)
+        i, j = i - (step != 1), j - (step != 0)
+        there = (i > 0) & (j > 0)
+        k, i, j = k[there], i[there], j[there]
+    return on
+
+
+def _around(path: np.ndarray, n: int, m: int, radius: int) -> np.ndarray:
+    """Cells of a table of twice the size that lie at most ``radius`` coarse cells from the path."""
+    count, rows, columns = path.shape
+    wide = np.zeros((count, rows + 2 * radius, columns + 2 * radius), bool)
+    for x in range(2 * radius + 1):
+        for y in range(2 * radius + 1):
+            wide[:, x : x + rows, y : y + columns] |= path
+    return wide[:, radius:, radius:].repeat(2, 1).repeat(2, 2)[:, :n, :m]
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    even = x[:, : x.shape[1] // 2 * 2]
+    return (even[:, ::2] + even[:, 1::2]) / 2
+
+
+def _fast_costs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    n, m = a.shape[1], b.shape[1]
+    if min(n, m) < radius + 2:
+        return _costs(a, b, None)
+    return _costs(a, b, _around(_path(_fast_costs(_halved(a), _halved(b), radius)), n, m, radius))
+
+
+def warped(a: np.ndarray, b: np.ndarray, radius: int | None = 1) -> np.ndarray:
+    """Dynamic time warping distances, by absolute difference, of each row of ``a`` to the same row of ``b``.
+
+    With a radius (1 or more) from coarse to fine: the path of both sides at half
+    their points, and what is at most ``radius`` coarse cells from it, is all that
+    is looked at. None is exact. Infinite for an empty side.
+    """
+    if not a.shape[1] or not b.shape[1]:
+        return np.full(len(a), np.inf)
+    together = max(1, CELLS // ((a.shape[1] + 1) * (b.shape[1] + 1)))
+    parts = [(a[k : k + together], b[k : k + together]) for k in range(0, len(a), together)]
+    return np.concatenate([(_costs(x, y, None) if radius is None else _fast_costs(x, y, radius))[:, -1, -1] for x, y in parts] or [np.zeros(0)])
+
+
+def dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> float:
+    """The warping distance of two series (None: exact). Infinite for an empty side."""
+    return float(warped(np.asarray(a, float)[None], np.asarray(b, float)[None], radius)[0])
+
+
+def row_distances(a: np.ndarray, b: np.ndarray, threshold: float = 0.1, radius: int = 1) -> np.ndarray:
+    """Of each row of ``a`` to the same row of ``b``: the Minkowski distance of the first order of 1 and 2 above the
+    threshold (else 2); the warping distance for unequal lengths."""
+    if a.shape[1] != b.shape[1]:
+        return warped(a, b, radius)
     gap = np.abs(a - b)
-    return float(gap.sum()) if gap.sum() > threshold else float(np.sqrt((gap * gap).sum()))
+    first = gap.sum(1)
+    return np.where(first > threshold, first, np.sqrt((gap * gap).sum(1)))
+
+
+def distance(a: np.ndarray, b: np.ndarray, threshold: float = 0.1, radius: int = 1) -> float:
+    """``row_distances`` of two series."""
+    return float(row_distances(np.asarray(a, float)[None], np.asarray(b, float)[None], threshold, radius)[0])
+
+
+def by_lengths(a: list, b: list):
+    """(places, rows of a, rows of b) for each two lengths that the pairs of two lists have."""
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        shapes.setdefault((len(x), len(y)), []).append(k)
+    for at in shapes.values():
+        yield np.array(at), *(np.array([side[k] for k in at], float).reshape(len(at), -1) for side in (a, b))
+
+
+def distances(a: list, b: list, threshold: float = 0.1, radius: int = 1) -> np.ndarray:
+    """The distance of each series of ``a`` to the same one of ``b``, lengths as they come."""
+    out = np.empty(len(a))
+    for at, x, y in by_lengths(a, b):
+        out[at] = row_distances(x, y, threshold, radius)
+    return out
+
+
+def multi_metric(a: np.ndarray, b: np.ndarray, radius: int = 1) -> np.ndarray:
+    """Weighted sum, clipped to [0, 1], of distance, cosine, Pearson and length similarity of rows; cosine and Pearson on
+    the common prefix. As ``scalars.multi_metric_similarity``, with warping for unequal lengths."""
+    n = min(a.shape[1], b.shape[1])
+    if not n:
+        return np.zeros(len(a))
+    r = n / max(a.shape[1], b.shape[1])
+    weights = np.array([0.3 * (1.1 if r > 0.8 else 1.0), 0.3 * (1.2 if r < 0.5 else 1.0), 0.2 * (1.1 if r < 0.5 else 1.0), 0.2 * (0.5 if r < 0.5 else 1.2 if r > 0.8 else 1.0)])
+    weights /= weights.sum()
+    x, y = a[:, :n], b[:, :n]
+
+    def cosine(u: np.ndarray, v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1))
+        good = (norm > least) & (n > 1)
+        return np.where(good, (u * v).sum(1) / np.where(good, norm, 1.0), 0.0), good
+
+    angle, _ = cosine(x, y, 0.0)
+    linear, good = cosine(x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True), 1e-12)
+    found = weights[0] / (1 + row_distances(a, b, radius=radius)) + weights[1] * angle + weights[2] * np.where(good, np.maximum(0.0, (linear + 1) / 2), 0.0) + weights[3] * r * r
+    return np.nan_to_num(np.clip(found, 0.0, 1.0))
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray, threshold: float = 0.1) -> np.ndarray:

@@ -93,10 +93,18 @@ def cosine_prefix(a: Column, b: Column) -> Column:
 def pearson01_prefix(a: Column, b: Column) -> Column:
     """(r + 1) / 2 on the common prefix; 0 for a prefix of at most one value or a constant one."""
     x, y = common(a, b)
-    n = F.size(x).cast("double")
-    cov = dot(x, y) - total(x) * total(y) / n
-    norm = F.sqrt(F.greatest(dot(x, x) - total(x) * total(x) / n, F.lit(0.0))) * F.sqrt(F.greatest(dot(y, y) - total(y) * total(y) / n, F.lit(0.0)))
-    return F.when((F.size(x) <= 1) | (norm < 1e-12), 0.0).otherwise(F.greatest(F.lit(0.0), (F.try_divide(cov, norm) + 1) / 2))
+    held = F.array(F.struct(x.alias("x"), y.alias("y"), mean(x).alias("mx"), mean(y).alias("my")))
+    none = F.struct(*[F.lit(0.0).alias(k) for k in ("xy", "xx", "yy")])
+
+    def sums(s: Column) -> Column:
+        gaps = F.zip_with(s["x"], s["y"], lambda p, q: F.struct((p - s["mx"]).alias("p"), (q - s["my"]).alias("q")))
+        return F.aggregate(gaps, none, lambda t, g: F.struct((t["xy"] + g["p"] * g["q"]).alias("xy"), (t["xx"] + g["p"] * g["p"]).alias("xx"), (t["yy"] + g["q"] * g["q"]).alias("yy")))
+
+    def share(s: Column) -> Column:
+        norm = F.sqrt(s["xx"]) * F.sqrt(s["yy"])
+        return F.when(norm < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), (F.try_divide(s["xy"], norm) + 1) / 2))
+
+    return F.when(F.size(x) <= 1, 0.0).otherwise(F.get(F.transform(F.transform(held, sums), share), F.lit(0)))
 
 
 def length_similarity(a: Column, b: Column) -> Column:

@@ -9,10 +9,13 @@ from tideglass.jobs.base import SERIES, query, r, rounded, series, table
 from tideglass.jobs.extract_queries import gain_sql
 from tideglass.jobs.pair_queries import _BOTH, _U, _shapelets
 from tideglass.jobs.profile_queries import draw_sql
-from tideglass.operators import extract, forest, match, pairs
-from tideglass.shared import materialise
+from tideglass.operators import classify as classification
+from tideglass.operators import forest, pairs
 
 TREES = 10
+TRAINED_AT = "2024-01-01 00:00:00"
+#: Least similarity and confidence of an early decision: prefixes of these series are not very like shapelets.
+ACCEPTED = (0.5, 0.4)
 
 _BOOT = f"{_U}, bt AS (SELECT tree_id, place, {draw_sql(42, 'tree_id', 'place')} % (SELECT count(*) FROM h) AS i FROM (SELECT unnest(range(0, 10)) AS tree_id), (SELECT i AS place FROM h)), boot AS (SELECT tree_id, place, i, h.label FROM bt JOIN h USING (i))"
 
@@ -33,26 +36,19 @@ def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forest.best_split(forest.bootstrap(h, TREES), pairs.pairwise_similarity(h), spread=5.0))
 
 
-def _extracted(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """The diverse best shapelets of all series of a split, by place."""
-    found = extract.extract_shapelets(series(spark, sf_dir).where(F.col("split") == split))
-    return materialise(pairs.indexed(found.select(F.col("candidate_id").alias("id"), "label", "values")), "forest_shapelets")
-
-
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A forest of the shapelets extracted from the whole train split."""
-    h = _extracted(spark, sf_dir, "train")
-    return materialise(forest.train_forest(h, TREES), "forest"), h
+def _trained(spark: SparkSession, sf_dir: str, split: str = "train") -> classification.Model:
+    """A model of the shapelets extracted from all series of a split."""
+    return classification.train(series(spark, sf_dir).where(F.col("split") == split), TRAINED_AT, TREES)
 
 
 @query()
 def train_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forest(spark, sf_dir)[0]
+    return _trained(spark, sf_dir).nodes
 
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, h = _forest(spark, sf_dir)
-    return forest.predict_trees(series(spark, sf_dir), nodes, h)
+    model = _trained(spark, sf_dir)
+    return forest.predict_trees(series(spark, sf_dir), model.nodes, model.shapelets)
 
 
 @query()
@@ -117,8 +113,8 @@ def forest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrain_weak_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest after trees of a score below 0.4 were grown anew from the test series' shapelets."""
-    nodes, _ = _forest(spark, sf_dir)
-    new = _extracted(spark, sf_dir, "test")
+    nodes = _trained(spark, sf_dir).nodes
+    new = _trained(spark, sf_dir, "test").shapelets
     return forest.retrain_weak_trees(nodes, _scores(spark, sf_dir).withColumn("tree_id", F.col("tree_id").cast("int")), new, 0.4)
 
 
@@ -140,14 +136,5 @@ def score_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test series: its early decision, or the forest's vote on the whole series."""
-    from tideglass.jobs.match_queries import AS_OF, _cache, _queries
-
     test = series(spark, sf_dir).where("split = 'test'")
-    early = match.early_decision(_queries(spark, sf_dir), _cache(spark, sf_dir), AS_OF, 0.45, 0.4)
-    nodes, h = _forest(spark, sf_dir)
-    late = test.join(early.select("series_id"), "series_id", "left_anti")
-    voted = forest.vote(forest.predict_trees(late, nodes, h)).select("series_id", F.col("label").alias("predicted_label"), "confidence", F.lit("forest").alias("method"), F.lit(0.0).alias("earliness"), F.lit(1.0).alias("observation_ratio"))
-    n = test.select("series_id", F.size("values").alias("n"))
-    ratio = F.col("length") / F.col("n")
-    matched = early.join(n, "series_id").select("series_id", "predicted_label", "confidence", F.lit("early").alias("method"), match.earliness(ratio).alias("earliness"), ratio.alias("observation_ratio"))
-    return rounded(matched.unionByName(voted))
+    return rounded(classification.classify(test, _trained(spark, sf_dir), TRAINED_AT, *ACCEPTED, asked_label=F.col("label")))

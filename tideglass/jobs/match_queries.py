@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import prefix_normalise
 from tideglass.jobs.base import SERIES, STREAM, query, r, rounded, series, stream
-from tideglass.jobs.scalar_queries import cosine, pearson01
 from tideglass.operators import match
 
 AS_OF = "2024-01-02 00:00:00"
@@ -33,23 +32,6 @@ _SCORE = _LEN + """, z AS (SELECT DISTINCT ON (series_id, length, shapelet_id) *
 _TOP = _SCORE + ", p AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, length ORDER BY round(score, 9) DESC, shapelet_id) AS place FROM z WHERE score > 0.1) WHERE place <= 10)"
 
 
-def _multi() -> str:
-    """Multi-metric similarity of a and x of any lengths; the distance part is that of equal lengths, else 0."""
-    d1 = "list_sum(list_transform(list_zip(a, x), lambda z: abs(z[1] - z[2])))"
-    d2 = "sqrt(list_sum(list_transform(list_zip(a, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
-    base = f"CASE WHEN len(a) = len(x) THEN 1 / (1 + CASE WHEN {d1} > 0.1 THEN {d1} ELSE {d2} END) ELSE 0 END"
-    m = "least(len(a), len(x))"
-    return f"""(SELECT greatest(0, least(1, (w1 * {base} + w2 * {cosine(f'a[1:{m}]', f'x[1:{m}]')} + w3 * {pearson01(f'a[1:{m}]', f'x[1:{m}]')} + w4 * q * q) / (w1 + w2 + w3 + w4))))"""
-
-
-_BEST = _TOP + f""", p1 AS (SELECT *, CAST(least(len(a), len(x)) AS DOUBLE) / greatest(len(a), len(x)) AS q FROM p),
-p2 AS (SELECT *, CAST(0.3 * CASE WHEN q > 0.8 THEN 1.1 ELSE 1 END AS DOUBLE) AS w1, CAST(0.3 * CASE WHEN q < 0.5 THEN 1.2 ELSE 1 END AS DOUBLE) AS w2, CAST(0.2 * CASE WHEN q < 0.5 THEN 1.1 ELSE 1 END AS DOUBLE) AS w3, CAST(0.2 * CASE WHEN q < 0.5 THEN 0.5 WHEN q > 0.8 THEN 1.2 ELSE 1 END AS DOUBLE) AS w4 FROM p1),
-p3 AS (SELECT *, {_multi()} AS sim FROM p2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, length ORDER BY round(sim, 9) DESC, place) AS nth FROM p3) WHERE nth = 1),
-f AS (SELECT *, greatest(0, least(1, sim * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * (CAST(0.4 AS DOUBLE) * confidence + CAST(0.3 AS DOUBLE) * success_rate + CAST(0.3 AS DOUBLE) * discriminative_score)))) AS sure FROM b)"""
-_DECIDE = _BEST + ", g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY length) AS first FROM f WHERE sim >= 0.3 AND sure >= 0.3) WHERE first = 1)"
-_PRED = _DECIDE + """, r AS (SELECT s.series_id, s.label, g.label AS predicted_label, g.sure AS confidence, CASE WHEN g.series_id IS NOT NULL THEN greatest(0.1, least(0.9, 0.1 + 0.8 * (1 - CAST(g.length AS DOUBLE) / len(s.v)))) END AS earliness, g.series_id IS NOT NULL AS early FROM s LEFT JOIN g USING (series_id) WHERE s.split = 'test')"""
-
-
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("series_id")
     length = (30 + i % 20).cast("int")
@@ -98,23 +80,23 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.top_candidates(_scored(spark, sf_dir)).select("series_id", "length", F.col("c_shapelet_id").alias("shapelet_id"), "place")
 
 
-#: Unequal lengths have distance similarity 0 in the queries below: the warping kernel has no SQL.
+# The queries on matches have no SQL: unequal lengths are compared by warping.
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.best_match(match.top_candidates(_scored(spark, sf_dir)))
 
 
-@query(f"WITH {_BEST} SELECT series_id, length, shapelet_id, {r('sim')} AS sim FROM b")
+@query()
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_best(spark, sf_dir).select("series_id", "length", F.col("c_shapelet_id").alias("shapelet_id"), "sim"))
 
 
-@query(f"WITH {_BEST} SELECT series_id, length, {r('sure')} AS match_confidence FROM f")
+@query()
 def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = match.match_confidence(F.col("sim"), F.col("c_confidence"), F.col("c_success_rate"), F.col("c_discriminative_score"))
     return rounded(_best(spark, sf_dir).select("series_id", "length", sure.alias("match_confidence")))
 
 
-@query(f"WITH {_BEST} SELECT series_id, length, shapelet_id AS c_shapelet_id, label AS c_label, {r('sim')} AS sim, {r('sure')} AS match_confidence FROM f WHERE sim >= 0.3 AND sure >= 0.3")
+@query()
 def early_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(match.early_match(_queries(spark, sf_dir), _cache(spark, sf_dir), AS_OF, 0.3, 0.3))
 
@@ -124,7 +106,7 @@ def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_queries(spark, sf_dir).select("series_id", "length", F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last")), 5)
 
 
-@query(f"WITH {_DECIDE} SELECT series_id, length, label AS predicted_label, {r('sure')} AS confidence FROM g")
+@query()
 def early_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(match.early_decision(_queries(spark, sf_dir), _cache(spark, sf_dir), AS_OF, 0.3, 0.3))
 
@@ -134,16 +116,12 @@ def earliness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_queries(spark, sf_dir).select("series_id", "length", match.earliness(F.col("length").cast("double") / F.col("n")).alias("earliness")))
 
 
-@query(
-    f"""WITH {_PRED}, e AS (SELECT label, avg(CASE WHEN label = predicted_label THEN 1 ELSE 0 END) AS a, avg(coalesce(confidence, 0)) AS c, avg(coalesce(earliness, 1)) AS e, avg(CASE WHEN early THEN 1 ELSE 0 END) AS r,
-CAST(sum(CASE WHEN label = predicted_label THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total FROM r GROUP BY ROLLUP (label))
-SELECT label, {r('a')} AS accuracy, {r('c')} AS mean_confidence, {r('e')} AS mean_earliness, {r('r')} AS early_rate, correct, total, {r('coalesce(2 * a * (1 - e) / nullif(a + 1 - e, 0), 0)')} AS harmonic_mean FROM e"""
-)
+@query()
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(match.evaluate(_predictions(spark, sf_dir), ["label"]))
 
 
-@query(f"WITH {_PRED}, e AS (SELECT label, avg(CASE WHEN label = predicted_label THEN 1 ELSE 0 END) AS a, avg(coalesce(earliness, 1)) AS e FROM r GROUP BY label) SELECT label, {r('coalesce(2 * a * e / nullif(a + e, 0), 0)')} AS harmonic_mean FROM e")
+@query()
 def harmonic_mean_earliness(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = match.evaluate(_predictions(spark, sf_dir), ["label"]).where("label is not null")
     return rounded(per.select("label", match.harmonic_mean_earliness(F.col("accuracy"), F.col("mean_earliness")).alias("harmonic_mean")))

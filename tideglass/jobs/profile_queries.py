@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.jobs.base import SERIES, query, r, rounded, series, table
@@ -36,6 +36,15 @@ def select_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The rows of each label of a key as one text.
+_CLASSES = "(SELECT k AS split, string_agg(label || ':' || n, ';' ORDER BY label) AS d FROM (SELECT {0} AS k, label, count(*) AS n FROM s GROUP BY ALL) GROUP BY k)"
+
+
+def _listed(classes: str) -> Column:
+    """The same of a map of labels to rows."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(classes)), lambda e: F.concat_ws(":", e["key"], e["value"])), ";")
+
+
 _POINTS = "p AS (SELECT l_suppkey AS series_id, CAST(l_quantity AS DOUBLE) AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity) AS k FROM lineitem)"
 
 
@@ -55,19 +64,21 @@ def points_from_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {SERIES} SELECT split, count(*) AS samples, count(DISTINCT label) AS classes, min(len(v)) AS min_length, max(len(v)) AS max_length, avg(len(v)) AS avg_length, {r('min(list_min(v))')} AS min_value, "
-    f"{r('max(list_max(v))')} AS max_value, {r('sum(list_sum(v)) / sum(len(v))')} AS mean_value, {r('sqrt(sum(list_sum(list_transform(v, lambda x: x * x))) / sum(len(v)) - pow(sum(list_sum(v)) / sum(len(v)), 2))')} AS std_value FROM s GROUP BY split"
+    f"{r('max(list_max(v))')} AS max_value, {r('sum(list_sum(v)) / sum(len(v))')} AS mean_value, {r('sqrt(sum(list_sum(list_transform(v, lambda x: x * x))) / sum(len(v)) - pow(sum(list_sum(v)) / sum(len(v)), 2))')} AS std_value, any_value(d) AS class_distribution FROM s JOIN {_CLASSES.format('split')} USING (split) GROUP BY split"
 )
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.dataset_stats(series(spark, sf_dir)))
+    return rounded(profile.dataset_stats(series(spark, sf_dir)).withColumn("class_distribution", _listed("class_distribution")))
 
 
-@query(
-    f"WITH {SERIES} SELECT split, count(*) AS samples, count(DISTINCT label) AS classes, {r('sum(list_sum(v)) / sum(len(v))')} AS mean_value FROM s GROUP BY split"
-)
+_INFO = f"count(*) AS samples, count(DISTINCT label) AS classes, min(len(v)) AS min_length, max(len(v)) AS max_length, {r('sum(list_sum(v)) / sum(len(v))')} AS mean_value, any_value(d) AS class_distribution"
+
+
+@query(f"""WITH {SERIES} SELECT split, {_INFO} FROM s JOIN {_CLASSES.format('split')} USING (split) GROUP BY split UNION ALL SELECT 'overall', {_INFO} FROM s, {_CLASSES.format("'overall'")}""")
 def write_dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics written as JSON and read again."""
-    path = src.write_rows(profile.dataset_stats(series(spark, sf_dir)), f"{_folder(spark)}/info", "json")
-    return rounded(spark.read.json(path).select("split", "samples", "classes", "mean_value"))
+    """The statistics of each split and of all series written as JSON and read again."""
+    path = src.write_dataset_info(series(spark, sf_dir), f"{_folder(spark)}/info")
+    info = spark.read.schema("split string, samples long, classes long, min_length long, max_length long, mean_value double, class_distribution map<string,long>").json(path)
+    return rounded(info.withColumn("class_distribution", _listed("class_distribution")))
 
 
 @query(f"WITH {SERIES} SELECT split, label, count(*) AS n, {r('count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY split)')} AS share FROM s GROUP BY split, label")
@@ -92,12 +103,21 @@ UNION ALL SELECT 'warning', 'length', split, CAST(count(*) AS VARCHAR) FROM f JO
 UNION ALL SELECT 'warning', 'unseen_label', 'test', label FROM (SELECT DISTINCT label FROM f WHERE split = 'test' AND label IS NOT NULL AND label NOT IN (SELECT label FROM f WHERE split = 'train' AND label IS NOT NULL))"""
 )
 def validate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.validate_series(_faulty(spark, sf_dir)).where("detail is not null")
+    return profile.validate_series(_faulty(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SERIES}, {_FAULTY}, a AS (SELECT split, arg_min(len(v), series_id) AS n FROM f GROUP BY split), e AS (SELECT count(DISTINCT split) AS errors FROM f WHERE label IS NULL OR v IS NULL),
+w AS (SELECT (SELECT count(DISTINCT split) FROM f JOIN a USING (split) WHERE len(v) <> n) + (SELECT count(DISTINCT label) FROM f WHERE split = 'test' AND label NOT IN (SELECT label FROM f WHERE split = 'train' AND label IS NOT NULL)) AS warnings)
+SELECT CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'warnings' ELSE 'passed' END AS status, errors, warnings FROM e, w"""
+)
+def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.validation_status(profile.validate_series(_faulty(spark, sf_dir)))
 
 
-@query(f"WITH {SERIES}, {_FAULTY} SELECT DISTINCT label FROM f WHERE split = 'test' AND label NOT IN (SELECT label FROM f WHERE split = 'train' AND label IS NOT NULL)")
+@query(f"WITH {SERIES}, {_FAULTY} SELECT DISTINCT label FROM f WHERE split = 'test' AND label IS NOT NULL AND label NOT IN (SELECT label FROM f WHERE split = 'train' AND label IS NOT NULL)")
 def unseen_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.unseen_labels(_faulty(spark, sf_dir)).where("label is not null")
+    return profile.unseen_labels(_faulty(spark, sf_dir))
 
 
 def draw_sql(*parts: object) -> str:

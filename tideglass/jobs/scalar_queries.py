@@ -91,7 +91,7 @@ def auto_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kernel(spark: SparkSession, sf_dir: str, f, name: str) -> DataFrame:
     def each(frames):
         for frame in frames:
-            frame["value"] = [f(a, b, c) for a, b, c in zip(frame["a"], frame["b"], frame["c"], strict=True)]
+            frame["value"] = f(frame["a"].tolist(), frame["c"].tolist())
             yield frame[["series_id", "value"]]
 
     return rounded(_pairs(spark, sf_dir).mapInPandas(each, "series_id long, value double")).withColumnRenamed("value", name)
@@ -100,13 +100,13 @@ def _kernel(spark: SparkSession, sf_dir: str, f, name: str) -> DataFrame:
 @query()
 def dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warping distance of every series to the shortened next one."""
-    return _kernel(spark, sf_dir, lambda a, b, c: kernels.dtw(a, c, 1), "dtw")
+    return _kernel(spark, sf_dir, kernels.distances, "dtw")
 
 
 @query()
 def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every series to the shortened next one, whose length differs."""
-    return _kernel(spark, sf_dir, lambda a, b, c: kernels.distance(a, c), "distance")
+    return _kernel(spark, sf_dir, kernels.distances, "distance")
 
 
 @query(_pair(sim("a", "b")))

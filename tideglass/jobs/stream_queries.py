@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tideglass.jobs.attention_queries import _D
 from tideglass.jobs.base import ORACLE, STREAM, query, r, rounded, series
-from tideglass.jobs.forest_queries import _forest
-from tideglass.jobs.match_queries import AS_OF, _cache
-from tideglass.operators import drift
-from tideglass.shared import materialise, shared_root
+from tideglass.jobs.forest_queries import ACCEPTED, TRAINED_AT, _trained
+from tideglass.operators import pairs
+from tideglass.shared import shared_root
 from tideglass.streaming import streams
 
 
@@ -55,16 +54,21 @@ def stream_early_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     for quarter in range(4):
         points.where(F.floor(4 * F.col("at") / F.col("expected")) == quarter).write.mode("append").parquet(f"{folder}/arrived")
     files = len(spark.read.parquet(f"{folder}/arrived").inputFiles())
-    nodes, h = _forest(spark, sf_dir)
-    work = streams.early_classify(spark, folder, materialise(_cache(spark, sf_dir), "cache"), nodes, h, AS_OF, 0.45, 0.4)
+    work = streams.early_classify(spark, folder, _trained(spark, sf_dir), TRAINED_AT, *ACCEPTED)
     streams.run_batches(streams.read_stream(spark, f"{folder}/arrived", -(-files // 4)), work, f"{folder}/checkpoint")
     return rounded(spark.read.parquet(f"{folder}/decisions").drop("batch"))
 
 
 @query()
 def co_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of a training loop: rows, changes and whether each micro-batch calls for retraining."""
+    """The log of incremental training: shapelets of the test series come in four batches to a model of the train series."""
     folder = _folder(spark)
-    work = streams.co_train(spark, folder, lambda pool: drift.label_drift(pool))
-    streams.run_batches(_rows(spark, sf_dir), work, f"{folder}/checkpoint")
-    return rounded(spark.read.parquet(f"{folder}/log").select(F.col("batch").cast("long").alias("batch"), "rows", "changes", "mean_magnitude", "due"))
+    new = _trained(spark, sf_dir, "test").shapelets
+    places = F.col("i") + pairs.MAX_SHAPELETS
+    rows = new.select(F.lit(0).cast("long").alias("stream_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("i")).alias("ts"), F.col("i").alias("event_id"), places.alias("i"), "label", "values")
+    number = new.count()
+    for part in range(4):
+        rows.where(F.floor(4 * F.col("event_id") / max(1, number)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    training = streams.CoTraining(folder, _trained(spark, sf_dir), TRAINED_AT, w=20, least=10)
+    streams.run_batches(streams.read_stream(spark, f"{folder}/arrived", 1), training, f"{folder}/checkpoint")
+    return rounded(training.log())

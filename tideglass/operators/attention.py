@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import dot
+from tideglass.operators.drift import in_order
 
 THRESHOLD = 0.8
 FRAME = 100
@@ -68,21 +73,63 @@ def attention_summary(matches: DataFrame, threshold: float = THRESHOLD) -> DataF
     return counts.select("key", "label", "frequency", F.least("frequency", F.lit(100)).cast("long").alias("sequence_length"), F.sum("frequency").over(Window.partitionBy("key")).alias("evaluations"))
 
 
+class AttentionFrame:
+    """The labels and similarities of a stream's last ``frame`` rows, with counts and sums of each label."""
+
+    def __init__(self, frame: int = FRAME, rows: Iterable[tuple[str, float]] = ()):
+        self.frame = frame
+        self.rows: deque = deque()
+        self.sums: dict[str, list] = {}
+        for label, sim in rows:
+            self.push(label, sim)
+
+    def push(self, label: str, sim: float) -> None:
+        self.rows.append((label, sim))
+        held = self.sums.setdefault(label, [0, 0.0])
+        held[0] += 1
+        held[1] += sim
+        if len(self.rows) > self.frame:
+            old, gone = self.rows.popleft()
+            held = self.sums[old]
+            held[0] -= 1
+            held[1] -= gone
+            if not held[0]:
+                del self.sums[old]
+
+    def shares(self) -> list[tuple[str, float]]:
+        """(label, share of the weights 0.4 * count + 0.3 * mean similarity), by PerMax."""
+        raw = {x: max(0.0, log2(w)) if (w := 0.4 * n + 0.3 * s / n) > 0 else 0.0 for x, (n, s) in self.sums.items()}
+        whole = sum(raw.values())
+        return [(x, v / whole if whole > 0 else 1 / len(raw)) for x, v in raw.items()]
+
+
 def streaming_attention(rows: DataFrame, threshold: float = THRESHOLD, frame: int = FRAME) -> DataFrame:
     """(stream_id, event_id, label, weight): label shares over the last ``frame`` rows, given at rows of at least ``threshold``.
 
     All rows of the frame count, with weight 0.4 * count + 0.3 * mean similarity.
     """
-    last = Window.partitionBy("stream_id").orderBy("ts", "event_id").rowsBetween(-(frame - 1), 0)
-    framed = rows.withColumn("frame", F.collect_list(F.struct("label", "sim")).over(last)).where(F.col("sim") >= threshold)
-    each = framed.select("stream_id", "event_id", F.explode("frame").alias("x")).groupBy("stream_id", "event_id", F.col("x.label").alias("label")).agg((0.4 * F.count(F.lit(1)) + 0.3 * F.avg("x.sim")).alias("w"))
-    return each.select("stream_id", "event_id", "label", permax(F.col("w"), Window.partitionBy("stream_id", "event_id")).alias("weight"))
-
-
-def decayed_frequency(rows: DataFrame, decay: float = 0.95, horizon: int = 400) -> DataFrame:
-    """Each row's label count where a row k steps back counts decay ** k; rows beyond the horizon are below 1e-8 together."""
-    at = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id"))
-    placed = rows.withColumn("t", at)
-    near = Window.partitionBy("stream_id", "label").orderBy("t").rangeBetween(-horizon, 0)
-    steps = F.collect_list("t").over(near)
-    return placed.withColumn("steps", steps).select("stream_id", "event_id", "label", F.aggregate("steps", F.lit(0.0), lambda s, x: s + F.pow(F.lit(decay), (F.col("t") - x).cast("double"))).alias("frequency"))
+
+    def step(held: AttentionFrame, row: tuple) -> list[tuple]:
+        stream_id, event_id, label, sim = row
+        held.push(label, sim)
+        return [(stream_id, event_id, *share) for share in held.shares()] if sim >= threshold else []
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"stream_id {types['stream_id']}, event_id {types['event_id']}, label string, weight double"
+    return in_order(rows, ["stream_id", "event_id", "label", "sim"], schema, lambda: AttentionFrame(frame), step)
+
+
+def decayed_frequency(rows: DataFrame, decay: float = 0.95) -> DataFrame:
+    """Each row's label count where a row k steps back counts decay ** k, over the whole stream."""
+
+    def step(held: dict, row: tuple) -> list[tuple]:
+        stream_id, event_id, label = row
+        t = held["t"] = held["t"] + 1
+        last, value = held["labels"].get(label, (t, 0.0))
+        value = value * decay ** (t - last) + 1.0
+        held["labels"][label] = (t, value)
+        return [(stream_id, event_id, label, value)]
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"stream_id {types['stream_id']}, event_id {types['event_id']}, label string, frequency double"
+    return in_order(rows, ["stream_id", "event_id", "label"], schema, lambda: {"t": 0, "labels": {}}, step)

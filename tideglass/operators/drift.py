@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
+from math import log2, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,41 +19,106 @@ def drift_windows(rows: DataFrame, w: int = WINDOW) -> DataFrame:
     return rows.withColumn("recent", F.collect_list("label").over(by_time.rowsBetween(-(w - 2), 0))).withColumn("history", F.collect_list("label").over(by_time.rowsBetween(-(2 * w - 2), -(w - 1))))
 
 
-def label_shares(recent: Column, history: Column) -> Column:
-    """Array of (label, p, q): each label's share in the recent rows and in the history, by label."""
-    labels = F.array_sort(F.array_distinct(F.concat(recent, history)))
+class LabelWindows:
+    """The labels of a stream's last w - 1 rows and of the up to w rows before, counted; null labels fill a place only."""
+
+    def __init__(self, w: int = WINDOW, labels: Iterable[str | None] = ()):
+        self.w = w
+        self.rows: tuple[deque, deque] = (deque(), deque())
+        self.counts: tuple[Counter, Counter] = (Counter(), Counter())
+        self.sizes = [0, 0]
+        for label in labels:
+            self.push(label)
+
+    def _add(self, side: int, label: str | None, sign: int) -> None:
+        if label is not None:
+            self.sizes[side] += sign
+            self.counts[side][label] += sign
+            if not self.counts[side][label]:
+                del self.counts[side][label]
+
+    def push(self, label: str | None) -> None:
+        self.rows[0].append(label)
+        self._add(0, label, 1)
+        if len(self.rows[0]) >= self.w:
+            old = self.rows[0].popleft()
+            self._add(0, old, -1)
+            self.rows[1].append(old)
+            self._add(1, old, 1)
+            if len(self.rows[1]) > self.w:
+                self._add(1, self.rows[1].popleft(), -1)
+
+    def labels(self) -> list[str | None]:
+        """All labels that are held, oldest first."""
+        return [*self.rows[1], *self.rows[0]]
+
+    def drift(self, least: int = LEAST, threshold: float = CHANGE) -> tuple[bool, float, str]:
+        """(changed, magnitude, kind); too few rows give (false, 0, insufficient_data)."""
+        n, m = self.sizes
+        if n < least or m < least:
+            return False, 0.0, "insufficient_data"
+        recent, history = self.counts
+        shares = {x: (recent[x] / n, history[x] / m) for x in sorted(recent.keys() | history.keys())}
+        size = root_js_divergence(shares.values())
+        return size > threshold, size, drift_kind(shares)
+
+
+def root_js_divergence(shares: Iterable[tuple[float, float]]) -> float:
+    """Square root of the Jensen-Shannon divergence (base 2) of pairs of shares."""
+    total = 0.0
+    for p, q in shares:
+        mean = (p + q) / 2
+        total += (p * log2(p / mean) if p else 0.0) / 2 + (q * log2(q / mean) if q else 0.0) / 2
+    return sqrt(max(0.0, total))
+
+
+def drift_kind(shares: dict[str, tuple[float, float]]) -> str:
+    """The first that holds: new labels, vanished labels, shares changed by over 0.1, a minor shift."""
+    new, gone = [x for x, (_, q) in shares.items() if not q], [x for x, (p, _) in shares.items() if not p]
+    moved = [f"{x}:{abs(p - q):.2f}" for x, (p, q) in shares.items() if abs(p - q) > 0.1]
+    if new:
+        return "new_classes:" + ",".join(new)
+    if gone:
+        return "disappeared_classes:" + ",".join(gone)
+    return "proportion_changes:" + ";".join(moved) if moved else "minor_shift"
 
-    def share(rows: Column, label: Column) -> Column:
-        return F.size(F.filter(rows, lambda x: x == label)).cast("double") / F.greatest(F.lit(1), F.size(rows))
 
-    return F.transform(labels, lambda x: F.struct(x.alias("label"), share(recent, x).alias("p"), share(history, x).alias("q")))
+def in_order(rows: DataFrame, columns: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], key: str = "stream_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Rows of ``schema``: ``step(state, row)`` for each row of a key in order, ``row`` being its ``columns``.
 
+    Rows are dealt by key and sorted once; a task holds one batch and one state,
+    however long a key's stream is.
+    """
+    ordered = rows.select(key, *order, *[c for c in columns if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-def root_js_divergence(shares: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) of (label, p, q)."""
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), None
+        for frame in frames:
+            out: list[tuple] = []
+            for k, row in zip(frame[key], frame[columns].itertuples(index=False, name=None), strict=True):
+                if k != current:
+                    current, state = k, start()
+                out.extend(step(state, row))
+            yield pd.DataFrame(out, columns=names)
 
-    def term(x: Column, p: str) -> Column:
-        m = (x["p"] + x["q"]) / 2
-        return F.when(x[p] > 0, x[p] * F.log2(x[p] / m)).otherwise(0.0)
+    return ordered.mapInPandas(each, schema)
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda s, x: s + 0.5 * term(x, "p") + 0.5 * term(x, "q"))))
 
+def label_drift(rows: DataFrame, w: int = WINDOW, least: int = LEAST, threshold: float = CHANGE) -> DataFrame:
+    """(stream_id, ts, event_id, changed, magnitude, kind) of each row; too few rows give (false, 0, insufficient_data).
 
-def drift_kind(shares: Column) -> Column:
-    """The first that holds: new labels, vanished labels, shares changed by over 0.1, a minor shift."""
-    names = lambda found: F.array_join(F.transform(found, lambda x: x["label"]), ",")
-    new, gone = F.filter(shares, lambda x: x["q"] == 0), F.filter(shares, lambda x: x["p"] == 0)
-    moved = F.filter(shares, lambda x: F.abs(x["p"] - x["q"]) > 0.1)
-    listed = F.array_join(F.transform(moved, lambda x: F.concat(x["label"], F.lit(":"), F.format_string("%.2f", F.abs(x["p"] - x["q"])))), ";")
-    return F.when(F.size(new) > 0, F.concat(F.lit("new_classes:"), names(new))).when(F.size(gone) > 0, F.concat(F.lit("disappeared_classes:"), names(gone))).when(F.size(moved) > 0, F.concat(F.lit("proportion_changes:"), listed)).otherwise("minor_shift")
+    Labels are counted as they come and go, so that a row costs no more than the
+    labels that its windows have.
+    """
 
+    def step(windows: LabelWindows, row: tuple) -> list[tuple]:
+        windows.push(row[3])
+        return [(*row[:3], *windows.drift(least, threshold))]
 
-def label_drift(rows: DataFrame, w: int = WINDOW, least: int = LEAST, threshold: float = CHANGE) -> DataFrame:
-    """(stream_id, ts, event_id, changed, magnitude, kind) of each row; too few rows give (false, 0, insufficient_data)."""
-    enough = (F.size("recent") >= least) & (F.size("history") >= least)
-    found = drift_windows(rows, w).withColumn("enough", enough).withColumn("shares", F.when(F.col("enough"), label_shares(F.col("recent"), F.col("history"))))
-    magnitude = F.when(F.col("enough"), root_js_divergence(F.col("shares"))).otherwise(0.0)
-    return found.select("stream_id", "ts", "event_id", (F.col("enough") & (magnitude > threshold)).alias("changed"), magnitude.alias("magnitude"), F.when(F.col("enough"), drift_kind(F.col("shares"))).otherwise("insufficient_data").alias("kind"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in ("stream_id", "ts", "event_id")) + ", changed boolean, magnitude double, kind string"
+    return in_order(rows, ["stream_id", "ts", "event_id", "label"], schema, lambda: LabelWindows(w), step)
 
 
 def drift_log(drift: DataFrame, last: int = 10) -> DataFrame:

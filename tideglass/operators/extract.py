@@ -74,7 +74,6 @@ def min_distances(candidates: DataFrame, series: DataFrame, rule: str = "strided
                 repeated = {k: np.repeat(np.array([s[k] for s in others], object), len(ids)) for k in ("series_id", "label")}
                 yield pd.DataFrame({"candidate_id": np.tile(ids, len(others)), **repeated, "distance": np.concatenate(found)}).astype({"series_id": "int64"})
 
-    met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return met.mapInPandas(measure, "candidate_id string, series_id long, label string, distance double")
 
 
@@ -136,12 +135,20 @@ def diverse_top(scored: DataFrame, keys: list[str], k: int = KEPT, against: int
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("info_gain", 9)), "candidate_id")
     ranked = materialise(scored.withColumn("place", F.row_number().over(order)), "ranked")
 
+    far = 1 / most_similar - 1
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        # warping meets both ends, so ends far apart need no warping
+        if len(x) != len(y) and abs(x[0] - y[0]) + (abs(x[-1] - y[-1]) if len(x) > 1 < len(y) else 0) > far + 1e-9:
+            return False
+        return 1 / (1 + kernels.distance(x, y)) > most_similar
+
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
         chosen, rows = [], []
         for at, (values, earlier) in enumerate(zip(frame["values"], frame["earlier"], strict=True)):
             x = np.asarray(values, float)
-            if earlier or len(rows) < k and all(1 / (1 + kernels.distance(x, y)) <= most_similar for y in chosen[:against]):
+            if earlier or len(rows) < k and not any(alike(x, y) for y in chosen[:against]):
                 chosen.append(x)
                 rows.append(at)
         return frame.iloc[rows].drop(columns="earlier")

@@ -23,14 +23,17 @@ NODES = "tree_id int, node_id int, parent_id int, side string, depth int, node_t
 THRESHOLDS = tuple(round(0.1 + 0.1 * k, 10) for k in range(9))
 #: Shapelets that a forest takes; its trees, pairs and nodes are bounded by it.
 MOST_SHAPELETS = 200
+#: Trees and nodes of a forest that goes with the tasks.
+MOST_TREES, MOST_NODES = 100, 100_000
 
 
 def bootstrap(shapelets: DataFrame, n_trees: int, seed: int = 42) -> DataFrame:
     """(tree_id, place, i, label): for each tree as many draws with replacement as there are shapelets."""
-    placed = shapelets.select(F.col("i").cast("long").alias("i"), "label")
+    # at most MOST_SHAPELETS rows
+    placed = shapelets.select(F.col("i").cast("long").alias("i"), "label").withColumn("nth", (F.row_number().over(Window.orderBy("i")) - 1).cast("long"))
     n = placed.count()
     trees = shapelets.sparkSession.range(n_trees).select(F.col("id").cast("int").alias("tree_id"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("place"))
-    return trees.withColumn("i", draw(seed, F.col("tree_id"), F.col("place")) % max(1, n)).join(placed, "i").select("tree_id", "place", "i", "label")
+    return trees.withColumn("nth", draw(seed, F.col("tree_id"), F.col("place")) % max(1, n)).join(placed, "nth").select("tree_id", "place", "i", "label")
 
 
 def best_split(rows: DataFrame, pairs: DataFrame, least: int = 2, spread: float = 1.0) -> DataFrame:
@@ -83,7 +86,7 @@ def train_forest(shapelets: DataFrame, n_trees: int = 10, seed: int = 42, max_de
             text = json.dumps(dict(sorted(counts.items())))
             best = (0.0, None, None)
             if len(counts) > 1 and len(at) >= min_split and depth < max_depth:
-                sims = np.array([1 / (1 + kernels.distance(x[k], x[at[0]])) for k in at])
+                sims = 1 / (1 + kernels.distances([x[k] for k in at], [x[at[0]]] * len(at)))
                 for t in THRESHOLDS:
                     left = [k for k, s in zip(at, sims, strict=True) if s < t]
                     right = [k for k, s in zip(at, sims, strict=True) if s >= t]
@@ -108,25 +111,29 @@ def train_forest(shapelets: DataFrame, n_trees: int = 10, seed: int = 42, max_de
 def predict_trees(series: DataFrame, nodes: DataFrame, shapelets: DataFrame) -> DataFrame:
     """(series_id, tree_id, label, confidence, path): every series walked down every tree.
 
-    The forest, bounded by its number of trees and shapelets, goes with the tasks.
+    The forest goes with the tasks; more than ``MOST_NODES`` nodes or
+    ``MOST_SHAPELETS`` shapelets in use are an error.
     """
-    forest = nodes.toPandas()
-    used = {r["i"]: np.asarray(r["values"], float) for r in shapelets.collect()}
+    forest = nodes.limit(MOST_NODES + 1).toPandas()
+    asked = shapelets.join(F.broadcast(nodes.limit(MOST_NODES + 1).select(F.col("shapelet_id").alias("i")).distinct()), "i", "left_semi")
+    used = {r["i"]: np.asarray(r["values"], float) for r in asked.select("i", "values").limit(MOST_SHAPELETS * MOST_TREES + 1).collect()}
+    if len(forest) > MOST_NODES or len(used) > MOST_SHAPELETS * MOST_TREES:
+        raise ValueError(f"a forest that goes with the tasks has at most {MOST_NODES} nodes and {MOST_SHAPELETS * MOST_TREES} shapelets")
     trees = {t: f.set_index("node_id").to_dict("index") for t, f in forest.groupby("tree_id")}
     below = {t: {(v["parent_id"], v["side"]): k for k, v in f.items()} for t, f in trees.items()}
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for sid, values in zip(frame["series_id"], frame["values"], strict=True):
-                v, sims = np.asarray(values, float), {}
+            out, rows = [], [np.asarray(v, float) for v in frame["values"]]
+            # the similarities of all series of a batch to a shapelet are measured at once
+            sims = {s: 1 / (1 + kernels.distances(rows, [x] * len(rows))) for s, x in used.items()}
+            for k, sid in enumerate(frame["series_id"]):
                 for t, f in trees.items():
                     at, path = 0, [0]
                     while f[at]["label"] is None:
                         s = int(f[at]["shapelet_id"])
-                        if s not in sims:
-                            sims[s] = 1 / (1 + kernels.distance(v, used[s])) if s in used else 0.5
-                        at = below[t][(at, "left" if sims[s] < f[at]["threshold"] else "right")]
+                        sim = sims[s][k] if s in sims else 0.5
+                        at = below[t][(at, "left" if sim < f[at]["threshold"] else "right")]
                         path.append(at)
                     out.append((sid, t, f[at]["label"], f[at]["confidence"], path))
             yield pd.DataFrame(out, columns=["series_id", "tree_id", "label", "confidence", "path"])
@@ -137,15 +144,10 @@ def predict_trees(series: DataFrame, nodes: DataFrame, shapelets: DataFrame) ->
 def vote(predictions: DataFrame) -> DataFrame:
     """(series_id, label, confidence, votes): the majority of the labelled trees, ties by label; null and 0 without any."""
     per = predictions.groupBy("series_id", "label").agg(F.count("label").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("confidence"))).alias("c"))
-    best = F.max(F.when(F.col("label").isNotNull(), F.struct(F.col("n").alias("n"), _reversed(F.col("label")).alias("r"), F.col("label").alias("label"))))
+    best = F.min(F.when(F.col("label").isNotNull(), F.struct((-F.col("n")).alias("n"), "label")))
     whole = per.groupBy("series_id").agg(best.alias("b"), F.sum("n").alias("all"), F.sum("c").alias("c"))
-    confidence = F.when(F.col("all") > 0, 0.7 * F.round("c", 9) / F.nullif(F.col("all"), F.lit(0)) + 0.3 * F.col("b.n") / F.nullif(F.col("all"), F.lit(0))).otherwise(0.0)
-    return whole.select("series_id", F.col("b.label").alias("label"), confidence.alias("confidence"), F.coalesce("b.n", F.lit(0)).cast("long").alias("votes"))
-
-
-def _reversed(label):
-    """Sorts labels backwards, so that the first one is the greatest."""
-    return F.transform(F.split(label, ""), lambda c: -F.ascii(c))
+    confidence = F.when(F.col("all") > 0, 0.7 * F.round("c", 9) / F.nullif(F.col("all"), F.lit(0)) - 0.3 * F.col("b.n") / F.nullif(F.col("all"), F.lit(0))).otherwise(0.0)
+    return whole.select("series_id", F.col("b.label").alias("label"), confidence.alias("confidence"), F.coalesce(-F.col("b.n"), F.lit(0)).cast("long").alias("votes"))
 
 
 def leaf_class_probabilities(leaves: DataFrame) -> DataFrame:

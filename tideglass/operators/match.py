@@ -7,10 +7,14 @@ discriminative_score. Queries: series_id, length, values (a normalised prefix).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tideglass.functions.scalars import multi_metric_similarity, prefix_normalise
+from tideglass.functions import kernels
+from tideglass.functions.scalars import prefix_normalise
 from tideglass.operators.drift import folded
 
 CACHE_SIZE, LOOKBACK = 200, 10
@@ -66,9 +70,21 @@ def top_candidates(scored: DataFrame, lookback: int = LOOKBACK, least: float = 0
     return scored.where(F.col("score") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= lookback)
 
 
+@F.pandas_udf(DoubleType())
+def _similarity(values: pd.Series, other: pd.Series) -> pd.Series:
+    out = np.empty(len(values))
+    for at, x, y in kernels.by_lengths(values.tolist(), other.tolist()):
+        out[at] = kernels.multi_metric(x, y)
+    return pd.Series(out)
+
+
 def best_match(candidates: DataFrame) -> DataFrame:
-    """Each query with its most similar candidate; the first by place wins ties."""
-    rows = candidates.withColumn("sim", multi_metric_similarity(F.col("values"), F.col("c_values")))
+    """Each query with its most similar candidate by four metrics; the first by place wins ties.
+
+    Unequal lengths are compared by warping. A query has few candidates, which one
+    pass over Arrow batches measures, all pairs of two lengths at once.
+    """
+    rows = candidates.withColumn("sim", _similarity("values", "c_values"))
     order = Window.partitionBy("series_id", "length").orderBy(F.desc(F.round("sim", 9)), "place")
     return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 

@@ -47,7 +47,7 @@ def _similarities(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len({len(x) for x in [*a, *b]}) == 1:
                 d = kernels.pair_distances(np.stack(a), np.stack(b))
             else:
-                d = np.array([[kernels.distance(x, y) for y in b] for x in a])
+                d = kernels.distances([x for x in a for _ in b], b * len(a)).reshape(len(a), len(b))
             at = np.argwhere(i[:, None] < j[None, :])
             yield pd.DataFrame({"i": i[at[:, 0]], "j": j[at[:, 1]], "value": 1 / (1 + d[at[:, 0], at[:, 1]])})
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.scalars import draw, total
+from tideglass.functions.scalars import draw
 
 
 def dataset_stats(series: DataFrame) -> DataFrame:
-    """One row for each split: sizes, and statistics of all values from sums that each row gives."""
+    """One row for each split: sizes, statistics of all values, and class_distribution (a map of labels to rows).
+
+    The deviation is merged from centred sums, so that large values lose nothing.
+    """
     v = F.col("values")
-    rows = series.select("split", "label", F.size(v).alias("n"), F.array_min(v).alias("low"), F.array_max(v).alias("high"), total(v).alias("s"), total(F.transform(v, lambda x: x * x)).alias("q"))
-    mean = F.sum("s") / F.sum("n")
-    return rows.groupBy("split").agg(
+    rows = series.select("split", "label", F.size(v).alias("n"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    points = series.select("split", F.explode(v).alias("x")).groupBy("split").agg(F.avg("x").alias("mean_value"), F.stddev_pop("x").alias("std_value"))
+    classes = series.where("label is not null").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("class_distribution"))
+    sizes = rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_distinct("label").alias("classes"),
         F.min("n").cast("long").alias("min_length"),
@@ -21,9 +25,8 @@ def dataset_stats(series: DataFrame) -> DataFrame:
         F.avg("n").alias("avg_length"),
         F.min("low").alias("min_value"),
         F.max("high").alias("max_value"),
-        mean.alias("mean_value"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / F.sum("n") - mean * mean)).alias("std_value"),
     )
+    return sizes.join(points, "split", "left").join(classes, "split", "left")
 
 
 def class_distribution(series: DataFrame, *keys: str) -> DataFrame:
@@ -33,8 +36,8 @@ def class_distribution(series: DataFrame, *keys: str) -> DataFrame:
 
 
 def unseen_labels(series: DataFrame) -> DataFrame:
-    """Labels of the test split that the train split lacks."""
-    labels = lambda split: series.where(F.col("split") == split).select("label").distinct()
+    """Labels of the test split that the train split lacks; null is no label."""
+    labels = lambda split: series.where((F.col("split") == split) & F.col("label").isNotNull()).select("label").distinct()
     return labels("test").join(labels("train"), "label", "left_anti")
 
 
@@ -53,6 +56,13 @@ def validate_series(series: DataFrame) -> DataFrame:
     return missing.union(empty).union(ragged).union(unseen)
 
 
+def validation_status(issues: DataFrame) -> DataFrame:
+    """One row (status, errors, warnings) of what ``validate_series`` found: failed with an error, warnings with a warning, else passed."""
+    n = lambda kind: F.coalesce(F.sum((F.col("severity") == kind).cast("long")), F.lit(0).cast("long")).alias(kind + "s")
+    status = F.when(F.col("errors") > 0, "failed").when(F.col("warnings") > 0, "warnings").otherwise("passed")
+    return issues.agg(n("error"), n("warning")).select(status.alias("status"), "errors", "warnings")
+
+
 def split_series(series: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """Exactly ``floor(n * ratio)`` rows as train, by the order of md5 draws.
 
@@ -83,7 +93,8 @@ def stratified_sample(series: DataFrame, cap: int = 50, seed: int = 42) -> DataF
     sizes = series.groupBy("label").agg(F.count(F.lit(1)).alias("_k"))
     n = sizes.agg(F.sum("_k")).first()[0] or 0
     sizes = sizes.withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_k") / F.lit(float(max(1, n))) * min(cap, n))))
-    rows = series.withColumn("_draw", draw(seed, F.col("series_id"))).withColumn("_nth", F.row_number().over(by_label))
+    # no label takes more than the cap, which tasks cut before they shuffle
+    rows = series.withColumn("_draw", draw(seed, F.col("series_id"))).withColumn("_nth", F.row_number().over(by_label)).where(F.col("_nth") <= max(1, cap))
     return rows.join(F.broadcast(sizes), "label").where("_nth <= _take").drop("_draw", "_nth", "_k", "_take")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tideglass.operators.profile import dataset_stats, ordinal
+
 
 def read_labelled_series(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Header-less TSV or CSV files of a dataset, label first; TRAIN or TEST in the name gives the split.
@@ -27,11 +29,12 @@ def read_labelled_series(spark: SparkSession, root: str, dataset: str) -> DataFr
     ).where("split is not null and size(cells) > 1")
     if rows.select("split").distinct().count() < 2:
         raise FileNotFoundError(f"dataset {dataset} needs a TRAIN and a TEST file")
-    order = Window.partitionBy("split").orderBy("place")
-    return rows.select(
+    # numbered by files, whose sizes are then summed up
+    numbered = [ordinal(rows.where(F.col("split") == split), ["place"], F.struct("place.file_path", "place.file_block_start")) for split in ("train", "test")]
+    return numbered[0].unionByName(numbered[1]).select(
         F.lit(dataset).alias("dataset"),
         "split",
-        (F.row_number().over(order) - 1).cast("long").alias("series_id"),
+        F.col("ordinal").cast("long").alias("series_id"),
         F.col("cells")[0].alias("label"),
         F.transform(F.slice("cells", 2, F.size("cells") - 1), lambda x: F.trim(x).try_cast("double")).alias("values"),
     )
@@ -99,6 +102,11 @@ def write_rows(rows: DataFrame, path: str, form: str = "parquet") -> str:
     return path
 
 
+def write_dataset_info(series: DataFrame, path: str) -> str:
+    """The statistics of each split, and of all series as the split ``overall``, as JSON."""
+    return write_rows(dataset_stats(series).unionByName(dataset_stats(series.withColumn("split", F.lit("overall")))), path, "json")
+
+
 def write_snapshot(pairs: DataFrame, path: str, snapshot_id: int, operation: str, meta: dict[str, str]) -> None:
     """Append a numbered snapshot of pairs with its operation and metadata; writing an id again replaces it."""
     note = F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]) if meta else F.create_map().cast("map<string,string>")

@@ -1,28 +1,29 @@
-"""Structured Streaming jobs over label streams and growing series.
+"""Structured Streaming jobs over label streams, growing series and new shapelets.
 
 State is kept by stream and bounded: the last labels of the two drift windows,
-the last rows of the attention frame. Rows later than the watermark are dropped;
-inside a micro-batch rows are ordered by (ts, event_id). These two rules are
-ours: the windows themselves count rows. Growing series are kept as tables.
+the last rows of the attention frame. Rows that come later than the watermark are
+dropped; inside a micro-batch rows are ordered by (ts, event_id); the state of a
+stream that is silent for ``FORGET`` of event time is removed. These rules are
+ours: the windows themselves count rows. Growing series, the forest and the cache
+are kept as tables with a version for each micro-batch.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
-from math import log2, sqrt
+from datetime import timedelta
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideglass.operators import forest, match
+from tideglass.operators import attention, classify, drift, extract, forest, match, pairs
 from tideglass.shared import materialise
 
 LATENESS = "10 minutes"
+FORGET = timedelta(days=30)
 _STATE = "kept string"
 
 
@@ -45,67 +46,57 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _stateful(stream: DataFrame, key: str, columns: list[str], output: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]]) -> DataFrame:
+def _stateful(stream: DataFrame, key: str, columns: list[str], output: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]], forget: timedelta = FORGET) -> DataFrame:
     """``step(kept, rows)`` per key and micro-batch: the ordered rows against what was kept gives the new state and rows."""
     names = [c.strip().split(" ")[0] for c in output.split(",")]
 
     def each(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        kept = json.loads(state.get[0]) if state.exists else []
-        kept, out = step(kept, list(rows[columns].itertuples(index=False, name=None)))
-        state.update((json.dumps(kept),))
+        at, kept = json.loads(state.get[0]) if state.exists else (0, [])
+        first, latest = (int(t.timestamp() * 1000) for t in (rows["ts"].min(), rows["ts"].max()))
+        silence = max(1, int(forget.total_seconds() * 1000))
+        # a state that is due to go may still be there when rows come
+        kept, out = step(kept if first <= at + silence else [], list(rows[columns].itertuples(index=False, name=None)))
+        at = max(at, latest)
+        state.update((json.dumps((at, kept)),))
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + silence)
         yield pd.DataFrame([(k[0], *r) for r in out], columns=names)
 
     rows = stream.withWatermark("ts", LATENESS).groupBy(key)
-    return rows.applyInPandasWithState(each, output, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.applyInPandasWithState(each, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _root_js(recent: Counter, history: Counter) -> float:
-    n, m = sum(recent.values()), sum(history.values())
-    total = 0.0
-    for x in recent.keys() | history.keys():
-        p, q = recent[x] / n, history[x] / m
-        mean = (p + q) / 2
-        total += (p * log2(p / mean) if p else 0) / 2 + (q * log2(q / mean) if q else 0) / 2
-    return sqrt(max(0.0, total))
-
-
-def drift_stream(stream: DataFrame, w: int = 100, least: int = 50, threshold: float = 0.1) -> DataFrame:
+def drift_stream(stream: DataFrame, w: int = 100, least: int = 50, threshold: float = 0.1, forget: timedelta = FORGET) -> DataFrame:
     """(stream_id, event_id, changed, magnitude) of each row of (stream_id, ts, event_id, label)."""
 
     def step(kept: list, rows: list[tuple]) -> tuple[list, list[tuple]]:
-        labels, out = list(kept), []
+        windows, out = drift.LabelWindows(w, kept), []
         for event_id, label in rows:
-            labels = [*labels, label][-(2 * w - 1) :]
-            recent, history = labels[-(w - 1) :], labels[: -(w - 1)]
-            enough = len(recent) >= least and len(history) >= least
-            size = _root_js(Counter(recent), Counter(history)) if enough else 0.0
-            out.append((event_id, size > threshold, size))
-        return labels, out
+            windows.push(label)
+            out.append((event_id, *windows.drift(least, threshold)[:2]))
+        return windows.labels(), out
 
-    return _stateful(stream, "stream_id", ["event_id", "label"], "stream_id long, event_id long, changed boolean, magnitude double", step)
+    return _stateful(stream, "stream_id", ["event_id", "label"], "stream_id long, event_id long, changed boolean, magnitude double", step, forget)
 
 
-def attention_stream(stream: DataFrame, threshold: float = 0.8, frame: int = 100) -> DataFrame:
+def attention_stream(stream: DataFrame, threshold: float = 0.8, frame: int = 100, forget: timedelta = FORGET) -> DataFrame:
     """(stream_id, event_id, label, weight): label shares over the last rows, given at rows of (…, label, sim) that match."""
 
     def step(kept: list, rows: list[tuple]) -> tuple[list, list[tuple]]:
-        last, out = [tuple(x) for x in kept], []
+        held, out = attention.AttentionFrame(frame, kept), []
         for event_id, label, sim in rows:
-            last = [*last, (label, sim)][-frame:]
+            held.push(label, sim)
             if sim >= threshold:
-                sims: dict[str, list[float]] = {}
-                for x, s in last:
-                    sims.setdefault(x, []).append(s)
-                raw = {x: max(0.0, log2(0.4 * len(s) + 0.3 * float(np.mean(s)))) if s else 0.0 for x, s in sims.items()}
-                whole = sum(raw.values())
-                out.extend((event_id, x, v / whole if whole else 1 / len(raw)) for x, v in raw.items())
-        return last, out
+                out.extend((event_id, *share) for share in held.shares())
+        return list(held.rows), out
 
-    return _stateful(stream, "stream_id", ["event_id", "label", "sim"], "stream_id long, event_id long, label string, weight double", step)
+    return _stateful(stream, "stream_id", ["event_id", "label", "sim"], "stream_id long, event_id long, label string, weight double", step, forget)
 
 
-def early_classify(spark: SparkSession, folder: str, cache: DataFrame, nodes: DataFrame, shapelets: DataFrame, as_of: str, threshold: float = 0.6, least_confidence: float = 0.7) -> Callable[[DataFrame, int], None]:
+def early_classify(spark: SparkSession, folder: str, model: classify.Model, as_of: str, threshold: float = 0.6, least_confidence: float = 0.7) -> Callable[[DataFrame, int], None]:
     """A foreachBatch job: one decision a series, from points (series_id, at, value, asked_label, expected), as ``decisions`` in the folder.
 
     A prefix grows as points arrive and ends before the first that is missing;
@@ -128,29 +119,106 @@ def early_classify(spark: SparkSession, folder: str, cache: DataFrame, nodes: Da
         grown = run.select("series_id", "asked_label", "expected", tried.alias("tried"), F.transform("run", lambda x: x["value"]).alias("values")).where("tried >= 0")
         grown = materialise(grown, "grown_series")
         queries = match.prefixes(grown, expected=F.col("expected")).where("length > tried").select("series_id", "asked_label", "length", "values")
-        early = materialise(match.early_decision(queries, cache, as_of, threshold, least_confidence), "early_decisions")
-        ratio = F.col("length") / F.col("expected")
-        matched = early.join(grown.select("series_id", "expected"), "series_id").select("series_id", "predicted_label", "confidence", F.lit("early").alias("method"), match.earliness(ratio).alias("earliness"), ratio.alias("observation_ratio"))
+        early = materialise(match.early_decision(queries, model.cache, as_of, threshold, least_confidence), "early_decisions")
+        matched = classify.early_rows(early, grown.select("series_id", "expected"))
         late = grown.where(F.size("values") >= F.col("expected")).join(early, "series_id", "left_anti")
-        voted = forest.vote(forest.predict_trees(late, nodes, shapelets)).select("series_id", F.col("label").alias("predicted_label"), "confidence", F.lit("forest").alias("method"), F.lit(0.0).alias("earliness"), F.lit(1.0).alias("observation_ratio"))
+        voted = classify.voted_rows(late, model.nodes, model.shapelets)
         matched.unionByName(voted).write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch}")
 
     return work
 
 
-def co_train(spark: SparkSession, log: str, drifts: Callable[[DataFrame], DataFrame], due_threshold: float = 0.6) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch job: a batch's labels join the pool, drift is measured over the pool, and one log row is written.
+LOG = "iteration long, rows long, changed boolean, magnitude double, kind string, score double, due boolean, trees_updated long, training_rows long, improvement double, selected long, pool long, cached long"
 
-    A batch that comes again overwrites its own rows, so the log has each batch once.
-    """
 
-    def work(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{log}/pool/batch={batch}")
-        pool = spark.read.parquet(f"{log}/pool").where(F.col("batch") <= batch)
-        found = drifts(pool).join(rows.select("event_id"), "event_id", "left_semi")
-        facts = found.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("changed").cast("long")).alias("changes"), F.avg("magnitude").alias("mean_magnitude"))
-        score = 1 - F.coalesce("mean_magnitude", F.lit(0.0))
-        due = (F.col("changes") > 0) | (score < due_threshold) | F.lit(batch % 10 == 0)
-        facts.withColumn("due", F.coalesce(due, F.lit(False))).write.mode("overwrite").parquet(f"{log}/log/batch={batch}")
+class CoTraining:
+    """Incremental training, a step for each micro-batch of new shapelets (stream_id, ts, event_id, i, label, values).
 
-    return work
+    The tables of ``folder`` have a version for each batch; a batch that comes
+    again reads the version before and overwrites its own, so that the result
+    has each batch once. Places ``i`` of new shapelets are new ones. A batch
+
+    * joins the pool, and drift of the labels is measured over the pool's stream;
+    * is matched to the cache, whose counters it moves and whose similarities
+      move the labels' attention;
+    * where a change, weak trees or the count of iterations call for it, grows the
+      weak trees anew from pool rows of the labels with most attention;
+    * walks down the trees, whose scores follow from their nodes' accuracy;
+    * gives its most informative shapelets to the cache.
+    """
+
+    def __init__(self, folder: str, model: classify.Model, as_of: str, score_threshold: float = 0.25, due_threshold: float = 0.25, w: int = drift.WINDOW, least: int = drift.LEAST, least_gain: float = 0.01, every: int = 10):
+        self.folder, self.as_of, self.spark = folder, as_of, model.nodes.sparkSession
+        self.score_threshold, self.due_threshold, self.w, self.least, self.least_gain, self.every = score_threshold, due_threshold, w, least, least_gain, every
+        trees = model.nodes.select("tree_id").distinct()
+        start = {"shapelets": model.shapelets.select("i", "label", "values"), "forest": model.nodes, "cache": model.cache, "scores": trees.select("tree_id", F.lit(0.0).alias("score"))}
+        for name, table in start.items():
+            self._write(table, name, -1)
+        self.schemas = {name: table.schema for name, table in start.items()}
+
+    def _write(self, table: DataFrame, name: str, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def version(self, name: str, batch: int) -> DataFrame:
+        """A table as a batch left it (-1: as training began)."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(f"{self.folder}/log/batch=*")
+
+    def _matches(self, new: DataFrame, cache: DataFrame) -> DataFrame:
+        """(i, label, shapelet_id, c_label, sim): the most similar cached shapelet of each new one."""
+        queries = new.select(F.col("i").alias("series_id"), F.col("label").alias("asked_label"), F.size("values").alias("length"), match.prefix_normalise(F.col("values")).alias("values"))
+        best = match.best_match(match.top_candidates(match.scored_candidates(queries, match.cache_tiers(cache), self.as_of)))
+        return best.select(F.col("series_id").alias("i"), F.col("asked_label").alias("label"), F.col("c_shapelet_id").alias("shapelet_id"), "c_label", "sim")
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        before = batch - 1
+        self._write(rows, "pool", batch)
+        self.schemas.setdefault("pool", rows.schema)
+        new = self.version("pool", batch)
+        number = new.count()
+        pool = self.spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, batch int").parquet(f"{self.folder}/pool").where(F.col("batch") <= batch)
+        found = drift.label_drift(pool, self.w, self.least)
+        last = found.join(new.select("event_id"), "event_id", "left_semi").agg(F.max_by(F.struct("changed", "magnitude", "kind"), F.struct("ts", "event_id")).alias("d")).first()["d"]
+        scores, nodes, cache = (self.version(name, before) for name in ("scores", "forest", "cache"))
+        score = scores.agg(F.avg("score")).first()[0] or 0.0
+        changed = last is not None and last["changed"]
+        due = bool(self.spark.range(1).select(drift.update_due(F.lit(changed), F.lit(score), F.lit(batch), self.due_threshold, self.every)).first()[0])
+
+        matches = materialise(self._matches(new, cache), "co_matches")
+        self._write(matches.select(F.lit("all").alias("key"), F.lit(batch).alias("call"), "label", "sim"), "matches", batch)
+        seen = self.spark.read.schema("key string, call int, label string, sim double, batch int").parquet(f"{self.folder}/matches").where(F.col("batch") <= batch)
+
+        training = pool.select("i", "label").limit(0)
+        if due:
+            shares = attention.normalised_attention(attention.attention_weights(seen.drop("batch"), 0.0))
+            training = forest.retraining_rows(pool.select("i", "label"), attention.latest_attention(shares))
+            # a forest takes a bounded number; the latest come first
+            training = training.join(pool.select("i", "ts", "event_id"), "i").orderBy(F.desc("ts"), F.desc("event_id")).limit(forest.MOST_SHAPELETS).select("i", "label")
+        training = materialise(training, "co_training")
+        values = training.join(pool.select("i", "values"), "i")
+        grown = forest.retrain_weak_trees(nodes, scores, values, self.score_threshold, 43 + batch) if due else nodes
+        self._write(grown, "forest", batch)
+        self._write(self.version("shapelets", before).unionByName(new.select("i", "label", "values")), "shapelets", batch)
+
+        walks = forest.predict_trees(new.select(F.col("i").alias("series_id"), "values"), self.version("forest", batch), self.version("shapelets", batch))
+        walks = materialise(walks.join(new.select(F.col("i").alias("series_id"), F.col("label").alias("truth")), "series_id").select("tree_id", "path", (F.col("label") == F.col("truth")).alias("right")), "co_walks")
+        usage = walks.groupBy("tree_id").agg(F.count(F.lit(1)).alias("predictions"), F.lit(0).alias("cache_hits"))
+        fresh = forest.tree_scores(forest.node_accuracy(walks), usage)
+        # a batch without shapelets leaves the scores as they were
+        self._write(fresh if number else scores, "scores", batch)
+        improvement = forest.score_improvement(scores, self.version("scores", batch)).agg(F.avg("improvement")).first()[0]
+
+        placed = materialise(pairs.indexed(new.select(F.col("i").alias("id"), "label", "values")), "co_new")
+        own = pairs.pairwise_similarity(placed).join(F.broadcast(placed.select(F.col("i").alias("j"), "label")), "j")
+        good = materialise(extract.grid_info_gain(own.select("i", "label", "value"), ["i"]).select("i", "info_gain"), "co_gains")
+        kept = extract.select_high_quality(own.select("i", "label", "value"), self.least_gain)
+        survivors = placed.join(good, "i").join(kept, "i", "left_semi").select(F.col("id").alias("i"), "label", "values", "info_gain")
+        at = F.timestamp_seconds(F.unix_timestamp(F.lit(self.as_of).cast("timestamp")) + batch + 1)
+        moved = match.usage_update(cache, matches.select("shapelet_id", (F.col("label") == F.col("c_label")).alias("success"), at.alias("at")))
+        added = classify.cache_rows(survivors, at, F.col("info_gain"))
+        self._write(moved.unionByName(added), "cache", batch)
+        weak = scores.where(F.col("score") < self.score_threshold).count() if due and training.limit(1).count() else 0
+        facts = (batch + 1, number, changed, last["magnitude"] if last else 0.0, last["kind"] if last else "insufficient_data", score, due, weak, training.count(), improvement, added.count(), pool.count(), self.version("cache", batch).count())
+        self._write(self.spark.createDataFrame([facts], LOG), "log", batch)

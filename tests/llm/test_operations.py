@@ -263,6 +263,14 @@ def test_quality_edges(spark, odd, none):
     assert quality.scored(odd.drop("score"), None).where("score <> 1").count() == 0
 
 
+def test_operations_leave_the_session_as_it_was(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    neardup.near_duplicates(docs.limit(20)).count()
+    topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count()
+    assert spark.conf.get(key) == before
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 8]) for i in range(300)]

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.shared import materialise
+
 #: Words by the contract: runs of anything but ASCII space and tab..carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows that Python looks at together: long texts must fit a Python worker's memory together.
@@ -29,7 +31,7 @@ def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """``mapInArrow`` by slices of at most ``rows`` rows.
 
     Spark bounds a batch by bytes; what Python makes of it is bounded by the
-    slices. No setting of the session is changed.
+    slices.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +40,17 @@ def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(each, schema)
 
 
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``materialise`` with Arrow batches of at most ``rows`` rows; the session's own setting is back afterwards."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, made longer until no column has it (Spark compares names without case)."""
     while name.lower() in {c.lower() for c in taken}:

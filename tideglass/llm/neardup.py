@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import map_slices, utf8, word_hashes
+from tideglass.llm.common import map_slices, utf8, word_hashes, written
 from tideglass.shared import discard, materialise
 
 SHINGLE = 5
@@ -204,7 +204,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, digest of the set, signature) of every row, written once."""
-    return materialise(map_slices(_rows(docs, doc_id, text), _signed, "doc_id long, text_key long, n_shingles long, digest binary, signature binary"), "neardup_signatures")
+    return written(map_slices(_rows(docs, doc_id, text), _signed, "doc_id long, text_key long, n_shingles long, digest binary, signature binary"), "neardup_signatures")
 
 
 def _classes(table: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _set_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str,
     if n <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = _rows(docs, doc_id, text).join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("id", "text")
-    found = materialise(map_slices(rows, _sets, "id long, found binary"), name)
+    found = written(map_slices(rows, _sets, "id long, found binary"), name)
     if found.count() == n:
         return found
     # rows that are repeated with their id
@@ -237,11 +237,11 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, t
     of_a, of_b = (signatures.withColumnsRenamed({"id": x, "size": f"n{x}", "signature": f"s{x}"}) for x in "ab")
     # sets whose sizes differ more cannot be similar
     near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0]).select("a", "b", "sa", "sb")
-    near = materialise(map_slices(near, _near, "a long, b long"), f"{name}_near")
+    near = written(map_slices(near, _near, "a long, b long"), f"{name}_near")
     ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}_ids")
     found = _set_table(docs, classes, ids, doc_id, text, f"{name}_sets")
     both = near.join(found.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(found.withColumnsRenamed({"id": "b", "found": "fb"}), "b").select("a", "b", "fa", "fb")
-    links = materialise(map_slices(both, _confirmed, "a long, b long"), f"{name}_links")
+    links = written(map_slices(both, _confirmed, "a long, b long"), f"{name}_links")
     discard(near, ids, found)
     return links
 
@@ -305,8 +305,7 @@ def _across(rest: DataFrame, classes: DataFrame) -> DataFrame:
     other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
     met = several.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
     met = met.select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
-    found = materialise(map_slices(alone.union(met), _near_in_blocks, "a long, b long", rows=16), "neardup_across_pairs")
-    return found
+    return written(map_slices(alone.union(met), _near_in_blocks, "a long, b long", rows=16), "neardup_across_pairs", 64)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +366,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, marked: DataFrame, members
     asks = _blocks(held[0], asking_sizes.join(sizes.select("large", F.col("blocks").alias("others")), "large"), "asking")
     # every block of askers meets every number of the component's blocks
     met = asks.select("large", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("block")).join(answers, ["large", "block"]).select("asking", "members")
-    links = materialise(map_slices(met, _compared, "a long, b long", rows=4), "neardup_block_links")
+    links = written(map_slices(met, _compared, "a long, b long", rows=4), "neardup_block_links", 4)
     discard(asking, asked, ids, sets, *held)
     return links
 
@@ -386,7 +385,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table = signed(docs, doc_id, text)
     classes = _classes(table)
     # keys that more than one class has, with the first class of each
-    keys = materialise(map_slices(classes.select("id", "signature"), _indexed, "key long, id long"), "neardup_keys")
+    keys = written(map_slices(classes.select("id", "signature"), _indexed, "key long, id long"), "neardup_keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     met = materialise(keys.join(shared, "key").select("key", "id", "first"), "neardup_met")
     discard(keys)

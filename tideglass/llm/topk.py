@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import map_slices
+from tideglass.llm.common import map_slices, written
 from tideglass.shared import materialise
 
 K = 5
@@ -218,7 +218,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
             F.when(open_ & hit, F.least(width, F.col("span") - F.col("at.bin") * width)).otherwise(F.lit(1)).cast("long").alias("span"),
             F.when(open_ & hit, F.col("at.need")).otherwise(F.col("need")).alias("need"),
         )
-        state = materialise(step, f"topk_intervals_{rounds}")
+        state = written(step, f"topk_intervals_{rounds}", 4)
     met = _met(packed, _query_blocks(state), facts["n"], bytes_each)
     kept = map_slices(met, _kept(k), "query_id long, vec_id long, score long", rows=4)
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -7,16 +7,17 @@ By pigeonhole, of two signatures with at most ``THRESHOLD`` different symbols at
 least one chunk has at most ``ERRORS`` errors, so the classes meet under one of
 the keys that leave ``ERRORS`` symbols of a chunk out. All such pairs are found
 for certain; of pairs further apart those with a chunk like that, which a pair of
-similarity 0.75 lacks about five times in a million.
+similarity 0.75 lacks about five times in a million. No pair that shares a key is
+left out by its signatures.
 
 Pairs are confirmed on full shingle sets. A key shared by many classes is not
 expanded into all pairs: first everyone meets the key's first class; links make
 components; then only classes of different components meet. A pair inside one
 component could add nothing, so no component is lost. A class that meets a large
-component is compared to all its members in blocks of sets; the other classes of
-a key are compared in blocks of signatures. Pairs of blocks are dealt by both
-blocks, so that one key's or one component's work is spread over the cluster. Only
-near pairs get a row, each under the first of the keys that it shares.
+component is compared to all its members; the other classes of a key are compared
+among themselves; both in blocks of sets, which give no more links than join what
+belongs together. Pairs of blocks are dealt by both blocks, so that one key's or one
+component's work is spread over the cluster.
 
 Classes have numbers of their own in the order of their smallest document ids, as
 rows of one id may have different texts.
@@ -42,8 +43,6 @@ SIMILAR = (75, 100)
 SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 #: Errors that the best chunk of a pair under the threshold has at most.
 ERRORS = THRESHOLD // CHUNKS
-#: Signatures with more different symbols are not confirmed: the odds of that at similarity 0.75 are 4 in 100 million.
-FARTHEST = 48
 #: Components of more classes are compared in blocks, and the classes of a block.
 LARGE, BLOCK = 48, 128
 SEED = 20_240_603
@@ -115,18 +114,6 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _key_at(signatures: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The key number ``at`` of each signature, as in ``keys_of`` with one symbol left out."""
-    width = SYMBOLS // CHUNKS
-    chunk, left_out = at // width, at % width
-    key = (at + 1).astype(np.uint64)
-    rows = np.arange(len(at))
-    for s in range(width):
-        then = _mixed(key * np.uint64(65_599) + signatures[rows, chunk * width + s].astype(np.uint64))
-        key = np.where(left_out == s, key, then)
-    return key.view(np.int64)
-
-
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -136,47 +123,6 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
 
-def _near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components between two blocks of classes under one key.
-
-    A pair is given only under the first key that its signatures share.
-    """
-    width = SYMBOLS // CHUNKS
-    for batch in batches:
-        out: tuple[list, list] = ([], [])
-        for r in batch.to_pylist():
-            left, right = r["rows"], r["others"]
-            ids, parts = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in ("id", "component"))
-            sizes = [np.array([x["size"] for x in side], np.int64) for side in (left, right)]
-            alike = SIMILAR[1] * np.minimum.outer(*sizes) >= SIMILAR[0] * np.maximum.outer(*sizes)
-            i, j = np.nonzero(alike & (parts[0][:, None] != parts[1][None, :]) & ((ids[1][None, :] > ids[0][:, None]) | (not r["same"])))
-            if not len(i):
-                continue
-            a, b = (np.frombuffer(b"".join([x["signature"] for x in side]), "<u2").reshape(-1, SYMBOLS) for side in (left, right))
-            differ = a[i] != b[j]
-            near = np.count_nonzero(differ, axis=1) <= FARTHEST
-            if not near.any():
-                continue
-            i, j, differ = i[near], j[near], differ[near].reshape(-1, CHUNKS, width)
-            chunk = (differ.sum(2) <= ERRORS).argmax(1)
-            left_out = differ[np.arange(len(i)), chunk].argmax(1)
-            first = _key_at(a[i], chunk * width + left_out) == r["key"]
-            x, y = ids[0][i[first]], ids[1][j[first]]
-            out[0].append(np.minimum(x, y))
-            out[1].append(np.maximum(x, y))
-        cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
-        yield pa.record_batch(cols, names=["a", "b"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures are near enough to confirm."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, SYMBOLS) for k in (2, 3))
-            near = (a != b).sum(1) <= FARTHEST
-            yield pa.record_batch([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "found"])
@@ -232,12 +178,11 @@ def _set_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str,
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that are near by signature and similar by full sets, written once."""
-    signatures = classes.select("id", "size", "signature")
-    of_a, of_b = (signatures.withColumnsRenamed({"id": x, "size": f"n{x}", "signature": f"s{x}"}) for x in "ab")
+    """The pairs (a, b) of classes that are similar by full sets, written once."""
+    of_a, of_b = (classes.select(F.col("id").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
     # sets whose sizes differ more cannot be similar
-    near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0]).select("a", "b", "sa", "sb")
-    near = written(map_slices(near, _near, "a long, b long"), f"{name}_near")
+    near = pairs.join(of_a, "a").join(of_b, "b").where(F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0]).select("a", "b")
+    near = materialise(near, f"{name}_near")
     ids = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}_ids")
     found = _set_table(docs, classes, ids, doc_id, text, f"{name}_sets")
     both = near.join(found.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(found.withColumnsRenamed({"id": "b", "found": "fb"}), "b").select("a", "b", "fa", "fb")
@@ -294,18 +239,71 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
-def _across(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of classes in different components, from open keys (key, id, component)."""
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of one side are similar to which of the other, by exact intersections."""
+    sides = (left, right)
+    flat = [np.concatenate(x) for x in sides]
+    owner = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in sides]
+    sizes = [np.array([len(y) for y in x], np.float64) for x in sides]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    both = np.zeros((len(sizes[0]), len(sizes[1])))
+    for k in range(0, len(shared), 1 << 14):
+        part = shared[k : k + (1 << 14)]
+        tables = []
+        for side in (0, 1):
+            at = np.minimum(np.searchsorted(part, flat[side]), len(part) - 1)
+            there = part[at] == flat[side]
+            t = np.zeros((len(sizes[side]), len(part)), np.float32)
+            t[owner[side][there], at[there]] = 1
+            tables.append(t)
+        both += tables[0] @ tables[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    return (SIMILAR[1] * both >= SIMILAR[0] * union) & (both > 0)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of classes under one key: as many as join all components that are linked there."""
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        for r in batch.to_pylist():
+            left, right = r["rows"], r["others"]
+            ids, parts = ([np.array([x[k] for x in side], np.int64) for side in (left, right)] for k in ("id", "component"))
+            asked = (parts[0][:, None] != parts[1][None, :]) & ((ids[1][None, :] > ids[0][:, None]) | (not r["same"]))
+            if not asked.any():
+                continue
+            linked = _linked(*([np.frombuffer(x["found"], np.uint64) for x in side] for side in (left, right)))
+            to: dict[int, int] = {}
+
+            def root(x: int, to: dict[int, int] = to) -> int:
+                while x in to:
+                    x = to[x]
+                return x
+
+            for i, j in np.argwhere(linked & asked).tolist():
+                a, b = root(left[i]["component"]), root(right[j]["component"])
+                if a != b:
+                    to[max(a, b)] = min(a, b)
+                    out[0].append(left[i]["id"])
+                    out[1].append(right[j]["id"])
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _across(docs: DataFrame, rest: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) of classes in different components, from open keys (key, id, component), compared in blocks of sets."""
+    ids = materialise(rest.select("id").distinct(), "neardup_open_ids")
+    sets = _set_table(docs, classes, ids, doc_id, text, "neardup_open_sets")
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
-    rows = _with_value(rest.join(classes.select("id", "size", "signature"), "id"), sizes, "key", rest.count())
+    rows = _with_value(rest, sizes, "key", rest.count()).join(sets, "id")
     place = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "size", "signature")).alias("rows"))
+    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "found")).alias("rows"))
     alone = packed.where("blocks = 1").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
     several = packed.where("blocks > 1")
     other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
     met = several.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
     met = met.select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
-    return written(map_slices(alone.union(met), _near_in_blocks, "a long, b long", rows=16), "neardup_across_pairs", 64)
+    links = written(map_slices(alone.union(met), _joining, "a long, b long", rows=16), "neardup_across_links", 64)
+    discard(ids, sets)
+    return links
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,24 +311,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: tuple[list, list] = ([], [])
         for r in batch.to_pylist():
-            sides = [[np.frombuffer(x["found"], np.uint64) for x in r[k]] for k in ("asking", "members")]
-            flat = [np.concatenate(x) for x in sides]
-            owner = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in sides]
-            sizes = [np.array([len(y) for y in x], np.float64) for x in sides]
-            shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-            both = np.zeros((len(sizes[0]), len(sizes[1])))
-            for k in range(0, len(shared), 1 << 14):
-                part = shared[k : k + (1 << 14)]
-                tables = []
-                for side in (0, 1):
-                    at = np.minimum(np.searchsorted(part, flat[side]), len(part) - 1)
-                    there = part[at] == flat[side]
-                    t = np.zeros((len(sizes[side]), len(part)), np.float32)
-                    t[owner[side][there], at[there]] = 1
-                    tables.append(t)
-                both += tables[0] @ tables[1].T
-            union = sizes[0][:, None] + sizes[1][None, :] - both
-            linked = (SIMILAR[1] * both >= SIMILAR[0] * union) & (both > 0)
+            linked = _linked(*([np.frombuffer(x["found"], np.uint64) for x in r[k]] for k in ("asking", "members")))
             for i in np.flatnonzero(linked.any(1)):
                 out[0].append(r["asking"][i]["id"])
                 out[1].append(r["members"][linked[i].argmax()]["id"])
@@ -399,16 +380,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     marked = _marked(rest, members)
     in_blocks = _block_links(docs, classes, marked, members, doc_id, text)
     small = materialise(_open(marked.where("not large").drop("large")), "neardup_open_small")
-    across = _across(small, classes)
-    pairs = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = _links(docs, classes, pairs, doc_id, text, "neardup_across")
+    across = _across(docs, small, classes, doc_id, text)
     # rows that share an id link their classes
     total = table.count()
     of_row = _with_value(table.where("doc_id is not null and digest is not null").select("doc_id", "digest"), classes.select("digest", "n", "id"), "digest", total).select("doc_id", "id").distinct()
     several = of_row.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("a <> last").drop("last")
     same_id = _with_value(of_row, several, "doc_id", total).where("id <> a").select("a", F.col("id").alias("b"))
-    final = components(links.union(in_blocks).union(more).union(same_id), "neardup_all")
-    discard(met, links, in_blocks, more, rest, marked, small, across)
+    final = components(links.union(in_blocks).union(across).union(same_id), "neardup_all")
+    discard(met, links, in_blocks, rest, marked, small, across)
     # the smallest class of a component has its smallest document
     sizes = final.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(classes.select("id", "doc"), "id").withColumnsRenamed({"id": "component", "doc": "lowest"})
     named = _with_value(final, sizes, "component", final.count()).select("id", "lowest")

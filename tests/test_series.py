@@ -94,7 +94,7 @@ def test_forest_refuses_too_many_shapelets_and_learns_from_extracted_ones(spark)
     rows = [(k, "ab"[k % 2], [float(k), 0.0]) for k in range(forest.MOST_SHAPELETS + 1)]
     with pytest.raises(ValueError):
         forest.train_forest(spark.createDataFrame(rows, "i long, label string, values array<double>"), 2)
-    _, shapelets = forest_queries._forest(spark, "/root/testdata/sf0.001")
+    shapelets = forest_queries._trained(spark, "/root/testdata/sf0.001").shapelets
     assert 0 < shapelets.where("size(values) BETWEEN 6 AND 32").count() == shapelets.count() <= forest.MOST_SHAPELETS
 
 

@@ -1,4 +1,4 @@
-"""Extraction over the series of ``embeddings``: every n-th series as the operator samples; two lengths where SQL follows, else all."""
+"""Extraction over the series of ``embeddings``: every n-th series as the operator samples, and all lengths."""
 
 from __future__ import annotations
 
@@ -10,18 +10,17 @@ from tideglass.jobs.pair_queries import _U, _shapelets
 from tideglass.jobs.profile_queries import draw_sql
 from tideglass.operators import extract, pairs, profile
 
-LENGTHS = (16, 17)
-
 _TRAIN = SERIES + ", t AS (SELECT *, row_number() OVER (ORDER BY series_id) - 1 AS k, count(*) OVER () AS n FROM s WHERE split = 'train')"
-_CAND = _TRAIN + """, l AS (SELECT series_id, label, v, unnest([16, 17]) AS length FROM t WHERE k % greatest(1, n // 50) = 0),
-c0 AS (SELECT series_id, label, length, v, unnest(range(0, len(v) - length + 1, length // 2)) AS start FROM l),
+_CAND = _TRAIN + """, lr AS (SELECT CAST(greatest(5, floor(min(len(v)) * 0.1)) AS BIGINT) AS low, CAST(least(50, floor(max(len(v)) * 0.5)) AS BIGINT) AS high FROM t),
+l AS (SELECT series_id, label, v, unnest(range(low, high + 1)) AS length FROM t, lr WHERE k % greatest(1, n // 50) = 0),
+c0 AS (SELECT series_id, label, length, v, unnest(range(0, len(v) - length + 1, length // 2)) AS start FROM l WHERE length < len(v)),
 c1 AS (SELECT series_id, label, length, start, v[start + 1:start + length] AS x FROM c0),
 c2 AS (SELECT *, list_avg(x) AS mu, list_stddev_pop(x) AS sd FROM c1),
 c AS MATERIALIZED (SELECT concat_ws('-', series_id, length, start) AS candidate_id, series_id, label, length, start, list_transform(x, lambda y: (y - mu) / sd) AS z FROM c2 WHERE sd >= 0.01)"""
 #: m: the sampled series; d: least distance of each candidate to each of them.
 _DIST = _CAND + f""", m0 AS (SELECT series_id, label, v, row_number() OVER (PARTITION BY label ORDER BY {draw_sql(42, 'series_id')}, series_id) AS k, count(*) OVER (PARTITION BY label) AS c, count(*) OVER () AS n FROM t),
 m AS (SELECT series_id, label, v FROM m0 WHERE k <= greatest(1, floor(CAST(c AS DOUBLE) / n * least(50, n)))),
-w0 AS (SELECT series_id, label, length, v[start + 1:start + length] AS x FROM (SELECT series_id, label, v, length, unnest(range(0, len(v) - length + 1)) AS start FROM m, (SELECT unnest([16, 17]) AS length))),
+w0 AS (SELECT series_id, label, length, v[start + 1:start + length] AS x FROM (SELECT series_id, label, v, length, unnest(range(0, len(v) - length + 1)) AS start FROM m, (SELECT unnest(range(low, high + 1)) AS length FROM lr))),
 w1 AS (SELECT *, list_avg(x) AS mu, list_stddev_pop(x) AS sd FROM w0),
 w AS MATERIALIZED (SELECT series_id, label, length, list_transform(x, lambda y: (y - mu) / sd) AS z, sd FROM w1),
 d AS MATERIALIZED (SELECT candidate_id, w.series_id, w.label, min(list_distance(c.z, w.z)) AS distance FROM c JOIN w USING (length) WHERE w.sd >= 0.001 GROUP BY ALL)"""
@@ -48,7 +47,9 @@ def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.subsequence_candidates(profile.every_nth_series(_train(spark, sf_dir)), *LENGTHS)
+    train = _train(spark, sf_dir)
+    bounds = extract.length_range(train).first()
+    return extract.subsequence_candidates(profile.every_nth_series(train), bounds["min_length"], bounds["max_length"])
 
 
 def _distances(spark: SparkSession, sf_dir: str, rule: str = "strided") -> DataFrame:
@@ -94,9 +95,7 @@ def informative_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most informative candidates of each label that are unlike each other."""
-    train = _train(spark, sf_dir)
-    bounds = extract.length_range(train).first()
-    found = extract.subsequence_candidates(profile.every_nth_series(train), bounds["min_length"], bounds["max_length"])
+    train, found = _train(spark, sf_dir), _candidates(spark, sf_dir)
     best = extract.candidate_info_gain(extract.min_distances(found, profile.stratified_sample(train))).where("info_gain > 0.01").join(found, "candidate_id")
     return rounded(extract.diverse_top(best, ["label"]).select("label", "candidate_id", "info_gain"))
 

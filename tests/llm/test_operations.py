@@ -643,6 +643,16 @@ def test_language_needs_letters_and_bounds_languages(spark, monkeypatch):
         langid.fit(docs, learn=F.lit(True))
 
 
+def test_language_sample_takes_the_smallest_hashes(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("lang"), F.concat_ws(" ", F.lit("word"), F.col("id") % 7).alias("text"))
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 40)
+    seen = []
+    kept = langid.materialise
+    monkeypatch.setattr(langid, "materialise", lambda df, name: seen.append(df.groupBy("lang").count().collect()) or kept(df, name))
+    assert langid.fit(docs, learn=F.lit(True)).languages == ["a", "b"]
+    assert {r["lang"]: r["count"] for r in seen[0]} == {"a": 60, "b": 60}
+
+
 def test_language_edges(spark, docs, odd, none):
     model = langid.fit(docs, learn=F.lit(True))
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}

@@ -208,15 +208,22 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     by_hash = Window.partitionBy("lang").orderBy("order", "doc_id")
-    languages = [r[0] for r in known.select(F.col(lang).alias("lang")).distinct().limit(MOST_LANGUAGES + 1).collect()]
+    sample_size = SAMPLE_PER_LANGUAGE * KEPT_OUT // (KEPT_OUT - 1)
+    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    languages = sizes.limit(MOST_LANGUAGES + 1).collect()
     if not languages:
         return None
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # of a large language only about twice the sample is sorted; that fewer than the sample are left has no odds to speak of
+    below = [(r["lang"], -(2.0**63) + 2.0**64 * 2 * sample_size / r["n"] if r["n"] > 4 * sample_size else 2.0**64) for r in languages]
+    below = F.broadcast(docs.sparkSession.createDataFrame(below, "drawn_lang string, below double"))
     picked = (
-        known.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("order"))
+        known.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("order"))
+        .join(below, F.col("lang") == F.col("drawn_lang"))
+        .where(F.col("order").cast("double") < F.col("below"))
         .withColumn("nth", F.row_number().over(by_hash))
-        .where(F.col("nth") <= SAMPLE_PER_LANGUAGE * KEPT_OUT // (KEPT_OUT - 1))
+        .where(F.col("nth") <= sample_size)
         .groupBy(F.col("doc_id").alias("picked_id"))
         .agg((F.max(F.col("nth") % KEPT_OUT) == 0).alias("kept_out"))
     )

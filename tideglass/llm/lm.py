@@ -34,7 +34,7 @@ VOCABULARY = CLASSES = sys.maxsize
 CLASS_PRIOR, WORD_PRIOR = 50.0, 0.5
 #: Distinct words that a task counts before it hands them on.
 WORDS_AT_ONCE = 600_000
-#: The most frequent words, up to this number, have counts that go with the tasks; the result does not depend on it.
+#: The most frequent words, up to this number, have counts that go with the tasks and numbers of two bytes; the result does not depend on it.
 FREQUENT = 50_000
 #: Ids of target documents that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -46,7 +46,7 @@ _START = int(START.view(np.int64))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _COUNTS = ("all_n", "target_n", "all_before", "target_before")
 #: Arrays of a block for a bucket: pairs that end in a frequent word (its number), others (the word's hash), rare words before another.
-_SENT = {"pair": "<u8", "word": "<u4", "text": "<u2", "n": "<u4", "rare_pair": "<u8", "rare_word": "<u8", "rare_text": "<u2", "rare_n": "<u4", "before": "<u8", "before_text": "<u2", "before_n": "<u4"}
+_SENT = {"pair": "<u8", "word": "<u2", "text": "<u2", "n": "<u4", "rare_pair": "<u8", "rare_word": "<u8", "rare_text": "<u2", "rare_n": "<u4", "before": "<u8", "before_text": "<u2", "before_n": "<u4"}
 _TARGET = 1 << 15
 
 

@@ -265,5 +265,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         return pa.table([own["id"], pa.array(n), pa.array(loss["target"]), pa.array(loss["all"]), pa.array(loss["target"] - loss["all"])], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
 
     packed = map_slices(marked, pack, "bucket long, block long, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT))
+    if buckets > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        packed = packed.repartition(buckets, "bucket")
     scored = packed.groupBy("bucket").applyInArrow(count, "block long, texts binary, text binary, target binary, `all` binary")
     return scored.groupBy("block").applyInArrow(finish, f"`{doc_id}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

@@ -26,7 +26,8 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(i, t, "en", None if i == 4 else "s", 0) for i, t in ODD]
-    return spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("copies", F.lit("clash"))
+    clashing = {c: F.lit("clash") for c in ("score", "copies", "picked_id", "kept_out", "target_id", "is_target", "digest", "key", "size", "row", "words", "bucket", "tail", "order", "label", "nth")}
+    return spark.createDataFrame(rows, DOCS).withColumns(clashing)
 
 
 @pytest.fixture(scope="module")
@@ -658,7 +659,8 @@ def test_language_edges(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["lang_accepted"] for i in (1, 2, 3))
     assert all(0 <= r["lang_score"] <= 1 for r in got.values()) and got[5]["lang_pred"] in model.languages
-    assert langid.fit(none, learn=F.lit(True)) is None
+    assert langid.fit(none, learn=F.lit(True)) is None and langid.fit(odd, learn=F.lit(True)).languages == ["en"]
+    assert neardup.near_duplicates(odd).count() == len(ODD) and licenses.scan(odd).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
     assert langid.identify(none, model).count() == 0
 

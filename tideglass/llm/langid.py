@@ -206,10 +206,10 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     number. Centroids come from one task for each language. More than
     ``MOST_LANGUAGES`` languages are an error.
     """
-    known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     by_hash = Window.partitionBy("lang").orderBy("order", "doc_id")
     sample_size = SAMPLE_PER_LANGUAGE * KEPT_OUT // (KEPT_OUT - 1)
-    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     languages = sizes.limit(MOST_LANGUAGES + 1).collect()
     if not languages:
         return None
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     below = [(r["lang"], -(2.0**63) + 2.0**64 * 2 * sample_size / r["n"] if r["n"] > 4 * sample_size else 2.0**64) for r in languages]
     below = F.broadcast(docs.sparkSession.createDataFrame(below, "drawn_lang string, below double"))
     picked = (
-        known.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("order"))
+        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
         .join(below, F.col("lang") == F.col("drawn_lang"))
         .where(F.col("order").cast("double") < F.col("below"))
         .withColumn("nth", F.row_number().over(by_hash))
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
         .groupBy(F.col("doc_id").alias("picked_id"))
         .agg((F.max(F.col("nth") % KEPT_OUT) == 0).alias("kept_out"))
     )
-    sample = known.join(F.broadcast(picked), known[doc_id] == F.col("picked_id")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "kept_out").repartition(TRAIN_TASKS)
+    sample = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("lang", "text", "kept_out").repartition(TRAIN_TASKS)
     rows = materialise(map_slices(sample, _counted, "lang string, counts binary, kept_out boolean, cuts array<binary>"), "lang_sample")
     # a language of kept-out texts alone is taught by them
     whole = rows.groupBy("lang").agg(F.min("kept_out").alias("only")).where("only").select("lang")

@@ -149,7 +149,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     """
     ids = target.select(F.col(doc_id).alias("target_id")).where("target_id IS NOT NULL").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = docs.join(ids, docs[doc_id] == F.col("target_id"), "left").select(F.col(doc_id), utf8(text).alias("text"), F.col("target_id").isNotNull().alias("is_target"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text"))
+    marked = slim.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
     counts = materialise(word_counts(marked), "lm_words")
     whole = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all_n", "target_n")], F.count(F.when(F.col("all_n") > 0, 1)).alias("words")).first()
     size = {k: whole[f"{k}_n"] + WORD_PRIOR * (whole["words"] + 1) for k in ("all", "target")}

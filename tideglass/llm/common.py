@@ -17,7 +17,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows that Python looks at together: long texts must fit a Python worker's memory together.
 BATCH_ROWS = 1024
 #: Entries a word cache keeps in one Python worker; words beyond it are computed anew each time.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Longer words are never kept in a cache.
 CACHE_WORD_BYTES = 64
 

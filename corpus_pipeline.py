@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``, whatever others there are. Null texts, texts
 without words and texts without letters have no known language and go there; null
 and repeated ids, null sources and rows that are alike are documents like others. An
-empty table gives an empty result.
+empty table gives an empty result. Stages that hand whole texts to Python write what
+they give in Arrow batches of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import langid, mixing, neardup, pieces, quality
-from tideglass.llm.common import fresh, table
+from tideglass.llm.common import fresh, table, written
 from tideglass.shared import materialise
 
 
@@ -22,14 +23,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose quality score is 0.5 or more, learned from the labels of the documents at hand."""
     net = quality.fit(table(spark, sf_dir, "labels"), docs)
     score = fresh(docs.columns, "_quality")
-    return quality.scored(docs, net, name=score).where(F.col(score) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
+    return written(quality.scored(docs, net, name=score).where(F.col(score) >= 0.5).select(*[f"`{c}`" for c in docs.columns]), "pipeline_good")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that are near a centroid of some language; ``lang`` stays as it came."""
     model = langid.fit(docs, learn=F.lit(True))
     names = tuple(fresh(docs.columns, n) for n in ("_lang", "_cosine", "_accepted"))
-    return langid.scored(docs, model, names=names).where(F.col(names[2])).select(*[f"`{c}`" for c in docs.columns])
+    return written(langid.scored(docs, model, names=names).where(F.col(names[2])).select(*[f"`{c}`" for c in docs.columns]), "pipeline_known")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document of the mix."""
-    return pieces.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return written(pieces.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model")), "pipeline_tokens")
 
 
 STAGES = [
@@ -74,6 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        # what a stage has written is read again as it is
+        if k < len(STAGES) - 1 and not hasattr(docs, "_written_to"):
             docs = materialise(docs, f"pipeline_{k}")
     return docs

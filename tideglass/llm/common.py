@@ -31,13 +31,17 @@ def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """``mapInArrow`` by slices of at most ``rows`` rows.
 
     Spark bounds a batch by bytes; what Python makes of it is bounded by the
-    slices.
+    slices, and the memory of a batch is given back when it is done.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+            del batch
+            pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(lambda batches: f(slices(batches)), schema)
 
 
 def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:

@@ -168,7 +168,7 @@ def test_bootstrap_of_places_with_gaps(spark):
     assert drawn.count() == 36 and drawn.where("i % 7 <> 3").count() == 0
 
 
-def test_profile_edges(spark):
+def test_profile_edges(spark, tmp_path):
     rows = [("train", 1, "a", [1e9, 1e9 + 1, 1e9 + 2]), ("test", 2, None, [1.0]), ("test", 3, "b", [1.0, 3.0]), ("test", 4, "a", [])]
     df = spark.createDataFrame(rows, "split string, series_id long, label string, values array<double>")
     got = {r["split"]: r for r in profile.dataset_stats(df).collect()}
@@ -178,7 +178,7 @@ def test_profile_edges(spark):
     assert profile.validation_status(issues).first()["status"] == "failed"
     assert profile.validation_status(issues.where("severity = 'warning'")).first()["status"] == "warnings"
     assert tuple(profile.validation_status(issues.limit(0)).first()) == ("passed", 0, 0)
-    info = spark.read.json(src.write_dataset_info(df, "/tmp/info-" + str(id(df))))
+    info = spark.read.json(src.write_dataset_info(df, str(tmp_path / "info")))
     assert {r["split"]: r["samples"] for r in info.collect()} == {"train": 1, "test": 3, "overall": 4}
 
 

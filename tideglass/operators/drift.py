@@ -116,9 +116,13 @@ def label_drift(rows: DataFrame, w: int = WINDOW, least: int = LEAST, threshold:
         windows.push(row[3])
         return [(*row[:3], *windows.drift(least, threshold))]
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    timed = dict(rows.dtypes)["ts"] == "timestamp"
+    # as a number, a time comes back the same in every time zone
+    rows = rows.withColumn("ts", F.unix_micros("ts")) if timed else rows
+    types = dict(rows.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ("stream_id", "ts", "event_id")) + ", changed boolean, magnitude double, kind string"
-    return in_order(rows, ["stream_id", "ts", "event_id", "label"], schema, lambda: LabelWindows(w), step)
+    found = in_order(rows, ["stream_id", "ts", "event_id", "label"], schema, lambda: LabelWindows(w), step)
+    return found.withColumn("ts", F.timestamp_micros("ts")) if timed else found
 
 
 def drift_log(drift: DataFrame, last: int = 10) -> DataFrame:

@@ -14,12 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import langid, mixing, neardup, pieces, quality
-from tideglass.llm.common import fresh, table
+from tideglass.llm.common import BATCH_ROWS, fresh, table
 from tideglass.shared import materialise
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch in the pipeline's session, as executors run one stage after another.
+
+    Stages give plans that run later, so the pipeline, unlike the library, leaves the setting as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)))))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more, learned from the labels of the documents at hand."""
+    bounded(spark)
     net = quality.fit(table(spark, sf_dir, "labels"), docs)
     score = fresh(docs.columns, "_quality")
     return quality.scored(docs, net, name=score).where(F.col(score) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
@@ -27,6 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that are near a centroid of some language; ``lang`` stays as it came."""
+    bounded(spark)
     model = langid.fit(docs, learn=F.lit(True))
     names = tuple(fresh(docs.columns, n) for n in ("_lang", "_cosine", "_accepted"))
     return langid.scored(docs, model, names=names).where(F.col(names[2])).select(*[f"`{c}`" for c in docs.columns])
@@ -55,6 +66,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document of the mix."""
+    bounded(spark)
     return pieces.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

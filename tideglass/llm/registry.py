@@ -1,4 +1,4 @@
-"""Queries of the ten operations over their whole tables, by name."""
+"""Queries of the thirteen operations over their whole tables, by name."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import fingerprints, langid, licenses, lm, mixing, neardup, pages, pieces, quality, topk
+from tideglass.llm import clusters, fingerprints, langid, licenses, lm, mixing, neardup, pages, pieces, private, quality, topk, turns
 from tideglass.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, learn=~held_out)
     scored = langid.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
+@query
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds from eight first centroids."""
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_clusters"] = clusters.oracle_sql()
+
+
+@query
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    found = turns.repaired(turns.damaged(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", *turns.FACTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+
+
+@query
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, plain and disguised, in every whole document."""
+    found = private.personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in private.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")

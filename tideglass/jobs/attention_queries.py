@@ -61,7 +61,11 @@ def streaming_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attention.streaming_attention(stream(spark, sf_dir)))
 
 
-@query(f"WITH {STREAM} SELECT a.stream_id, a.event_id, a.label, {r('sum(pow(CAST(0.95 AS DOUBLE), a.t - b.t))')} AS frequency FROM e a JOIN e b ON a.stream_id = b.stream_id AND a.label = b.label AND b.t BETWEEN a.t - 400 AND a.t GROUP BY ALL")
+_A7 = STREAM + """, p AS (SELECT *, coalesce(t - lag(t) OVER k, 0) AS gap FROM e WINDOW k AS (PARTITION BY stream_id, label ORDER BY t)),
+l AS (SELECT *, list(CAST(gap AS DOUBLE)) OVER (PARTITION BY stream_id, label ORDER BY t) AS gaps FROM p)"""
+
+
+@query(f"WITH {_A7} SELECT stream_id, event_id, label, {r('list_reduce(gaps, lambda a, x: 1 + CASE WHEN a * pow(CAST(0.95 AS DOUBLE), x) >= 0.01 THEN a * pow(CAST(0.95 AS DOUBLE), x) ELSE 0 END, CAST(0 AS DOUBLE))')} AS frequency FROM l")
 def decayed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attention.decayed_frequency(stream(spark, sf_dir)))
 

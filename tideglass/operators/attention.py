@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable
-from math import log2
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import dot
-from tideglass.operators.drift import in_order
+from tideglass.operators.ordered import in_chunks, placed
 
 THRESHOLD = 0.8
 FRAME = 100
@@ -74,31 +74,35 @@ def attention_summary(matches: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 
 class AttentionFrame:
-    """The labels and similarities of a stream's last ``frame`` rows, with counts and sums of each label."""
+    """The labels and similarities of a stream's last ``frame`` rows, counted by label.
+
+    A row of a null (or NaN) similarity counts for its label, but not in its mean;
+    a label without any has mean 0.
+    """
 
     def __init__(self, frame: int = FRAME, rows: Iterable[tuple[str, float]] = ()):
         self.frame = frame
         self.rows: deque = deque()
-        self.sums: dict[str, list] = {}
+        self.sims: dict[str, deque] = {}
         for label, sim in rows:
             self.push(label, sim)
 
-    def push(self, label: str, sim: float) -> None:
+    def push(self, label: str, sim: float | None) -> None:
         self.rows.append((label, sim))
-        held = self.sums.setdefault(label, [0, 0.0])
-        held[0] += 1
-        held[1] += sim
+        self.sims.setdefault(label, deque()).append(None if sim is None or sim != sim else sim)
         if len(self.rows) > self.frame:
-            old, gone = self.rows.popleft()
-            held = self.sums[old]
-            held[0] -= 1
-            held[1] -= gone
-            if not held[0]:
-                del self.sums[old]
+            old, _ = self.rows.popleft()
+            self.sims[old].popleft()
+            if not self.sims[old]:
+                del self.sims[old]
 
     def shares(self) -> list[tuple[str, float]]:
         """(label, share of the weights 0.4 * count + 0.3 * mean similarity), by PerMax."""
-        raw = {x: max(0.0, log2(w)) if (w := 0.4 * n + 0.3 * s / n) > 0 else 0.0 for x, (n, s) in self.sums.items()}
+        raw = {}
+        for label, sims in self.sims.items():
+            there = [s for s in sims if s is not None]
+            weight = 0.4 * len(sims) + 0.3 * (sum(there) / len(there) if there else 0.0)
+            raw[label] = max(0.0, log2(weight)) if weight > 0 else 0.0
         whole = sum(raw.values())
         return [(x, v / whole if whole > 0 else 1 / len(raw)) for x, v in raw.items()]
 
@@ -107,29 +111,45 @@ def streaming_attention(rows: DataFrame, threshold: float = THRESHOLD, frame: in
     """(stream_id, event_id, label, weight): label shares over the last ``frame`` rows, given at rows of at least ``threshold``.
 
     All rows of the frame count, with weight 0.4 * count + 0.3 * mean similarity.
+    A row needs the rows of its frame only, so chunks of a stream are worked on apart.
     """
 
-    def step(held: AttentionFrame, row: tuple) -> list[tuple]:
-        stream_id, event_id, label, sim = row
+    def step(held: AttentionFrame, row: tuple, wanted: bool) -> list[tuple]:
+        label, sim = row
         held.push(label, sim)
-        return [(stream_id, event_id, *share) for share in held.shares()] if sim >= threshold else []
+        return held.shares() if wanted and sim is not None and sim >= threshold else []
+
+    table = placed(rows.select("stream_id", "ts", "event_id", F.col("label").alias("_label"), "sim"), "stream_id", ["ts", "event_id"])
+    return in_chunks(table, "stream_id", ["_label", "sim"], "label string, weight double", lambda: AttentionFrame(frame), step, frame, ["stream_id", "event_id"])
+
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"stream_id {types['stream_id']}, event_id {types['event_id']}, label string, weight double"
-    return in_order(rows, ["stream_id", "event_id", "label", "sim"], schema, lambda: AttentionFrame(frame), step)
+#: Smaller counts are dropped.
+FAINT = 0.01
 
 
 def decayed_frequency(rows: DataFrame, decay: float = 0.95) -> DataFrame:
-    """Each row's label count where a row k steps back counts decay ** k, over the whole stream."""
+    """(stream_id, event_id, label, frequency): at each row all labels' counts fall to ``decay`` of theirs, those below
+    ``FAINT`` are dropped, and the row's label gains one.
 
-    def step(held: dict, row: tuple) -> list[tuple]:
-        stream_id, event_id, label = row
+    What a count of before a chunk leaves falls below the precision of a double
+    within a bounded number of rows, which are the chunk's margin.
+    """
+    if not 0 < decay < 1:
+        raise ValueError("counts must fall: a decay between 0 and 1")
+
+    def step(held: dict, row: tuple, wanted: bool) -> list[tuple]:
+        (label,) = row
         t = held["t"] = held["t"] + 1
         last, value = held["labels"].get(label, (t, 0.0))
-        value = value * decay ** (t - last) + 1.0
+        value *= decay ** (t - last)
+        value = (value if value >= FAINT else 0.0) + 1.0
         held["labels"][label] = (t, value)
-        return [(stream_id, event_id, label, value)]
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"stream_id {types['stream_id']}, event_id {types['event_id']}, label string, frequency double"
-    return in_order(rows, ["stream_id", "event_id", "label"], schema, lambda: {"t": 0, "labels": {}}, step)
+        if len(held["labels"]) > 2 * held["kept"]:
+            held["labels"] = {x: (at, v) for x, (at, v) in held["labels"].items() if v * decay ** (t - at) >= FAINT}
+            held["kept"] = max(1000, len(held["labels"]))
+        return [(value,)] if wanted else []
+
+    # 2 ** -70 of the highest count
+    margin = ceil((70 * log(2) - log(1 - decay)) / -log(decay))
+    table = placed(rows.select("stream_id", "ts", "event_id", "label"), "stream_id", ["ts", "event_id"])
+    return in_chunks(table, "stream_id", ["label"], "frequency double", lambda: {"t": 0, "labels": {}, "kept": 1000}, step, margin, ["stream_id", "event_id", "label"])

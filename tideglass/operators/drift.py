@@ -1,15 +1,16 @@
-"""Drift of label streams (stream_id, ts, event_id, label) over count windows, and ordered folds."""
+"""Drift of label streams (stream_id, ts, event_id, label) over count windows, and thresholds that follow a stream."""
 
 from __future__ import annotations
 
 from collections import Counter, deque
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 from math import log2, sqrt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators.ordered import in_chunks, placed, scanned
+
 WINDOW, LEAST, CHANGE = 100, 50, 0.1
 
 
@@ -83,46 +84,20 @@ def drift_kind(shares: dict[str, tuple[float, float]]) -> str:
     return "proportion_changes:" + ";".join(moved) if moved else "minor_shift"
 
 
-def in_order(rows: DataFrame, columns: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], key: str = "stream_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Rows of ``schema``: ``step(state, row)`` for each row of a key in order, ``row`` being its ``columns``.
-
-    Rows are dealt by key and sorted once; a task holds one batch and one state,
-    however long a key's stream is.
-    """
-    ordered = rows.select(key, *order, *[c for c in columns if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order)
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
-        for frame in frames:
-            out: list[tuple] = []
-            for k, row in zip(frame[key], frame[columns].itertuples(index=False, name=None), strict=True):
-                if k != current:
-                    current, state = k, start()
-                out.extend(step(state, row))
-            yield pd.DataFrame(out, columns=names)
-
-    return ordered.mapInPandas(each, schema)
-
-
 def label_drift(rows: DataFrame, w: int = WINDOW, least: int = LEAST, threshold: float = CHANGE) -> DataFrame:
     """(stream_id, ts, event_id, changed, magnitude, kind) of each row; too few rows give (false, 0, insufficient_data).
 
-    Labels are counted as they come and go, so that a row costs no more than the
-    labels that its windows have.
+    Labels are counted as they come and go. A row needs the 2w - 2 rows before it
+    at most, so chunks of a stream are worked on apart. A null stream is a stream,
+    a null label fills a place of the windows only.
     """
 
-    def step(windows: LabelWindows, row: tuple) -> list[tuple]:
-        windows.push(row[3])
-        return [(*row[:3], *windows.drift(least, threshold))]
+    def step(windows: LabelWindows, row: tuple, wanted: bool) -> list[tuple]:
+        windows.push(row[0])
+        return [windows.drift(least, threshold)] if wanted else []
 
-    timed = dict(rows.dtypes)["ts"] == "timestamp"
-    # as a number, a time comes back the same in every time zone
-    rows = rows.withColumn("ts", F.unix_micros("ts")) if timed else rows
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("stream_id", "ts", "event_id")) + ", changed boolean, magnitude double, kind string"
-    found = in_order(rows, ["stream_id", "ts", "event_id", "label"], schema, lambda: LabelWindows(w), step)
-    return found.withColumn("ts", F.timestamp_micros("ts")) if timed else found
+    table = placed(rows.select("stream_id", "ts", "event_id", "label"), "stream_id", ["ts", "event_id"])
+    return in_chunks(table, "stream_id", ["label"], "changed boolean, magnitude double, kind string", lambda: LabelWindows(w), step, 2 * w, ["stream_id", "ts", "event_id"])
 
 
 def drift_log(drift: DataFrame, last: int = 10) -> DataFrame:
@@ -140,34 +115,25 @@ def rolling_mean(value: Column, frame: int = 100) -> Column:
     return F.avg(value).over(Window.partitionBy("stream_id").orderBy("ts", "event_id").rowsBetween(-(frame - 1), 0))
 
 
-def folded(rows: DataFrame, key: str, order: list[str], step: str, start: float, update: Callable[[float, float], float], name: str) -> DataFrame:
-    """``rows`` with the running state ``name``: each key's state starts at ``start`` and follows ``update(state, step)``.
-
-    Rows are dealt by key and sorted once; a task holds one batch and one number,
-    however long a key's stream is.
-    """
-    ordered = rows.repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{name}` double"])
+class LastRows:
+    """The last values of a stream, null ones too, with their number and sum; sums are taken anew, so that nothing adds up."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), start
-        for frame in frames:
-            out = []
-            for k, s in zip(frame[key], frame[step], strict=True):
-                if k != current:
-                    current, state = k, start
-                state = update(state, s)
-                out.append(state)
-            frame[name] = out
-            yield frame
+    def __init__(self, size: int):
+        self.rows: deque = deque(maxlen=size)
 
-    return ordered.mapInPandas(each, schema)
+    def mean(self) -> tuple[int, float | None]:
+        """(how many values are there, their mean)."""
+        there = [x for x in self.rows if x is not None]
+        return len(there), sum(there) / len(there) if there else None
 
 
 def earliness_threshold(rows: DataFrame, start: float = 0.85, low: float = 0.5, high: float = 0.95) -> DataFrame:
-    """``rows`` (stream_id, ts, event_id, earliness) with the threshold after each: from 10 earlier rows on, the mean
-    of the 10 before moves it up by 5 % (over 0.7) or down by 5 % (below 0.3), within its bounds."""
-    before = Window.partitionBy("stream_id").orderBy("ts", "event_id").rowsBetween(-10, -1)
-    mean = F.avg("earliness").over(before)
-    step = F.when(F.count("earliness").over(before) < 10, 0.0).when(mean > 0.7, 1.0).when(mean < 0.3, -1.0).otherwise(0.0)
-    return folded(rows.withColumn("step", step), "stream_id", ["ts", "event_id"], "step", start, lambda t, s: min(high, t * 1.05) if s > 0 else max(low, t * 0.95) if s < 0 else t, "threshold")
+    """``rows`` (stream_id, ts, event_id, earliness) with the threshold after each: from 10 earlier rows with a value on, the
+    mean of the 10 before moves it up by 5 % (over 0.7) or down by 5 % (below 0.3), within its bounds."""
+
+    def step(held: LastRows, row: tuple) -> tuple[float, float] | None:
+        n, mean = held.mean()
+        held.rows.append(row[0])
+        return None if n < 10 else (1.05, 0.0) if mean > 0.7 else (0.95, 0.0) if mean < 0.3 else None
+
+    return scanned(rows, "stream_id", ["ts", "event_id"], ["earliness"], lambda: LastRows(10), step, 10, start, low, high, "threshold")

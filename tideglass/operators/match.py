@@ -15,7 +15,8 @@ from pyspark.sql.types import DoubleType
 
 from tideglass.functions import kernels
 from tideglass.functions.scalars import prefix_normalise
-from tideglass.operators.drift import folded
+from tideglass.operators.drift import LastRows
+from tideglass.operators.ordered import folded_ends, scanned
 
 CACHE_SIZE, LOOKBACK = 200, 10
 
@@ -115,28 +116,50 @@ def usage_update(cache: DataFrame, outcomes: DataFrame) -> DataFrame:
     return cache.join(news, "shapelet_id", "left").select(*[changed.get(c, F.col(c)).alias(c) for c in cache.columns])
 
 
-def confidence_ema(feedback: DataFrame, keep: float = 0.9) -> DataFrame:
+def confidence_ema(feedback: DataFrame, keep: float = 0.9, order: tuple[str, ...] = ("at",)) -> DataFrame:
     """(shapelet_id, confidence) after feedback (shapelet_id, at, start, new) in order: each keeps 90 % of the value before.
 
-    The closed form weighs the k-th newest feedback by 0.1 * 0.9 ** k, so that
-    partial sums are enough and no ordered list is built.
+    Feedback of one ``at`` goes by ``new``, the smaller first; a null ``new``
+    changes nothing. Steps are composed in chunks, so a hot shapelet is split.
     """
-    newest = Window.partitionBy("shapelet_id").orderBy(F.desc("at"))
-    back = (F.row_number().over(newest) - 1).cast("double")
-    weighed = feedback.withColumn("_w", (1 - keep) * F.pow(F.lit(keep), back) * F.col("new"))
-    return weighed.groupBy("shapelet_id").agg((F.max("start") * F.pow(F.lit(keep), F.count(F.lit(1)).cast("double")) + F.sum("_w")).alias("confidence"))
+
+    def step(_: None, row: tuple) -> tuple[float, float] | None:
+        return None if row[0] is None else (keep, (1 - keep) * row[0])
+
+    ends = folded_ends(feedback.select("shapelet_id", *order, F.col("new").cast("double").alias("new")), "shapelet_id", [*order, "new"], ["new"], lambda: None, step, 1, -1e300, 1e300)
+    starts = feedback.groupBy("shapelet_id").agg(F.max("start").alias("start")).withColumnRenamed("shapelet_id", "_id")
+    return ends.join(starts, F.col("shapelet_id").eqNullSafe(F.col("_id"))).select("shapelet_id", (F.col("start") * F.col("slope") + F.col("add")).alias("confidence"))
+
+
+class Outcomes:
+    """The last 50 outcomes of a stream: whether they were right, and their earliness."""
+
+    def __init__(self):
+        self.correct, self.early = LastRows(50), LastRows(50)
+
+    def push(self, correct: bool | None, early: float | None) -> None:
+        self.correct.rows.append(correct)
+        self.early.rows.append(early)
 
 
 def adaptive_threshold(outcomes: DataFrame, start: float = 0.6, low: float = 0.4, high: float = 0.85, rate: float = 0.01) -> DataFrame:
     """Outcomes (stream_id, ts, event_id, correct, earliness) with the threshold after each.
 
     From 10 outcomes on, the last 50 lower it (accuracy below 0.6) or raise it
-    (accuracy over 0.85 with mean earliness below 0.3), within its bounds.
+    (accuracy over 0.85 with mean earliness below 0.3), within its bounds. Nulls
+    count as outcomes, but in no mean.
     """
-    last = Window.partitionBy("stream_id").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    accuracy, early, n = F.avg(F.col("correct").cast("double")).over(last), F.avg("earliness").over(last), F.count(F.lit(1)).over(last)
-    step = F.when(n < 10, 0.0).when(accuracy < 0.6, -1.0).when((accuracy > 0.85) & (early < 0.3), 1.0).otherwise(0.0)
-    return folded(outcomes.withColumn("step", step), "stream_id", ["ts", "event_id"], "step", start, lambda t, s: max(low, t - rate) if s < 0 else min(high, t + rate) if s > 0 else t, "threshold")
+
+    def step(held: Outcomes, row: tuple) -> tuple[float, float] | None:
+        held.push(*row)
+        if len(held.correct.rows) < 10:
+            return None
+        (_, accuracy), (_, early) = held.correct.mean(), held.early.mean()
+        if accuracy is None:
+            return None
+        return (1.0, -rate) if accuracy < 0.6 else (1.0, rate) if accuracy > 0.85 and early is not None and early < 0.3 else None
+
+    return scanned(outcomes, "stream_id", ["ts", "event_id"], ["correct", "earliness"], Outcomes, step, 50, start, low, high, "threshold")
 
 
 def matcher_metrics(cache: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:

@@ -74,9 +74,17 @@ def vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forest.vote(_votes(spark, sf_dir)))
 
 
-@query(f"WITH {_VOTES} SELECT tree_id AS leaf, label, {r('count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY tree_id)')} AS share FROM v WHERE label IS NOT NULL GROUP BY tree_id, label")
+#: Leaves by user: some have users of every third number only, whose events are left out.
+_LEAVES = "v AS (SELECT user_id % 40 AS leaf, event_type AS label FROM events WHERE event_id % 9 <> 0 AND user_id % 3 <> 0), f AS (SELECT DISTINCT user_id % 40 AS leaf, 'own' AS label FROM events)"
+
+
+@query(f"WITH {_LEAVES} SELECT leaf, label, {r('count(*) / sum(CAST(count(*) AS DOUBLE)) OVER (PARTITION BY leaf)')} AS share FROM v GROUP BY leaf, label UNION ALL SELECT leaf, label, 1.0::DOUBLE FROM f WHERE leaf NOT IN (SELECT leaf FROM v)")
 def leaf_class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forest.leaf_class_probabilities(_votes(spark, sf_dir).where("label is not null").select(F.col("tree_id").alias("leaf"), "label")))
+    """Shares of the types that fall into each leaf; a leaf that only users of every third number have is empty."""
+    e = table(spark, sf_dir, "events").withColumn("leaf", F.col("user_id") % 40)
+    leaves = e.select("leaf", F.lit("own").alias("label")).distinct()
+    rows = e.where("event_id % 9 <> 0 and user_id % 3 <> 0").select("leaf", F.col("event_type").alias("label"))
+    return rounded(forest.leaf_class_probabilities(rows, leaves))
 
 
 #: A walk visits the root, a node of depth 1 and one of depth 2, by the digits of the event's number.

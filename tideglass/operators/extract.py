@@ -99,7 +99,11 @@ def candidate_info_gain(distances: DataFrame, least: int = 2) -> DataFrame:
 
 def gains(sides: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, threshold, n_left, n_right, gain) from rows (keys, threshold, label, left 0/1)."""
-    counts = sides.groupBy(*keys, "threshold", "label").agg(F.sum("left").alias("l"), F.sum(1 - F.col("left")).alias("r"))
+    return gains_of_counts(sides.groupBy(*keys, "threshold", "label").agg(F.sum("left").alias("l"), F.sum(1 - F.col("left")).alias("r")), keys)
+
+
+def gains_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from counted rows (keys, threshold, label, l, r)."""
 
     def part(c: str) -> tuple:
         n = F.sum(c)

@@ -373,7 +373,8 @@ def brute_components(rows):
     return sorted((rows[i][0], len(sets[i]), low[root(i)], rows[i][0] == low[root(i)]) for i in range(len(rows)))
 
 
-def test_neardup_equals_brute_force_with_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize(("large", "huge", "block"), [(20, 4096, 128), (8, 30, 6)])
+def test_neardup_equals_brute_force_with_large_groups(spark, monkeypatch, large, huge, block):
     import random
 
     rng = random.Random(2)
@@ -395,12 +396,24 @@ def test_neardup_equals_brute_force_with_large_groups(spark, monkeypatch):
         rows.append((n := n + 1, " ".join(chain)))
     rows += [(n + 1, None), (n + 2, ""), (n + 3, " \t"), (n + 4, "One Two"), (n + 5, "one  two"), (n + 6, "one two three four five"), (n + 7, rows[0][1].upper()), (n + 8, rows[0][1])]
     rng.shuffle(rows)
-    monkeypatch.setattr(neardup, "LARGE", 20)
+    for name, value in (("LARGE", large), ("HUGE", huge), ("BLOCK", block)):
+        monkeypatch.setattr(neardup, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("key", F.lit(1))
     got = sorted(tuple(r) for r in neardup.near_duplicates(df).collect())
     assert got == brute_components(rows)
 
 
+def test_neardup_compares_no_more_than_what_shares_a_key(spark):
+    """5,000 classes of one component and 500 others, of which a key has 300 and 40: blocks of the one meet those of the others only."""
+    sets = spark.range(6000).select("id", F.lit(b"").alias("found"))
+    one = spark.range(300).select(F.lit(1).alias("key"), "id", F.lit(0).cast("long").alias("component"))
+    others = spark.range(5000, 5040).select(F.lit(1).alias("key"), "id", F.col("id").alias("component"))
+    met = neardup._block_pairs(one.union(others), sets).collect()
+    compared = sum(len(r["rows"]) * len(r["others"]) for r in met if not r["same"])
+    assert compared == 300 * 40 and sorted({x["id"] for r in met for x in r["rows"]}) == [*range(300), *range(5000, 5040)]
+    assert sum(len(r["rows"]) for r in met if r["same"]) == 40
+
+
 def test_neardup_edges(spark, none):
     assert neardup.near_duplicates(none).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (7, "A b c d e f")]

@@ -14,10 +14,12 @@ Pairs are confirmed on full shingle sets. A key shared by many classes is not
 expanded into all pairs: first everyone meets the key's first class; links make
 components; then only classes of different components meet. A pair inside one
 component could add nothing, so no component is lost. A class that meets a large
-component is compared to all its members; the other classes of a key are compared
-among themselves; both in blocks of sets, which give no more links than join what
-belongs together. Pairs of blocks are dealt by both blocks, so that one key's or one
-component's work is spread over the cluster.
+component, of up to ``HUGE`` classes, is compared to all its members; the other
+classes of a key, those of still larger components among them, are compared among
+themselves; both in blocks of sets, which give no more links than join what belongs
+together. Under a key, blocks hold one component's classes where it has many there, and two
+blocks of one component do not meet. Pairs of blocks are dealt by both blocks, so
+that one key's or one component's work is spread over the cluster.
 
 Classes have numbers of their own in the order of their smallest document ids, as
 rows of one id may have different texts.
@@ -31,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import map_slices, utf8, word_hashes, written
@@ -43,8 +45,8 @@ SIMILAR = (75, 100)
 SYMBOLS, CHUNKS, THRESHOLD = 96, 16, 31
 #: Errors that the best chunk of a pair under the threshold has at most.
 ERRORS = THRESHOLD // CHUNKS
-#: Components of more classes are compared in blocks, and the classes of a block.
-LARGE, BLOCK = 48, 128
+#: Components of more classes (up to ``HUGE``) are compared in blocks as a whole, and the classes of a block.
+LARGE, HUGE, BLOCK = 48, 4096, 128
 SEED = 20_240_603
 #: Ids that are sent to all tasks to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -288,20 +290,41 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
 
+def _block_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rows, others, same): the pairs of blocks that the classes of each open key (key, id, component) meet in, with their sets.
+
+    Blocks of a key are numbered: first those of components with many classes
+    there, each component's after another's, then mixed ones. A block meets those after it,
+    without the rest of its own component.
+    """
+    per = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK // 2, F.ceil(F.col("n") / BLOCK)))
+    of_key = per.groupBy("key").agg(F.sum("own").alias("alone"), F.ceil(F.sum(F.when(F.col("own").isNull(), F.col("n"))) / BLOCK).alias("mixed"))
+    of_key = of_key.select("key", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("mixed", F.lit(0)).alias("mixed"))
+    # few components have many classes under one key
+    many = per.where("own is not null")
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = many.select("key", "component", "own", before.alias("first"))
+    sizes = per.join(of_key, "key").join(many.drop("own"), ["key", "component"], "left").select(F.struct("key", "component").alias("part"), "n", "own", "first", "alone", "mixed")
+    placed = _with_value(rest.withColumn("part", F.struct("key", "component")), sizes, "part", rest.count())
+    within = lambda blocks: F.pmod(F.xxhash64("id"), blocks)
+    block = F.when(F.col("own").isNotNull(), F.col("first") + within(F.col("own"))).otherwise(F.col("alone") + within(F.col("mixed")))
+    # an own block is linked to nothing inside it
+    begins = F.when(F.col("own").isNotNull(), F.col("first") + F.col("own")).otherwise(block)
+    rows = placed.select("key", "id", "component", block.alias("block"), begins.alias("begins"), (F.col("alone") + F.col("mixed") - 1).alias("last")).join(sets, "id")
+    packed = rows.groupBy("key", "block", "begins", "last").agg(F.collect_list(F.struct("id", "component", "found")).alias("rows"))
+    single = packed.where("last = 0").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
+    several = packed.where("last > 0")
+    other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
+    met = several.where("begins <= last").withColumn("other", F.explode(F.sequence("begins", "last"))).join(other, ["key", "other"])
+    return single.union(met.select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same")))
+
+
 def _across(docs: DataFrame, rest: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) of classes in different components, from open keys (key, id, component), compared in blocks of sets."""
     ids = materialise(rest.select("id").distinct(), "neardup_open_ids")
     sets = _set_table(docs, classes, ids, doc_id, text, "neardup_open_sets")
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
-    rows = _with_value(rest, sizes, "key", rest.count()).join(sets, "id")
-    place = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    packed = rows.groupBy("key", "blocks", place.alias("block")).agg(F.collect_list(F.struct("id", "component", "found")).alias("rows"))
-    alone = packed.where("blocks = 1").select("key", "rows", F.col("rows").alias("others"), F.lit(True).alias("same"))
-    several = packed.where("blocks > 1")
-    other = several.select("key", F.col("block").alias("other"), F.col("rows").alias("others"))
-    met = several.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["key", "other"])
-    met = met.select("key", "rows", "others", (F.col("block") == F.col("other")).alias("same"))
-    links = written(map_slices(alone.union(met), _joining, "a long, b long", rows=16), "neardup_across_links", 64)
+    met = _block_pairs(rest, sets)
+    links = written(map_slices(met, _joining, "a long, b long", rows=16), "neardup_across_links", 64)
     discard(ids, sets)
     return links
 
@@ -325,8 +348,8 @@ def _blocks(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
 
 
 def _marked(rest: DataFrame, members: DataFrame) -> DataFrame:
-    """``rest`` (key, id, component) with ``large``, whether the component has more than ``LARGE`` classes, written once."""
-    large = members.groupBy("component").count().where(F.col("count") > LARGE).select("component", F.lit(True).alias("large"))
+    """``rest`` (key, id, component) with ``large``, whether the component has more than ``LARGE`` classes, but no more than ``HUGE``, written once."""
+    large = members.groupBy("component").count().where(F.col("count").between(LARGE + 1, HUGE)).select("component", F.lit(True).alias("large"))
     values = rest.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(large, "component", "left")
     return materialise(_with_value(rest, values, "component", rest.count()).select("key", "id", "component", F.coalesce("large", F.lit(False)).alias("large")), "neardup_marked")
 

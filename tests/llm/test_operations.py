@@ -116,7 +116,7 @@ def test_lm_edges(spark, odd, none):
 
 @pytest.fixture(scope="module")
 def crf():
-    return pages.train(pages.labelled_pages())
+    return pages.fitted()
 
 
 def test_pages_of_the_given_table(crf):
@@ -185,6 +185,27 @@ def test_pages_comments_before_lists_are_left_out(crf):
     assert pages.main_text(page, crf).split("\n") == ["Title", "First paragraph here stands, with words enough.", "Term", "The definition of the term in some words.", last]
 
 
+_STORY = "<h1>The title of it</h1><p>A first paragraph stands here, with words enough for all.</p><p>A second one follows it, and it ends the story of the day.</p>"
+_TOLD = ["The title of it", "A first paragraph stands here, with words enough for all.", "A second one follows it, and it ends the story of the day."]
+_REMARKS = [
+    "<dl><dt>Bob</dt><dd>I really liked this text a lot, thanks for it.</dd></dl>",
+    "<table><tr><td>Bob</td><td>I really liked this text a lot.</td></tr><tr><td>Ann</td><td>So did I.</td></tr></table>",
+    "<ul><li>I really liked this text.</li><li>So did I, by the way.</li></ul>",
+    "<blockquote><p>What he said.</p></blockquote><p>I agree with that in full.</p>",
+]
+
+
+@pytest.mark.parametrize("remarks", _REMARKS)
+@pytest.mark.parametrize("page", ['<article>{s}<div class="comments">{r}</div></article>', '<article>{s}</article><div class="comments">{r}</div>', '<div class="post">{s}</div><section id="comments"><h3>Comments</h3>{r}</section>'])
+def test_pages_leave_out_comments_of_any_kind(crf, page, remarks):
+    assert pages.main_text(page.format(s=_STORY, r=remarks), crf).split("\n") == _TOLD
+
+
+@pytest.mark.parametrize("page", ['<div class="inhalt">{s}</div><div class="fuss"><p>&copy; 2021 Verlag</p></div>', "<div>{s}</div><div>&copy; 2020 Me</div>", "<div><div>{s}</div></div><footer>Imprint and more</footer>"])
+def test_pages_leave_out_footers_of_any_name(crf, page):
+    assert pages.main_text(page.format(s=_STORY), crf).split("\n") == _TOLD
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<div>", "<div>x", '<a href="', "<a href='>", "<!--", "<script>", "<p>x. ", "<b>x", "< ", "<b>x</i>", "</p><div>"])
 def test_pages_of_broken_markup_are_read_in_linear_time(crf, piece):
     from time import process_time

@@ -22,6 +22,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -424,12 +425,40 @@ def _prose(rng: random.Random, least: int, most: int, ends: bool = True) -> str:
     return " ".join(words) + ("." if ends and rng.random() < 0.85 else "")
 
 
+def _unknown_name(rng: random.Random) -> str:
+    """A name in no known language, as parts of foreign pages have."""
+    while True:
+        name = "".join(rng.choice(("pi", "fus", "inha", "kom", "leis", "con", "teni", "bar", "ra", "mek", "ped", "zo")) for _ in range(rng.randint(1, 3)))
+        if name not in _TELLING:
+            return name
+
+
+def _any_block(rng: random.Random, mark: str) -> str:
+    """A list, a table, a definition list, a quote, a caption or a heading with paragraphs; every text begins with ``mark``."""
+    text = lambda a, b, ends=True: mark + _prose(rng, a, b, ends)
+    kind = rng.choice(("ul", "ol", "table", "dl", "quote", "pre", "figure", "heading"))
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{text(1, 18)}</li>" for _ in range(rng.randint(1, 5))) + f"</{kind}>"
+    if kind == "table":
+        return "<table>" + "".join(f"<tr><td>{text(1, 4, False)}</td><td>{text(1, 20, False)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+    if kind == "dl":
+        return "<dl>" + "".join(f"<dt>{text(1, 4, False)}</dt><dd>{text(2, 30)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+    if kind == "quote":
+        return f"<blockquote><p>{text(5, 40)}</p></blockquote><p>{text(3, 30)}</p>"
+    if kind == "pre":
+        return f"<pre>{text(4, 20)}</pre>"
+    if kind == "figure":
+        return f"<figure><img src=x><figcaption>{text(3, 14)}</figcaption></figure>"
+    return f"<h{(k := rng.randint(2, 5))}>{text(1, 8, False)}</h{k}><p>{text(4, 60)}</p>"
+
+
 def labelled_pages(count: int = 1100, seed: int = 20_240_602) -> list[tuple[list[Block], list[int]]]:
     """Pages composed from parts with known labels, cut into blocks.
 
     Parts come in the ways pages are written: by semantic tags, by class or id
     names on plain tags, or by both; articles hold headings, paragraphs, lists,
-    quotes, tables and captions, with unclosed tags among them. Every text of an
+    quotes, tables and captions, with unclosed tags among them, and the other parts
+    hold all of these too, now and then under a name that tells nothing. Every text of an
     article carries a mark that gives its block the label 1 and is taken off.
     """
     rng = random.Random(seed)
@@ -448,7 +477,7 @@ def _page(rng: random.Random) -> str:
     own = lambda least, most, ends=True: "⁂" + _prose(rng, least, most, ends)
 
     def named(tag: str, words: str, content: str, semantic: bool) -> str:
-        word = rng.choice(words.split())
+        word = rng.choice(words.split()) if rng.random() < 0.9 else _unknown_name(rng)
         key = rng.choice(("class", "class", "id", "role") if semantic else ("class", "class", "id"))
         name = rng.choice((word, word, f"{word}-{rng.choice(('wrap', 'box', 'list', 'area', 'block', 'section', 'container'))}", f"{rng.choice(('site', 'main', 'page', 'top'))}-{word}"))
         attribute = "" if semantic and rng.random() < 0.6 else f' {key}="{name}"'
@@ -461,20 +490,27 @@ def _page(rng: random.Random) -> str:
         semantic = rng.random() < 0.6
         words = _OTHER_PARTS[kind]
         text = lambda a, b: _prose(rng, a, b)
+        if kind in ("footer", "aside", "notice", "ad", "header") and rng.random() < 0.15:
+            return named({"footer": "footer", "aside": "aside", "header": "header"}.get(kind, "div") if semantic else "div", words, _any_block(rng, ""), semantic)
         if kind == "nav":
             return named("nav" if semantic else "div", words, links(rng.randint(2, 8)) if rng.random() < 0.8 else " ".join(f'<a href="#">{_prose(rng, 1, 2, False)}</a>' for _ in range(4)), semantic)
         if kind == "header":
             return named("header" if semantic else "div", words, f"<h{rng.randint(1, 3)}>{text(1, 5)}</h1><p>{text(2, 9)}</p>" if rng.random() < 0.7 else text(2, 6), semantic)
         if kind == "footer":
-            return named("footer" if semantic else "div", words, rng.choice((f"&copy; {text(2, 14)}", f"<p>{text(3, 30)}</p>" + links(3), text(4, 30))), semantic)
+            return named("footer" if semantic else "div", words, rng.choice((f"&copy; {text(2, 14)}", f"<p>&copy; 20{rng.randint(10, 30)} {text(1, 4)}</p>", f"<p>{text(2, 8)}</p>", f"<p>{text(3, 30)}</p>" + links(3), text(4, 30))), semantic)
         if kind == "aside":
             return named("aside" if semantic else "div", words, rng.choice((f"<h3>{text(1, 4)}</h3>" + links(4), f"<p>{text(5, 40)}</p>", f"<h4>{text(1, 3)}</h4><p>{text(8, 60)}</p>")), semantic)
         if kind == "form":
             body = f"<label>{text(1, 3)}</label><input name=q><button>{text(1, 2)}</button>" + (f"<p>{text(3, 15)}</p>" if rng.random() < 0.4 else "")
             return named("form" if semantic else "div", words, body, semantic)
         if kind == "comments":
-            items = "".join(f'<{(t := rng.choice(("div", "li", "article", "p")))} class="{rng.choice(_COMMENT_BLOCKS)}">' + rng.choice((f"<p>{text(4, 50)}</p>", f"<b>{text(1, 2)}</b> {text(4, 50)}", f"<cite>{text(1, 2)}</cite><p>{text(6, 60)}</p><p>{text(4, 40)}</p>")) + f"</{t}>" for _ in range(rng.randint(1, 5)))
-            return named(rng.choice(("section", "div", "ol")), words, f"<h3>{text(1, 3)}</h3>" + items, False)
+            items = "".join(f'<{(t := rng.choice(("div", "li", "article", "p")))} class="{rng.choice(_COMMENT_BLOCKS)}">' + rng.choice((f"<p>{text(4, 50)}</p>", f"<b>{text(1, 2)}</b> {text(4, 50)}", f"<cite>{text(1, 2)}</cite><p>{text(6, 60)}</p><p>{text(4, 40)}</p>", f"<b>{text(1, 2)}</b>{_any_block(rng, '')}")) + f"</{t}>" for _ in range(rng.randint(1, 5)))
+            if rng.random() < 0.25:
+                # comments of one list or table, without items that tell what they are
+                items = "".join(_any_block(rng, "") for _ in range(rng.randint(1, 3)))
+            heading = f"<h3>{text(1, 3)}</h3>" if rng.random() < 0.7 else ""
+            tag = rng.choice(("section", "div", "ol"))
+            return f'<{tag} {rng.choice(("class", "class", "id"))}="{rng.choice(words.split())}{rng.choice(("", "", "-list", "-area", "-wrap"))}">{heading}{items}</{tag}>'
         if kind == "share":
             return named("div", words, rng.choice((links(3), text(1, 6), f'<a href="#">{text(1, 2)}</a> <span>{text(1, 4)}</span>')), False)
         return named(rng.choice(("div", "div", "section", "aside", "p")), words, rng.choice((text(3, 40), f"<p>{text(3, 50)}</p>", f'<a href="#">{text(2, 12)}</a>')), False)
@@ -511,7 +547,7 @@ def _page(rng: random.Random) -> str:
             parts.append(f"<footer>{_prose(rng, 2, 12)}</footer>")
         body = "".join(parts)
         style = rng.random()
-        name = rng.choice(_MAIN_NAMES)
+        name = rng.choice(_MAIN_NAMES) if rng.random() < 0.9 else _unknown_name(rng)
         if style < 0.24:
             return f"<article>{body}</article>"
         if style < 0.36:
@@ -530,6 +566,9 @@ def _page(rng: random.Random) -> str:
     before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "aside", "share"], rng.randint(0, 4))]
     after = [other(k) for k in rng.sample(["footer", "aside", "comments", "ad", "notice", "form", "nav", "share"], rng.randint(0, 5))]
     middle = article()
+    if rng.random() < 0.2:
+        # the line of a page's end, in a part that has no name or an unknown one
+        after.append(rng.choice((f'<div class="{_unknown_name(rng)}"><p>{_prose(rng, 1, 4, False)}</p></div>', f"<div>&copy; 20{rng.randint(10, 30)} {_prose(rng, 1, 4, False)}</div>", f"<p>&copy; {_prose(rng, 1, 6)}</p>", f"<small>&copy; {_prose(rng, 1, 6)}</small>")))
     if rng.random() < 0.2:
         middle = f'<div class="{rng.choice(_PLAIN_NAMES)}">{before.pop() if before and rng.random() < 0.5 else ""}{middle}{after.pop(0) if after else ""}</div>'
     return f"<html><head><title>x</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
@@ -541,13 +580,19 @@ def main_text(page: str | None, model: ChainModel) -> str:
     return "\n".join(b.text for b, label in zip(blocks, model.viterbi(features(blocks)), strict=True) if label)
 
 
+@lru_cache(1)
+def fitted() -> ChainModel:
+    """The model of the composed pages, trained once in a process, as it depends on nothing that is given."""
+    return train(labelled_pages())
+
+
 def extracted(pages: DataFrame, model: ChainModel | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` of every page with text and n_chars (its code points).
 
-    Trains the model unless one is given. A null, empty or blank page gives an
+    The model is that of the composed pages unless one is given. A null, empty or blank page gives an
     empty text; repeated rows give the same text; whole pages are read.
     """
-    model = train(labelled_pages()) if model is None else model
+    model = fitted() if model is None else model
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string, n_chars long"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

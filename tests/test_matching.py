@@ -196,7 +196,7 @@ def test_windows_count_as_lists_do():
     for k in range(40):
         seen.append(("ab"[k % 3 == 0], k / 40))
         frame.push(*seen[-1])
-        assert frame.sums.keys() == {x for x, _ in seen[-5:]} and sum(n for n, _ in frame.sums.values()) == len(seen[-5:])
+        assert {x: list(v) for x, v in frame.sims.items()} == {x: [s for y, s in seen[-5:] if y == x] for x in {x for x, _ in seen[-5:]}}
 
 
 def test_decayed_frequency_equals_sums(spark):
@@ -258,4 +258,4 @@ def test_co_training_keeps_versions_and_equals_its_steps(spark, model, synthetic
     # weak trees hold new shapelets only, the cache has grown by the chosen ones
     assert {n["shapelet_id"] for n in nodes if n["shapelet_id"] == n["shapelet_id"] and n["shapelet_id"] is not None} <= {r["i"] for r in batches[0].collect()}
     sizes = [live.version("cache", k).count() for k in (-1, 0, 1)]
-    assert sizes == [model.cache.count(), sizes[0] + log["selected"][0], sizes[1] + log["selected"][1]]
+    assert sizes == [model.cache.count(), sizes[0] + log["selected"][0], sizes[1] + log["selected"][1]] and list(log["cached"]) == sizes[1:]

@@ -36,6 +36,11 @@ def znorm_min_dist(shapelets: np.ndarray, series: np.ndarray, rule: str = "full"
     return np.sqrt(((shapelets - z[best]) ** 2).sum(1))
 
 
+def prefix_normalised(x: np.ndarray) -> np.ndarray:
+    """Less the mean, over the population deviation + 1e-8."""
+    return (x - x.mean()) / (x.std() + 1e-8)
+
+
 #: Cells of cost tables that are held together.
 CELLS = 4_000_000
 

@@ -51,11 +51,12 @@ def stream_early_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     test = series(spark, sf_dir).where("split = 'test'")
     points = test.select("series_id", F.col("label").alias("asked_label"), F.size("values").alias("expected"), F.posexplode("values").alias("at", "value"))
+    points = points.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("at")))
     for quarter in range(4):
         points.where(F.floor(4 * F.col("at") / F.col("expected")) == quarter).write.mode("append").parquet(f"{folder}/arrived")
-    files = len(spark.read.parquet(f"{folder}/arrived").inputFiles())
-    work = streams.early_classify(spark, folder, _trained(spark, sf_dir), TRAINED_AT, *ACCEPTED)
-    streams.run_batches(streams.read_stream(spark, f"{folder}/arrived", -(-files // 4)), work, f"{folder}/checkpoint")
+    files, model = len(spark.read.parquet(f"{folder}/arrived").inputFiles()), _trained(spark, sf_dir)
+    answers = streams.early_answers(streams.read_stream(spark, f"{folder}/arrived", -(-files // 4)), model, TRAINED_AT, *ACCEPTED)
+    streams.run_batches(answers, streams.early_classify(spark, folder, model), f"{folder}/checkpoint")
     return rounded(spark.read.parquet(f"{folder}/decisions").drop("batch"))
 
 

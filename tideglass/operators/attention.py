@@ -56,6 +56,25 @@ def normalised_attention(weights: DataFrame, scale: float = 1.0) -> DataFrame:
     return weights.withColumn("weight", permax(F.col("weight"), Window.partitionBy("key", "call"), scale))
 
 
+def next_attention(held: DataFrame, matches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(label, n, weight), the running counts and latest shares of labels, after one more call with matches (label, sim).
+
+    What ``latest_attention`` gives of all calls' normalised weights, from what the
+    calls before left: one row for each label that ever matched.
+    """
+    per = matches.where(F.col("sim") >= threshold).groupBy("label").agg(F.count(F.lit(1)).alias("new"), F.avg("sim").alias("mean"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = held.select("label", "n", "weight", none("long", "new"), none("double", "mean")).unionByName(per.select("label", none("long", "n"), none("double", "weight"), "new", "mean"))
+    rows = both.groupBy("label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("weight").alias("weight"), F.sum("new").alias("new"), F.max("mean").alias("mean"))
+    every = Window.partitionBy()
+    n = F.col("n") + F.coalesce("new", F.lit(0))
+    raw = 0.4 * F.col("new") / F.sum(n).over(every) + 0.3 * F.least(F.least(n, F.lit(100)) / 10.0, F.lit(1.0)) + 0.3 * F.col("mean")
+    rows = rows.withColumn("raw", F.when(F.col("new").isNotNull(), raw)).withColumn("x", F.when(F.col("raw") > 0, F.greatest(F.lit(0.0), F.log2("raw"))).when(F.col("raw").isNotNull(), 0.0))
+    whole = F.sum("x").over(every)
+    share = F.when(whole > 0, F.col("x") / whole).otherwise(F.lit(1.0) / F.count("x").over(every))
+    return rows.select("label", n.alias("n"), F.when(F.col("x").isNotNull(), share).otherwise(F.col("weight")).alias("weight"))
+
+
 def latest_attention(shares: DataFrame) -> DataFrame:
     """The last share written for each label."""
     return shares.groupBy("key", "label").agg(F.max_by("weight", "call").alias("weight"))

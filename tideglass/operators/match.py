@@ -17,6 +17,7 @@ from tideglass.functions import kernels
 from tideglass.functions.scalars import prefix_normalise
 from tideglass.operators.drift import LastRows
 from tideglass.operators.ordered import folded_ends, scanned
+from tideglass.shared import discard, materialise
 
 CACHE_SIZE, LOOKBACK = 200, 10
 
@@ -101,6 +102,61 @@ def early_match(queries: DataFrame, cache: DataFrame, as_of: str, threshold: flo
     return found.select("series_id", "length", "c_shapelet_id", "c_label", "sim", sure.alias("match_confidence")).where((F.col("sim") >= threshold) & (F.col("match_confidence") >= least_confidence))
 
 
+#: Candidates and bytes of values of a matcher that goes with the tasks.
+MOST_CANDIDATES, MOST_BYTES = 1_000_000, 64 << 20
+
+
+class Matcher:
+    """The cache as one prefix after another asks it: by label and length the candidates in their places, and their values.
+
+    Which candidates a prefix has follows from its length and label alone, so they
+    are found for all lengths that the cache allows at once.
+    """
+
+    def __init__(self, asked: list, values: dict[int, list[float]], labels: set):
+        self.values = {i: np.asarray(v, float) for i, v in values.items()}
+        self.labels, self.by = labels, {}
+        for r in sorted(asked, key=lambda r: r["place"]):
+            self.by.setdefault((r["asked_label"], r["length"]), []).append(r)
+
+    def match(self, prefix: np.ndarray, label: str | None) -> tuple[str, float, float] | None:
+        """(label, similarity, confidence) of the best match of a normalised prefix."""
+        rows = self.by.get((label if label in self.labels else None, len(prefix)))
+        if not rows:
+            return None
+        others, sims = [self.values[r["c_shapelet_id"]] for r in rows], np.empty(len(rows))
+        for at, x, y in kernels.by_lengths([prefix] * len(rows), others):
+            sims[at] = kernels.multi_metric(x, y)
+        k = int(np.round(sims, 9).argmax())
+        r = rows[k]
+        sure = sims[k] * (0.7 + 0.3 * (0.4 * r["c_confidence"] + 0.3 * r["c_success_rate"] + 0.3 * r["c_discriminative_score"]))
+        return r["c_label"], float(sims[k]), float(max(0.0, min(1.0, sure)))
+
+
+def matcher(cache: DataFrame, as_of: str) -> Matcher:
+    """The matcher of a cache; one of too many candidates or bytes is an error, found before anything is collected."""
+    tiers = materialise(cache_tiers(cache), "matcher_tiers")
+    lengths = tiers.agg(F.min("length").alias("low"), F.max("length").alias("high")).first()
+    if lengths["low"] is None:
+        return Matcher([], {}, set())
+    labels = tiers.select("label").union(tiers.limit(1).select(F.lit(None).cast("string"))).distinct()
+    sizes = F.sequence(F.lit(int(lengths["low"] / 1.3)), F.lit(int(lengths["high"] / 0.7) + 2))
+    queries = labels.select(F.col("label").alias("series_id"), F.col("label").alias("asked_label"), F.explode(sizes).alias("length"))
+    found = materialise(top_candidates(scored_candidates(queries, tiers, as_of)).select("asked_label", "length", "place", "c_shapelet_id", "c_label", "c_confidence", "c_success_rate", "c_discriminative_score"), "matcher_candidates")
+    used = tiers.join(found.select(F.col("c_shapelet_id").alias("shapelet_id")).distinct(), "shapelet_id", "left_semi").dropDuplicates(["shapelet_id"]).select("shapelet_id", "values")
+    size = used.agg(F.coalesce(F.sum(8 * F.size("values")), F.lit(0))).first()[0]
+    if found.count() > MOST_CANDIDATES or size > MOST_BYTES:
+        raise ValueError(f"a matcher has at most {MOST_CANDIDATES} candidates and {MOST_BYTES} bytes of values")
+    made = Matcher(found.collect(), {r["shapelet_id"]: r["values"] for r in used.collect()}, {r[0] for r in labels.collect()})
+    discard(tiers, found)
+    return made
+
+
+def pruned(cache: DataFrame) -> DataFrame:
+    """The cache rows that some tier holds."""
+    return cache.join(cache_tiers(cache).select("shapelet_id").distinct(), "shapelet_id", "left_semi").select(cache.columns)
+
+
 def usage_update(cache: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The cache after matches (shapelet_id, success, at): counters, success rate and last access."""
     news = outcomes.groupBy("shapelet_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("success").cast("int")).alias("_s"), F.max("at").alias("_at"))

@@ -30,8 +30,10 @@ def cap_shapelets(shapelets: DataFrame, cap: int = MAX_SHAPELETS) -> DataFrame:
     return shapelets.orderBy("id").limit(cap)
 
 
-def indexed(shapelets: DataFrame, cap: int = MAX_SHAPELETS) -> DataFrame:
-    """The kept shapelets with their place i (from 0); at most ``cap`` rows."""
+def indexed(shapelets: DataFrame, cap: int | None = MAX_SHAPELETS) -> DataFrame:
+    """The kept shapelets with their place i (from 0); at most ``cap`` rows, or all (None)."""
+    if cap is None:
+        return ordinal(shapelets, ["id"], F.floor(F.col("id") / 65_536)).withColumnRenamed("ordinal", "i")
     return cap_shapelets(shapelets, cap).withColumn("i", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
 
 

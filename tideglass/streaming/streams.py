@@ -1,26 +1,30 @@
 """Structured Streaming jobs over label streams, growing series and new shapelets.
 
 State is kept by stream and bounded: the last labels of the two drift windows,
-the last rows of the attention frame. Rows that come later than the watermark are
+the last rows of the attention frame, the values of a growing series until it is decided. Rows that come later than the watermark are
 dropped; inside a micro-batch rows are ordered by (ts, event_id); the state of a
 stream that is silent for ``FORGET`` of event time is removed. These rules are
-ours: the windows themselves count rows. Growing series, the forest and the cache
-are kept as tables with a version for each micro-batch.
+ours: the windows themselves count rows. What incremental training keeps are
+tables with a version for each micro-batch.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideglass.functions import kernels
 from tideglass.operators import attention, classify, drift, extract, forest, match, pairs
-from tideglass.shared import materialise
+from tideglass.shared import discard, materialise
 
 LATENESS = "10 minutes"
 FORGET = timedelta(days=30)
@@ -41,32 +45,59 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Hand every micro-batch to ``work(rows, batch_id)``, which must not mind a batch that comes again."""
-    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """Hand every micro-batch to ``work(rows, batch_id)``, which must not mind a batch that comes again.
+
+    The stream keeps its state in RocksDB, as keyed states with timers need; a stream
+    has the settings of its start, so the session's own are back at once.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        started = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(_PROVIDER, before)
+    started.awaitTermination()
 
 
 def _stateful(stream: DataFrame, key: str, columns: list[str], output: str, step: Callable[[list, list[tuple]], tuple[list, list[tuple]]], forget: timedelta = FORGET) -> DataFrame:
     """``step(kept, rows)`` per key and micro-batch: the ordered rows against what was kept gives the new state and rows."""
     names = [c.strip().split(" ")[0] for c in output.split(",")]
+    kinds = dict(stream.dtypes)
+    # ids go as text, so that large ones beside nulls stay what they are
+    as_text = {"event_id"} & set(columns)
+    types = ", ".join([f"{key} string"] + [f"{c} string" if c in as_text else t.strip() for c, t in zip(names[1:], output.split(",")[1:], strict=True)])
+
+    def known(x: object) -> object:
+        return None if x is None or x != x else x
 
     def each(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        at, kept = json.loads(state.get[0]) if state.exists else (0, [])
-        first, latest = (int(t.timestamp() * 1000) for t in (rows["ts"].min(), rows["ts"].max()))
+        rows = pd.concat(list(frames))
+        times = [None if t is pd.NaT else t for t in rows["ts"]]
+        # rows without a time come first, as in tables
+        order = sorted(range(len(rows)), key=lambda i: (times[i] is not None, times[i] or 0, known(rows["event_id"].iloc[i]) is not None, int(known(rows["event_id"].iloc[i]) or 0)))
+        at, kept = json.loads(state.get[0]) if state.exists else (None, [])
+        there = [int(t.timestamp() * 1000) for t in times if t is not None]
         silence = max(1, int(forget.total_seconds() * 1000))
         # a state that is due to go may still be there when rows come
-        kept, out = step(kept if first <= at + silence else [], list(rows[columns].itertuples(index=False, name=None)))
-        at = max(at, latest)
+        gone = at is not None and there and min(there) > at + silence
+        values = [tuple(known(x) for x in r) for r in rows[columns].iloc[order].itertuples(index=False, name=None)]
+        kept, out = step([] if gone else kept, values)
+        at = max([*there, *([] if at is None else [at])], default=None)
         state.update((json.dumps((at, kept)),))
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + silence)
+        state.setTimeoutTimestamp(max(at or 0, state.getCurrentWatermarkMs()) + silence)
         yield pd.DataFrame([(k[0], *r) for r in out], columns=names)
 
-    rows = stream.withWatermark("ts", LATENESS).groupBy(key)
-    return rows.applyInPandasWithState(each, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    slim = stream.select(F.col(key).cast("string").alias(key), *[F.col(c).cast("string").alias(c) if c == "event_id" else F.col(c) for c in dict.fromkeys(["ts", "event_id", *columns])])
+    found = slim.withWatermark("ts", LATENESS).groupBy(key).applyInPandasWithState(each, types, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({key: F.col(key).cast(kinds[key]), **{c: F.col(c).cast(kinds[c]) for c in as_text}})
 
 
 def drift_stream(stream: DataFrame, w: int = 100, least: int = 50, threshold: float = 0.1, forget: timedelta = FORGET) -> DataFrame:
@@ -89,41 +120,107 @@ def attention_stream(stream: DataFrame, threshold: float = 0.8, frame: int = 100
         held, out = attention.AttentionFrame(frame, kept), []
         for event_id, label, sim in rows:
             held.push(label, sim)
-            if sim >= threshold:
+            if sim is not None and sim >= threshold:
                 out.extend((event_id, *share) for share in held.shares())
         return list(held.rows), out
 
     return _stateful(stream, "stream_id", ["event_id", "label", "sim"], "stream_id long, event_id long, label string, weight double", step, forget)
 
 
-def early_classify(spark: SparkSession, folder: str, model: classify.Model, as_of: str, threshold: float = 0.6, least_confidence: float = 0.7) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch job: one decision a series, from points (series_id, at, value, asked_label, expected), as ``decisions`` in the folder.
+class GrowingSeries(StatefulProcessor):
+    """The state of a series whose points arrive: its values up to the first that is missing, those beyond, and whether it is decided.
 
-    A prefix grows as points arrive and ends before the first that is missing;
-    only prefixes that a batch made are matched to the cache. A series that is
-    there to its expected length without a match gets the forest's vote; points
-    after a decision change nothing. A batch that comes again overwrites its own.
+    A series asks the cache with every new prefix, shortest first, and gives one row
+    in its life: the first prefix that matches, or all its values if none of a
+    whole series does. Then its values go and only the mark of the decision
+    stays, until the series is silent for ``forget`` of event time.
+    """
+
+    def __init__(self, matcher: match.Matcher, threshold: float, least_confidence: float, forget: timedelta):
+        self.matcher, self.threshold, self.least = matcher, threshold, least_confidence
+        self.silence = int(forget.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("series", "decided boolean, asked_label string, expected int, run array<double>, ahead array<int>, ahead_values array<double>")
+
+    def _answer(self, run: list[float], tried: int, expected: int, label: str | None) -> tuple | None:
+        start = math.floor(expected * 0.3)
+        last = min(math.ceil(expected * 0.8), start + min(100, expected) - 1, expected, len(run))
+        for length in range(max(tried + 1, start, 1), last + 1):
+            if length >= expected * 0.3:
+                found = self.matcher.match(kernels.prefix_normalised(np.array(run[:length], float)), label)
+                if found and found[1] >= self.threshold and found[2] >= self.least:
+                    return found[0], found[2], length, expected, None
+        return (None, None, None, expected, run) if len(run) >= expected else None
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        decided, label, expected, run, ahead, ahead_values = self.state.get() if self.state.exists() else (False, None, None, [], [], [])
+        new, latest = [], None
+        for frame in rows:
+            new.extend(zip(*(frame[c].tolist() for c in ("at", "value", "asked_label", "expected")), strict=True))
+            times = frame["ts"].dropna()
+            if len(times):
+                latest = max(latest or 0, int(times.max().timestamp() * 1000))
+        answer = None
+        if not decided:
+            run, tried, held = list(run), len(run), dict(zip(ahead, ahead_values, strict=True))
+            # of points that come together the smallest value counts; null ones are missing
+            for at, value, asked, size in sorted((p for p in new if p[0] == p[0] and p[1] == p[1] and p[0] is not None and p[1] is not None), key=lambda p: p[:2]):
+                label = max(x for x in (label, asked) if x is not None) if label is not None or asked is not None else None
+                expected = max(x for x in (expected, size) if x is not None and x == x) if expected is not None or size == size and size is not None else None
+                if at >= len(run):
+                    held.setdefault(int(at), float(value))
+            while len(run) in held:
+                run.append(held.pop(len(run)))
+            answer = self._answer(run, tried, int(expected), label) if expected is not None and len(run) > tried else None
+            decided = answer is not None
+            if decided:
+                run, held = [], {}
+            self.state.update((decided, label, None if expected is None else int(expected), run, list(held), list(held.values())))
+        if latest is not None:
+            for timer in self.handle.listTimers():
+                latest = max(latest, timer - self.silence)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(latest + self.silence)
+        if answer is not None:
+            yield pd.DataFrame({"series_id": [key[0]], **{c: [x] for c, x in zip(_ANSWER, answer, strict=True)}}).astype({"length": "Int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+_ANSWER = ("predicted_label", "confidence", "length", "expected", "values")
+
+
+def early_answers(points: DataFrame, model: classify.Model, as_of: str, threshold: float = 0.6, least_confidence: float = 0.7, forget: timedelta = FORGET) -> DataFrame:
+    """A stream with one row for each series of points (series_id, ts, at, value, asked_label, expected): its early
+    decision, or its whole values where no prefix is like the cache. State is kept by series; a batch costs what its own rows do."""
+    kind = points.schema["series_id"].dataType.simpleString()
+    rows = points.select("series_id", "ts", "at", "value", "asked_label", "expected").withWatermark("ts", LATENESS).groupBy("series_id")
+    schema = f"series_id {kind}, predicted_label string, confidence double, length int, expected int, values array<double>"
+    return rows.transformWithStateInPandas(GrowingSeries(match.matcher(model.cache, as_of), threshold, least_confidence, forget), schema, "append", "EventTime")
+
+
+def early_classify(spark: SparkSession, folder: str, model: classify.Model) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch job on ``early_answers``: decisions of the batch, as ``decisions`` in the folder; whole series get the forest's vote.
+
+    A batch that comes again overwrites its own.
     """
     made = "series_id long, predicted_label string, confidence double, method string, earliness double, observation_ratio double"
     spark.createDataFrame([], made).write.mode("overwrite").parquet(f"{folder}/decisions/batch=-1")
 
     def work(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/points/batch={batch}")
-        points = spark.read.schema("series_id long, at int, value double, asked_label string, expected int, batch int").parquet(f"{folder}/points").where(F.col("batch") <= batch)
-        decided = spark.read.schema(f"{made}, batch int").parquet(f"{folder}/decisions").where(F.col("batch") < batch)
-        asked = points.where(F.col("batch") == batch).select("series_id").distinct().join(decided, "series_id", "left_anti")
-        first = points.join(asked, "series_id", "left_semi").groupBy("series_id", "at").agg(F.min(F.struct("batch", "value", "asked_label", "expected")).alias("p"))
-        seen = first.groupBy("series_id").agg(F.max("p.asked_label").alias("asked_label"), F.max("p.expected").alias("expected"), F.sort_array(F.collect_list(F.struct("at", F.col("p.batch").alias("batch"), F.col("p.value").alias("value")))).alias("seen"))
-        run = seen.withColumn("run", F.filter("seen", lambda x, k: x["at"] == k))
-        tried = F.array_position(F.transform("run", lambda x: x["batch"] == batch), True) - 1
-        grown = run.select("series_id", "asked_label", "expected", tried.alias("tried"), F.transform("run", lambda x: x["value"]).alias("values")).where("tried >= 0")
-        grown = materialise(grown, "grown_series")
-        queries = match.prefixes(grown, expected=F.col("expected")).where("length > tried").select("series_id", "asked_label", "length", "values")
-        early = materialise(match.early_decision(queries, model.cache, as_of, threshold, least_confidence), "early_decisions")
-        matched = classify.early_rows(early, grown.select("series_id", "expected"))
-        late = grown.where(F.size("values") >= F.col("expected")).join(early, "series_id", "left_anti")
-        voted = classify.voted_rows(late, model.nodes, model.shapelets)
-        matched.unionByName(voted).write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch}")
+        answers = materialise(rows, "early_answers")
+        ratio = F.col("length") / F.col("expected")
+        early = answers.where("length is not null").select("series_id", "predicted_label", "confidence", F.lit("early").alias("method"), match.earliness(ratio).alias("earliness"), ratio.alias("observation_ratio"))
+        voted = classify.voted_rows(answers.where("length is null").select("series_id", "values"), model.nodes, model.shapelets)
+        early.unionByName(voted).write.mode("overwrite").parquet(f"{folder}/decisions/batch={batch}")
+        discard(answers)
 
     return work
 
@@ -138,24 +235,42 @@ class CoTraining:
     again reads the version before and overwrites its own, so that the result
     has each batch once. Places ``i`` of new shapelets are new ones. A batch
 
-    * joins the pool, and drift of the labels is measured over the pool's stream;
+    * joins the pool, and drift of the labels is measured over the pool as one
+      stream, batch after batch and by time in a batch;
     * is matched to the cache, whose counters it moves and whose similarities
       move the labels' attention;
     * where a change, weak trees or the count of iterations call for it, grows the
-      weak trees anew from pool rows of the labels with most attention;
+      weak trees anew from all pool rows of the labels with most attention;
     * walks down the trees, whose scores follow from their nodes' accuracy;
-    * gives its most informative shapelets to the cache.
+    * gives its most informative shapelets to the cache, which keeps what its tiers hold.
+
+    What a version holds is bounded whatever came before: the labels of the two
+    drift windows, a row for each label's attention, the forest with the shapelets
+    that it compares with, and the pruned cache. Only a batch that grows trees
+    reads the pool, of which it needs all rows.
     """
 
     def __init__(self, folder: str, model: classify.Model, as_of: str, score_threshold: float = 0.25, due_threshold: float = 0.25, w: int = drift.WINDOW, least: int = drift.LEAST, least_gain: float = 0.01, every: int = 10):
         self.folder, self.as_of, self.spark = folder, as_of, model.nodes.sparkSession
         self.score_threshold, self.due_threshold, self.w, self.least, self.least_gain, self.every = score_threshold, due_threshold, w, least, least_gain, every
         trees = model.nodes.select("tree_id").distinct()
-        start = {"shapelets": model.shapelets.select("i", "label", "values"), "forest": model.nodes, "cache": model.cache, "scores": trees.select("tree_id", F.lit(0.0).alias("score"))}
+        start = {
+            "shapelets": self._used(model.shapelets.select("i", "label", "values"), model.nodes),
+            "forest": model.nodes,
+            "cache": match.pruned(model.cache),
+            "scores": trees.select("tree_id", F.lit(0.0).alias("score")),
+            "attention": self.spark.createDataFrame([], "label string, n long, weight double"),
+            "state": self.spark.createDataFrame([([], 0)], "labels array<string>, pool long"),
+        }
         for name, table in start.items():
             self._write(table, name, -1)
         self.schemas = {name: table.schema for name, table in start.items()}
 
+    @staticmethod
+    def _used(shapelets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The shapelets that the nodes compare with."""
+        return shapelets.join(F.broadcast(nodes.select(F.col("shapelet_id").alias("i")).distinct()), "i", "left_semi")
+
     def _write(self, table: DataFrame, name: str, batch: int) -> None:
         table.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
@@ -172,35 +287,52 @@ class CoTraining:
         best = match.best_match(match.top_candidates(match.scored_candidates(queries, match.cache_tiers(cache), self.as_of)))
         return best.select(F.col("series_id").alias("i"), F.col("asked_label").alias("label"), F.col("c_shapelet_id").alias("shapelet_id"), "c_label", "sim")
 
+    def _training(self, batch: int, attention_table: DataFrame) -> DataFrame:
+        """(i, label, values): all pool rows of the labels with most attention."""
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schemas["pool"].fields)
+        pool = self.spark.read.schema(f"{fields}, batch int").parquet(f"{self.folder}/pool").where(F.col("batch") <= batch)
+        chosen = forest.retraining_rows(pool.select("i", "label"), attention_table.select("label", "weight"))
+        return chosen.join(pool.select("i", "values"), "i")
+
+    def _survivors(self, new: DataFrame) -> DataFrame:
+        """(i, label, values, info_gain): the new shapelets whose similarities to the batch tell labels apart."""
+        placed = materialise(pairs.indexed(new.select(F.col("i").alias("id"), "label", "values"), None), "co_new")
+        labels = placed.select(F.col("i").alias("j"), "label")
+        own = pairs.pairwise_similarity(placed).join(labels, "j").select("i", "label", "value")
+        gains = materialise(extract.grid_info_gain(own, ["i"]).select("i", "info_gain"), "co_gains")
+        # fewer than three shapelets are all kept
+        good = gains.where(F.col("info_gain") >= self.least_gain) if placed.limit(3).count() == 3 else gains
+        return placed.join(good, "i").select(F.col("id").alias("i"), "label", "values", "info_gain")
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         before = batch - 1
         self._write(rows, "pool", batch)
         self.schemas.setdefault("pool", rows.schema)
         new = self.version("pool", batch)
-        number = new.count()
-        pool = self.spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, batch int").parquet(f"{self.folder}/pool").where(F.col("batch") <= batch)
-        found = drift.label_drift(pool, self.w, self.least)
-        last = found.join(new.select("event_id"), "event_id", "left_semi").agg(F.max_by(F.struct("changed", "magnitude", "kind"), F.struct("ts", "event_id")).alias("d")).first()["d"]
+        number, state = new.count(), self.version("state", before).first()
+        latest = new.orderBy(F.desc("ts"), F.desc("event_id")).limit(2 * self.w - 1).select("label").collect()
+        windows = drift.LabelWindows(self.w, [*state["labels"], *[r["label"] for r in reversed(latest)]])
+        changed, magnitude, kind = windows.drift(self.least) if number else (False, 0.0, "insufficient_data")
+        self._write(self.spark.createDataFrame([(windows.labels(), state["pool"] + number)], self.schemas["state"]), "state", batch)
         scores, nodes, cache = (self.version(name, before) for name in ("scores", "forest", "cache"))
         score = scores.agg(F.avg("score")).first()[0] or 0.0
-        changed = last is not None and last["changed"]
         due = bool(self.spark.range(1).select(drift.update_due(F.lit(changed), F.lit(score), F.lit(batch), self.due_threshold, self.every)).first()[0])
 
         matches = materialise(self._matches(new, cache), "co_matches")
-        self._write(matches.select(F.lit("all").alias("key"), F.lit(batch).alias("call"), "label", "sim"), "matches", batch)
-        seen = self.spark.read.schema("key string, call int, label string, sim double, batch int").parquet(f"{self.folder}/matches").where(F.col("batch") <= batch)
+        self._write(attention.next_attention(self.version("attention", before), matches.select("label", "sim"), 0.0), "attention", batch)
 
-        training = pool.select("i", "label").limit(0)
+        trained, weak = 0, 0
         if due:
-            shares = attention.normalised_attention(attention.attention_weights(seen.drop("batch"), 0.0))
-            training = forest.retraining_rows(pool.select("i", "label"), attention.latest_attention(shares))
-            # a forest takes a bounded number; the latest come first
-            training = training.join(pool.select("i", "ts", "event_id"), "i").orderBy(F.desc("ts"), F.desc("event_id")).limit(forest.MOST_SHAPELETS).select("i", "label")
-        training = materialise(training, "co_training")
-        values = training.join(pool.select("i", "values"), "i")
-        grown = forest.retrain_weak_trees(nodes, scores, values, self.score_threshold, 43 + batch) if due else nodes
-        self._write(grown, "forest", batch)
-        self._write(self.version("shapelets", before).unionByName(new.select("i", "label", "values")), "shapelets", batch)
+            training = materialise(self._training(batch, self.version("attention", batch)), "co_training")
+            trained = training.count()
+            weak = scores.where(F.col("score") < self.score_threshold).count() if trained else 0
+            self._write(forest.retrain_weak_trees(nodes, scores, training, self.score_threshold, 43 + batch), "forest", batch)
+            known = self.version("shapelets", before).unionByName(training.select("i", "label", "values")).dropDuplicates(["i"])
+            self._write(self._used(known, self.version("forest", batch)), "shapelets", batch)
+            discard(training)
+        else:
+            self._write(nodes, "forest", batch)
+            self._write(self.version("shapelets", before), "shapelets", batch)
 
         walks = forest.predict_trees(new.select(F.col("i").alias("series_id"), "values"), self.version("forest", batch), self.version("shapelets", batch))
         walks = materialise(walks.join(new.select(F.col("i").alias("series_id"), F.col("label").alias("truth")), "series_id").select("tree_id", "path", (F.col("label") == F.col("truth")).alias("right")), "co_walks")
@@ -210,15 +342,11 @@ class CoTraining:
         self._write(fresh if number else scores, "scores", batch)
         improvement = forest.score_improvement(scores, self.version("scores", batch)).agg(F.avg("improvement")).first()[0]
 
-        placed = materialise(pairs.indexed(new.select(F.col("i").alias("id"), "label", "values")), "co_new")
-        own = pairs.pairwise_similarity(placed).join(F.broadcast(placed.select(F.col("i").alias("j"), "label")), "j")
-        good = materialise(extract.grid_info_gain(own.select("i", "label", "value"), ["i"]).select("i", "info_gain"), "co_gains")
-        kept = extract.select_high_quality(own.select("i", "label", "value"), self.least_gain)
-        survivors = placed.join(good, "i").join(kept, "i", "left_semi").select(F.col("id").alias("i"), "label", "values", "info_gain")
+        survivors = materialise(self._survivors(new), "co_survivors")
         at = F.timestamp_seconds(F.unix_timestamp(F.lit(self.as_of).cast("timestamp")) + batch + 1)
         moved = match.usage_update(cache, matches.select("shapelet_id", (F.col("label") == F.col("c_label")).alias("success"), at.alias("at")))
-        added = classify.cache_rows(survivors, at, F.col("info_gain"))
-        self._write(moved.unionByName(added), "cache", batch)
-        weak = scores.where(F.col("score") < self.score_threshold).count() if due and training.limit(1).count() else 0
-        facts = (batch + 1, number, changed, last["magnitude"] if last else 0.0, last["kind"] if last else "insufficient_data", score, due, weak, training.count(), improvement, added.count(), pool.count(), self.version("cache", batch).count())
+        grown = materialise(moved.unionByName(classify.cache_rows(survivors, at, F.col("info_gain"))), "co_cache")
+        self._write(match.pruned(grown), "cache", batch)
+        facts = (batch + 1, number, changed, magnitude, kind, score, due, weak, trained, improvement, survivors.count(), state["pool"] + number, self.version("cache", batch).count())
         self._write(self.spark.createDataFrame([facts], LOG), "log", batch)
+        discard(matches, walks, survivors, grown)

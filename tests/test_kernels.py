@@ -67,3 +67,27 @@ def test_scalar_edges(spark):
 def test_entropy(spark, counts, expected):
     c = F.array(*[F.lit(x) for x in counts]) if counts else F.array().cast("array<int>")
     assert spark.range(1).select(scalars.entropy_of_counts(c)).first()[0] == pytest.approx(expected)
+
+
+def test_warping_in_windows_equals_warping_in_tables(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n, m, radius = int(rng.integers(1, 60)), int(rng.integers(1, 60)), int(rng.integers(1, 4))
+        a, b = rng.integers(-2, 3, (5, n)).astype(float), rng.integers(-2, 3, (5, m)).astype(float)
+        want = kernels.warped(a, b, radius), kernels.warped(a, b, None)
+        monkeypatch.setattr(kernels, "DENSE", 0)
+        assert kernels.warped(a, b, radius) == pytest.approx(want[0]) and kernels.warped(a, b, None) == pytest.approx(want[1])
+        monkeypatch.undo()
+
+
+def test_warping_long_series_takes_linear_memory():
+    import tracemalloc
+
+    x = np.sin(np.linspace(0, 60, 5_000))
+    y = np.sin(np.linspace(0.5, 60.5, 4_801))
+    tracemalloc.start()
+    d = kernels.dtw(x, y, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a table would take 190 MB
+    assert 0 < d < 5000 and peak < 20 << 20

@@ -92,6 +92,89 @@ def _halved(x: np.ndarray) -> np.ndarray:
     return (even[:, ::2] + even[:, 1::2]) / 2
 
 
+#: Cells of a table that is held whole on the way down; of larger ones only the window's cells are.
+DENSE = 1 << 14
+_INF = np.inf
+
+
+def _whole_window(n: int, m: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last row) of every falling diagonal of a whole table, for ``count`` pairs."""
+    d = np.arange(n + m - 1)[:, None]
+    return np.broadcast_to(np.maximum(0, d - m + 1), (n + m - 1, count)), np.broadcast_to(np.minimum(n - 1, d), (n + m - 1, count))
+
+
+def _path_window(path: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, m: int, count: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last row) on each diagonal of the cells that lie at most ``radius`` coarse cells from a path of half the size.
+
+    A coarse cell is a square here; the squares of a path overlap, so that what they
+    cover of a diagonal has no holes.
+    """
+    pair, i, j = path
+    low, high = np.full((n + m - 1, count), n), np.full((n + m - 1, count), -1)
+    x0, y0, side = 2 * (i - radius), 2 * (j - radius), 4 * radius + 2
+    for off in range(2 * side - 1):
+        d = x0 + y0 + off
+        there = (d >= 0) & (d < n + m - 1)
+        first, last = np.maximum(x0, d - y0 - side + 1), np.minimum(x0 + side - 1, d - y0)
+        np.minimum.at(low, (d[there], pair[there]), first[there])
+        np.maximum.at(high, (d[there], pair[there]), last[there])
+    whole = _whole_window(n, m, count)
+    return np.maximum(low, whole[0]), np.minimum(high, whole[1])
+
+
+def _window_costs(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, steps: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(least sums at the last cells, the steps to each cell of the window: 0 down, 1 right, 2 both, if asked for).
+
+    Only three diagonals of sums are held.
+    """
+    count, n, m = len(a), a.shape[1], b.shape[1]
+    width = int((high - low).max()) + 1
+    across, rows = np.arange(width), np.arange(count)[:, None]
+    taken = np.zeros((n + m - 1, count, width), np.int8) if steps else None
+    empty = np.full((count, width + 4), _INF)
+    # sums of a diagonal lie from place 2 on, with unreachable cells around them
+    before, last = (empty, np.zeros(count, int)), (empty, np.zeros(count, int))
+    for d in range(n + m - 1):
+        first = low[d]
+        i = first[:, None] + across
+        inside = i <= high[d][:, None]
+        gap = np.abs(a[rows, np.minimum(i, n - 1)] - b[rows, np.clip(d - i, 0, m - 1)])
+        look = lambda held, row: held[0][rows, np.clip(row - held[1][:, None] + 2, 0, width + 3)]
+        if d == 0:
+            best = np.zeros((count, width))
+        else:
+            down, right, both = look(last, i - 1), look(last, i), look(before, i - 1)
+            best = np.minimum(np.minimum(down, right), both)
+            if steps:
+                taken[d] = np.where(down == best, 0, np.where(right == best, 1, 2))
+        now = empty.copy()
+        now[:, 2 : width + 2] = np.where(inside, gap + best, _INF)
+        before, last = last, (now, first)
+    return last[0][:, 2], taken
+
+
+def _window_path(taken: np.ndarray, low: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, row, column) of the cells of the cheapest path of each pair."""
+    k = np.arange(taken.shape[1])
+    i, j, out = np.full(len(k), n - 1), np.full(len(k), m - 1), []
+    while len(k):
+        out.append((k, i, j))
+        step = taken[i + j, k, i - low[i + j, k]]
+        there = (i > 0) | (j > 0)
+        k, i, j = k[there], (i - (step != 1))[there], (j - (step != 0))[there]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _fast_path(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The path that goes with ``_fast_distances``."""
+    n, m = a.shape[1], b.shape[1]
+    if min(n, m) < radius + 2:
+        window = _whole_window(n, m, len(a))
+    else:
+        window = _path_window(_fast_path(_halved(a), _halved(b), radius), n, m, len(a), radius)
+    return _window_path(_window_costs(a, b, *window, True)[1], window[0], n, m)
+
+
 def _fast_costs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     n, m = a.shape[1], b.shape[1]
     if min(n, m) < radius + 2:
@@ -99,18 +182,31 @@ def _fast_costs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return _costs(a, b, _around(_path(_fast_costs(_halved(a), _halved(b), radius)), n, m, radius))
 
 
+def _distances(a: np.ndarray, b: np.ndarray, radius: int | None) -> np.ndarray:
+    n, m = a.shape[1], b.shape[1]
+    if n * m <= DENSE:
+        return (_costs(a, b, None) if radius is None else _fast_costs(a, b, radius))[:, -1, -1]
+    if radius is None or min(n, m) < radius + 2:
+        window = _whole_window(n, m, len(a))
+    else:
+        window = _path_window(_fast_path(_halved(a), _halved(b), radius), n, m, len(a), radius)
+    return _window_costs(a, b, *window, False)[0]
+
+
 def warped(a: np.ndarray, b: np.ndarray, radius: int | None = 1) -> np.ndarray:
     """Dynamic time warping distances, by absolute difference, of each row of ``a`` to the same row of ``b``.
 
     With a radius (1 or more) from coarse to fine: the path of both sides at half
     their points, and what is at most ``radius`` coarse cells from it, is all that
-    is looked at. None is exact. Infinite for an empty side.
+    is looked at; time and memory grow with the points. None is exact: time grows
+    with the product, memory with the points. Infinite for an empty side.
     """
     if not a.shape[1] or not b.shape[1]:
         return np.full(len(a), np.inf)
-    together = max(1, CELLS // ((a.shape[1] + 1) * (b.shape[1] + 1)))
+    cells = (a.shape[1] + 1) * (b.shape[1] + 1)
+    together = max(1, CELLS // (cells if cells <= 4 * DENSE else 64 * (a.shape[1] + b.shape[1])))
     parts = [(a[k : k + together], b[k : k + together]) for k in range(0, len(a), together)]
-    return np.concatenate([(_costs(x, y, None) if radius is None else _fast_costs(x, y, radius))[:, -1, -1] for x, y in parts] or [np.zeros(0)])
+    return np.concatenate([_distances(x, y, radius) for x, y in parts] or [np.zeros(0)])
 
 
 def dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> float:

@@ -90,10 +90,15 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_best(spark, sf_dir).select("series_id", "length", F.col("c_shapelet_id").alias("shapelet_id"), "sim"))
 
 
-@query()
+@query(
+    f"""WITH {_TOP}, m AS (SELECT *, CAST(shapelet_id * 31 % 101 AS DOUBLE) / 101 AS sim FROM p WHERE place = 1)
+SELECT series_id, length, {r('greatest(0, least(1, sim * (CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * (CAST(0.4 AS DOUBLE) * confidence + CAST(0.3 AS DOUBLE) * success_rate + CAST(0.3 AS DOUBLE) * discriminative_score))))')} AS match_confidence FROM m"""
+)
 def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidence of each prefix' first candidate, with a similarity that follows from the shapelet's number."""
+    first = match.top_candidates(_scored(spark, sf_dir)).where("place = 1").withColumn("sim", (F.col("c_shapelet_id") * 31 % 101).cast("double") / 101)
     sure = match.match_confidence(F.col("sim"), F.col("c_confidence"), F.col("c_success_rate"), F.col("c_discriminative_score"))
-    return rounded(_best(spark, sf_dir).select("series_id", "length", sure.alias("match_confidence")))
+    return rounded(first.select("series_id", "length", sure.alias("match_confidence")))
 
 
 @query()
@@ -116,17 +121,41 @@ def earliness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_queries(spark, sf_dir).select("series_id", "length", match.earliness(F.col("length").cast("double") / F.col("n")).alias("earliness")))
 
 
-@query()
+#: Predictions that follow from the series' numbers: every seventh failed, every third early, every eleventh series without a label.
+_PRED = SERIES + """, t AS (SELECT series_id, CASE WHEN series_id % 11 <> 0 THEN label END AS label, CASE WHEN series_id % 7 <> 0 THEN CASE WHEN series_id % 4 = 0 THEN CAST(series_id % 10 AS VARCHAR) ELSE label END END AS predicted, CAST(series_id % 13 AS DOUBLE) / 13 AS conf,
+  greatest(0.1, least(0.9, 0.1 + 0.8 * (1 - CAST(series_id % 17 AS DOUBLE) / 16))) AS ea, series_id % 3 = 0 AS early FROM s),
+q AS (SELECT label, coalesce(CAST(label = predicted AS DOUBLE), 0) AS hit, CASE WHEN predicted IS NOT NULL THEN conf ELSE 0 END AS conf, CASE WHEN predicted IS NOT NULL THEN ea ELSE 1 END AS ea, CAST(early AND predicted IS NOT NULL AS DOUBLE) AS early FROM t),
+v AS (SELECT label, GROUPING(label) AS level, avg(hit) AS accuracy, avg(conf) AS mean_confidence, avg(ea) AS mean_earliness, avg(early) AS early_rate, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total FROM q GROUP BY ROLLUP (label))"""
+
+
+def _made_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, done = F.col("series_id"), F.col("series_id") % 7 != 0
+    predicted = F.when(done, F.when(i % 4 == 0, (i % 10).cast("string")).otherwise(F.col("label")))
+    early = match.earliness((i % 17).cast("double") / 16)
+    return series(spark, sf_dir).select(F.when(i % 11 != 0, F.col("label")).alias("label"), predicted.alias("predicted_label"), F.when(done, (i % 13).cast("double") / 13).alias("confidence"), F.when(done, early).alias("earliness"), F.when(done, i % 3 == 0).alias("early"))
+
+
+@query(
+    f"""WITH {_PRED} SELECT label, CAST(level AS INTEGER) AS level, {r('accuracy')} AS accuracy, {r('mean_confidence')} AS mean_confidence, {r('mean_earliness')} AS mean_earliness, {r('early_rate')} AS early_rate, correct, total,
+{r('coalesce(2 * accuracy * (1 - mean_earliness) / nullif(accuracy + 1 - mean_earliness, 0), 0)')} AS harmonic_mean FROM v"""
+)
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(match.evaluate(_predictions(spark, sf_dir), ["label"]))
+    """By label and in total: predictions of all series, some failed and some of series without a label."""
+    return rounded(match.evaluate(_made_predictions(spark, sf_dir), ["label"]))
 
 
-@query()
+@query(f"WITH {_PRED} SELECT label, {r('coalesce(2 * accuracy * mean_earliness / nullif(accuracy + mean_earliness, 0), 0)')} AS harmonic_mean FROM v WHERE level = 0")
 def harmonic_mean_earliness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = match.evaluate(_predictions(spark, sf_dir), ["label"]).where("label is not null")
+    per = match.evaluate(_made_predictions(spark, sf_dir), ["label"]).where("level = 0")
     return rounded(per.select("label", match.harmonic_mean_earliness(F.col("accuracy"), F.col("mean_earliness")).alias("harmonic_mean")))
 
 
+@query()
+def evaluate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the early decisions on the test series."""
+    return rounded(match.evaluate(_predictions(spark, sf_dir), ["label"]))
+
+
 #: Outcomes of shapelets: an event is a match of the shapelet of its number modulo 400.
 _OUT = _CACHE + ", o AS (SELECT event_id % 400 AS shapelet_id, CAST(event_id AS BIGINT) AS k, event_type = 'click' AS success, event_type <> 'view' AS matched, value FROM events)"
 

@@ -112,7 +112,8 @@ def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_U}, f AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM u), g AS (SELECT least(29, floor((value - lo) / (hi - lo) * 30)) AS bin, lo, hi, f.n AS whole, count(*) AS n FROM u, f GROUP BY ALL)
-SELECT CAST(bin AS INTEGER) AS bin, {r('lo + bin * (hi - lo) / 30')} AS low, n, {r('sum(n) OVER (ORDER BY bin) / CAST(whole AS DOUBLE)')} AS cdf FROM g"""
+SELECT CAST(bin AS INTEGER) AS bin, {r('lo + bin * (hi - lo) / 30')} AS low, n, {r('sum(n) OVER (ORDER BY bin) / CAST(whole AS DOUBLE)')} AS cdf,
+{r('(SELECT quantile_cont(value, 0.25) FROM u WHERE value > 0)')} AS q1, {r('(SELECT quantile_cont(value, 0.5) FROM u WHERE value > 0)')} AS median, {r('(SELECT quantile_cont(value, 0.75) FROM u WHERE value > 0)')} AS q3 FROM g"""
 )
 def pair_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.pair_distribution(pairs.upper_pairs(_shapelets(spark, sf_dir))))

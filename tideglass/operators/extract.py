@@ -12,11 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tideglass.functions import kernels
 from tideglass.functions.scalars import draw, pop_std, z_normalise
+from tideglass.operators.ordered import sums_before
 from tideglass.operators.profile import every_nth_series, stratified_sample
-from tideglass.shared import materialise
+from tideglass.shared import discard, materialise
 
 MAX_CANDIDATES, KEPT, SAMPLED = 50_000, 200, 50
 #: Candidates of one length that a task measures together.
@@ -40,9 +42,9 @@ def subsequence_candidates(series: DataFrame, low: int, high: int, least_std: fl
     cut = lengths.select("series_id", "label", "length", F.explode(starts).alias("start"), "values").withColumn("values", F.slice("values", F.col("start") + 1, F.col("length")))
     kept = cut.where(pop_std(F.col("values")) >= least_std)
     if most is not None:
-        counts = kept.groupBy("series_id").count()
-        before = F.coalesce(F.sum("count").over(Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = kept.join(counts.select("series_id", before.alias("before")).where(F.col("before") <= most).select("series_id"), "series_id", "left_semi")
+        counts = sums_before(kept.groupBy("series_id").count(), "series_id", "count", "before")
+        chosen = counts.where(F.col("before") <= most).select(F.col("series_id").alias("_id"))
+        kept = kept.join(chosen, F.col("series_id").eqNullSafe(F.col("_id")), "left_semi")
     name = F.concat_ws("-", "series_id", "length", "start")
     return kept.select(name.alias("candidate_id"), "series_id", "start", "length", "label", z_normalise(F.col("values")).alias("values"))
 
@@ -134,12 +136,18 @@ def informative_candidates(scored: DataFrame, least: float = 0.01) -> DataFrame:
 
 def diverse_top(scored: DataFrame, keys: list[str], k: int = KEPT, against: int = 50, most_similar: float = 0.95, pool: int = 2_000) -> DataFrame:
     """Greedy choice down each key's ranking (candidate_id, info_gain, values): no more than ``most_similar`` to any of
-    the first ``against`` chosen, at most k. A round takes the ``pool`` next of each key, so a group is bounded; rounds
-    go on until each key has k chosen or no more candidates."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("info_gain", 9)), "candidate_id")
-    ranked = materialise(scored.withColumn("place", F.row_number().over(order)), "ranked")
+    the first ``against`` chosen, at most k. Null keys are keys.
 
-    far = 1 / most_similar - 1
+    Only the first ``against`` chosen reject others. They are chosen one after
+    another, from ``pool`` candidates of a key at a time, and after each round all
+    tasks drop what is too similar to them, so that a round chooses one at least.
+    Once they stand, what they have not dropped follows by rank.
+    """
+    order = Window.partitionBy("_key").orderBy(F.desc(F.round("info_gain", 9)), "candidate_id")
+    columns = [*scored.columns, "place"]
+    keyed = scored.withColumn("_key", F.to_json(F.struct(*keys)))
+    rest = materialise(keyed.withColumn("place", F.row_number().over(order)), "ranked")
+    first, far = min(against, k), 1 / most_similar - 1
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         # warping meets both ends, so ends far apart need no warping
@@ -149,26 +157,41 @@ def diverse_top(scored: DataFrame, keys: list[str], k: int = KEPT, against: int
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
+        held = int(frame["chosen"].iloc[0])
         chosen, rows = [], []
-        for at, (values, earlier) in enumerate(zip(frame["values"], frame["earlier"], strict=True)):
+        for at, values in enumerate(frame["values"]):
             x = np.asarray(values, float)
-            if earlier or len(rows) < k and not any(alike(x, y) for y in chosen[:against]):
+            if held + len(chosen) < first and not any(alike(x, y) for y in chosen):
                 chosen.append(x)
                 rows.append(at)
-        return frame.iloc[rows].drop(columns="earlier")
+        return frame.iloc[rows].drop(columns="chosen")
+
+    @F.pandas_udf(BooleanType())
+    def unlike(values: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([not any(alike(np.asarray(x, float), np.asarray(y, float)) for y in ys) for x, ys in zip(values, others, strict=True)], dtype=bool)
 
-    chosen, seen = ranked.limit(0), 0
-    open_keys = ranked.select(*keys).distinct()
+    chosen = rest.limit(0)
     while True:
-        part = ranked.where((F.col("place") > seen) & (F.col("place") <= seen + pool)).join(open_keys, keys, "left_semi").select(ranked.columns)
-        held = chosen.join(open_keys, keys, "left_semi").select(ranked.columns).withColumn("earlier", F.lit(True))
-        more = held.unionByName(part.withColumn("earlier", F.lit(False))).groupBy(*keys).applyInPandas(choose, ranked.schema)
-        chosen = materialise(chosen.join(open_keys, keys, "left_anti").select(ranked.columns).unionByName(more), "chosen")
-        seen += pool
-        full = chosen.groupBy(*keys).count().where(F.col("count") >= k)
-        open_keys = materialise(ranked.where(F.col("place") > seen).select(*keys).distinct().join(full, keys, "left_anti"), "open_keys")
-        if not open_keys.limit(1).count():
-            return chosen
+        counts = chosen.groupBy("_key").agg(F.count(F.lit(1)).alias("chosen"))
+        open_rows = rest.join(counts, "_key", "left").withColumn("chosen", F.coalesce("chosen", F.lit(0))).where(F.col("chosen") < first)
+        part = open_rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("place"))).where(F.col("_nth") <= pool).drop("_nth")
+        more = materialise(part.groupBy("_key").applyInPandas(choose, rest.schema), "chosen_more")
+        if not more.limit(1).count():
+            break
+        chosen = materialise(chosen.unionByName(more), "chosen")
+        # at most ``against`` rows of each key, in one array
+        new = more.groupBy("_key").agg(F.collect_list("values").alias("others"), F.max("place").alias("_seen"))
+        # a key without new ones is full, and its rest was looked at when it became so
+        looked = rest.join(chosen.select("_key", "place"), ["_key", "place"], "left_anti").join(new, "_key", "left")
+        kept = looked.where(F.col("others").isNull() | unlike("values", F.coalesce("others", F.array().cast("array<array<double>>"))))
+        left = materialise(kept.select(rest.columns), "ranked_rest")
+        discard(rest, more)
+        rest = left
+    counts = chosen.groupBy("_key").agg(F.count(F.lit(1)).alias("chosen"))
+    following = rest.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("place"))).where(F.col("_nth") <= k).join(counts, "_key").where(F.col("_nth") <= k - F.col("chosen"))
+    result = materialise(chosen.select(columns).unionByName(following.select(columns)), "diverse")
+    discard(chosen, rest)
+    return result
 
 
 def fallback_shapelets(series: DataFrame, seed: int = 42, number: int = 50) -> DataFrame:

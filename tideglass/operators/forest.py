@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 from tideglass.functions import kernels
 from tideglass.functions.scalars import draw
 from tideglass.operators.extract import gains, gains_of_counts
-from tideglass.operators.profile import ordinal
+from tideglass.operators.ordered import numbered
 from tideglass.shared import discard, materialise
 
 NODES = "tree_id int, node_id int, parent_id int, side string, depth int, node_type string, shapelet_id long, threshold double, label string, confidence double, n long, class_counts string"
@@ -33,7 +33,7 @@ MOST_TREES, MOST_NODES, MOST_BYTES = 100, 100_000, 64 << 20
 
 def bootstrap(shapelets: DataFrame, n_trees: int, seed: int = 42) -> DataFrame:
     """(tree_id, place, i, label): for each tree as many draws with replacement as there are shapelets."""
-    placed = ordinal(shapelets.select(F.col("i").cast("long").alias("i"), "label"), ["i"], F.floor(F.col("i") / 65_536)).withColumnRenamed("ordinal", "nth")
+    placed = numbered(shapelets.select(F.col("i").cast("long").alias("i"), "label"), ["i"], "nth")
     n = placed.count()
     # tasks deal the places of a tree among themselves
     places = shapelets.sparkSession.range(n).select(F.col("id").alias("place"))

@@ -45,14 +45,16 @@ def cache_tiers(cache: DataFrame, cache_size: int = CACHE_SIZE, lookback: int =
 def length_candidates(queries: DataFrame, tiers: DataFrame) -> DataFrame:
     """Query and cache row pairs whose cache length is 0.7 to 1.3 times the query's, from the label, quality and recent tiers.
 
-    The range becomes an equal join: a query is repeated for every length that
-    it allows. A query with a null label asks no label tier. Rows that several
-    tiers hold stay one for each tier.
+    The range becomes an equal join of powers of two, of which it meets two or three,
+    however long a query is. A query with a null label asks no label tier. Rows that
+    several tiers hold stay one for each tier.
     """
-    n = F.col("length")
-    wanted = queries.withColumn("c_length", F.explode(F.sequence(F.floor(n * 0.7).cast("int"), F.floor(n * 1.3).cast("int"))))
-    held = tiers.where("tier <> 'ring'").select(*[F.col(c).alias(f"c_{c}") for c in tiers.columns])
-    return wanted.join(held, "c_length").where("c_tier <> 'label' or c_label = asked_label")
+    low, high = F.floor(F.col("length") * 0.7).cast("int"), F.floor(F.col("length") * 1.3).cast("int")
+    power = lambda n: F.length(F.bin(F.greatest(n, F.lit(1)).cast("long")))
+    wanted = queries.withColumn("_power", F.explode(F.sequence(power(low), power(high))))
+    held = tiers.where("tier <> 'ring'").select(*[F.col(c).alias(f"c_{c}") for c in tiers.columns], power(F.col("length")).alias("_power"))
+    met = wanted.join(held, "_power").where(F.col("c_length").between(low, high)).drop("_power")
+    return met.where("c_tier <> 'label' or c_label = asked_label")
 
 
 def candidate_score(success: Column, confidence: Column, discriminative: Column, age_seconds: Column, same_label: Column) -> Column:
@@ -251,13 +253,16 @@ def earliness(ratio: Column) -> Column:
 
 
 def evaluate(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and in total (null): accuracy, confidence, earliness, early share, counts and the harmonic mean.
+    """Per key and in total: accuracy, confidence, earliness, early share, counts and the harmonic mean.
+
+    ``level`` tells totals (one bit for each key that is summed over) from rows of a null key (0).
 
     Predictions: keys, label, predicted_label, confidence, earliness, early; a
     failed one (null label) counts as unknown with confidence 0 and earliness 1.
     """
     right = F.coalesce((F.col("label") == F.col("predicted_label")).cast("double"), F.lit(0.0))
     per = predictions.rollup(*keys).agg(
+        F.grouping_id().cast("int").alias("level"),
         F.avg(right).alias("accuracy"),
         F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean_confidence"),
         F.avg(F.coalesce("earliness", F.lit(1.0))).alias("mean_earliness"),

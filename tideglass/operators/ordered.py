@@ -46,6 +46,68 @@ def placed(rows: DataFrame, key: str, order: Iterable[str]) -> DataFrame:
     return numbered
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """``rows``, written, with their places, from 0, in the whole order (nulls first)."""
+    return placed(rows, order[0], order[1:]).withColumnRenamed("_row", name)
+
+
+def sums_before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``rows``, written, with the sum of ``value`` over all rows before each, by ``order`` (nulls first, no ties).
+
+    Sums run inside the partitions of a range sort, whose totals are summed up, one row for each.
+    """
+    by = F.asc_nulls_first(order)
+    table = materialise(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "sums_before")
+    earlier = lambda w: F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = table.groupBy("_part").agg(F.sum(value).alias("_v")).select("_part", earlier(Window.orderBy("_part")).alias("_before"))
+    inside = table.withColumn("_v", F.col(value)).withColumn("_inside", earlier(Window.partitionBy("_part").orderBy(by)))
+    return inside.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside", "_v")
+
+
+def quantiles(rows: DataFrame, column: str, points: list[float], few: int = 10_000, bins: int = 1024) -> list[float | None]:
+    """The quantiles of a column by linear interpolation between neighbours; None without values. Nulls and NaN are none.
+
+    The k-th values that are asked for are closed in on by histograms of ``bins``
+    ranges, each round over all rows, until the rows of an interval are few or all
+    the same; only these come together.
+    """
+    v = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    facts = v.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    n = facts["n"]
+    if not n:
+        return [None] * len(points)
+    at = [p * (n - 1) for p in points]
+    # of each rank: the interval [low, high] that holds it, how many values lie below it, and in it
+    held = {k: (facts["low"], facts["high"], 0, n) for x in at for k in (int(x), min(n - 1, int(x) + 1))}
+    found: dict[int, float] = {}
+    while len(found) < len(held):
+        todo: dict[tuple, list[int]] = {}
+        for k, (low, high, below, size) in held.items():
+            if k not in found:
+                if low == high:
+                    found[k] = low
+                else:
+                    todo.setdefault((low, high, below, size), []).append(k)
+        for (low, high, below, size), ranks in todo.items():
+            inside = v.where((F.col("v") >= low) & (F.col("v") <= high))
+            if size <= few:
+                values = sorted(r["v"] for r in inside.collect())
+                found.update({k: values[k - below] for k in ranks})
+                continue
+            # halves, so that no difference is beyond a double; the least and the highest value are always told apart
+            width = high / 2 - low / 2
+            place = F.floor(F.least(F.lit(bins - 1.0), (F.col("v") / 2 - low / 2) / width * bins)) if width > 0 else (F.col("v") > low).cast("long")
+            counts = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
+            for k in ranks:
+                before = below
+                for r in counts:
+                    if k < before + r["n"]:
+                        held[k] = (r["low"], r["high"], before, r["n"])
+                        break
+                    before += r["n"]
+    return [found[int(x)] + (x - int(x)) * (found[min(n - 1, int(x) + 1)] - found[int(x)]) for x in at]
+
+
 def same(a: object, b: object) -> bool:
     """Equality of stream ids in which null equals null, and NaN NaN."""
     return a == b or (a != a and b != b)

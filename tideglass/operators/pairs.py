@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import kernels
 from tideglass.functions.scalars import rank_score, similarity
+from tideglass.operators.ordered import numbered, quantiles
 from tideglass.operators.profile import ordinal
 
 MAX_SHAPELETS = 2_000
@@ -33,7 +34,7 @@ def cap_shapelets(shapelets: DataFrame, cap: int = MAX_SHAPELETS) -> DataFrame:
 def indexed(shapelets: DataFrame, cap: int | None = MAX_SHAPELETS) -> DataFrame:
     """The kept shapelets with their place i (from 0); at most ``cap`` rows, or all (None)."""
     if cap is None:
-        return ordinal(shapelets, ["id"], F.floor(F.col("id") / 65_536)).withColumnRenamed("ordinal", "i")
+        return numbered(shapelets, ["id"], "i")
     return cap_shapelets(shapelets, cap).withColumn("i", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
 
 
@@ -127,18 +128,19 @@ def top_k_pairs(ranking: DataFrame, cells: DataFrame, k: int) -> DataFrame:
 def pair_stats(cells: DataFrame) -> DataFrame:
     """Count, mean, population deviation, extremes and median of the filled cells above the diagonal."""
     v = cells.where("i < j and value >= 0")
-    return v.agg(F.count("value").alias("pairs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), F.percentile("value", 0.5).alias("median"))
+    return v.agg(F.count("value").alias("pairs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("median", F.lit(quantiles(v, "value", [0.5])[0]).cast("double"))
 
 
 def pair_distribution(cells: DataFrame, bins: int = 30) -> DataFrame:
-    """(bin, low, n, cdf): histogram of the cells above 0 over their range, with the cumulative share."""
+    """(bin, low, n, cdf, q1, median, q3): histogram of the cells above 0 over their range, with the cumulative share and, on each row, the quartiles of all."""
     v = cells.where("value > 0")
+    quartiles = [F.lit(q).cast("double").alias(name) for q, name in zip(quantiles(v, "value", [0.25, 0.5, 0.75]), ("q1", "median", "q3"), strict=True)]
     facts = v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n")).first()
     lo, hi = (F.lit(facts[k] or 0.0).cast("double") for k in ("lo", "hi"))
     place = F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((F.col("value") - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins))).otherwise(0).cast("int")
     counts = v.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     cdf = F.sum("n").over(Window.orderBy("bin")) / F.lit(float(max(1, facts["n"])))
-    return counts.select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("low"), "n", cdf.alias("cdf"))
+    return counts.select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("low"), "n", cdf.alias("cdf"), *quartiles)
 
 
 def snapshot_evolution(snapshots: DataFrame) -> DataFrame:

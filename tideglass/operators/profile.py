@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import draw
+from tideglass.operators.ordered import numbered
 
 
 def dataset_stats(series: DataFrame) -> DataFrame:
@@ -64,44 +65,45 @@ def validation_status(issues: DataFrame) -> DataFrame:
 
 
 def split_series(series: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """Exactly ``floor(n * ratio)`` rows as train, by the order of md5 draws.
+    """Exactly ``floor(n * ratio)`` rows as train, by the order of md5 draws; a null id comes first.
 
-    The number of the draw is found without sorting all rows in one task: ranks
-    come from counts of draw ranges and a rank inside each range.
+    Rows are numbered by a range sort, not in one task.
     """
     drawn = series.drop("split").withColumn("_draw", draw(seed, F.col("series_id")))
-    ranked = ordinal(drawn, ["_draw", "series_id"], F.shiftright("_draw", 20))
+    ranked = numbered(drawn, ["_draw", "series_id"])
     n = ranked.count()
     return ranked.withColumn("split", F.when(F.col("ordinal") < int(n * ratio), "train").otherwise("test")).drop("_draw", "ordinal")
 
 
 def ordinal(rows: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    """``rows`` with their 0-based place in the whole order. ``bucket`` must not fall as the order rises.
+    """``rows`` with their 0-based place in the whole order. ``bucket`` must not fall as the order rises; null is one.
 
-    Rows are numbered inside each bucket, and the few rows of bucket counts are
-    summed up and sent to all tasks.
+    Rows are numbered inside each bucket, and the rows of bucket counts are summed
+    up: for buckets that are few. ``ordered.numbered`` needs none.
     """
     rows = rows.withColumn("_bucket", bucket)
     before = rows.groupBy("_bucket").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(before, "_bucket").withColumn("ordinal", F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+    placed = rows.withColumn("_inside", inside).join(before.withColumnRenamed("_bucket", "_own"), F.col("_bucket").eqNullSafe(F.col("_own")))
+    return placed.withColumn("ordinal", F.col("_before") + F.col("_inside")).drop("_bucket", "_own", "_before", "_inside")
 
 
 def stratified_sample(series: DataFrame, cap: int = 50, seed: int = 42) -> DataFrame:
-    """Per label ``max(1, floor(count / n * cap'))`` rows, cap' = min(cap, n), by md5 order; all if a label has no more."""
+    """Per label ``max(1, floor(count / n * cap'))`` rows, cap' = min(cap, n), by md5 order; all if a label has no more. Null is a label."""
     by_label = Window.partitionBy("label").orderBy("_draw", "series_id")
     sizes = series.groupBy("label").agg(F.count(F.lit(1)).alias("_k"))
     n = sizes.agg(F.sum("_k")).first()[0] or 0
     sizes = sizes.withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_k") / F.lit(float(max(1, n))) * min(cap, n))))
     # no label takes more than the cap, which tasks cut before they shuffle
     rows = series.withColumn("_draw", draw(seed, F.col("series_id"))).withColumn("_nth", F.row_number().over(by_label)).where(F.col("_nth") <= max(1, cap))
-    return rows.join(F.broadcast(sizes), "label").where("_nth <= _take").drop("_draw", "_nth", "_k", "_take")
+    taken = rows.join(sizes.withColumnRenamed("label", "_label"), F.col("label").eqNullSafe(F.col("_label"))).where("_nth <= _take")
+    return taken.drop("_draw", "_nth", "_label", "_k", "_take")
 
 
 def every_nth_series(series: DataFrame, target: int = 50) -> DataFrame:
-    """Rows whose place by series_id is a multiple of ``max(1, n // target)``."""
+    """Rows whose place by series_id (null first) is a multiple of ``max(1, n // target)``."""
     n = series.count()
-    placed = ordinal(series, ["series_id"], F.floor(F.col("series_id") / 4096))
+    placed = numbered(series, ["series_id"])
     return placed.where(F.col("ordinal") % max(1, n // target) == 0).drop("ordinal")
 
 

@@ -100,11 +100,33 @@ def test_lm_counts_pairs_of_rare_words_and_deals_them_alike(spark, docs, monkeyp
     target = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
     want = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, target).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 30)
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", 5_000)
-    for r in lm.cross_entropy_difference(docs, target).collect():
-        assert r["n_tokens"] == want[r["doc_id"]]["n_tokens"]
-        assert r["target_loss"] == pytest.approx(want[r["doc_id"]]["target_loss"], abs=1e-9)
-        assert r["background_loss"] == pytest.approx(want[r["doc_id"]]["background_loss"], abs=1e-9)
+    # many buckets, and ranges of buckets for groups of blocks
+    for bucket, block, split in ((5_000, 400_000, 2048), (500, 3_000, 10), (300, 2_000, 4)):
+        for name, value in (("BUCKET_TOKENS", bucket), ("BLOCK_TOKENS", block), ("SPLIT", split)):
+            monkeypatch.setattr(lm, name, value)
+        got = lm.cross_entropy_difference(docs.repartition(4), target).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert r["n_tokens"] == want[r["doc_id"]]["n_tokens"]
+            assert r["target_loss"] == pytest.approx(want[r["doc_id"]]["target_loss"], abs=1e-9)
+            assert r["background_loss"] == pytest.approx(want[r["doc_id"]]["background_loss"], abs=1e-9)
+
+
+def test_lm_rows_of_a_block_are_bounded():
+    rng = np.random.default_rng(1)
+    held = {c: rng.integers(0, 1 << 15, 500).astype(t) for c, t in lm._SENT.items()}
+    segment = {s: np.sort(rng.integers(0, 7, 500)) for s in lm._SECTIONS}
+    cell = {s: held[s] % np.uint64(3) for s in lm._SECTIONS}
+    columns = lm._strided(held, segment, cell, np.arange(100, 107).astype("<u8"))
+    assert columns["cell"] == [0, 1, 2]
+    for section, k in zip(lm._SECTIONS, range(3), strict=True):
+        for c in range(3):
+            ids, sizes = np.frombuffer(columns["blocks"][c], "<u8"), np.frombuffer(columns["sizes"][c], "<u4").reshape(-1, 3)[:, k]
+            key = np.frombuffer(columns[section][c], lm._SENT[section])
+            back = np.repeat(ids - 100, sizes)
+            assert sorted(zip(back, key, strict=True)) == sorted(zip(segment[section][cell[section] == c], held[section][cell[section] == c], strict=True))
+    one = lm._strided(held, {s: np.zeros(500, int) for s in lm._SECTIONS}, {s: np.full(500, 5, np.uint64) for s in lm._SECTIONS}, np.array([9], "<u8"))
+    assert one["cell"] == [5]
 
 
 def test_lm_edges(spark, odd, none):

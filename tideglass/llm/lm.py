@@ -9,6 +9,9 @@ pair is left out, so what is kept from the corpus grows with it.
 Two passes read the texts. The first counts words. The second packs the distinct
 pairs of each text, by blocks of texts, into arrays for numbered buckets; a bucket
 counts its pairs over all blocks and gives every block the sums of its texts.
+A block never has more than ``SPLIT`` rows, so that rows grow with the words alone: of more
+buckets, a row holds what belongs to a range of them; groups of blocks put the rows of
+a range together and split them by buckets, and their sums come back by the same way.
 Pairs go by their second word, so that a bucket has the whole count of the word;
 pairs that end in a frequent word, whose counts are sent to all tasks, are dealt
 by the pair instead. Words and pairs are compared by 64-bit hashes.
@@ -16,11 +19,13 @@ by the pair instead. Words and pairs are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +45,8 @@ FREQUENT = 50_000
 BROADCAST_IDS = 1_000_000
 #: Tokens and texts that are packed together at most (a longer text is a block of its own), and tokens of a bucket.
 BLOCK_TOKENS, BLOCK_TEXTS, BUCKET_TOKENS = 400_000, 30_000, 3_000_000
+#: Rows that a block is packed into at most. More buckets are reached in two steps.
+SPLIT = 2048
 
 START = np.uint64(0x5BD1E9955BD1E995)
 _START = int(START.view(np.int64))
@@ -138,6 +145,81 @@ def _array(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return held.view(kind), np.concatenate([*sizes, np.zeros(0, int)]) // np.dtype(kind).itemsize
 
 
+#: The arrays of each of the three sections, and which of them deals an entry to its bucket.
+_SECTIONS = {"pair": ("pair", "word", "text", "n"), "rare_word": ("rare_pair", "rare_word", "rare_text", "rare_n"), "before": ("before", "before_text", "before_n")}
+_PACKED = "cell long, grp long, blocks binary, sizes binary, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT)
+_SUMMED = "cell long, grp long, block long, blocks binary, sizes binary, texts binary, text binary, target binary, `all` binary"
+
+
+def _strided(held: dict[str, np.ndarray], segment: dict[str, np.ndarray], cell: dict[str, np.ndarray], ids: np.ndarray) -> dict[str, list]:
+    """Columns of one row for each cell that has entries: its arrays in the order of blocks, the blocks' ids, and entries of each by section.
+
+    ``segment`` is the place in ``ids`` of each section's entries, ``cell`` where they go.
+    """
+    cells = np.unique(np.concatenate([cell[k] for k in _SECTIONS]))
+    out: dict[str, list] = {"cell": cells.tolist()}
+    if not len(cells):
+        return out | {c: [] for c in ("blocks", "sizes", *_SENT)}
+    cuts, ordered = {}, {}
+    for section, arrays in _SECTIONS.items():
+        by = np.argsort(cell[section], kind="stable") if len(ids) == 1 else np.lexsort((segment[section], cell[section]))
+        cuts[section] = np.searchsorted(cell[section][by], cells[1:])
+        ordered[section] = np.split(segment[section][by], cuts[section])
+        for a in arrays:
+            out[a] = [p.tobytes() for p in np.split(held[a][by], cuts[section])]
+    out["blocks"], out["sizes"] = [], []
+    for k in range(len(cells)):
+        parts = [ordered[section][k] for section in _SECTIONS]
+        there = np.unique(np.concatenate(parts))
+        out["blocks"].append(ids[there].tobytes())
+        out["sizes"].append(np.stack([np.bincount(np.searchsorted(there, p), minlength=len(there)) for p in parts], 1).astype("<u4").tobytes())
+    return out
+
+
+def _batch(columns: dict[str, list], schema: str, rows: int) -> pa.Table:
+    """A table of the schema; columns that are not given are null."""
+    names = [c.strip().split(" ") for c in schema.split(",")]
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.table([pa.array(columns.get(c.strip("`"), [None] * rows), kinds[t]) for c, t in names], names=[c.strip("`") for c, _ in names])
+
+
+def _resplit(buckets: int):
+    """The rows of a range of buckets from a group of blocks, split by buckets; rows of texts stay."""
+
+    def split(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("texts")))
+        table = table.filter(pc.is_null(table.column("texts")))
+        if not table.num_rows:
+            return own
+        ids, sizes = _array(table.column("blocks"), "<u8")[0], _array(table.column("sizes"), "<u4")[0].reshape(-1, 3)
+        held = {c: _array(table.column(c), t)[0] for c, t in _SENT.items()}
+        segment = {section: np.repeat(np.arange(len(ids)), sizes[:, k]) for k, section in enumerate(_SECTIONS)}
+        cell = {section: held[section] % np.uint64(buckets) for section in _SECTIONS}
+        columns = _strided(held, segment, cell, ids)
+        n = len(columns["cell"])
+        columns["grp"] = [table.column("grp")[0].as_py()] * n
+        return pa.concat_tables([own, _batch(columns, _PACKED, n)])
+
+    return split
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The sums of a range of buckets for a group of blocks, by block; rows of texts stay."""
+    own = table.filter(pc.is_valid(table.column("texts")))
+    table = table.filter(pc.is_null(table.column("texts")))
+    if not table.num_rows:
+        return own
+    ids, at = np.unique(_array(table.column("blocks"), "<u8")[0], return_inverse=True)
+    places = np.repeat(at, _array(table.column("sizes"), "<u4")[0]) * _TARGET + _array(table.column("text"), "<u2")[0]
+    found, at = np.unique(places, return_inverse=True)
+    cut = np.searchsorted(found, np.arange(1, len(ids)) * _TARGET)
+    split = lambda a: [p.tobytes() for p in np.split(a, cut)]
+    columns = {"block": ids.view(np.int64).tolist(), "text": split((found % _TARGET).astype("<u2"))}
+    for k in ("target", "all"):
+        columns[k] = split(np.bincount(at, _array(table.column(k), "<f8")[0], len(found)))
+    return pa.concat_tables([own, _batch(columns, _SUMMED, len(ids))])
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score, their difference, of every whole text.
 
@@ -160,7 +242,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     order = np.argsort(hashes)
     sent = {c: np.array([*[r[c] for r in often], start[c] if start else 0], float)[order] for c in _COUNTS}
     hashes = hashes[order]
-    buckets = max(1, -(-whole["all_n"] // BUCKET_TOKENS))
+    buckets, width = max(1, -(-whole["all_n"] // BUCKET_TOKENS)), 1
+    if buckets > SPLIT:
+        # ranges of buckets, about as many as there are buckets in one
+        width = min(SPLIT, math.isqrt(buckets - 1) + 1)
+        buckets = min(-(-buckets // width), SPLIT) * width
+    groups = max(1, whole["all_n"] // (BLOCK_TOKENS * width))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +275,24 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             known = hashes[at] == w
             sections.append((key[known] % np.uint64(buckets), {"pair": key[known], "word": at[known], "text": texts[known], "n": times[known]}))
             sections.append((w[~known] % np.uint64(buckets), {"rare_pair": key[~known], "rare_word": w[~known], "rare_text": texts[~known], "rare_n": times[~known]}))
-            columns: dict[str, list] = {}
-            for to, arrays in sections:
-                # by bucket; the arrays stay in the order of texts
-                by = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[by], np.arange(1, buckets).astype(np.uint64))
-                for name, a in arrays.items():
-                    columns[name] = [p.tobytes() for p in np.split(a[by].astype(_SENT[name]), cut)]
+            held, to = {}, {}
+            for section, (bucket, arrays) in zip(("before", "pair", "rare_word"), sections, strict=True):
+                to[section] = bucket // np.uint64(width)
+                held.update({name: a.astype(_SENT[name]) for name, a in arrays.items()})
+            ids = np.array([number[0]], "<u8")
+            columns = _strided(held, {section: np.zeros(len(to[section]), int) for section in to}, to, ids)
             sink = pa.BufferOutputStream()
             own = pa.record_batch([pa.concat_arrays(names), pa.array(n.astype(np.int64)), pa.array(base[0]), pa.array(base[1])], names=["id", "n", "target", "all"])
             with pa.ipc.new_stream(sink, own.schema) as out:
                 out.write_batch(own)
-            mine = [None] * buckets
-            mine[number[0] % buckets] = sink.getvalue().to_pybytes()
-            done = pa.record_batch([pa.array(np.arange(buckets)), pa.array([number[0]] * buckets), pa.array(mine, pa.binary()), *[pa.array(columns[c], pa.binary()) for c in _SENT]], names=["bucket", "block", "texts", *_SENT])
+            # the block's own row goes where one of its others goes
+            columns["texts"] = [None] * len(columns["cell"]) + [sink.getvalue().to_pybytes()]
+            columns["cell"].append(columns["cell"][number[0] % len(columns["cell"])] if columns["cell"] else 0)
+            for name in ("blocks", "sizes", *_SENT):
+                columns[name].append(ids.tobytes() if name == "blocks" else b"")
+            rows = len(columns["cell"])
+            columns["grp"] = [(number[0] * int(_MIX[0]) % (1 << 64) >> 33) % groups] * rows
+            done = _batch(columns, _PACKED, rows).combine_chunks().to_batches()[0]
             number[0] += 1
             for x in (names, flags, lengths, parts):
                 x.clear()
@@ -225,8 +316,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             yield block()
 
     def count(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("texts")))
+        table = table.filter(pc.is_null(table.column("texts")))
+        block_of = lambda t: pa.array([int(np.frombuffer(b, "<i8")[0]) for b in t.column("blocks").to_pylist()], pa.int64())
+        cell = lambda t: pc.divide(t.column("cell"), width) if width > 1 else t.column("cell")
+        none = pa.nulls(own.num_rows, pa.binary())
+        kept = pa.table([cell(own), own.column("grp"), block_of(own), own.column("blocks"), none, own.column("texts"), none, none, none], names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
+        if not table.num_rows:
+            return kept
+        ids, per_row = _array(table.column("blocks"), "<u8")
+        sizes = _array(table.column("sizes"), "<u4")[0].reshape(-1, 3)
         whole_of = lambda c: _array(table.column(c), _SENT[c])[0]
-        rows = lambda c: np.repeat(np.arange(table.num_rows), _array(table.column(c), _SENT[c])[1])
         out: dict[str, list] = {"target": [], "all": []}
         places = []
 
@@ -234,10 +334,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             _, at = np.unique(key, return_inverse=True)
             return {"all": np.bincount(at, n)[at], "target": np.bincount(at, n * is_target)[at]} if len(key) else {"all": n, "target": n}
 
-        for section in ("", "rare_", "before_"):
+        for k_section, section in enumerate(("", "rare_", "before_")):
             texts, n = whole_of(f"{section}text"), whole_of(f"{section}n").astype(float)
             is_target = texts >= _TARGET
-            places.append(rows(f"{section}text") * _TARGET + texts % _TARGET)
+            places.append(np.repeat(np.arange(len(ids)), sizes[:, k_section]) * _TARGET + texts % _TARGET)
             both = summed(whole_of("before" if section == "before_" else f"{section}pair"), n, is_target)
             if section == "rare_":
                 of_word = summed(whole_of("rare_word"), n, is_target)
@@ -252,12 +352,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             of_word = both = n = is_target = texts = None
         found, at = np.unique(np.concatenate(places), return_inverse=True)
         sums = {k: np.bincount(at, np.concatenate(out.pop(k)), len(found)) for k in ("target", "all")}
-        cut = np.searchsorted(found, np.arange(1, table.num_rows) * _TARGET)
-        split = lambda a: pa.array([p.tobytes() for p in np.split(a, cut)], pa.binary())
-        return pa.table([table.column("block"), table.column("texts"), split((found % _TARGET).astype("<u2")), split(sums["target"]), split(sums["all"])], names=["block", "texts", "text", "target", "all"])
+        # a row of blocks stays a row
+        counts = np.bincount(found // _TARGET, minlength=len(ids)).astype("<u4")
+        ends = np.cumsum(per_row)[:-1]
+        cut = np.searchsorted(found, ends * _TARGET)
+        split = lambda a, where: pa.array([p.tobytes() for p in np.split(a, where)], pa.binary())
+        columns = [cell(table), table.column("grp"), block_of(table), table.column("blocks"), split(counts, ends), pa.nulls(table.num_rows, pa.binary()), split((found % _TARGET).astype("<u2"), cut), split(sums["target"], cut), split(sums["all"], cut)]
+        return pa.concat_tables([kept, pa.table(columns, names=kept.column_names)])
 
     def finish(table: pa.Table) -> pa.Table:
         own = pa.ipc.open_stream(next(b for b in table.column("texts").to_pylist() if b is not None)).read_all()
+        table = table.filter(pc.is_null(table.column("texts")))
         n, loss = own["n"].to_numpy(), {}
         texts = np.frombuffer(b"".join(table.column("text").to_pylist()), "<u2")
         for k in ("target", "all"):
@@ -265,8 +370,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             loss[k] = np.where(n > 0, sums / np.maximum(1, n), 0.0)
         return pa.table([own["id"], pa.array(n), pa.array(loss["target"]), pa.array(loss["all"]), pa.array(loss["target"] - loss["all"])], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
 
-    packed = map_slices(marked, pack, "bucket long, block long, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT))
-    if buckets > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        packed = packed.repartition(buckets, "bucket")
-    scored = packed.groupBy("bucket").applyInArrow(count, "block long, texts binary, text binary, target binary, `all` binary")
+    packed = map_slices(marked, pack, _PACKED)
+
+    def dealt(rows: DataFrame, number: int, *keys: str) -> DataFrame:
+        """``rows`` in as many partitions as there are groups, where there are many."""
+        return rows.repartition(number, *keys) if number > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+    if width > 1:
+        ranges = dealt(packed, buckets // width, "cell", "grp").groupBy("cell", "grp")
+        packed = ranges.applyInArrow(_resplit(buckets), _PACKED)
+    scored = dealt(packed, buckets, "cell").groupBy("cell").applyInArrow(count, _SUMMED)
+    if width > 1:
+        scored = scored.groupBy("cell", "grp").applyInArrow(_merged, _SUMMED)
     return scored.groupBy("block").applyInArrow(finish, f"`{doc_id}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

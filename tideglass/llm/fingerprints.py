@@ -210,6 +210,10 @@ def compared(versions: DataFrame, old: str, new: str, keep: list[str]) -> DataFr
     return map_slices(versions.select(*[F.col(f"`{c}`") for c in keep], F.col(old).alias("_old"), F.col(new).alias("_new")), each, schema)
 
 
+#: Ranges of ids at most: the limits, 8 bytes each, go with every task. A task sorts its range with what memory it has and streams over it.
+MOST_RANGES = 32_768
+
+
 def _limits(docs: DataFrame, key: Column, parts: int) -> tuple[np.ndarray, int | None]:
     """(ascending ids that cut the table into about ``parts`` even ranges, the smallest id); the list of shares is one literal."""
     if parts < 2:
@@ -243,7 +247,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     text. The limits go with the tasks, so that the plan does not grow with them.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long"))
-    n = max(2 * docs.select(doc_id).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(MOST_RANGES, max(2 * docs.select(doc_id).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     limits, first = _limits(docs, key, n)
     rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), utf8(text).alias("text")).withColumn("place", _range_of(limits, first)("key"))
     bucket, last = F.shiftright("place", 1), len(limits)

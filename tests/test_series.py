@@ -156,3 +156,22 @@ def test_stream_early_classify_equals_classify(spark):
     want = sorted(map(tuple, registry.QUERIES["classify"](spark, "/root/testdata/sf0.001").select("series_id", "predicted_label", "confidence", "method", "earliness", "observation_ratio").collect()))
     got = sorted(map(tuple, registry.QUERIES["stream_early_classify"](spark, "/root/testdata/sf0.001").select("series_id", "predicted_label", "confidence", "method", "earliness", "observation_ratio").collect()))
     assert got == want and {r[3] for r in got} == {"early", "forest"}
+
+
+def test_tables_are_removed_and_clusters_need_a_folder(spark, tmp_path):
+    import os
+
+    from tideglass import shared
+
+    root = shared.shared_root(spark).removeprefix("file:")
+    table = shared.materialise(spark.range(3), "some")
+    other = shared.materialise(spark.range(4), "other")
+    shared.discard(table, spark.range(2))
+    assert other.count() == 4 and not os.path.exists(table._written_to) and other._written_to.startswith(root)
+    shared.discard_all(spark)
+    assert not os.path.exists(other._written_to)
+    before = spark.conf.get("spark.checkpoint.dir")
+    held = type("Held", (), {"conf": type("Conf", (), {"get": staticmethod(lambda k, d=None: {"spark.master": "local-cluster[2,1,1024]"}.get(k, ""))})})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_root(held)
+    assert spark.conf.get("spark.checkpoint.dir") == before

@@ -11,7 +11,7 @@ from tideglass.jobs.attention_queries import _D
 from tideglass.jobs.base import ORACLE, STREAM, query, r, rounded, series
 from tideglass.jobs.forest_queries import ACCEPTED, TRAINED_AT, _trained
 from tideglass.operators import pairs
-from tideglass.shared import shared_root
+from tideglass.shared import application_folder
 from tideglass.streaming import streams
 
 
@@ -21,7 +21,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{uuid.uuid4().hex}/stream"
 
 
 def _ended(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -112,6 +112,26 @@ def test_lm_counts_pairs_of_rare_words_and_deals_them_alike(spark, docs, monkeyp
             assert r["background_loss"] == pytest.approx(want[r["doc_id"]]["background_loss"], abs=1e-9)
 
 
+def test_lm_sends_pairs_of_many_texts_as_sums(spark, docs, monkeypatch):
+    target = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
+    monkeypatch.setattr(lm, "HOT_TEXTS", 10**9)
+    want = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, target).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    for hot, split in ((2, 2048), (5, 2)):
+        monkeypatch.setattr(lm, "HOT_TEXTS", hot)
+        monkeypatch.setattr(lm, "SPLIT", split)
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", 20_000)
+        for r in lm.cross_entropy_difference(docs, target).collect():
+            assert r["target_loss"] == pytest.approx(want[r["doc_id"]]["target_loss"], abs=1e-9)
+            assert r["background_loss"] == pytest.approx(want[r["doc_id"]]["background_loss"], abs=1e-9)
+    w = np.array([1, 1, 2, 1, 3, 2], np.uint64)
+    hot, sent = lm._without_hot(w, w * np.uint64(7), np.array([0, 1, 1, 2 + lm._TARGET, 3, 4]), np.array([1, 2, 3, 4, 5, 6], np.uint32))
+    monkeypatch.setattr(lm, "HOT_TEXTS", 3)
+    hot, sent = lm._without_hot(w, w * np.uint64(7), np.array([0, 1, 1, 2 + lm._TARGET, 3, 4]), np.array([1, 2, 3, 4, 5, 6], np.uint32))
+    assert [x.tolist() for x in hot] == [[0, 1, 2], [0, 0, 0], [1, 2, 4]]
+    assert [x.tolist() for x in sent] == [[2, 3, 2, 1, 1], [14, 21, 14, 7, 7], [1, 3, 4, lm.BLOCK_TEXTS, lm.BLOCK_TEXTS + lm._TARGET], [3, 5, 6, 3, 4]]
+
+
 def test_lm_rows_of_a_block_are_bounded():
     rng = np.random.default_rng(1)
     held = {c: rng.integers(0, 1 << 15, 500).astype(t) for c, t in lm._SENT.items()}

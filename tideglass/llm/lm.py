@@ -45,6 +45,8 @@ FREQUENT = 50_000
 BROADCAST_IDS = 1_000_000
 #: Tokens and texts that are packed together at most (a longer text is a block of its own), and tokens of a bucket.
 BLOCK_TOKENS, BLOCK_TEXTS, BUCKET_TOKENS = 400_000, 30_000, 3_000_000
+#: A pair that stands in so many texts of a block is sent as its sum; the texts stay with the block, and the sum's logarithm comes back.
+HOT_TEXTS = 160
 #: Rows that a block is packed into at most. More buckets are reached in two steps.
 SPLIT = 2048
 
@@ -132,6 +134,28 @@ def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], np.diff(np.append(first, len(t))).astype(np.uint32)
 
 
+def _without_hot(w: np.ndarray, key: np.ndarray, texts: np.ndarray, times: np.ndarray) -> tuple[tuple, tuple]:
+    """((texts, pairs, times) of pairs in at least ``HOT_TEXTS`` texts, (words, keys, texts, times) of the others and of the pairs' sums).
+
+    The sums, with and without the target's, stand for texts of numbers beyond ``BLOCK_TEXTS``, by pair.
+    """
+    keys, at, number = np.unique(key, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(number >= HOT_TEXTS)[: _TARGET - BLOCK_TEXTS]
+    slot = np.full(len(keys), -1)
+    slot[many] = np.arange(len(many))
+    of = slot[at] if len(key) else np.zeros(0, int)
+    hot = np.flatnonzero(of >= 0)
+    if not len(hot):
+        return (np.zeros(0), np.zeros(0), np.zeros(0)), (w, key, texts, times)
+    word = np.zeros(len(many), np.uint64)
+    word[of[hot]] = w[hot]
+    is_target, cold = texts[hot] >= _TARGET, np.flatnonzero(of < 0)
+    sums = [np.bincount(of[hot], times[hot] * side, len(many)).astype(np.uint32) for side in (~is_target, is_target)]
+    places = BLOCK_TEXTS + np.arange(len(many))
+    sent = (np.concatenate([w[cold], word, word]), np.concatenate([key[cold], keys[many], keys[many]]), np.concatenate([texts[cold], places, places + _TARGET]), np.concatenate([times[cold], *sums]))
+    return (texts[hot] % _TARGET, of[hot], times[hot]), sent
+
+
 def _array(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(what the packed arrays of a column hold in a row, how many each has), without a copy of each."""
     parts, sizes = [], []
@@ -271,6 +295,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             key = _pair_keys(before, words)
             first, times = _distinct(of, key)
             w, key, texts = words[first], key[first], of[first] + target_bit[of[first]]
+            hot, (w, key, texts, times) = _without_hot(w, key, texts, times)
             at = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
             known = hashes[at] == w
             sections.append((key[known] % np.uint64(buckets), {"pair": key[known], "word": at[known], "text": texts[known], "n": times[known]}))
@@ -288,8 +313,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             # the block's own row goes where one of its others goes
             columns["texts"] = [None] * len(columns["cell"]) + [sink.getvalue().to_pybytes()]
             columns["cell"].append(columns["cell"][number[0] % len(columns["cell"])] if columns["cell"] else 0)
+            alone = {"blocks": ids.tobytes(), **{c: a.astype(_SENT[c]).tobytes() for c, a in zip(("text", "word", "n"), hot, strict=True)}}
             for name in ("blocks", "sizes", *_SENT):
-                columns[name].append(ids.tobytes() if name == "blocks" else b"")
+                columns[name].append(alone.get(name, b""))
             rows = len(columns["cell"])
             columns["grp"] = [(number[0] * int(_MIX[0]) % (1 << 64) >> 33) % groups] * rows
             done = _batch(columns, _PACKED, rows).combine_chunks().to_batches()[0]
@@ -321,7 +347,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         block_of = lambda t: pa.array([int(np.frombuffer(b, "<i8")[0]) for b in t.column("blocks").to_pylist()], pa.int64())
         cell = lambda t: pc.divide(t.column("cell"), width) if width > 1 else t.column("cell")
         none = pa.nulls(own.num_rows, pa.binary())
-        kept = pa.table([cell(own), own.column("grp"), block_of(own), own.column("blocks"), none, own.column("texts"), none, none, none], names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
+        # pairs in many texts go back with the block: texts, pairs, numbers
+        kept = pa.table([cell(own), own.column("grp"), block_of(own), own.column("blocks"), none, own.column("texts"), own.column("text"), own.column("word"), own.column("n")], names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
         if not table.num_rows:
             return kept
         ids, per_row = _array(table.column("blocks"), "<u8")
@@ -361,12 +388,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         return pa.concat_tables([kept, pa.table(columns, names=kept.column_names)])
 
     def finish(table: pa.Table) -> pa.Table:
-        own = pa.ipc.open_stream(next(b for b in table.column("texts").to_pylist() if b is not None)).read_all()
+        first = table.filter(pc.is_valid(table.column("texts"))).to_pylist()[0]
+        own = pa.ipc.open_stream(first["texts"]).read_all()
+        hot, slot, times = (np.frombuffer(first[c], _SENT[k]) for c, k in (("text", "text"), ("target", "word"), ("all", "n")))
         table = table.filter(pc.is_null(table.column("texts")))
         n, loss = own["n"].to_numpy(), {}
         texts = np.frombuffer(b"".join(table.column("text").to_pylist()), "<u2")
         for k in ("target", "all"):
-            sums = own[k].to_numpy() + np.bincount(texts, np.frombuffer(b"".join(table.column(k).to_pylist()), "<f8"), len(n))
+            sums = np.bincount(texts, np.frombuffer(b"".join(table.column(k).to_pylist()), "<f8"), _TARGET)
+            # what the sum of a pair gave, for one of its times
+            each = sums[BLOCK_TEXTS:] / np.maximum(1, np.bincount(slot, times, _TARGET - BLOCK_TEXTS))
+            sums = own[k].to_numpy() + sums[: len(n)] + np.bincount(hot, times * each[slot], len(n))
             loss[k] = np.where(n > 0, sums / np.maximum(1, n), 0.0)
         return pa.table([own["id"], pa.array(n), pa.array(loss["target"]), pa.array(loss["all"]), pa.array(loss["target"] - loss["all"])], names=[doc_id, "n_tokens", "target_loss", "background_loss", "score"])
 

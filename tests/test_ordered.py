@@ -77,6 +77,24 @@ def test_label_drift_equals_the_loop(spark):
     assert {s: any(c for k, (_, c, _) in got.items() if k[0] == s) for s in (None, BIG)} == {None: True, BIG: True}
 
 
+def test_windows_in_chunks_equal_lists(spark):
+    rows = sample(9)
+    got = {(r["stream_id"], r["event_id"]): (r["recent"], r["history"]) for r in drift.drift_windows(frame(spark, rows), 20).collect()}
+    want = {}
+    for s, own in streams(rows).items():
+        labels = [r[3] for r in own]
+        for t, r in enumerate(own):
+            want[s, r[2]] = tuple([x for x in part if x is not None] for part in (labels[max(0, t - 18) : t + 1], labels[max(0, t - 38) : max(0, t - 18)]))
+    assert got == want
+    numbers = [(s, t, e, None if x is None or x != x else x) for s, t, e, _, x in rows]
+    df = frame(spark, numbers, "stream_id long, ts timestamp, event_id long, earliness double")
+    got = {(r["stream_id"], r["event_id"]): r["mean_earliness"] for r in drift.rolling_earliness(df, 30).collect()}
+    for s, own in streams(numbers).items():
+        for t, r in enumerate(own):
+            there = [x[3] for x in own[max(0, t - 29) : t + 1] if x[3] is not None]
+            assert got[s, r[2]] == (pytest.approx(sum(there) / len(there)) if there else None)
+
+
 def shares(rows, n=100):
     held = deque(maxlen=n)
     for r in rows:

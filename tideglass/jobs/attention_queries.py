@@ -112,7 +112,8 @@ def update_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STREAM} SELECT stream_id, event_id, {r('avg(sim) OVER (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)')} AS mean_earliness FROM e")
 def rolling_earliness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stream(spark, sf_dir).select("stream_id", "event_id", drift.rolling_mean(F.col("sim")).alias("mean_earliness")))
+    rows = stream(spark, sf_dir).withColumnRenamed("sim", "earliness")
+    return rounded(drift.rolling_earliness(rows).select("stream_id", "event_id", "mean_earliness"))
 
 
 _N9 = STREAM + """, m AS (SELECT *, pow(sim, CASE WHEN t % 40 < 20 THEN 0.2 ELSE 4 END) AS ea FROM e),

@@ -9,15 +9,18 @@ from math import log2, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.ordered import in_chunks, placed, scanned
+from tideglass.operators.ordered import in_chunks, placed, scanned, with_margins
 
 WINDOW, LEAST, CHANGE = 100, 50, 0.1
 
 
 def drift_windows(rows: DataFrame, w: int = WINDOW) -> DataFrame:
     """Each row with ``recent``, the labels of the last w - 1 rows, and ``history``, those of the up to w rows before."""
-    by_time = Window.partitionBy("stream_id").orderBy("ts", "event_id")
-    return rows.withColumn("recent", F.collect_list("label").over(by_time.rowsBetween(-(w - 2), 0))).withColumn("history", F.collect_list("label").over(by_time.rowsBetween(-(2 * w - 2), -(w - 1))))
+    table = with_margins(placed(rows, "stream_id", ["ts", "event_id"]), 2 * w)
+    by_time = Window.partitionBy("_chunk", "stream_id").orderBy("_row")
+    recent, history = by_time.rowsBetween(-(w - 2), 0), by_time.rowsBetween(-(2 * w - 2), -(w - 1))
+    found = table.withColumn("recent", F.collect_list("label").over(recent)).withColumn("history", F.collect_list("label").over(history))
+    return found.where("not _before").drop("_row", "_chunk", "_before")
 
 
 class LabelWindows:
@@ -110,9 +113,11 @@ def update_due(changed: Column, mean_tree_score: Column, iteration: Column, thre
     return changed | (mean_tree_score < threshold) | (iteration % every == 0)
 
 
-def rolling_mean(value: Column, frame: int = 100) -> Column:
-    """Mean of the last ``frame`` rows of the stream, this one included."""
-    return F.avg(value).over(Window.partitionBy("stream_id").orderBy("ts", "event_id").rowsBetween(-(frame - 1), 0))
+def rolling_earliness(rows: DataFrame, frame: int = 100) -> DataFrame:
+    """``rows`` (stream_id, ts, event_id, earliness) with ``mean_earliness`` of the last ``frame`` rows of the stream, this one included."""
+    table = with_margins(placed(rows, "stream_id", ["ts", "event_id"]), frame)
+    last = Window.partitionBy("_chunk", "stream_id").orderBy("_row").rowsBetween(-(frame - 1), 0)
+    return table.withColumn("mean_earliness", F.avg("earliness").over(last)).where("not _before").drop("_row", "_chunk", "_before")
 
 
 class LastRows:

@@ -113,6 +113,17 @@ def same(a: object, b: object) -> bool:
     return a == b or (a != a and b != b)
 
 
+def with_margins(table: DataFrame, margin: int, size: int | None = None) -> DataFrame:
+    """Rows of ``placed`` with their ``_chunk``, and the ``margin`` rows before each chunk once more, marked by ``_before``.
+
+    A window by ``_chunk`` and key, ordered by ``_row``, sees what a window over the key's last ``margin`` rows sees.
+    """
+    size = max(size or CHUNK, margin, 1)
+    chunk = F.floor(F.col("_row") / size)
+    at = F.when(F.col("_row") % size >= size - margin, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    return table.withColumn("_chunk", F.explode(at)).withColumn("_before", F.col("_row") < F.col("_chunk") * size)
+
+
 def in_chunks(table: DataFrame, key: str, columns: list[str], new: str, start: Callable[[], object], step: Callable[[object, tuple, bool], list[tuple]], margin: int, keep: list[str], size: int | None = None) -> DataFrame:
     """Of each row of ``placed`` the rows that ``step`` gives: the ``keep`` columns as they are, and the ``new`` ones.
 

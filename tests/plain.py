@@ -1,6 +1,7 @@
 """Warping, similarities and matching in plain loops, written apart from the library."""
 
 import math
+from collections import Counter
 
 
 def table(x, y, cells=None):
@@ -81,3 +82,35 @@ def early_match(values, label, cache, now, threshold, least):
     sim, c = best
     sure = max(0.0, min(1.0, sim * (0.7 + 0.3 * (0.4 * c["confidence"] + 0.3 * c["success_rate"] + 0.3 * c["discriminative_score"]))))
     return (c["shapelet_id"], c["label"], sim, sure) if sim >= threshold and sure >= least else None
+
+
+def entropy(labels):
+    return -sum(c / len(labels) * math.log2(c / len(labels)) for c in Counter(labels).values())
+
+
+def grown(drawn, held, far=distance):
+    """Nodes (tree, node, parent, side, shapelet, threshold, label) of trees from drawn ids {tree: [id]} of shapelets {id: (label, values)}."""
+    made = []
+
+    def grow(tree, ids, parent, side, depth):
+        labels = [held[i][0] for i in ids]
+        best = (0.0, None, None)
+        own = sum(n[0] == tree for n in made)
+        if len(set(labels)) > 1 and len(ids) >= 4 and depth < 5:
+            sims = [1 / (1 + far(held[i][1], held[ids[0]][1])) for i in ids]
+            for t in range(1, 10):
+                parts = [[i for i, s in zip(ids, sims, strict=True) if (s < t / 10) == left] for left in (True, False)]
+                if min(map(len, parts)) >= 2:
+                    gain = entropy(labels) - sum(len(p) / len(ids) * entropy([held[i][0] for i in p]) for p in parts)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, t / 10, parts)
+        if best[1] is None:
+            made.append((tree, own, parent, side, None, None, min(Counter(labels).items(), key=lambda c: (-c[1], c[0]))[0]))
+            return
+        made.append((tree, own, parent, side, ids[0], best[1], None))
+        grow(tree, best[2][0], own, "left", depth + 1)
+        grow(tree, best[2][1], own, "right", depth + 1)
+
+    for tree, ids in drawn.items():
+        grow(tree, ids, -1, "root", 0)
+    return sorted(made, key=lambda m: m[:2])

@@ -93,38 +93,14 @@ def walked(values, nodes, shapelets):
 def test_forest_equals_plain_loops(spark, model, synthetic):
     nodes, held = [r.asDict() for r in model.nodes.collect()], {r["i"]: r for r in model.shapelets.collect()}
     values = {i: list(r["values"]) for i, r in held.items()}
-    entropy = lambda labels: -sum(c / len(labels) * math.log2(c / len(labels)) for c in Counter(labels).values())
     drawn = {}
     for r in forest.bootstrap(model.shapelets, 4).orderBy("place").collect():
         drawn.setdefault(r["tree_id"], []).append(r["i"])
-    made = []
-
-    def grow(tree, ids, parent, side, depth):
-        labels = [held[i]["label"] for i in ids]
-        best = (0.0, None, None)
-        own = sum(n[0] == tree for n in made)
-        if len(set(labels)) > 1 and len(ids) >= 4 and depth < 5:
-            sims = [1 / (1 + plain.distance(values[i], values[ids[0]])) for i in ids]
-            for t in range(1, 10):
-                parts = [[i for i, s in zip(ids, sims, strict=True) if (s < t / 10) == left] for left in (True, False)]
-                if min(map(len, parts)) >= 2:
-                    gain = entropy(labels) - sum(len(p) / len(ids) * entropy([held[i]["label"] for i in p]) for p in parts)
-                    if gain > best[0] + 1e-12:
-                        best = (gain, t / 10, parts)
-        if best[1] is None:
-            most = min(Counter(labels).items(), key=lambda c: (-c[1], c[0]))[0]
-            made.append((tree, own, parent, side, None, None, most))
-            return
-        made.append((tree, own, parent, side, ids[0], best[1], None))
-        grow(tree, best[2][0], own, "left", depth + 1)
-        grow(tree, best[2][1], own, "right", depth + 1)
-
-    for tree, ids in drawn.items():
-        grow(tree, ids, -1, "root", 0)
+    made = plain.grown(drawn, {i: (r["label"], values[i]) for i, r in held.items()})
     clean = lambda x: None if x is None or x != x else x
     got = sorted((n["tree_id"], n["node_id"], n["parent_id"], n["side"], clean(n["shapelet_id"]), clean(n["threshold"]), n["label"]) for n in nodes)
-    assert [g[:5] + g[6:] for g in got] == [m[:5] + m[6:] for m in sorted(made, key=lambda m: m[:2])]
-    assert [g[5] or 0 for g in got] == pytest.approx([m[5] or 0 for m in sorted(made, key=lambda m: m[:2])])
+    assert [g[:5] + g[6:] for g in got] == [m[:5] + m[6:] for m in made]
+    assert [g[5] or 0 for g in got] == pytest.approx([m[5] or 0 for m in made])
     test = synthetic.where("split = 'test'")
     found = {(r["series_id"], r["tree_id"]): (r["label"], list(r["path"])) for r in forest.predict_trees(test, model.nodes, model.shapelets).collect()}
     want = {(r["series_id"], t): w for r in test.collect() for t, w in walked(list(r["values"]), nodes, values).items()}

@@ -324,7 +324,7 @@ def _across(docs: DataFrame, rest: DataFrame, classes: DataFrame, doc_id: str, t
     ids = materialise(rest.select("id").distinct(), "neardup_open_ids")
     sets = _set_table(docs, classes, ids, doc_id, text, "neardup_open_sets")
     met = _block_pairs(rest, sets)
-    links = written(map_slices(met, _joining, "a long, b long", rows=16), "neardup_across_links", 64)
+    links = written(map_slices(met, _joining, "a long, b long", rows=4), "neardup_across_links", 4)
     discard(ids, sets)
     return links
 

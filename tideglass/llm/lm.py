@@ -171,7 +171,7 @@ def _array(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 #: The arrays of each of the three sections, and which of them deals an entry to its bucket.
 _SECTIONS = {"pair": ("pair", "word", "text", "n"), "rare_word": ("rare_pair", "rare_word", "rare_text", "rare_n"), "before": ("before", "before_text", "before_n")}
-_PACKED = "cell long, grp long, blocks binary, sizes binary, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT)
+_PACKED = "cell long, grp long, block long, blocks binary, sizes binary, texts binary, " + ", ".join(f"`{c}` binary" for c in _SENT)
 _SUMMED = "cell long, grp long, block long, blocks binary, sizes binary, texts binary, text binary, target binary, `all` binary"
 
 
@@ -211,9 +211,9 @@ def _resplit(buckets: int):
     """The rows of a range of buckets from a group of blocks, split by buckets; rows of texts stay."""
 
     def split(table: pa.Table) -> pa.Table:
+        # rows of texts hold no entries, so that the others need not be copied out
         own = table.filter(pc.is_valid(table.column("texts")))
-        table = table.filter(pc.is_null(table.column("texts")))
-        if not table.num_rows:
+        if own.num_rows == table.num_rows:
             return own
         ids, sizes = _array(table.column("blocks"), "<u8")[0], _array(table.column("sizes"), "<u4")[0].reshape(-1, 3)
         held = {c: _array(table.column(c), t)[0] for c, t in _SENT.items()}
@@ -230,8 +230,7 @@ def _resplit(buckets: int):
 def _merged(table: pa.Table) -> pa.Table:
     """The sums of a range of buckets for a group of blocks, by block; rows of texts stay."""
     own = table.filter(pc.is_valid(table.column("texts")))
-    table = table.filter(pc.is_null(table.column("texts")))
-    if not table.num_rows:
+    if own.num_rows == table.num_rows:
         return own
     ids, at = np.unique(_array(table.column("blocks"), "<u8")[0], return_inverse=True)
     places = np.repeat(at, _array(table.column("sizes"), "<u4")[0]) * _TARGET + _array(table.column("text"), "<u2")[0]
@@ -308,14 +307,16 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             columns = _strided(held, {section: np.zeros(len(to[section]), int) for section in to}, to, ids)
             sink = pa.BufferOutputStream()
             own = pa.record_batch([pa.concat_arrays(names), pa.array(n.astype(np.int64)), pa.array(base[0]), pa.array(base[1])], names=["id", "n", "target", "all"])
+            # pairs in many texts stay with the block: texts, pairs, numbers
+            own = own.replace_schema_metadata({c: a.astype(_SENT[c]).tobytes() for c, a in zip(("text", "word", "n"), hot, strict=True)})
             with pa.ipc.new_stream(sink, own.schema) as out:
                 out.write_batch(own)
-            # the block's own row goes where one of its others goes
+            # the block's own row has no entries and goes where one of its others goes
             columns["texts"] = [None] * len(columns["cell"]) + [sink.getvalue().to_pybytes()]
             columns["cell"].append(columns["cell"][number[0] % len(columns["cell"])] if columns["cell"] else 0)
-            alone = {"blocks": ids.tobytes(), **{c: a.astype(_SENT[c]).tobytes() for c, a in zip(("text", "word", "n"), hot, strict=True)}}
             for name in ("blocks", "sizes", *_SENT):
-                columns[name].append(alone.get(name, b""))
+                columns[name].append(b"")
+            columns["block"] = [number[0]] * len(columns["cell"])
             rows = len(columns["cell"])
             columns["grp"] = [(number[0] * int(_MIX[0]) % (1 << 64) >> 33) % groups] * rows
             done = _batch(columns, _PACKED, rows).combine_chunks().to_batches()[0]
@@ -342,15 +343,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             yield block()
 
     def count(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table.column("texts")))
-        table = table.filter(pc.is_null(table.column("texts")))
-        block_of = lambda t: pa.array([int(np.frombuffer(b, "<i8")[0]) for b in t.column("blocks").to_pylist()], pa.int64())
-        cell = lambda t: pc.divide(t.column("cell"), width) if width > 1 else t.column("cell")
-        none = pa.nulls(own.num_rows, pa.binary())
-        # pairs in many texts go back with the block: texts, pairs, numbers
-        kept = pa.table([cell(own), own.column("grp"), block_of(own), own.column("blocks"), none, own.column("texts"), own.column("text"), own.column("word"), own.column("n")], names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
-        if not table.num_rows:
-            return kept
         ids, per_row = _array(table.column("blocks"), "<u8")
         sizes = _array(table.column("sizes"), "<u4")[0].reshape(-1, 3)
         whole_of = lambda c: _array(table.column(c), _SENT[c])[0]
@@ -384,14 +376,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         ends = np.cumsum(per_row)[:-1]
         cut = np.searchsorted(found, ends * _TARGET)
         split = lambda a, where: pa.array([p.tobytes() for p in np.split(a, where)], pa.binary())
-        columns = [cell(table), table.column("grp"), block_of(table), table.column("blocks"), split(counts, ends), pa.nulls(table.num_rows, pa.binary()), split((found % _TARGET).astype("<u2"), cut), split(sums["target"], cut), split(sums["all"], cut)]
-        return pa.concat_tables([kept, pa.table(columns, names=kept.column_names)])
+        cell = pc.divide(table.column("cell"), width) if width > 1 else table.column("cell")
+        columns = [cell, *[table.column(c) for c in ("grp", "block", "blocks")], split(counts, ends), table.column("texts"), split((found % _TARGET).astype("<u2"), cut), split(sums["target"], cut), split(sums["all"], cut)]
+        return pa.table(columns, names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
 
     def finish(table: pa.Table) -> pa.Table:
-        first = table.filter(pc.is_valid(table.column("texts"))).to_pylist()[0]
-        own = pa.ipc.open_stream(first["texts"]).read_all()
-        hot, slot, times = (np.frombuffer(first[c], _SENT[k]) for c, k in (("text", "text"), ("target", "word"), ("all", "n")))
-        table = table.filter(pc.is_null(table.column("texts")))
+        own = pa.ipc.open_stream(next(b for b in table.column("texts").to_pylist() if b is not None)).read_all()
+        hot, slot, times = (np.frombuffer(own.schema.metadata[c.encode()], _SENT[c]) for c in ("text", "word", "n"))
         n, loss = own["n"].to_numpy(), {}
         texts = np.frombuffer(b"".join(table.column("text").to_pylist()), "<u2")
         for k in ("target", "all"):

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def test_the_matcher_answers_as_the_tables_do(spark, model, synthetic):
     made = match.matcher(model.cache, AT)
     got = {}
     for r in asked.collect():
-        import numpy as np
-
         found = made.match(np.array(r["values"]), r["asked_label"])
         if found:
             got[r["series_id"], r["length"]] = (found[0], round(found[1], 9), round(found[2], 9))

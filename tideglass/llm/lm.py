@@ -349,26 +349,34 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         out: dict[str, list] = {"target": [], "all": []}
         places = []
 
-        def summed(key: np.ndarray, n: np.ndarray, is_target: np.ndarray) -> dict[str, np.ndarray]:
-            _, at = np.unique(key, return_inverse=True)
-            return {"all": np.bincount(at, n)[at], "target": np.bincount(at, n * is_target)[at]} if len(key) else {"all": n, "target": n}
+        def summed(key: np.ndarray, n: np.ndarray, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+            """(each entry's key by number, an entry of each key, the sums of each key)."""
+            keys, at = np.unique(key, return_inverse=True)
+            one = np.zeros(len(keys), int)
+            one[at] = np.arange(len(at))
+            return at, one, {"all": np.bincount(at, n, len(keys)), "target": np.bincount(at, n * is_target, len(keys))}
 
         for k_section, section in enumerate(("", "rare_", "before_")):
             texts, n = whole_of(f"{section}text"), whole_of(f"{section}n").astype(float)
+            if not len(n):
+                continue
             is_target = texts >= _TARGET
             places.append(np.repeat(np.arange(len(ids)), sizes[:, k_section]) * _TARGET + texts % _TARGET)
-            both = summed(whole_of("before" if section == "before_" else f"{section}pair"), n, is_target)
+            at, one, both = summed(whole_of("before" if section == "before_" else f"{section}pair"), n, is_target)
+            # logarithms are taken once for each key, whose word is that of any of its entries
             if section == "rare_":
-                of_word = summed(whole_of("rare_word"), n, is_target)
+                word, _, of_word = summed(whole_of("rare_word"), n, is_target)
+                of_word = {k: x[word[one]] for k, x in of_word.items()}
             elif section == "":
-                number = whole_of("word")
+                number = whole_of("word")[one]
                 of_word = {k: sent[f"{k}_n"][number] for k in out}
             for k in out:
-                if section == "before_":
-                    out[k].append(n * np.log(both[k] + CLASS_PRIOR))
-                else:
-                    out[k].append(-n * np.log(both[k] + CLASS_PRIOR * (of_word[k] + WORD_PRIOR) / size[k]))
-            of_word = both = n = is_target = texts = None
+                each = np.log(both[k] + CLASS_PRIOR) if section == "before_" else -np.log(both[k] + CLASS_PRIOR * (of_word[k] + WORD_PRIOR) / size[k])
+                out[k].append(n * each[at])
+            texts = n = is_target = at = one = both = word = of_word = number = each = None
+        if not places:
+            places = out["target"] = [np.zeros(0, int)]
+            out["all"] = [np.zeros(0)]
         found, at = np.unique(np.concatenate(places), return_inverse=True)
         sums = {k: np.bincount(at, np.concatenate(out.pop(k)), len(found)) for k in ("target", "all")}
         # a row of blocks stays a row

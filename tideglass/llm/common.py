@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's function that hands free pages back, or None where there is no such library."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Hand free memory back to the machine: a Python worker serves one stage after another, and what one has freed another cannot always use."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` by slices of at most ``rows`` rows.
 
@@ -39,7 +58,7 @@ def map_slices(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for k in range(0, batch.num_rows, rows):
                 yield batch.slice(k, rows)
             del batch
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(lambda batches: f(slices(batches)), schema)
 

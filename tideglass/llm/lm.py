@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import map_slices, utf8, word_hashes
+from tideglass.llm.common import give_back, map_slices, utf8, word_hashes
 from tideglass.shared import materialise
 
 #: Neither words nor their classes are bounded: every word of the documents is a class of its own.
@@ -343,6 +343,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
             yield block()
 
     def count(table: pa.Table) -> pa.Table:
+        # what the group before took
+        give_back()
         ids, per_row = _array(table.column("blocks"), "<u8")
         sizes = _array(table.column("sizes"), "<u4")[0].reshape(-1, 3)
         whole_of = lambda c: _array(table.column(c), _SENT[c])[0]
@@ -389,6 +391,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         return pa.table(columns, names=[c.strip().split(" ")[0].strip("`") for c in _SUMMED.split(",")])
 
     def finish(table: pa.Table) -> pa.Table:
+        give_back()
         own = pa.ipc.open_stream(next(b for b in table.column("texts").to_pylist() if b is not None)).read_all()
         hot, slot, times = (np.frombuffer(own.schema.metadata[c.encode()], _SENT[c]) for c in ("text", "word", "n"))
         n, loss = own["n"].to_numpy(), {}

@@ -499,6 +499,21 @@ def test_components_with_hubs_and_chains(spark, monkeypatch):
     assert got == {k: 0 for k in [*range(1, 60), *range(100, 141), 200]} | {301: 300}
 
 
+def test_values_of_few_rows_are_all_sent_and_nothing_else_changes(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 5 if k % 7 else None, k) for k in range(60)], "u long, v long")
+    values = rows.where("u > 0").groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(59, 200), (200, 140), (300, 301)], "a long, b long")
+    found = []
+    for most in (neardup.SENT_WHOLE, 0):
+        monkeypatch.setattr(neardup, "SENT_WHOLE", most)
+        monkeypatch.setattr(neardup, "HUB", 8)
+        joined = neardup._with_value(rows, values, "u", 60)
+        # the only shuffle is that of the values' own groups
+        assert most == 0 or joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        found.append([sorted((tuple(r) for r in df.collect()), key=str) for df in (joined.select("u", "v", "m"), neardup.components(edges))])
+    assert found[0] == found[1] and len(found[0][0]) == 60
+
+
 def test_pigeonhole_finds_every_pair_under_the_threshold():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (200, neardup.SYMBOLS)).astype("<u2")

@@ -52,6 +52,8 @@ SEED = 20_240_603
 BROADCAST_IDS = 1_000_000
 #: A key of more rows is a hub, and its value is sent to all tasks; there are at most ``MOST_HUBS`` of them.
 HUB, MOST_HUBS = 256, 100_000
+#: The values of at most so many rows are all sent to all tasks, which needs one join and no shuffle of the rows.
+SENT_WHOLE = 65_536
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.random.default_rng(SEED).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _ADDENDS = np.random.default_rng(SEED + 1).integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -196,9 +198,12 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, t
 def _with_value(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` left joined to the one row of ``values`` (key, n, ...) of a key, where n counts a key's rows.
 
-    The rows of a hub stay where they are: hubs have more than a fixed share of
+    There are no more values than the ``total`` rows; where these are few, all values are
+    sent. Else the rows of a hub stay where they are: hubs have more than a fixed share of
     all ``total`` rows, so there are few of them and their values are sent.
     """
+    if total <= SENT_WHOLE:
+        return rows.join(F.broadcast(values), key, "left").drop("n")
     most = max(HUB, total // MOST_HUBS)
     hubs = F.broadcast(values.where(F.col("n") > most))
     others = rows.join(hubs.select(key), key, "left_anti").join(values.where(F.col("n") <= most), key, "left")
@@ -218,7 +223,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         rounds += 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _with_value(both.where("v > u"), least, "u", 2 * facts[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_value(both.where("v > u"), least, "u", 2 * facts[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialise(large, f"{name}_large_{rounds}")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_value(large, least, "u", facts[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()

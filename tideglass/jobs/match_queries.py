@@ -81,13 +81,10 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The queries on matches have no SQL: unequal lengths are compared by warping.
-def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.best_match(match.top_candidates(_scored(spark, sf_dir)))
-
-
 @query()
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_best(spark, sf_dir).select("series_id", "length", F.col("c_shapelet_id").alias("shapelet_id"), "sim"))
+    best = match.best_match(_queries(spark, sf_dir), match.cache_tiers(_cache(spark, sf_dir)), AS_OF)
+    return rounded(best.select("series_id", "length", F.col("c_shapelet_id").alias("shapelet_id"), "sim"))
 
 
 @query(

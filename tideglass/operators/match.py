@@ -8,10 +8,10 @@ discriminative_score. Queries: series_id, length, values (a normalised prefix).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tideglass.functions import kernels
 from tideglass.functions.scalars import prefix_normalise
@@ -74,23 +74,61 @@ def top_candidates(scored: DataFrame, lookback: int = LOOKBACK, least: float = 0
     return scored.where(F.col("score") > least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= lookback)
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(values: pd.Series, other: pd.Series) -> pd.Series:
-    out = np.empty(len(values))
-    for at, x, y in kernels.by_lengths(values.tolist(), other.tolist()):
-        out[at] = kernels.multi_metric(x, y)
-    return pd.Series(out)
+#: What a candidate brings to a query besides its values.
+CARRIED = ("shapelet_id", "label", "confidence", "success_rate", "discriminative_score")
+#: Bytes of candidates that are sent to all tasks.
+MOST_SENT = 64 << 20
 
 
-def best_match(candidates: DataFrame) -> DataFrame:
-    """Each query with its most similar candidate by four metrics; the first by place wins ties.
+def _lists(x: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of each list among the array's values."""
+    ends = x.offsets.to_numpy().astype(np.int64)
+    return ends[:-1], np.diff(ends)
 
-    Unequal lengths are compared by warping. A query has few candidates, which one
-    pass over Arrow batches measures, all pairs of two lengths at once.
+
+@F.arrow_udf(StructType([StructField("place", IntegerType()), StructField("sim", DoubleType())]))
+def _most_similar(values: pa.Array, others: pa.Array) -> pa.Array:
+    (first, number), (start, length), (other_start, other_length) = _lists(others), _lists(values), _lists(others.values)
+    owner = np.repeat(np.arange(len(first)), number)
+    at = np.concatenate([np.arange(0), *(np.arange(f, f + n) for f, n in zip(first.tolist(), number.tolist(), strict=True))])
+    sides = ((x.to_numpy(zero_copy_only=False), s[k], n[k]) for x, s, n, k in ((values.values, start, length, owner), (others.values.values, other_start, other_length, at)))
+    place, sim = np.full(len(first), -1, np.int32), np.full(len(first), np.nan)
+    asked, pair, found = kernels.most_similar(*sides, owner)
+    place[asked], sim[asked] = at[pair] - first[asked], found
+    return pa.StructArray.from_arrays([pa.array(place), pa.array(sim)], ["place", "sim"])
+
+
+def asked_candidates(queries: DataFrame, tiers: DataFrame, as_of: str) -> DataFrame:
+    """(asked_label, length, rows): the top candidates, in their places, of each two that queries ask with, as a written table.
+
+    Which candidates a query has follows from its label and length alone, so they are
+    found once for all queries that share them; values are joined to the chosen ones only.
+    """
+    held = materialise(tiers.where("tier <> 'ring'").withColumn("row", F.monotonically_increasing_id()), "match_tiers")
+    asked = queries.select("asked_label", "length").distinct().withColumn("series_id", F.col("asked_label"))
+    top = top_candidates(scored_candidates(asked, held.drop("values"), as_of))
+    found = top.join(held.select(F.col("row").alias("c_row"), "values"), "c_row")
+    rows = F.sort_array(F.collect_list(F.struct("place", *[F.col(f"c_{c}").alias(c) for c in CARRIED], "values")))
+    out = materialise(found.groupBy("asked_label", "length").agg(rows.alias("rows")), "match_candidates")
+    discard(held)
+    return out
+
+
+def best_match(queries: DataFrame, tiers: DataFrame, as_of: str) -> DataFrame:
+    """Each query, without its values, with its most similar candidate (c_shapelet_id, c_label, ...) and its ``sim`` by four metrics; the first by place wins ties.
+
+    Unequal lengths are compared by warping. Queries stay where they are: the
+    candidates come to them, and each is compared to all of its own in one
+    task, many pairs of any lengths at once. More than ``MOST_SENT`` bytes of
+    candidates are joined by label and length.
     """
-    rows = candidates.withColumn("sim", _similarity("values", "c_values"))
-    order = Window.partitionBy("series_id", "length").orderBy(F.desc(F.round("sim", 9)), "place")
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    found = asked_candidates(queries, tiers, as_of)
+    size = found.agg(F.sum(F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + 100 + 8 * F.size(r["values"])))).first()[0] or 0
+    held = found.withColumnsRenamed({"asked_label": "_label", "length": "_length"})
+    held = F.broadcast(held) if size <= MOST_SENT else held
+    met = queries.join(held, F.col("asked_label").eqNullSafe(F.col("_label")) & (F.col("length") == F.col("_length")))
+    best = met.withColumn("_best", _most_similar(F.col("values"), F.col("rows.values"))).withColumn("_row", F.get("rows", F.col("_best.place")))
+    return best.select(*[c for c in queries.columns if c != "values"], *[F.col(f"_row.{c}").alias(f"c_{c}") for c in CARRIED], F.col("_best.sim").alias("sim"))
 
 
 def match_confidence(sim: Column, confidence: Column, success: Column, discriminative: Column) -> Column:
@@ -99,7 +137,7 @@ def match_confidence(sim: Column, confidence: Column, success: Column, discrimin
 
 def early_match(queries: DataFrame, cache: DataFrame, as_of: str, threshold: float = 0.6, least_confidence: float = 0.5) -> DataFrame:
     """(series_id, length, c_shapelet_id, c_label, sim, match_confidence) of the queries that match well enough."""
-    found = best_match(top_candidates(scored_candidates(queries, cache_tiers(cache), as_of)))
+    found = best_match(queries, cache_tiers(cache), as_of)
     sure = match_confidence(F.col("sim"), F.col("c_confidence"), F.col("c_success_rate"), F.col("c_discriminative_score"))
     return found.select("series_id", "length", "c_shapelet_id", "c_label", "sim", sure.alias("match_confidence")).where((F.col("sim") >= threshold) & (F.col("match_confidence") >= least_confidence))
 

@@ -284,7 +284,7 @@ class CoTraining:
     def _matches(self, new: DataFrame, cache: DataFrame) -> DataFrame:
         """(i, label, shapelet_id, c_label, sim): the most similar cached shapelet of each new one."""
         queries = new.select(F.col("i").alias("series_id"), F.col("label").alias("asked_label"), F.size("values").alias("length"), match.prefix_normalise(F.col("values")).alias("values"))
-        best = match.best_match(match.top_candidates(match.scored_candidates(queries, match.cache_tiers(cache), self.as_of)))
+        best = match.best_match(queries, match.cache_tiers(cache), self.as_of)
         return best.select(F.col("series_id").alias("i"), F.col("asked_label").alias("label"), F.col("c_shapelet_id").alias("shapelet_id"), "c_label", "sim")
 
     def _training(self, batch: int, attention_table: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ discriminative_score. Queries: series_id, length, values (a normalised prefix).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -154,23 +156,34 @@ class Matcher:
     """
 
     def __init__(self, asked: list, values: dict[int, list[float]], labels: set):
-        self.values = {i: np.asarray(v, float) for i, v in values.items()}
+        number, sizes = {i: k for k, i in enumerate(values)}, [len(v) for v in values.values()]
+        self.flat = np.array([x for v in values.values() for x in v], float)
+        self.start, self.length = np.cumsum([0, *sizes])[:-1], np.array(sizes, int)
         self.labels, self.by = labels, {}
         for r in sorted(asked, key=lambda r: r["place"]):
-            self.by.setdefault((r["asked_label"], r["length"]), []).append(r)
+            self.by.setdefault((r["asked_label"], r["length"]), []).append((number[r["c_shapelet_id"]], r))
+
+    def matches(self, prefixes: list[np.ndarray], label: str | None, least: float = 0.0) -> Iterator[tuple[int, str, float, float]]:
+        """(place, label, similarity, confidence) of the best match of normalised prefixes that one label asks with, in their order.
+
+        All pairs are measured together. Prefixes whose best match is not as similar as ``least`` may be left out.
+        """
+        rows = [self.by.get((label if label in self.labels else None, len(p)), []) for p in prefixes]
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        if not len(owner):
+            return
+        sizes = np.array([len(p) for p in prefixes])
+        at = np.array([k for r in rows for k, _ in r])
+        sides = (np.concatenate(prefixes), (np.cumsum(sizes) - sizes)[owner], sizes[owner]), (self.flat, self.start[at], self.length[at])
+        first = np.searchsorted(owner, np.arange(len(rows)))
+        for k, pair, sim in zip(*(x.tolist() for x in kernels.most_similar(*sides, owner, least)), strict=True):
+            r = rows[k][pair - first[k]][1]
+            sure = sim * (0.7 + 0.3 * (0.4 * r["c_confidence"] + 0.3 * r["c_success_rate"] + 0.3 * r["c_discriminative_score"]))
+            yield k, r["c_label"], sim, max(0.0, min(1.0, sure))
 
     def match(self, prefix: np.ndarray, label: str | None) -> tuple[str, float, float] | None:
         """(label, similarity, confidence) of the best match of a normalised prefix."""
-        rows = self.by.get((label if label in self.labels else None, len(prefix)))
-        if not rows:
-            return None
-        others, sims = [self.values[r["c_shapelet_id"]] for r in rows], np.empty(len(rows))
-        for at, x, y in kernels.by_lengths([prefix] * len(rows), others):
-            sims[at] = kernels.multi_metric(x, y)
-        k = int(np.round(sims, 9).argmax())
-        r = rows[k]
-        sure = sims[k] * (0.7 + 0.3 * (0.4 * r["c_confidence"] + 0.3 * r["c_success_rate"] + 0.3 * r["c_discriminative_score"]))
-        return r["c_label"], float(sims[k]), float(max(0.0, min(1.0, sure)))
+        return next((found[1:] for found in self.matches([prefix], label)), None)
 
 
 def matcher(cache: DataFrame, as_of: str) -> Matcher:

@@ -127,6 +127,10 @@ def attention_stream(stream: DataFrame, threshold: float = 0.8, frame: int = 100
     return _stateful(stream, "stream_id", ["event_id", "label", "sim"], "stream_id long, event_id long, label string, weight double", step, forget)
 
 
+#: Prefixes of a series that ask the cache together; those after the first match are in vain.
+TOGETHER = 16
+
+
 class GrowingSeries(StatefulProcessor):
     """The state of a series whose points arrive: its values up to the first that is missing, those beyond, and whether it is decided.
 
@@ -142,29 +146,35 @@ class GrowingSeries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("series", "decided boolean, asked_label string, expected int, run array<double>, ahead array<int>, ahead_values array<double>")
+        self.state = handle.getValueState("series", "decided boolean, asked_label string, expected int, run array<double>, ahead array<int>, ahead_values array<double>, until long")
 
     def _answer(self, run: list[float], tried: int, expected: int, label: str | None) -> tuple | None:
         start = math.floor(expected * 0.3)
         last = min(math.ceil(expected * 0.8), start + min(100, expected) - 1, expected, len(run))
-        for length in range(max(tried + 1, start, 1), last + 1):
-            if length >= expected * 0.3:
-                found = self.matcher.match(kernels.prefix_normalised(np.array(run[:length], float)), label)
-                if found and found[1] >= self.threshold and found[2] >= self.least:
-                    return found[0], found[2], length, expected, None
+        lengths = [n for n in range(max(tried + 1, start, 1), last + 1) if n >= expected * 0.3]
+        for k in range(0, len(lengths), TOGETHER):
+            some = lengths[k : k + TOGETHER]
+            for at, found, sim, sure in self.matcher.matches([kernels.prefix_normalised(np.array(run[:n], float)) for n in some], label, self.threshold):
+                if sim >= self.threshold and sure >= self.least:
+                    return found, sure, some[at], expected, None
         return (None, None, None, expected, run) if len(run) >= expected else None
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        decided, label, expected, run, ahead, ahead_values = self.state.get() if self.state.exists() else (False, None, None, [], [], [])
+        decided, label, expected, run, ahead, ahead_values, until = self.state.get() or (False, None, None, [], [], [], None)
         new, latest = [], None
         for frame in rows:
             new.extend(zip(*(frame[c].tolist() for c in ("at", "value", "asked_label", "expected")), strict=True))
             times = frame["ts"].dropna()
             if len(times):
                 latest = max(latest or 0, int(times.max().timestamp() * 1000))
-        answer = None
+        if latest is not None:
+            # one timer is set at a time; when it is due, a later time puts it off
+            if until is None:
+                self.handle.registerTimer(latest + self.silence)
+            until = max(until or 0, latest + self.silence)
+        answer, run, held = None, list(run), dict(zip(ahead, ahead_values, strict=True))
         if not decided:
-            run, tried, held = list(run), len(run), dict(zip(ahead, ahead_values, strict=True))
+            tried = len(run)
             # of points that come together the smallest value counts; null ones are missing
             for at, value, asked, size in sorted((p for p in new if p[0] == p[0] and p[1] == p[1] and p[0] is not None and p[1] is not None), key=lambda p: p[:2]):
                 label = max(x for x in (label, asked) if x is not None) if label is not None or asked is not None else None
@@ -177,17 +187,16 @@ class GrowingSeries(StatefulProcessor):
             decided = answer is not None
             if decided:
                 run, held = [], {}
-            self.state.update((decided, label, None if expected is None else int(expected), run, list(held), list(held.values())))
-        if latest is not None:
-            for timer in self.handle.listTimers():
-                latest = max(latest, timer - self.silence)
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(latest + self.silence)
+        self.state.update((decided, label, None if expected is None else int(expected), run, list(held), list(held.values()), until))
         if answer is not None:
             yield pd.DataFrame({"series_id": [key[0]], **{c: [x] for c, x in zip(_ANSWER, answer, strict=True)}}).astype({"length": "Int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        self.state.clear()
+        held = self.state.get()
+        if held and held[-1] is not None and held[-1] > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(held[-1])
+        else:
+            self.state.clear()
         yield from ()
 
     def close(self) -> None:

@@ -26,6 +26,11 @@ def test_queries_stay_where_they_are(spark):
     assert exchanges(best) == [] and best.count() > 2000
 
 
+def test_early_matches_measure_once_and_shuffle_nothing(spark):
+    found = match.early_match(match_queries._queries(spark, DATA), match_queries._cache(spark, DATA), match_queries.AS_OF, 0.3, 0.3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and exchanges(found) == []
+
+
 def _odd(spark):
     """Queries of null, known and unknown labels, with repeated ids, and cache rows that repeat."""
     rng = np.random.default_rng(3)

@@ -345,7 +345,7 @@ def rows_of(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 
 
 #: Points of pairs that are looked at together.
-POINTS = 1_000_000
+POINTS = 250_000
 #: By how much a bound must fall short: similarities are compared to nine digits.
 SLACK = 1e-8
 

@@ -129,7 +129,9 @@ def best_match(queries: DataFrame, tiers: DataFrame, as_of: str) -> DataFrame:
     held = found.withColumnsRenamed({"asked_label": "_label", "length": "_length"})
     held = F.broadcast(held) if size <= MOST_SENT else held
     met = queries.join(held, F.col("asked_label").eqNullSafe(F.col("_label")) & (F.col("length") == F.col("_length")))
-    best = met.withColumn("_best", _most_similar(F.col("values"), F.col("rows.values"))).withColumn("_row", F.get("rows", F.col("_best.place")))
+    # a function that may be repeated runs once for a filter and again for the rows
+    once = _most_similar.asNondeterministic()
+    best = met.withColumn("_best", once(F.col("values"), F.col("rows.values"))).withColumn("_row", F.get("rows", F.col("_best.place")))
     return best.select(*[c for c in queries.columns if c != "values"], *[F.col(f"_row.{c}").alias(f"c_{c}") for c in CARRIED], F.col("_best.sim").alias("sim"))
 
 

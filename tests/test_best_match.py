@@ -26,6 +26,15 @@ def test_queries_stay_where_they_are(spark):
     assert exchanges(best) == [] and best.count() > 2000
 
 
+def test_early_decisions_measure_once_and_shuffle_decisions_only(spark):
+    found = match.early_decision(match_queries._queries(spark, DATA), match_queries._cache(spark, DATA), match_queries.AS_OF, 0.3, 0.3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    # one shuffle, of what each task has decided
+    assert len(exchanges(found)) == 1 and "hashpartitioning(series_id" in exchanges(found)[0][1]
+    assert re.search(r"partial_min", plan) and found.count() == 100
+
+
 def test_early_matches_measure_once_and_shuffle_nothing(spark):
     found = match.early_match(match_queries._queries(spark, DATA), match_queries._cache(spark, DATA), match_queries.AS_OF, 0.3, 0.3)
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and exchanges(found) == []

@@ -40,6 +40,12 @@ def test_early_matches_measure_once_and_shuffle_nothing(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and exchanges(found) == []
 
 
+def test_evaluated_decisions_shuffle_no_values(spark):
+    found = match_queries._predictions(spark, DATA)
+    assert all("hashpartitioning(series_id" in x[1] for x in exchanges(found)) and len(exchanges(found)) <= 2
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def _odd(spark):
     """Queries of null, known and unknown labels, with repeated ids, and cache rows that repeat."""
     rng = np.random.default_rng(3)
